@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op4_jaccard, op7_quality
+from . import op4_jaccard, op6_mixing, op7_quality, op9_suffix, op10_decontaminate
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +15,29 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_jaccard.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op6_mix_to_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op7_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_suffix.removal_digests(_table(spark, sf_dir, "documents"))
+
+
+def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op6_mix_to_weights": op6_mix_to_weights,
     "op7_quality_crf": op7_quality_crf,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_qgram_decontamination": op10_qgram_decontamination,
+}
+ORACLES = {
+    "op6_mix_to_weights": op6_mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}
