@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import op4_jaccard, op7_quality
+from tidemark.llm import op4_jaccard, op6_mixing, op7_quality, op9_suffix, op10_decontaminate
 from tidemark.llm.common import written
 
 
@@ -16,7 +16,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return op4_jaccard.keep_first(docs)
 
 
-STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates)]
+def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op9_suffix.remove_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op10_decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return op6_mixing.mixed_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_strings),
+    ("benchmark decontamination", decontamination),
+    ("mixing sources to target weights", mixing),
+]
 
 #: SQL can't train the classifier, so the stages are tested against brute force.
 ORACLE_SQL = None
