@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import pieces, prefix_hash, span_hash, utf8, words
 
 #: Labelled documents and lines that training reads at most. Everything else covers all rows.
-SAMPLE_DOCUMENTS, SAMPLE_LINES = 4000, 120_000
+SAMPLE_DOCUMENTS, SAMPLE_LINES = 2000, 50_000
 THRESHOLD = 0.7
 _OWN = 11
 WIDTH = 3 * _OWN + 1
@@ -118,9 +118,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120) -> dict:
     if len(set(labels)) < 2:
         return model
     data, at = utf8(pa.array(texts, pa.string()))
-    x, length, row = line_features(data, at)
+    parts = [(*line_features(data[at[i] : at[j]], at[i : j + 1] - at[i]), i) for i, j in pieces(at)]
+    x, row = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] + p[3] for p in parts])
     y = labels_[row].astype(int)
-    # the rarer label's lines weigh as much as the other's, through the offset of the calibration below
     first = np.concatenate([[True], row[1:] != row[:-1]])
     place = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
     chain = np.cumsum(first | (place % 64 == 0))  # long documents train as chains of 64 lines
@@ -137,7 +137,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 120) -> dict:
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         p = p - 0.25 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     model |= {"weights": p[:WIDTH], "step": p[WIDTH:].reshape(2, 2), "slope": 1.0, "offset": 0.0}
-    s = document_score(data, at, model)
+    s = np.concatenate([document_score(data[at[i] : at[j]], at[i : j + 1] - at[i], model) for i, j in pieces(at)])
     mean = np.log(s / (1 - s))
     a, b = 6.0, 0.0
     for _ in range(200):  # Newton steps of a ridge logistic regression
