@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy helpers treat at once. Only a single longer text makes a larger piece.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -154,3 +154,20 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
     return links.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+
+
+def whole_groups(batches, keys: list[str]):
+    """Tables of whole groups, from record batches sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        key = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        cut = max((int(f[-1]) + 1 for k in key if len(f := np.flatnonzero(k != k[-1]))), default=0)
+        if cut or len(held) > 1 and any(held[0][k][-1] != batch[k][0] for k in keys):
+            held[-1] = batch.slice(0, cut)
+            yield pa.Table.from_batches(held)
+            held = [batch.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
