@@ -18,10 +18,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, prefix_hash, span_hash, utf8, window_min, written
+from .common import mixed, pieces, prefix_hash, span_hash, utf8, whole_groups, window_min, written
 
 LENGTH, K = 100, 32
 SIDE = LENGTH - K
@@ -250,14 +251,14 @@ def _firsts(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Of equal contexts the first, as kind 0; the ranges of the others, as kind 1."""
     anchor, context, doc, tie, place, start, stop = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((place, tie, doc, context, anchor))
-    anchor, context, doc, tie, place, start, stop = (c[order] for c in (anchor, context, doc, tie, place, start, stop))
-    again = np.concatenate([[False], (anchor[1:] == anchor[:-1]) & (context[1:] == context[:-1])])
-    if (~again).any():
-        yield _rows(0, *(c[~again] for c in (anchor, context, doc, tie, place, start, stop)))
-    if again.any():
-        doc, tie, start, stop = _ranges(doc[again], tie[again], start[again], stop[again])
+    again = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (context[order][1:] == context[order][:-1])])
+    first, later = np.sort(order[~again]), order[again]  # in the order of documents, rows compress far better
+    if len(first):
+        yield _rows(0, *(c[first] for c in (anchor, context, doc, tie, place, start, stop)))
+    if len(later):
+        doc, tie, start, stop = _ranges(doc[later], tie[later], start[later], stop[later])
         none = np.zeros(len(doc), np.int64)
-        yield _rows(1, none, none, doc, tie, none, start, stop)
+        yield _rows(1, mixed(tie.view(np.uint64)), none, doc, tie, none, start, stop)
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,27 +278,15 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _firsts(parts)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups, from batches sorted by the keys."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        key = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
-        cut = max((int(f[-1]) + 1 for k in key if len(f := np.flatnonzero(k != k[-1]))), default=0)
-        if cut or len(held) > 1 and any(held[0][k][-1] != batch[k][0] for k in keys):
-            held[-1] = batch.slice(0, cut)
-            yield pa.Table.from_batches(held)
-            held = [batch.slice(cut)]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor, context, document and place: ranges of repeated contexts (kind 1), and the firsts
-    of anchors that have several (kind 2; 3 if they are more than HOT)."""
-    for table in _groups(batches, ["anchor"]):
+    """Rows sorted by anchor, context, document and place: ranges of repeated contexts (kind 1, those that come so
+    too), and the firsts of anchors that have several (kind 2; 3 if they are more than HOT)."""
+    for table in whole_groups(batches, ["anchor"]):
+        ranges = pc.equal(table["kind"], 1)
+        yield from table.filter(ranges).combine_chunks().to_batches()
+        table = table.filter(pc.invert(ranges))
+        if not table.num_rows:
+            continue
         anchor, context, doc, tie, place, start, stop = (table[c].to_numpy() for c in ("anchor", "context", "doc", "tie", "place", "start", "stop"))
         same = anchor[1:] == anchor[:-1]
         again = np.concatenate([[False], same & (context[1:] == context[:-1])])
@@ -388,7 +377,7 @@ def utf8_binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Contexts sorted by shard key; whole keys are sorted together, as many as make SHARD bytes."""
     held, size = [], 0
-    for table in _groups(batches, ["shard"]):
+    for table in whole_groups(batches, ["shard"]):
         held.append(table)
         size += table.nbytes
         if size >= SHARD:
@@ -419,7 +408,7 @@ def _apply(finish: Callable):
     """Each document's row (kind 0) is followed by its ranges (kind 1); finish() makes the result of one document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, ["doc", "tie"]):
+        for table in whole_groups(batches, ["doc", "tie"]):
             kind, doc, tie = (table[c].to_numpy() for c in ("kind", "doc", "tie"))
             start, stop = table["start"].fill_null(0).to_numpy(), table["stop"].fill_null(0).to_numpy()
             is_range = kind == 1
@@ -475,16 +464,13 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc, tie, start, stop): byte ranges of repeated strings. doc is doc_id, the largest long for a null; tie
     is a hash of the text, which tells rows of one doc_id apart."""
     text = _identified(docs.select("doc_id", "text")).select("doc", "tie", "text")
-    found = text.mapInArrow(_find, _FOUND)
-    found = written(found, "anchors")
-    meet = found.where("kind = 0").repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place").mapInArrow(_meet, _FOUND)
+    meet = text.mapInArrow(_find, _FOUND).repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place").mapInArrow(_meet, _FOUND)
     meet = written(meet, "contexts")
     wanted = meet.where("kind >= 2").select("kind", "anchor", "doc", "tie", "place", "start", "stop", F.lit(None).cast("string").alias("text"))
     source = text.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("anchor"), "doc", "tie", *(F.lit(0).alias(c) for c in ("place", "start", "stop")), "text")
     contexts = source.unionByName(wanted).repartition("doc", "tie").sortWithinPartitions("doc", "tie", "kind").mapInArrow(_cut, "shard long, doc long, tie long, start long, bytes binary")
     ranges = contexts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_sort, _FOUND)
-    known = found.where("kind = 1").unionByName(meet.where("kind = 1")).unionByName(ranges)
-    return known.select("doc", "tie", "start", "stop")
+    return meet.where("kind = 1").unionByName(ranges).select("doc", "tie", "start", "stop")
 
 
 def _with_ranges(docs: DataFrame) -> DataFrame:
