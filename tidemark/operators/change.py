@@ -22,7 +22,7 @@ def with_splits(rows: DataFrame, splits: DataFrame | None) -> DataFrame:
     """Each row with an array of its security's splits; one shuffle by security and no row for each split."""
     if splits is None:
         return rows.withColumn("splits", F.array().cast("array<struct<period:date,numerator:int,denominator:int>>"))
-    by = splits.where("numerator is not null").groupBy("security_id").agg(F.collect_list(F.struct("period", F.col("numerator").cast("int"), F.col("denominator").cast("int"))).alias("splits"))
+    by = splits.where("numerator is not null").groupBy("security_id").agg(F.collect_list(F.struct("period", F.col("numerator").cast("int").alias("numerator"), F.col("denominator").cast("int").alias("denominator"))).alias("splits"))
     joined = rows.join(by, "security_id", "left")
     return joined.withColumn("splits", F.coalesce("splits", F.array().cast("array<struct<period:date,numerator:int,denominator:int>>")))
 
@@ -86,4 +86,3 @@ CHANGE_SQL = """SELECT filer_id, period, security_id, prev_period, CASE WHEN pre
   UNION ALL SELECT s.filer_id, p.next_period, s.security_id, s.period, 'exit', 0, s.shares, 0, s.value_usd, 0, s.weight_pct, -s.shares, CASE WHEN s.shares <> 0 THEN -100 END, -s.value_usd, -s.weight_pct
   FROM snapshot s JOIN published p USING (filer_id, period) WHERE next_period IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snapshot n WHERE n.filer_id = s.filer_id AND n.security_id = s.security_id AND n.period = p.next_period)"""
 PUBLISHED_SQL = "SELECT filer_id, period, lag(period) OVER (PARTITION BY filer_id ORDER BY period) AS prev_period, lead(period) OVER (PARTITION BY filer_id ORDER BY period) AS next_period FROM filer_period"
-TRADED_SQL = "coalesce(CASE WHEN action = 'exit' THEN abs(shares_delta)::DOUBLE * prev_value_usd::DOUBLE / nullif(prev_shares, 0)::DOUBLE ELSE abs(shares_delta)::DOUBLE * value_usd::DOUBLE / nullif(shares, 0)::DOUBLE END, 0)"

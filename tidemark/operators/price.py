@@ -85,7 +85,7 @@ def is_outlier(ratio: Column, split: Column) -> Column:
 
 def adjusted_price(prices: DataFrame, splits: DataFrame) -> DataFrame:
     """Prices over the product of all later splits, so that a series has one basis."""
-    by = splits.where("numerator is not null").groupBy("security_id").agg(F.collect_list(F.struct("period", "numerator", "denominator")).alias("s"))
+    by = splits.where("numerator is not null").groupBy("security_id").agg(F.collect_list(F.struct("period", F.col("numerator").cast("int").alias("numerator"), F.col("denominator").cast("int").alias("denominator"))).alias("s"))
     later = F.filter(F.coalesce("s", F.array().cast("array<struct<period:date,numerator:int,denominator:int>>")), lambda x: x["period"] > F.col("period"))
     factor = F.aggregate(later, F.lit(1.0), lambda a, x: a * x["numerator"] / x["denominator"])
     return prices.join(by, "security_id", "left").select("security_id", "period", "price", F.round(F.col("price") / factor, 8).alias("adjusted_price"))

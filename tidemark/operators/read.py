@@ -62,6 +62,11 @@ def investor_list(filer: DataFrame, summary: DataFrame, best: DataFrame, categor
     return rows.join(latest, "filer_id", "left").join(top, ["filer_id", "period"], "left")
 
 
+def investor_detail(filer: DataFrame, published: DataFrame) -> DataFrame:
+    spans = published.groupBy("filer_id").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.count("*").alias("periods"))
+    return filer.join(spans, "filer_id", "left").fillna(0, ["periods"])
+
+
 def sparkline(filer: DataFrame, summary: DataFrame, last: str, quarters: int = 8) -> DataFrame:
     """For each filer the values of so many quarters up to `last`, in order, null where it published none."""
     first = F.last_day(F.add_months(F.trunc(_day(last), "month"), -3 * (quarters - 1)))
@@ -83,7 +88,7 @@ def portfolio(snapshot: DataFrame, change: DataFrame, period: str, options: Data
         held = options.where((F.col("period") == _day(period)) & F.col("put_call").isNotNull() & (F.col("sshprnamt_type") == "SH"))
         held = held.groupBy("filer_id", "security_id", "put_call").agg(F.sum("shares").alias("shares"), F.sum("value_usd").alias("value_usd"))
         rows = rows.unionByName(held, allowMissingColumns=True)
-    change_key = F.when(F.col("action").isNull(), F.lit(-_FAR).cast("decimal(28,6)")).otherwise(F.coalesce(F.col("shares_delta_pct"), F.lit(_FAR).cast("decimal(28,6)")))
+    change_key = F.when(F.col("action").isNull(), F.lit(f"-{_FAR}").cast("decimal(30,6)")).otherwise(F.coalesce(F.col("shares_delta_pct").cast("decimal(30,6)"), F.lit(str(_FAR)).cast("decimal(30,6)")))
     return rows.withColumns({"weight_key": F.coalesce("weight_pct", F.lit(-1).cast("decimal(9,6)")), "change_key": change_key})
 
 

@@ -16,7 +16,7 @@ def consensus_holdings(snapshot: DataFrame) -> DataFrame:
     """Holders, totals, mean and median weight of each security in each period, and its rank by value."""
     cells = snapshot.groupBy("period", "security_id").agg(
         F.countDistinct("filer_id").alias("holder_count"), F.sum("value_usd").cast(MONEY).alias("total_value"), F.sum("shares").cast(SHARES).alias("total_shares"),
-        F.round(F.avg("weight_pct"), 6).cast(WEIGHT).alias("avg_weight"), F.round(F.percentile("weight_pct", 0.5), 6).cast(WEIGHT).alias("median_weight"), F.max("suspect").alias("suspect"),
+        F.round(F.avg("weight_pct"), 6).cast(WEIGHT).alias("avg_weight"), F.round(F.percentile("weight_pct", 0.5).cast("decimal(18,8)"), 6).cast(WEIGHT).alias("median_weight"), F.max("suspect").alias("suspect"),
     )
     return cells.withColumn("value_rank", F.rank().over(Window.partitionBy("period").orderBy(F.col("total_value").desc())))
 
@@ -88,8 +88,8 @@ def top_holding(snapshot: DataFrame) -> DataFrame:
 
 
 CONSENSUS_SQL = """SELECT *, rank() OVER (PARTITION BY period ORDER BY total_value DESC) AS value_rank FROM (SELECT period, security_id, count(DISTINCT filer_id) AS holder_count, sum(value_usd)::DECIMAL(20,2) AS total_value,
-  sum(shares)::DECIMAL(20,4) AS total_shares, round(avg(weight_pct), 6) AS avg_weight, round(quantile_cont(weight_pct, 0.5), 6) AS median_weight FROM snapshot GROUP BY 1, 2)"""
-FLOWING_SQL = """SELECT *, coalesce(CASE WHEN action = 'exit' THEN abs(shares_delta)::DOUBLE * prev_value_usd::DOUBLE / nullif(prev_shares, 0)::DOUBLE ELSE abs(shares_delta)::DOUBLE * value_usd::DOUBLE / nullif(shares, 0)::DOUBLE END, 0) AS traded
+  sum(shares)::DECIMAL(20,4) AS total_shares, round(avg(weight_pct), 6) AS avg_weight, round(quantile_cont(weight_pct, 0.5)::DECIMAL(18,8), 6) AS median_weight FROM snapshot GROUP BY 1, 2)"""
+FLOWING_SQL = """SELECT *, round(coalesce(CASE WHEN action = 'exit' THEN abs(shares_delta)::DOUBLE * prev_value_usd::DOUBLE / nullif(prev_shares, 0)::DOUBLE ELSE abs(shares_delta)::DOUBLE * value_usd::DOUBLE / nullif(shares, 0)::DOUBLE END, 0), 6)::DECIMAL(24,6) AS traded
   FROM change WHERE prev_period IS NOT NULL"""
 FLOWS_SQL = """SELECT *, round(bought - sold, 2) AS net FROM (SELECT period, security_id, round(coalesce(sum(traded) FILTER (action IN ('new', 'add')), 0), 2) AS bought, round(coalesce(sum(traded) FILTER (action IN ('trim', 'exit')), 0), 2) AS sold,
   sum(shares_delta)::DOUBLE AS net_shares, count(DISTINCT filer_id) FILTER (action = 'new') AS new_positions, count(DISTINCT filer_id) FILTER (action = 'exit') AS exits,
@@ -98,7 +98,7 @@ YEAR_SQL = """SELECT e.period, security_id, bought, sold, net, net_shares, coale
   (SELECT e.period, security_id, round(sum(bought), 2) AS bought, round(sum(sold), 2) AS sold, round(sum(net), 2) AS net, sum(net_shares) AS net_shares FROM (SELECT DISTINCT period FROM flows) e JOIN flows f ON f.period <= e.period AND f.period > e.period - INTERVAL 1 YEAR GROUP BY 1, 2) e
   LEFT JOIN (SELECT e.period, security_id, count(DISTINCT filer_id) FILTER (action = 'new') AS new_positions, count(DISTINCT filer_id) FILTER (action = 'exit') AS exits, count(DISTINCT filer_id) FILTER (action IN ('new', 'add')) AS buyers,
     count(DISTINCT filer_id) FILTER (action IN ('trim', 'exit')) AS sellers FROM (SELECT DISTINCT period FROM flows) e JOIN flowing f ON f.period <= e.period AND f.period > e.period - INTERVAL 1 YEAR AND action <> 'hold' GROUP BY 1, 2) c USING (period, security_id)"""
-SUMMARY_SQL = """SELECT filer_id, period, portfolio_value, positions, round(top_value::DOUBLE * 100 / nullif(portfolio_value, 0)::DOUBLE, 6) AS top10_weight, round(traded * 50 / nullif(prev_value, 0)::DOUBLE, 6) AS turnover FROM
+SUMMARY_SQL = """SELECT filer_id, period, portfolio_value, positions, round(top_value::DOUBLE * 100 / nullif(portfolio_value, 0)::DOUBLE, 6) AS top10_weight, round(traded::DOUBLE * 50 / nullif(prev_value, 0)::DOUBLE, 6) AS turnover FROM
   (SELECT filer_id, period, sum(value_usd)::DECIMAL(20,2) AS portfolio_value, count(*) AS positions, sum(value_usd) FILTER (place <= 10) AS top_value FROM
     (SELECT *, row_number() OVER (PARTITION BY filer_id, period ORDER BY value_usd DESC, security_id) AS place FROM snapshot) GROUP BY 1, 2)
   LEFT JOIN (SELECT filer_id, period, sum(traded) AS traded, sum(prev_value_usd) AS prev_value FROM flowing GROUP BY 1, 2) USING (filer_id, period)"""

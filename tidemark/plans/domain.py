@@ -82,7 +82,7 @@ class Domain:
 
     def quote(self) -> DataFrame:
         lines = self._lines().select("security_id", F.to_date(F.date_add("period", F.pmod("l_partkey", F.lit(60)).cast("int"))).alias("date"), F.col("l_extendedprice").cast(MONEY).alias("v"), F.col("l_quantity").cast(SHARES).alias("q"))
-        return lines.groupBy("security_id", "date").agg(F.round(F.sum("v").cast("double") / F.sum("q").cast("double"), 2).cast("decimal(20,8)").alias("close"))
+        return lines.groupBy("security_id", "date").agg(F.round(F.sum("v").cast("double") / F.sum("q").cast("double"), 8).cast("decimal(20,8)").alias("close"))
 
 
 #: The same tables for DuckDB, as common table expressions.
@@ -106,7 +106,7 @@ SQL = {
       CASE event_type WHEN 'purchase' THEN 'P' WHEN 'error' THEN 'A' WHEN 'signup' THEN 'G' ELSE 'S' END AS transaction_code, 100::DECIMAL(20,4) AS shares,
       CASE WHEN event_id % 13 <> 0 THEN value::DECIMAL(20,2) END AS value_usd, event_id % 19 = 0 AS is_10b5_1, event_id % 23 = 0 AS plan, user_id % 7 <> 0 AS is_director, user_id % 14 = 0 AS is_officer, ts AS filed_at
       FROM events""",
-    "quote": """SELECT security_id, period + (l_partkey % 60)::INT AS date, round(sum(v)::DOUBLE / sum(q)::DOUBLE, 2) AS close FROM lines_ GROUP BY 1, 2""",
+    "quote": """SELECT security_id, period + (l_partkey % 60)::INT AS date, round(sum(v)::DOUBLE / sum(q)::DOUBLE, 8) AS close FROM lines_ GROUP BY 1, 2""",
 }
 
 
