@@ -58,17 +58,20 @@ def year_flows(flows: DataFrame, change: DataFrame) -> DataFrame:
 
 
 def filer_summary(snapshot: DataFrame, change: DataFrame) -> DataFrame:
-    """Value, positions, weight of the TOP largest, and turnover (half of what was traded against the previous portfolio) of each filer and period."""
+    """Value, positions, weight of the TOP largest, and turnover (half of what was traded, holds left out, against
+    the previous portfolio) of each filer and period. A suspect period, or one before that changes are from, makes a row suspect."""
     largest = Window.partitionBy("filer_id", "period").orderBy(F.col("value_usd").desc(), "security_id")
     ranked = snapshot.withColumn("place", F.row_number().over(largest))
     total = ranked.groupBy("filer_id", "period").agg(
         F.sum("value_usd").cast(MONEY).alias("portfolio_value"), F.count("*").alias("positions"), F.sum(F.when(F.col("place") <= TOP, F.col("value_usd"))).cast(MONEY).alias("top_value"), F.max("suspect").alias("suspect")
     )
-    traded = _flowing(change).groupBy("filer_id", "period").agg(F.sum("traded").cast("decimal(24,6)").alias("traded"), F.sum("prev_value_usd").cast(MONEY).alias("prev_value"))
+    moved = F.coalesce(F.sum(F.when(F.col("action") != "hold", F.col("traded"))), F.lit(0)).cast("decimal(24,6)")
+    traded = _flowing(change).groupBy("filer_id", "period").agg(moved.alias("traded"), F.sum("prev_value_usd").cast(MONEY).alias("prev_value"), F.max("suspect").alias("suspect_change"))
     full = total.join(traded, ["filer_id", "period"], "left")
     return full.select(
         "filer_id", "period", "portfolio_value", "positions", percent(F.col("top_value"), F.col("portfolio_value")).cast("decimal(10,6)").alias("top10_weight"),
-        divided(F.col("traded") * 50, F.col("prev_value"), 6).cast("decimal(16,6)").alias("turnover"), "suspect",
+        divided(F.col("traded") * 50, F.col("prev_value"), 6).cast("decimal(16,6)").alias("turnover"),
+        (F.col("suspect") | F.coalesce("suspect_change", F.lit(False))).alias("suspect"),
     )
 
 
@@ -101,7 +104,7 @@ YEAR_SQL = """SELECT e.period, security_id, bought, sold, net, net_shares, coale
 SUMMARY_SQL = """SELECT filer_id, period, portfolio_value, positions, round(top_value::DOUBLE * 100 / nullif(portfolio_value, 0)::DOUBLE, 6) AS top10_weight, round(traded::DOUBLE * 50 / nullif(prev_value, 0)::DOUBLE, 6) AS turnover FROM
   (SELECT filer_id, period, sum(value_usd)::DECIMAL(20,2) AS portfolio_value, count(*) AS positions, sum(value_usd) FILTER (place <= 10) AS top_value FROM
     (SELECT *, row_number() OVER (PARTITION BY filer_id, period ORDER BY value_usd DESC, security_id) AS place FROM snapshot) GROUP BY 1, 2)
-  LEFT JOIN (SELECT filer_id, period, sum(traded) AS traded, sum(prev_value_usd) AS prev_value FROM flowing GROUP BY 1, 2) USING (filer_id, period)"""
+  LEFT JOIN (SELECT filer_id, period, coalesce(sum(traded) FILTER (action <> 'hold'), 0) AS traded, sum(prev_value_usd) AS prev_value FROM flowing GROUP BY 1, 2) USING (filer_id, period)"""
 FEED_SQL = """SELECT filing_id, filer_id, period, filed_at::DATE AS filed_on, portfolio_value::DOUBLE AS portfolio_value, positions, security_id AS top_security_id, action AS top_action, traded AS top_traded FROM filing JOIN summary USING (filer_id, period)
   LEFT JOIN (SELECT filer_id, period, security_id, action, round(traded, 2) AS traded FROM flowing WHERE action <> 'hold' QUALIFY row_number() OVER (PARTITION BY filer_id, period ORDER BY round(traded, 2) DESC, security_id DESC, action DESC) = 1) USING (filer_id, period)
   WHERE parse_status = 'ok'"""
