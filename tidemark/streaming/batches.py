@@ -23,15 +23,19 @@ def on_arrival(filings: DataFrame, recompute: Callable[[DataFrame, int], None],
     return filings.writeStream.foreachBatch(lambda batch, n: recompute(touched_pairs(batch), n)).option("checkpointLocation", checkpoint)
 
 
+def _timed(events: DataFrame, at: str, late: str) -> DataFrame:
+    """A stream with its watermark, which needs instants; a table as it is."""
+    return events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late) if events.isStreaming else events
+
+
 def arrivals_once(events: DataFrame, key: str, at: str, late: str = "1 day") -> DataFrame:
     """Each key once, for streams (state is kept while duplicates may come) and for tables."""
-    return events.withWatermark(at, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+    return _timed(events, at, late).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
 
 
 def daily_counts(events: DataFrame, at: str, late: str = "1 day") -> DataFrame:
     """Events and value by day and type; on a stream a day is given out when it can't change any more."""
-    source = events.withWatermark(at, late) if events.isStreaming else events
-    return source.groupBy(F.window(at, "1 day").alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.to_date("w.start").alias("day"), "event_type", "events", "value")
+    return _timed(events, at, late).groupBy(F.window(at, "1 day").alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value")).select(F.to_date("w.start").alias("day"), "event_type", "events", "value")
 
 
 def active_users(events: DataFrame, at: str, user: str, spans: tuple[int, ...] = (1, 7, 30)) -> DataFrame:
