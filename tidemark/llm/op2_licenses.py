@@ -3,11 +3,14 @@ nearest ancestor directory. DataFrame functions only."""
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log, sqrt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Short headers of common licences, by identifier.
 TEMPLATES = {
     "AGPL-3.0": "This program is licensed under the GNU Affero General Public License, version 3.",
@@ -68,29 +71,32 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
 
     Null and empty texts have no licence of their own; a null path is no part of a tree and inherits nothing. Repeated
     paths are rows each, and have the best licence of any. An empty table gives no rows; other columns aren't read.
-    Equal lines are scored once. All lines are read; only those without any word that a match must have are left.
+    Equal lines (by digest) are scored once, and only digests meet their words. All lines are read; only those without any word that a match must have are left.
     """
     templates = TEMPLATES if templates is None else templates
+    if not templates:
+        raise ValueError("no templates")
     spark = files.sparkSession
     counts = {k: {w: words_of(v).count(w) for w in words_of(v)} for k, v in templates.items()}
     idf, other = idf_table(files, sorted({w for v in counts.values() for w in v}))
     weights = {k: {w: c * idf[w] for w, c in v.items()} for k, v in counts.items()}
     must = anchors(weights, threshold)
-    hit = lambda text: F.coalesce(F.greatest(*(F.lower(text).contains(w).cast("int") for w in [*must, *must][: max(2, len(must))])), F.lit(0)) == 1
+    hit = lambda text: F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in must], F.lit(False)))  # noqa: E731  lowered once
     rows = files.select("path", F.coalesce("text", F.lit("")).alias("text"))
     is_licence = F.coalesce(F.element_at(F.split("path", "/"), -1), F.lit("")).rlike(LICENCE_FILE)
     found = rows.where(hit(F.col("text"))).withColumn("part", F.explode(F.concat(F.split("text", "\n"), F.when(is_licence, F.array("text")).otherwise(F.array().cast("array<string>")))))
-    found = found.where(hit(F.col("part"))).select("path", "part")
-    terms = [(k, w, x / sqrt(sum(y * y for y in v.values()))) for k, v in weights.items() for w, x in v.items()]
-    template = F.broadcast(spark.createDataFrame(terms, "license string, term string, weight double"))
-    rarity = F.broadcast(spark.createDataFrame(sorted(idf.items()), "term string, idf double"))
-    word = found.select("part").distinct().select("part", F.explode(_tokens(F.col("part"))).alias("term")).groupBy("part", "term").count()
+    found = written(found.where(hit(F.col("part"))).select("path", F.md5("part").alias("key"), "part"), "lines")
+    names = sorted(weights)
+    unit = {k: {w: x / sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for k, v in weights.items()}
+    columns = [f"w{i}" for i in range(len(names))]
+    table = [(term, value, *(unit[k].get(term, 0.0) for k in names)) for term, value in sorted(idf.items())]
+    rarity = F.broadcast(spark.createDataFrame(table, ", ".join(["term string", "idf double", *(f"{c} double" for c in columns)])))
+    word = found.select("key", "part").dropDuplicates(["key"]).select("key", F.explode(_tokens(F.col("part"))).alias("term")).groupBy("key", "term").count()
     word = word.join(rarity, "term", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(other)))
-    norm = word.groupBy("part").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    dot = word.join(template, "term").groupBy("part", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
-    score = dot.join(norm, "part").withColumn("score", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("score") >= threshold)
-    best = _best(score, "part")
-    own = _best(found.join(best, "part"), "path").select(F.col("path").alias("p"), F.col("license").alias("own_license"), F.col("score").alias("own_score"))
+    sums = word.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *(F.sum(F.col("x") * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns))
+    cosines = F.array(*(F.struct((-F.round(F.col(c) / F.col("norm"), 6)).alias("s"), F.lit(k).alias("license")) for c, k in zip(columns, names, strict=True)))
+    best = sums.select("key", F.array_min(cosines).alias("m")).where(F.col("m.s") <= -threshold).select("key", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
+    own = _best(found.select("path", "key").join(best, "key"), "path").select(F.col("path").alias("p"), F.col("license").alias("own_license"), F.col("score").alias("own_score"))
     full = rows.select("path").join(own, F.col("path").eqNullSafe(F.col("p")), "left").drop("p")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     full = full.withColumn("dir", F.when(F.col("path").isNotNull(), folder))
