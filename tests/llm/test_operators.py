@@ -296,3 +296,29 @@ def test_op10_alignment_is_the_edit_distance():
         data, at = op10_decontaminate.utf8(pa.array(["q" * 50 + body + "q" * 50]))
         found = op10_decontaminate.find(index, data, at)
         assert len(found[0]) == 1 and found[4][0] == sum(a != b for a, b in zip(item, body, strict=True))
+
+
+def substring_edits(item, text):
+    """Fewest edits that turn item into any part of text."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row = row, [i]
+        for j, d in enumerate(text, 1):
+            row.append(min(last[j - 1] + (c != d), last[j] + 1, row[j - 1] + 1))
+    return min(row)
+
+
+def test_op10_alignment_stays_within_its_document():
+    rng = random.Random(7)
+    items = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for n in (40, 100, 100)]
+    index = op10_decontaminate.Index(range(3), items)
+    for item, e in zip(items, index.edits, strict=True):
+        for cut in range(int(e) + 2):
+            for body in (item[cut:], item[: len(item) - cut], item[cut:] + " more text after", "some text before " + item[: len(item) - cut]):
+                texts = [body, "end" + item[:cut], body, item[len(item) - cut :] + "start", body]
+                data, at = op10_decontaminate.utf8(pa.array(texts))
+                together = [x[1:] for x in zip(*op10_decontaminate.find(index, data, at)) if x[0] in (0, 2, 4)]
+                alone = list(zip(*op10_decontaminate.find(index, data[: at[1]], at[:2])))
+                least = substring_edits(item, body.replace(" ", ""))
+                assert [int(x[4]) for x in alone] == ([least] if least <= e else []), (cut, body)
+                assert together == [x[1:] for x in alone] * 3, (cut, body)

@@ -57,33 +57,33 @@ class Index:
         self.table[self.hash >> np.uint64(64 - _TABLE)] = True
 
 
-def _align(index: Index, data: np.ndarray, item: np.ndarray, low: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _align(index: Index, data: np.ndarray, item: np.ndarray, low: np.ndarray, width: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fewest edits that turn each item into bytes of its region, and where these start and stop in data.
 
     A region starts at byte `low`; row i of the alignment looks at bytes low + i to low + i + width, so
     every diagonal of the region's band is held. Starting and stopping anywhere in the band is free.
-    Bytes of other documents are no obstacle to correctness: the caller takes regions that end with theirs.
+    Bytes outside the region's document, lo to hi, have an infinite cost, starts and stops there included.
     """
     size, at = index.size[item], index.at[item]
     cols = np.arange(width)
-    n = len(data)
-    cost = np.zeros((len(item), width), np.int32)
-    begin = low[:, None] + cols[None].repeat(len(item), 0)
+    lo, hi, never = lo[:, None], hi[:, None], np.int64(1 << 60)
+    begin = low[:, None] + cols[None]
     best = np.full(len(item), 1 << 20, np.int32)
     start, stop = np.zeros(len(item), np.int64), np.zeros(len(item), np.int64)
-    packed = (cost.astype(np.int64) << 40) + begin
+    packed = np.where((begin >= lo) & (begin <= hi), begin, never)
     for i in range(int(size.max())):
         live = i < size
         where = low[:, None] + i + cols[None]
-        inside = (where >= 0) & (where < n)
-        other = np.where(inside, data[np.clip(where, 0, n - 1)], 0)
+        inside = (where >= lo) & (where < hi)
+        other = data[np.clip(where, 0, len(data) - 1)]
         symbol = index.data[np.minimum(at + i, len(index.data) - 1)][:, None]
-        step = packed + ((other != symbol).astype(np.int64) << 40)  # same diagonal
-        skip = np.full_like(packed, 1 << 60)
+        step = np.where(inside, packed + ((other != symbol).astype(np.int64) << 40), never)  # same diagonal
+        skip = np.full_like(packed, never)
         skip[:, :-1] = packed[:, 1:] + (1 << 40)  # a byte of the item is missing in the text
         new = np.minimum(step, skip)
         slope = (cols.astype(np.int64) << 40)[None]
         new = np.minimum.accumulate(new - slope, 1) + slope  # bytes of the text that the item lacks
+        new = np.where(inside | (where == lo - 1), np.minimum(new, never), never)
         packed = np.where(live[:, None], new, packed)
         done = size == i + 1
         if done.any():
@@ -112,7 +112,7 @@ def find(index: Index, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ..
     count = index.first[k + 1] - index.first[k]
     post = np.repeat(index.first[k] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
     x, row = np.repeat(x, count), np.repeat(row, count)
-    item, diagonal = index.item[post], x - index.place[post]
+    item, diagonal = index.item[post], x - index.place[post] - cut[row]  # of the document, so that bands don't depend on the batch
     wide = index.edits[item] + 1
     band = np.floor_divide(diagonal, wide)
     row, item, band = np.concatenate([row, row]), np.concatenate([item, item]), np.concatenate([band, band - 1])
@@ -127,14 +127,14 @@ def find(index: Index, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ..
     if not len(row):
         return none
     edits = index.edits[item]
-    begin = band * (edits + 1) - edits
+    begin = cut[row] + band * (edits + 1) - edits
     outs = []
     for e in np.unique(edits):  # a band is 2e + 2 diagonals, and the alignment may leave it by e on either side
         of = np.flatnonzero(edits == e)
         for i in range(0, len(of), 1024):
             part = of[i : i + 1024]
-            cost, start, stop = _align(index, low, item[part], begin[part], 4 * int(e) + 2)
-            fit = (cost <= e) & (start >= cut[row[part]]) & (stop <= cut[row[part] + 1])
+            cost, start, stop = _align(index, low, item[part], begin[part], 4 * int(e) + 2, cut[row[part]], cut[row[part] + 1])
+            fit = cost <= e
             outs.append((row[part][fit], item[part][fit], start[fit], stop[fit], cost[fit].astype(np.int64)))
     row, item, start, stop, cost = (np.concatenate(c) for c in zip(*outs, strict=True))
     order = np.lexsort((stop, start, cost, item, row))
