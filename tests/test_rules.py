@@ -1,5 +1,7 @@
 import datetime as dt
+from pathlib import Path
 
+import __spark_entry__ as entry
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +41,19 @@ def test_clusters(spark, offsets, least, wanted):
     assert sorted(((r.window_start - base).days, (r.window_end - base).days, r.insiders, r.lines) for r in found) == wanted
 
 
+def test_grid_query_has_all_points(spark):
+    import duckdb
+
+    name, folder = "drv18_insider_cluster_grid", "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for path in sorted(Path(folder).glob("*.parquet")):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
+    wanted = con.execute(entry.oracle_sql()[name]).fetchall()
+    got = [tuple(r) for r in entry.queries()[name](spark, folder).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, wanted))
+    assert {r[:2] for r in got} == {(d, m) for d in (14, 30, 60, 90) for m in (2, 3, 4, 5)}
+
+
 def test_pages_walk_all_rows_once(spark):
     import random
 

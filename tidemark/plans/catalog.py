@@ -149,6 +149,10 @@ _GRID = [(1, 2), (3, 2), (3, 3), (7, 3)]
 add("drv18_insider_clusters", "window_days:l min_insiders:l issuer_cik:s window_start:d window_end:d insiders:l lines:l shares:f value_usd:f security_id:l", " UNION ALL ".join(f"({clusters.clusters_sql(*g)})" for g in _GRID))(
     lambda t: clusters.cluster_grid(t.lines, _GRID)
 )
+#: The operator's own grid; the query above has four short windows besides.
+add("drv18_insider_cluster_grid", "window_days:l min_insiders:l issuer_cik:s window_start:d window_end:d insiders:l lines:l shares:f value_usd:f security_id:l", " UNION ALL ".join(f"({clusters.clusters_sql(*g)})" for g in clusters.GRID))(
+    lambda t: clusters.cluster_grid(t.lines)
+)
 add(
     "qry17_cluster_breakdown", "issuer_cik:s window_start:d insider_id:l lines:l shares:f value_usd:f last_bought:d is_director:b",
     f"""SELECT e.issuer_cik, window_start, insider_id, count(*) AS lines, sum(l.shares) AS shares, sum(l.value_usd) AS value_usd, max(transaction_date) AS last_bought, bool_or(is_director) AS is_director
