@@ -86,6 +86,19 @@ def test_op2_inherits_from_the_nearest_directory(spark):
 # ---------------------------------------------------------------- 3
 
 
+def test_op2_weighs_words_by_their_document_frequency(spark):
+    line = "Released under the MIT License by copyright see for"
+    files = [(f"a/f{i}", f"see copyright {i} for by") for i in range(400)] + [("b/x", f"x\n{line}\ny"), ("c/x", None)]
+    docs = [set(op2_licenses.words_of(text or "")) for _, text in files]
+    idf = lambda w: math.log((len(docs) + 1) / (sum(w in d for d in docs) + 1)) + 1
+    vector = lambda text: {w: c * idf(w) for w, c in Counter(op2_licenses.words_of(text)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    a, b = vector(line), vector(op2_licenses.TEMPLATES["MIT"])
+    wanted = sum(x * b.get(w, 0) for w, x in a.items()) / norm(a) / norm(b)
+    got = {r.path: (r.own_license, r.own_score) for r in op2_licenses.scan(spark.createDataFrame(files, "path string, text string")).collect() if r.own_license}
+    assert got == {"b/x": ("MIT", pytest.approx(wanted, abs=1e-6))}
+
+
 def test_op3(spark):
     long = "<p>" + "é" * 100
     pages = spark.createDataFrame([(5, "http://a b/", long), (3, None, long), (9, "u", long), (1, "u", "short"), (2, "u", "short"), (7, "u", None), (8, "u", "a\r\n\r\nWARC/1.1\r\n" * 20)], "page_id long, url string, html string")

@@ -39,14 +39,24 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
 
 
-def idf_table(files: DataFrame, terms: list[str]) -> tuple[dict[str, float], float]:
-    """Inverse document frequency of the templates' terms over all texts, and that of any other word. As many
+def _distinct(text: Column) -> Column:
+    return F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"))
+
+
+def idf_table(files: DataFrame, terms: list[str]) -> tuple[dict[str, float], int]:
+    """Inverse document frequency of the templates' terms over all texts, and the number of texts. As many
     rows as the templates have words reach the driver."""
-    common = F.array_intersect(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]+"), F.array(*map(F.lit, terms)))
+    common = F.array_intersect(_distinct(F.col("text")), F.array(*map(F.lit, terms)))
     seen = files.select(F.explode(F.concat(common, F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()
     df = {r.term: r["count"] for r in seen}
     n = df.get("", 0)
-    return {t: log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in terms}, log(n + 1) + 1
+    return {t: log((n + 1) / (df.get(t, 0) + 1)) + 1 for t in terms}, n
+
+
+def idf_of_all(files: DataFrame, n: int) -> DataFrame:
+    """term and idf of every word of the n texts."""
+    df = files.select(F.explode(_distinct(F.col("text"))).alias("term")).groupBy("term").count()
+    return df.select("term", (F.log(F.lit(float(n + 1)) / (F.col("count") + 1)) + 1).alias("idf"))
 
 
 def anchors(weights: dict[str, dict[str, float]], threshold: float) -> list[str]:
@@ -62,6 +72,18 @@ def anchors(weights: dict[str, dict[str, float]], threshold: float) -> list[str]
     return sorted(out)
 
 
+def _may_reach(text: Column, idf: dict[str, float], unit: dict[str, dict[str, float]], threshold: float) -> Column:
+    """If the text's cosine with some template can reach the threshold. Exact as a filter: no word's idf is under 1 and
+    no count's square under the count, so the words' squared weights, 1 for those of no template, sum to the squared norm at most."""
+    table = lambda values: F.map_from_arrays(F.array(*map(F.lit, values)), F.array(*map(F.lit, values.values())))
+    total = lambda terms, values: F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.coalesce(table(values)[t], F.lit(0.0)))
+    squares = {t: w * w for t, w in idf.items()}
+    dots = [{t: idf[t] * w for t, w in v.items()} for v in unit.values()]
+    most = lambda terms: F.array_max(F.array(*(total(terms, d) for d in dots)))
+    reach = lambda tokens, terms: most(terms) >= (threshold - 1e-5) * F.sqrt(total(terms, squares) + F.size(tokens) - F.size(terms))
+    return F.exists(F.array(_tokens(text)), lambda tokens: F.exists(F.array(F.filter(tokens, lambda t: t.isin(*idf))), lambda terms: reach(tokens, terms)))  # each made once
+
+
 def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """files (path, text) to path, own_license, own_score, license, inherited_from.
 
@@ -71,31 +93,34 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
 
     Null and empty texts have no licence of their own; a null path is no part of a tree and inherits nothing. Repeated
     paths are rows each, and have the best licence of any. An empty table gives no rows; other columns aren't read.
-    Equal lines (by digest) are scored once, and only digests meet their words. All lines are read; only those without any word that a match must have are left.
+    A word's document frequency is counted over all texts, whether or not a template has it.
+    Equal lines (by digest) are scored once, and only digests meet their words. All lines are read; only those without any word
+    that a match must have, or that can't reach the threshold whatever their other words weigh, are left.
     """
     templates = TEMPLATES if templates is None else templates
     if not templates:
         raise ValueError("no templates")
     spark = files.sparkSession
     counts = {k: {w: words_of(v).count(w) for w in words_of(v)} for k, v in templates.items()}
-    idf, other = idf_table(files, sorted({w for v in counts.values() for w in v}))
+    idf, n = idf_table(files, sorted({w for v in counts.values() for w in v}))
     weights = {k: {w: c * idf[w] for w, c in v.items()} for k, v in counts.items()}
+    names = sorted(weights)
+    unit = {k: {w: x / sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for k, v in weights.items()}
     must = anchors(weights, threshold)
     hit = lambda text: F.exists(F.array(F.lower(text)), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in must], F.lit(False)))  # noqa: E731  lowered once
     rows = files.select("path", F.coalesce("text", F.lit("")).alias("text"))
     is_licence = F.coalesce(F.element_at(F.split("path", "/"), -1), F.lit("")).rlike(LICENCE_FILE)
     found = rows.where(hit(F.col("text"))).withColumn("part", F.explode(F.concat(F.split("text", "\n"), F.when(is_licence, F.array("text")).otherwise(F.array().cast("array<string>")))))
-    found = written(found.where(hit(F.col("part"))).select("path", F.md5("part").alias("key"), "part"), "lines")
-    names = sorted(weights)
-    unit = {k: {w: x / sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for k, v in weights.items()}
+    found = written(found.where(hit(F.col("part"))).where(_may_reach(F.col("part"), idf, unit, threshold)).select("path", F.md5("part").alias("key"), "part"), "lines")
     columns = [f"w{i}" for i in range(len(names))]
-    table = [(term, value, *(unit[k].get(term, 0.0) for k in names)) for term, value in sorted(idf.items())]
-    rarity = F.broadcast(spark.createDataFrame(table, ", ".join(["term string", "idf double", *(f"{c} double" for c in columns)])))
+    table = [(term, *(unit[k].get(term, 0.0) for k in names)) for term in sorted(idf)]
+    units = F.broadcast(spark.createDataFrame(table, ", ".join(["term string", *(f"{c} double" for c in columns)])))
     word = found.select("key", "part").dropDuplicates(["key"]).select("key", F.explode(_tokens(F.col("part"))).alias("term")).groupBy("key", "term").count()
-    word = word.join(rarity, "term", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.lit(other)))
+    word = word.join(idf_of_all(files, n), "term").join(units, "term", "left").withColumn("x", F.col("count") * F.col("idf"))
     sums = word.groupBy("key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), *(F.sum(F.col("x") * F.coalesce(c, F.lit(0.0))).alias(c) for c in columns))
     cosines = F.array(*(F.struct((-F.round(F.col(c) / F.col("norm"), 6)).alias("s"), F.lit(k).alias("license")) for c, k in zip(columns, names, strict=True)))
     best = sums.select("key", F.array_min(cosines).alias("m")).where(F.col("m.s") <= -threshold).select("key", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
+    best = written(best, "scores")
     own = _best(found.select("path", "key").join(best, "key"), "path").select(F.col("path").alias("p"), F.col("license").alias("own_license"), F.col("score").alias("own_score"))
     full = rows.select("path").join(own, F.col("path").eqNullSafe(F.col("p")), "left").drop("p")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
