@@ -30,11 +30,47 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The DataFrame as a Parquet table in the shared folder, which cuts its lineage and survives lost executors."""
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The DataFrame as a Parquet table in the shared folder, which cuts its lineage and survives lost executors; and where it is."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of integers of 64 bits: each cut to the bytes that its largest value needs, byte plane by byte plane, and compressed together."""
+    parts, about = [], [len(arrays)]
+    for x in arrays:
+        x = np.ascontiguousarray(x).view(np.uint64) if x.dtype.itemsize == 8 else x.astype(np.uint64)
+        width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+        about += [len(x), width]
+        parts.append(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    return np.array(about, "<i8").tobytes() + pa.Codec("zstd").compress(b"".join(parts), asbytes=True)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    count = int(np.frombuffer(data, "<i8", 1)[0])
+    about = np.frombuffer(data, "<i8", 1 + 2 * count)[1:].reshape(-1, 2)
+    size = int((about[:, 0] * about[:, 1]).sum())
+    flat = np.frombuffer(pa.Codec("zstd").decompress(data[8 * (1 + 2 * count) :], size, asbytes=True), np.uint8)
+    out, at = [], 0
+    for n, width in about.tolist():
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = flat[at : at + n * width].reshape(width, n).T
+        out.append(wide.reshape(-1).view("<i8"))
+        at += n * width
+    return out
 
 
 # ---------------------------------------------------------------- texts as bytes

@@ -1,24 +1,29 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
 The tree's root has the words' own distribution; a node is a context of the last one to DEPTH words. A context is
-a child of its suffix (the context without its first word) and is kept if what follows it diverges from what
-follows the suffix. A kept context's distribution is its counts less a discount, whose mass goes to the suffix's
-distribution, so each is proper over the known words and one symbol for all unknown ones. A word is scored in the
-longest kept context that ends before it.
-
-Each level is one pass over the texts, in chunks. A chunk gives one row for each of its grams: how often training
-has it, and how often each document does (its postings). Counts are sums over chunks; what a gram adds to the log
-probability is joined back to the rows and dealt out over the postings:
-
-    log P(w | longest) = log P(w | root) + sum over kept suffixes s of log back(s) + [w seen after s] * gain(s, w)
-
-with gain(s, w) = log P(w | s) - log back(s) - log P(w | s's suffix). So no step holds the model, and a hot word is as many
-rows as there are chunks, in joins that Spark splits.
+a child of its suffix (the context without its first word). It is kept if what follows it diverges from what its
+longest kept suffix tells: the gain in log probability over all that follows it in training, each occurrence left
+out of its own counts, must be over GAIN. The test is on the words themselves, and a longer context is tested
+whether or not its suffix was kept. A kept context's distribution is its counts less a discount, whose mass goes
+to the suffix's distribution, so each is proper over the known words and one symbol for all unknown ones. A word is
+scored in the longest kept context that ends before it.
+
+Texts are cut into chunks of bounded size, one row each, with words as global numbers. Each level of the tree is one round:
+
+1. A chunk's distinct grams (context and next word), with their counts in its training documents, go to parts dealt
+   by context. What is sent is one packed row for a chunk and part.
+2. A part adds up counts over chunks, tests its contexts and answers each row in its own order: counts of
+   grams, and how many kinds of words follow each kept context.
+3. The chunk with its answers has the counts and probabilities of the next level.
+
+A context with more than `hot` occurrences is dealt by gram, over all parts; its sums are added up in a table
+whose size is bounded, as at most N / hot contexts are that frequent and hot is N / 2**20 at least. No step holds
+the model, and no group grows with the input but through the texts' distinct grams dealt to it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,19 +31,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, mixed, pieces, prefix_hash, span_hash, utf8, whole_groups, words, written
+from .common import lowered, mixed, packed, pieces, prefix_hash, removed, span_hash, stored, unpacked, utf8, whole_groups, words
 
-#: Longest context, discount of each count, and least count and gain (nats, each occurrence left out in turn) of a kept context.
-DEPTH, DISCOUNT, LEAST, GAIN = 2, 0.75, 2, 6.0
+#: Longest context, discount of each count, least count and gain (nats) of a kept context.
+DEPTH, DISCOUNT, LEAST, GAIN = 2, 0.75, 2, 3.0
+#: In the test, the suffix has the weight SHARE * n ** (SHARE - 1) against a context of n occurrences.
+SHARE = 0.85
 #: Documents whose crc32(doc_id as text) mod OF is HELD_OUT aren't learnt from.
 OF, HELD_OUT = 5, 1
-#: Bytes of text and documents in a chunk; bits of the filter that a pass has of the kept contexts. The filter's
-#: size is fixed: beyond some million contexts it lets more grams through, which the next join drops.
-CHUNK, CHUNK_DOCS, FILTER = 12 << 20, 60_000, 1 << 26
-_CLASSES = 256
+#: Bytes of text and documents in a chunk, words in a part, and occurrences of a context that is dealt by gram.
+CHUNK, CHUNK_DOCS, PART, HOT = 12 << 20, 60_000, 1 << 19, 1 << 18
+#: Steps of a log probability that is sent to the test, a nat each so many.
+STEPS = 256
 _END, _A, _B = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
-_SCHEMA = "kind int, h long, ctx long, parent long, chunk long, n long, post binary, follow binary"
-_LAST = np.iinfo(np.int64).max
+_ROW = "kind int, chunk long, part int, data binary, docs binary"
+_SENT = "part int, chunk long, data binary"
+_ANSWER = "kind int, chunk long, part int, data binary, docs binary, key long, n long, kinds long, gain double"
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,295 +63,285 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes), np.concatenate(rows)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _binary(starts: np.ndarray, data: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)])
-
-
-def _grams(kind: int, chunk: int, h: np.ndarray, row: np.ndarray, train: np.ndarray, ctx: np.ndarray, parent: np.ndarray) -> pa.RecordBatch:
-    """A row for each distinct h; postings are row << 16 | count, several where a count is larger."""
-    order = np.argsort(h, kind="stable")
-    h, row, train, ctx, parent = h[order], row[order], train[order], ctx[order], parent[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    own = np.flatnonzero(new | np.concatenate([[True], row[1:] != row[:-1]]))
-    count = np.diff(np.concatenate([own, [len(h)]]))
-    parts = -(-count // 65535)
-    post = np.repeat(own, parts)
-    left = np.minimum(np.repeat(count, parts) - 65535 * (np.arange(len(post)) - np.repeat(np.cumsum(parts) - parts, parts)), 65535)
-    first = np.flatnonzero(new)
-    starts = np.concatenate([np.searchsorted(post, first), [len(post)]]) * 4
-    packed = ((row[post] << 16) | left).astype(np.uint32)
-    n = np.add.reduceat(train.astype(np.int64), first)
-    cols = [np.full(len(first), kind, np.int32), h[first].view(np.int64), ctx[first].view(np.int64), parent[first].view(np.int64), np.full(len(first), chunk), n]
-    return pa.RecordBatch.from_arrays([*map(pa.array, cols), _binary(starts, packed), pa.nulls(len(first), pa.binary())], [x.split()[0] for x in _SCHEMA.split(", ")])
-
-
-def _followers(chunk: int, ctx: np.ndarray, parent: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
-    """For each context the classes (by hash) of the words that follow it: a byte each, or 256 counts if these are shorter."""
-    kind = (word >> np.uint64(56)).astype(np.uint8)
-    order = np.lexsort((kind, ctx))
-    ctx, parent, kind = ctx[order], parent[order], kind[order]
-    first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
-    size = np.diff(np.concatenate([first, [len(ctx)]]))
-    out = []
-    for a, b in zip(first[size >= 4 * _CLASSES], size[size >= 4 * _CLASSES], strict=True):
-        out.append(np.bincount(kind[a : a + b], minlength=_CLASSES).astype("<u4").view(np.uint8))
-    if out:  # put each in place of its bytes
-        length = np.where(size >= 4 * _CLASSES, 4 * _CLASSES, size)
-        keep = np.repeat(size < 4 * _CLASSES, size)
-        data = np.empty(length.sum(), np.uint8)
-        big = np.repeat(size >= 4 * _CLASSES, length)
-        data[~big], data[big] = kind[keep], np.concatenate(out)
-    else:
-        length, data = size, kind
-    starts = np.concatenate([[0], np.cumsum(length)])
-    n = len(first)
-    cols = [np.full(n, 3, np.int32), ctx[first].view(np.int64), np.zeros(n, np.int64), parent[first].view(np.int64), np.full(n, chunk), size.astype(np.int64)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(n, pa.binary()), _binary(starts, np.ascontiguousarray(data))], [x.split()[0] for x in _SCHEMA.split(", ")])
-
-
-def _pass(level: int, depth: int, kept: bytes | None):
-    """Rows of one level. Kind 0: a chunk's documents; 1: grams of a kept context of level - 1 words and a word;
-    2: those contexts; 3: what follows contexts of one word more."""
-
-    def chunk_rows(table: pa.Table, chunk: int) -> Iterator[pa.RecordBatch]:
-        held = table["held"].to_numpy()
-        t, row = _tokens(table["text"])
-        about = np.concatenate([table["doc"].to_numpy(), table["tie"].to_numpy(), table["doc_id"].is_null().to_numpy().astype(np.int64), held.astype(np.int64), np.bincount(row, minlength=len(held))])
-        cols = [pa.array([0], pa.int32()), *(pa.array([x], pa.int64()) for x in (0, 0, 0, chunk, len(held))), pa.array([about.astype("<i8").tobytes()], pa.binary()), pa.nulls(1, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in _SCHEMA.split(", ")])
-        first = np.searchsorted(row, np.arange(len(held)))
-        place = np.arange(len(t)) - first[row]
-        ctx = np.zeros(len(t), np.uint64)  # of level - 1 words
-        use = np.ones(len(t), bool)
-        gram = t
-        parent = np.zeros(len(t), np.uint64)
-        for k in range(1, level):
-            before = np.concatenate([np.zeros(k, np.uint64), t[:-k]]) if len(t) > k else np.zeros(len(t), np.uint64)
-            ctx, parent = mixed(ctx * _A + before + np.uint64(k)), gram
-            gram = mixed(ctx * _B + t)
-            use = place >= k
-        if level > 1:
-            bits = np.frombuffer(kept, np.uint8)
-            low = ctx & np.uint64(FILTER - 1)
-            use &= (bits[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        if use.any():
-            train = ~held[row]
-            i = np.flatnonzero(use)
-            yield _grams(1, chunk, gram[i], row[i], train[i], ctx[i], parent[i])
-            if level > 1:
-                yield _grams(2, chunk, ctx[i], row[i], train[i], ctx[i], parent[i])
-        if level <= depth:
-            i = np.flatnonzero(use & (place >= level) & ~held[row])
-            if len(i):
-                longer = mixed(ctx[i] * _A + t[i - level] + np.uint64(level))
-                yield _followers(chunk, longer, ctx[i], t[i])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context = TaskContext.get()
-        base = (context.partitionId() if context else 0) << 24
-        number, rows, size, count = 0, [], 0, 0
-        for batch in batches:
-            for i, j in pieces(utf8(batch["text"])[1], CHUNK // 4):
-                rows.append(batch.slice(i, j - i))
-                size, count = size + rows[-1].nbytes, count + j - i
-                if size >= CHUNK or count >= CHUNK_DOCS // 2:
-                    yield from chunk_rows(pa.Table.from_batches(rows), base + number)
-                    number, rows, size, count = number + 1, [], 0, 0
-        if rows:
-            yield from chunk_rows(pa.Table.from_batches(rows), base + number)
-
-    return run
+def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to one row for each chunk: its documents, its tokens as places in the chunk's list of words, the list, and how often training has each."""
+    context = TaskContext.get()
+    base = (context.partitionId() if context else 0) << 24
+    number, rows, size = 0, [], 0
 
+    def chunk() -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        held = table["held"].to_numpy()
+        hashes, row = _tokens(table["text"])
+        kinds, token = np.unique(hashes, return_inverse=True)
+        seen = np.bincount(token[~held[row]], minlength=len(kinds))
+        null = table["doc_id"].is_null().to_numpy()
+        docs = packed(table["doc_id"].fill_null(0).to_numpy(), null.astype(np.int64), held.astype(np.int64), np.bincount(row, minlength=len(held)))
+        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (kinds.view(np.int64), seen)]
+        return pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([packed(token)], pa.binary()), pa.array([docs], pa.binary()), *lists], ["chunk", "data", "docs", "words", "seen"])
 
-def _histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of followers sorted by context to one row each: count and 256 class counts of those with LEAST or more."""
-    for table in whole_groups(batches, ["h"]):
-        h, parent, n = (table[c].to_numpy() for c in ("h", "parent", "n"))
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        group = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(h)]])))
-        total = np.add.reduceat(n, first)
-        number = np.full(len(first), -1)
-        number[total >= LEAST] = np.arange((total >= LEAST).sum())
-        use = number[group] >= 0
-        part, group = table.filter(pa.array(use)), number[group[use]]
-        chosen = np.flatnonzero(total >= LEAST)
-        for a in range(0, len(chosen), 8192):
-            rows = np.flatnonzero((group >= a) & (group < a + 8192))
-            follow = part["follow"].take(pa.array(rows)).combine_chunks()
-            if isinstance(follow, pa.ChunkedArray):
-                follow = pa.concat_arrays(follow.chunks)
-            at = np.frombuffer(follow.buffers()[1], np.int32)[follow.offset : follow.offset + len(follow) + 1].astype(np.int64)
-            data = np.frombuffer(follow.buffers()[2], np.uint8)
-            own = group[rows] - a
-            k = min(8192, len(chosen) - a)
-            wide = np.diff(at) == 4 * _CLASSES
-            one = np.repeat(own[~wide], np.diff(at)[~wide]) * _CLASSES + data[at[0] : at[-1]][np.repeat(~wide, np.diff(at))]
-            hist = np.bincount(one, minlength=k * _CLASSES).reshape(k, _CLASSES)
-            for r in np.flatnonzero(wide):
-                hist[own[r]] += data[at[r] : at[r + 1]].view("<u4")
-            i = first[chosen[a : a + k]]
-            dense = hist.astype("<u4").reshape(-1)
+    for batch in batches:
+        for i, j in pieces(utf8(batch["text"])[1], CHUNK // 4):
+            for k in range(i, j, CHUNK_DOCS):
+                rows.append(batch.slice(k, min(CHUNK_DOCS, j - k)))
+                size += rows[-1].nbytes
+                if size >= CHUNK or sum(len(x) for x in rows) >= CHUNK_DOCS:
+                    yield chunk()
+                    number, rows, size = number + 1, [], 0
+    if rows:
+        yield chunk()
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A chunk with the numbers and counts of its words in place of its list: tokens become places in the sorted numbers."""
+    for batch in batches:
+        for r in range(len(batch)):
+            at, number, count = (batch[c][r].values.to_numpy(zero_copy_only=False) for c in ("at", "number", "count"))
+            (token,) = unpacked(batch["data"][r].as_py())
+            have, place = np.unique(number, return_inverse=True)
+            to = np.empty(len(at), np.int64)
+            to[at] = place
+            counts = np.zeros(len(have), np.int64)
+            counts[place] = count
+            data = packed(have, counts, to[token])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[i]), pa.array(parent[i]), pa.array(total[chosen[a : a + k]]), _binary(np.arange(k + 1) * 4 * _CLASSES, dense)], ["h", "parent", "n", "hist"]
+                [pa.array([0], pa.int32()), batch["chunk"].slice(r, 1), pa.array([0], pa.int32()), pa.array([data], pa.binary()), batch["docs"].slice(r, 1)], [x.split()[0] for x in _ROW.split(", ")]
             )
 
 
-def _diverging(root: np.ndarray):
-    """Contexts whose followers' classes are told better by their own discounted counts than by the suffix's,
-    each occurrence scored with itself left out. By classes the divergence can only come out smaller."""
+class _Chunk:
+    """A chunk's tokens and, level by level, the counts and probabilities that the answers give."""
+
+    def __init__(self, data: bytes, docs: bytes, total: int, kinds: int, hot: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], parts: int):
+        self.ids, self.counts, self.token = unpacked(data)
+        self.doc_id, self.null, self.held, self.size = unpacked(docs)
+        self.hot, self.parts = hot, parts
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        self.place = np.arange(len(self.token)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.train = self.held[self.row] == 0
+        rest = DISCOUNT * kinds / total if total else 1.0
+        c = self.counts
+        self.p = np.where(c > 0, (c - DISCOUNT) / max(total, 1), rest)[self.token]
+        # of the gram that ends at each token: its place among the chunk's grams, their hashes, and its count in training
+        self.gram, self.hashes, self.seen = self.token, mixed(self.ids.astype(np.uint64) * _B + _A), c[self.token]
+
+    def deal(self, level: int) -> None:
+        """Grams of contexts of so many words that training has LEAST times, in the order in which they are sent."""
+        before = np.concatenate([[0], self.seen[:-1]])
+        self.at = np.flatnonzero((self.place >= level) & (before >= LEAST))
+        key = (self.gram[self.at - 1].astype(np.uint64) << np.uint64(32)) | self.token[self.at].astype(np.uint64)
+        own, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        context, word = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        above = self.hashes[context]
+        gram = mixed(above * _A + self.ids[word].astype(np.uint64))
+        hot = np.isin(above, self.hot[level][0])
+        part = (mixed(np.where(hot, gram, above) + _B) % np.uint64(self.parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.inverse, self.above, self.next, self.word, self.part = back[inverse], above[order], gram[order], word[order], part[order]
+        self.n = before[self.at]
+        p = self.p[self.at[first[order]]]
+        count = np.bincount(self.inverse, self.train[self.at], minlength=len(own)).astype(np.int64)
+        self.told = np.where(count > 0, np.rint(-np.log(np.maximum(p, 1e-300)) * STEPS), 0).astype(np.int64), count
+
+    def parts_sent(self) -> Iterator[tuple[int, bytes]]:
+        """For each part: contexts, how many grams each has, and the grams' words, log probabilities by the suffix, and counts."""
+        cut = np.flatnonzero(np.concatenate([[True], self.part[1:] != self.part[:-1], [True]])) if len(self.part) else np.zeros(0, np.int64)
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            h = self.above[a:b]
+            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.concatenate([start, [b - a]]))
+            yield int(self.part[a]), packed(h[start].view(np.int64), size, self.ids[self.word[a:b]], self.told[0][a:b], self.told[1][a:b])
+
+    def take(self, level: int, answers: list[bytes]) -> None:
+        """Probabilities by this level's kept contexts, and what the next level needs; answers come in order of their parts."""
+        count = np.zeros(len(self.above), np.int64)
+        kinds = np.zeros(len(self.above), np.int64)
+        at = 0
+        for size, of, c in map(unpacked, answers):
+            count[at : at + len(c)], kinds[at : at + len(c)] = c, np.repeat(of, size)
+            at += len(c)
+        if at != len(count):
+            raise ValueError(f"answers for {at} of {len(count)} grams")
+        hot, _, of = self.hot[level]
+        if len(hot):
+            i = np.minimum(np.searchsorted(hot, self.above), len(hot) - 1)
+            kinds = np.where(hot[i] == self.above, of[i], kinds)
+        c, k, n = count[self.inverse], kinds[self.inverse], np.maximum(self.n, 1)
+        p = self.p[self.at]
+        self.p[self.at] = np.where(k > 0, np.maximum(c - DISCOUNT, 0) / n + DISCOUNT * k / n * p, p)
+        gram, seen = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), np.int64)
+        gram[self.at], seen[self.at] = self.inverse, c
+        self.gram, self.hashes, self.seen = gram, self.next, seen
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], levels: int, make: Callable[[bytes, bytes], _Chunk]) -> Iterator[tuple[int, _Chunk]]:
+    """Each chunk after so many levels; its rows come together, the chunk itself first and answers by level and part."""
+    for table in whole_groups(batches, ["chunk"]):
+        rows = table.to_pydict()
+        start = [i for i, k in enumerate(rows["kind"]) if k == 0]
+        for a, b in zip(start, [*start[1:], table.num_rows], strict=True):
+            chunk = make(rows["data"][a], rows["docs"][a])
+            for level in range(1, levels + 1):
+                chunk.deal(level)
+                chunk.take(level, [rows["data"][i] for i in range(a + 1, b) if rows["kind"][i] == level])
+            yield rows["chunk"][a], chunk
+
+
+def _summed(level: int, hot: tuple[np.ndarray, np.ndarray], hot_from: int):
+    """Rows of a part, sorted by part, to answers (kind: the level), partial sums of hot contexts (-1) and grams that are hot contexts of the next level (-2)."""
+
+    def answer(kind: int, chunk=0, part=0, data=None, key=0, n=0, kinds=0, gain=0.0) -> tuple:
+        return kind, chunk, part, data, None, key, n, kinds, gain
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in _ANSWER.split(", ")])
+
+    def one(part: int, chunks: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
+        sent = [unpacked(x) for x in data]
+        context = np.concatenate([np.repeat(x[0].view(np.uint64), x[1]) for x in sent])
+        word, told, count = (np.concatenate([x[k] for x in sent]) for k in (2, 3, 4))
+        gram = mixed(context * _A + word.astype(np.uint64))
+        order = np.argsort(gram, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], gram[order[1:]] != gram[order[:-1]]])) if len(order) else order
+        c = np.add.reduceat(count[order], first)
+        of = np.empty(len(order), np.int64)
+        of[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
+        p = np.exp(-np.maximum.reduceat(told[order], first) / STEPS)
+        own, inverse = np.unique(context[order[first]], return_inverse=True)
+        n = np.bincount(inverse, c, minlength=len(own))
+        kinds = np.bincount(inverse[c > 0], minlength=len(own))
+        i = np.minimum(np.searchsorted(hot[0], own), len(hot[0]) - 1) if len(hot[0]) else np.zeros(len(own), np.int64)
+        is_hot = hot[0][i] == own if len(hot[0]) else np.zeros(len(own), bool)
+        if is_hot.any():
+            n[is_hot] = hot[1][i[is_hot]]
+        m = n[inverse]
+        share = SHARE * np.maximum(m, 1) ** (SHARE - 1)
+        left = (1 - share) * np.maximum(c - 1, 0) / np.maximum(m - 1, 1) + share * p
+        gain = np.bincount(inverse, np.where(c > 0, c * np.log(left / p), 0), minlength=len(own))
+        rows = [answer(-1, key=int(own[k].view(np.int64)), n=int(n[k]), kinds=int(kinds[k]), gain=float(gain[k])) for k in np.flatnonzero(is_hot)]
+        rows += [answer(-2, key=int(gram[order[first[k]]].view(np.int64)), n=int(c[k])) for k in np.flatnonzero(c > hot_from)]
+        kept = np.where((gain > GAIN) & (n >= LEAST) & ~is_hot, kinds, 0)
+        at = 0
+        for chunk, x in zip(chunks, sent, strict=True):
+            g = of[at : at + len(x[2])]
+            heads = g[np.cumsum(x[1]) - x[1]]
+            rows.append(answer(level, chunk, part, packed(x[1], kept[inverse[heads]], c[g])))
+            at += len(x[2])
+        for k in range(0, len(rows), 1024):
+            yield batch_of(rows[k : k + 1024])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            hist, over = (np.stack([np.frombuffer(x or root.astype("<u4").tobytes(), "<u4") for x in batch[c].to_pylist()]).astype(np.float64) for c in ("hist", "over"))
-            p = (over + root / root.sum()) / (over.sum(1, keepdims=True) + 1)
-            n = hist.sum(1, keepdims=True)
-            kinds = (hist > 0).sum(1, keepdims=True) - (hist == 1)
-            left = (np.maximum(hist - 1 - DISCOUNT, 0) + DISCOUNT * np.maximum(kinds, 1) * p) / np.maximum(n - 1, 1)
-            gain = np.where(hist > 0, hist * np.log(np.maximum(left, 1e-300) / np.maximum(p, 1e-300)), 0).sum(1)
-            yield batch.filter(pa.array(gain > GAIN)).select(["h", "hist"])
+        for table in whole_groups(batches, ["part"]):
+            parts = table["part"].to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]]))
+            for a, b in zip(cut[:-1], cut[1:], strict=True):
+                own = table.slice(a, b - a)
+                yield from one(int(parts[a]), own["chunk"].to_pylist(), own["data"].to_pylist())
 
     return run
 
 
-def _filter_bits(kept: DataFrame) -> bytes:
-    """A bit for the low digits of each kept context: FILTER bits, whatever their count."""
-    step = 1 << 15
+def _hot_words(numbers: DataFrame, hot_from: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the contexts of one word that are dealt by gram: total / hot_from at most, for the threshold grows with the total."""
+    rows = numbers.where(F.col("c") > hot_from).select("number", "c").collect()
+    return _ordered(mixed(np.array([r.number for r in rows], np.uint64) * _B + _A), np.array([r.c for r in rows], np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["segment"]):
-            segment, bit = table["segment"].to_numpy(), table["bit"].to_numpy()
-            for s in np.unique(segment):
-                bits = np.zeros(step, bool)
-                bits[bit[segment == s]] = True
-                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([np.packbits(bits, bitorder="little").tobytes()])], ["segment", "bits"])
-
-    low = F.col("h").bitwiseAND(FILTER - 1)
-    dealt = kept.select(F.floor(low / step).alias("segment"), (low % step).alias("bit")).distinct().repartition("segment").sortWithinPartitions("segment")
-    out = bytearray(FILTER // 8)
-    for r in dealt.mapInArrow(run, "segment long, bits binary").toLocalIterator():
-        out[r.segment * step // 8 : (r.segment + 1) * step // 8] = r.bits
-    return bytes(out)
-
-
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, post, a, b, c) to sums over the postings, a row for each chunk and some of its documents."""
-    sums: dict[int, np.ndarray] = {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for chunk, values in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([values.tobytes()], pa.binary())], ["chunk", "sums"])
-        sums.clear()
-
-    for batch in batches:
-        chunk = batch["chunk"].to_numpy()
-        post = batch["post"]
-        at = np.frombuffer(post.buffers()[1], np.int32)[post.offset : post.offset + len(post) + 1]
-        packed = np.frombuffer(post.buffers()[2], np.uint8)[at[0] : at[-1]].view("<u4") if len(post) else np.zeros(0, np.uint32)
-        size = np.diff(at) // 4
-        row, count = (packed >> 16).astype(np.int64), (packed & 65535).astype(np.float64)
-        of = np.repeat(chunk, size)
-        values = [np.repeat(batch[c].to_numpy(), size) * count for c in ("a", "b", "c")]
-        for c in np.unique(chunk):
-            mine = of == c
-            need = int(row[mine].max()) + 1
-            have = sums.get(int(c))
-            if have is None or have.shape[1] < need:
-                new = np.zeros((3, -(-need // 1024) * 1024))
-                if have is not None:
-                    new[:, : have.shape[1]] = have
-                sums[int(c)] = have = new
-            for k, v in enumerate(values):
-                have[k] += np.bincount(row[mine], v[mine], minlength=have.shape[1])
-        if len(sums) > 256:
-            yield from flush()
-    yield from flush()
-
-
-def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk's documents followed by its partial sums, to a row for each document."""
-    for table in whole_groups(batches, ["chunk"]):
-        chunk = table["chunk"].to_numpy()
-        for c in np.unique(chunk):
-            part = table.filter(pa.array(chunk == c))
-            about = np.frombuffer(next(x for x, k in zip(part["post"].to_pylist(), part["kind"].to_pylist(), strict=True) if k == 0), "<i8").reshape(5, -1)
-            n = about.shape[1]
-            total = np.zeros((3, n))
-            for x in part["sums"].to_pylist():
-                if x is not None:
-                    v = np.frombuffer(x).reshape(3, -1)[:, :n]
-                    total[:, : v.shape[1]] += v
-            null = about[2] == 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(about[0], mask=null), pa.array(about[0]), pa.array(about[1]), pa.array(about[3] == 1), pa.array(about[4]), *map(pa.array, total)],
-                ["doc_id", "doc", "tie", "held_out", "n_tokens", "a", "b", "c"],
-            )
 
+def _ordered(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    order = np.argsort(key)
+    return key[order], *(v[order] for v in values)
 
-def _per_document(rows: DataFrame, values: DataFrame) -> DataFrame:
-    sums = values.select("chunk", "post", "a", "b", "c").mapInArrow(_dealt, "chunk long, sums binary")
-    chunks = rows.where("kind = 0").select("kind", "chunk", "post", F.lit(None).cast("binary").alias("sums"))
-    both = chunks.unionByName(sums.select(F.lit(1).alias("kind"), "chunk", F.lit(None).cast("binary").alias("post"), "sums"))
-    schema = "doc_id long, doc long, tie long, held_out boolean, n_tokens long, a double, b double, c double"
-    return both.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(_gathered, schema)
 
-
-def score(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, unknown_tokens of each row.
+def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row.
 
     Scores are log10 probabilities of all tokens, the end included; words not seen in training are one symbol. A
     null text is empty: its end alone. Repeated rows are learnt from and scored each; a null doc_id is not
-    held out. Without training tokens both scores are of the unknown symbol alone. An empty table gives no rows;
-    other columns aren't read.
+    held out and stays null. Without training tokens both scores are of the unknown symbol alone. An empty table
+    gives no rows; other columns aren't read. depth is the longest context, hot the occurrences from which a
+    context is dealt by gram, which changes no result.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST))
+    spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % OF == HELD_OUT, F.lit(False))
-    text = F.coalesce("text", F.lit(""))
-    source = docs.select(F.col("doc_id").cast("long"), key.alias("doc"), F.xxhash64(text).alias("tie"), held.alias("held"), text.alias("text"))
-
-    rows = written(source.mapInArrow(_pass(1, depth, None), _SCHEMA), "words")
-    counts = written(rows.where("kind = 1").groupBy("h").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
-    by = counts.groupBy(F.shiftrightunsigned("h", 56).cast("int").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    n, v = sum(r.c for r in by), sum(r.v for r in by)
-    root = np.zeros(_CLASSES)
-    for r in by:
-        root[r.k] = r.c
-    rest = DISCOUNT * v / n if n else 1.0
-    p_root = F.when(F.col("c") > 0, (F.col("c") - DISCOUNT) / max(n, 1)).otherwise(rest)
-    known = rows.where("kind = 1").select("h", "chunk", "post").join(counts, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    values = known.select("chunk", "post", F.when(F.col("c") > 0, 1.0).otherwise(0.0).alias("a"), F.log10(F.col("c") + 0.5).alias("b"), F.log10(p_root).alias("c"))
-    result = _per_document(rows, values)
-
-    below = counts.select(F.col("h").alias("parent"), p_root.alias("below"))
-    extra, over = None, None
-    for level in range(2, depth + 2):
-        if not n:
-            break
-        follow = rows.where("kind = 3").select("h", "parent", "n", "follow").repartition("h").sortWithinPartitions("h")
-        found = follow.mapInArrow(_histograms, "h long, parent long, n long, hist binary")
-        found = found.withColumn("over", F.lit(None).cast("binary")) if over is None else found.join(over.select(F.col("h").alias("parent"), F.col("hist").alias("over")), "parent")
-        kept = written(found.select("h", "hist", "over").mapInArrow(_diverging(root), "h long, hist binary"), "kept")
-        rows = written(source.mapInArrow(_pass(level, depth, _filter_bits(kept)), _SCHEMA), "grams")
-        seen = rows.where("kind = 1").groupBy("h", "ctx", "parent").agg(F.sum("n").alias("c")).where("c > 0")
-        seen = seen.join(kept.select(F.col("h").alias("ctx")), "ctx", "left_semi")
-        back = seen.groupBy("ctx").agg((F.count("*") * DISCOUNT / F.sum("c")).alias("back"), F.sum("c").alias("all"))
-        model = seen.join(back, "ctx").join(below, "parent").withColumn("p", (F.col("c") - DISCOUNT) / F.col("all") + F.col("back") * F.col("below"))
-        model = written(model.select("h", "ctx", "p", "back", F.log10(F.col("p") / F.col("back") / F.col("below")).alias("gain")), "model")
-        lost = model.groupBy("ctx").agg(F.max("back").alias("back")).select(F.col("ctx").alias("h"), F.log10("back").alias("gain"))
-        zero = [F.lit(0.0).alias(x) for x in "bc"]
-        parts = [rows.where(f"kind = {kind}").select("h", "chunk", "post").join(add.select("h", "gain"), "h").select("chunk", "post", F.col("gain").alias("a"), *zero) for kind, add in ((1, model), (2, lost))]
-        own = _per_document(rows, parts[0].unionByName(parts[1])).groupBy("doc", "tie").agg(F.avg("a").alias("gain"))
-        extra = own if extra is None else extra.unionByName(own)
-        below, over = model.select(F.col("h").alias("parent"), F.col("p").alias("below")), kept
-
-    if extra is not None:
-        extra = extra.groupBy("doc", "tie").agg(F.sum("gain").alias("gain"))
-        result = result.join(extra, ["doc", "tie"], "left")
-    else:
-        result = result.withColumn("gain", F.lit(0.0))
-    base = F.col("b") - F.col("n_tokens") * F.lit(float(np.log10(n + 0.5 * (v + 1))))
-    return result.select(
-        "doc_id", "held_out", "n_tokens", F.col("a").cast("long").alias("n_known"), F.lit(int(n)).cast("long").alias("train_tokens"),
-        base.alias("base_score"), (F.col("c") + F.coalesce("gain", F.lit(0.0))).alias("score"),
-    )
+    source = docs.select(F.col("doc_id").cast("long"), held.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
+    schema = "chunk long, data binary, docs binary, words array<long>, seen array<long>"
+    listed, listed_at = stored(source.mapInArrow(_in_chunks, schema), "listed")
+
+    # words by number, the most frequent first, so that numbers of frequent words are short
+    pairs = listed.select(F.explode(F.arrays_zip("words", "seen")).alias("x")).select(F.col("x.words").alias("h"), F.col("x.seen").alias("c"))
+    counted, counted_at = stored(pairs.groupBy("h").agg(F.sum("c").alias("c")).where("c > 0"), "counts")
+    total, kinds, rows = *counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first(), listed.count()
+    ranked, ranked_at = stored(counted.sort(F.desc("c"), "h").withColumn("m", F.monotonically_increasing_id()), "ranked")
+    per = {r.p: r.n for r in ranked.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition of the sort
+    start, offsets = 0, []
+    for p in sorted(per):
+        offsets.append((p, start - (p << 33)))
+        start += per[p]
+    offset = spark.createDataFrame(offsets, "p long, offset long").hint("broadcast")
+    numbers = ranked.join(offset, F.shiftright("m", 33) == F.col("p")).select("h", "c", (F.col("m") + F.col("offset")).alias("number"))
+
+    # each chunk's list looked up: a frequent word is one row for each chunk, in a join that Spark can split
+    wanted = listed.select("chunk", F.posexplode("words").alias("at", "h"))
+    found = wanted.join(numbers, "h", "left").select("chunk", F.struct("at", F.coalesce("number", F.lit(kinds)).alias("number"), F.coalesce("c", F.lit(0)).alias("count")).alias("x"))
+    lists = found.groupBy("chunk").agg(F.collect_list("x").alias("x")).select("chunk", *(F.col(f"x.{c}").alias(c) for c in ("at", "number", "count")))
+    chunks, _ = stored(listed.select("chunk", "data", "docs").join(lists, "chunk").mapInArrow(_numbered, _ROW), "chunks")
+
+    hot_from, parts = max(hot, total >> 20), max(1, total // PART)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    levels = depth if total else 0
+    if levels:
+        known[1] = *_hot_words(numbers, hot_from), none[1]  # read before the tables go
+    for path in (listed_at, counted_at, ranked_at):
+        removed(spark, path)
+
+    def make(known: dict) -> Callable[[bytes, bytes], _Chunk]:
+        return lambda data, docs: _Chunk(data, docs, total, kinds, known, parts)
+
+    answers = chunks
+    for level in range(1, levels + 1):
+        step = dict(known)
+
+        def send(batches: Iterator[pa.RecordBatch], level: int = level, step: dict = step) -> Iterator[pa.RecordBatch]:
+            for number, chunk in _chunks(batches, level - 1, make(step)):
+                chunk.deal(level)
+                sent = list(chunk.parts_sent())
+                for a in range(0, len(sent), 1024):
+                    part, data = zip(*sent[a : a + 1024], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([number] * len(part), pa.int64()), pa.array(data, pa.binary())], [x.split()[0] for x in _SENT.split(", ")])
+
+        together = answers if level == 1 else _together(answers, rows)
+        dealt = together.mapInArrow(send, _SENT).repartition(parts, "part").sortWithinPartitions("part", "chunk")
+        table, _ = stored(dealt.mapInArrow(_summed(level, known[level][:2], hot_from), _ANSWER), f"answers-{level}")
+        sums = table.where("kind = -1").groupBy("key").agg(F.sum("kinds").alias("kinds"), F.sum("gain").alias("gain"), F.max("n").alias("n")).collect()
+        of = {r.key: r.kinds if r.gain > GAIN and r.n >= LEAST else 0 for r in sums}
+        keys, n, _ = known[level]
+        known[level] = keys, n, np.array([of.get(int(k), 0) for k in keys.view(np.int64)], np.int64)
+        following = table.where("kind = -2").select("key", "n").collect()
+        known[level + 1] = *_ordered(np.array([r.key for r in following], np.int64).view(np.uint64), np.array([r.n for r in following], np.int64)), none[1]
+        answers = answers.unionByName(table.where("kind > 0").select(*chunks.columns))
+
+    below = float(np.log10(total + 0.5 * (kinds + 1)))
+
+    def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, chunk in _chunks(batches, levels, make(known)):
+            c, size = chunk.counts[chunk.token], len(chunk.size)
+            base = np.bincount(chunk.row, np.log10(c + 0.5) - below, minlength=size)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(chunk.doc_id, mask=chunk.null == 1), pa.array(chunk.held == 1), pa.array(chunk.size), pa.array(np.bincount(chunk.row[c > 0], minlength=size)),
+                    pa.array(np.full(size, total)), pa.array(base), pa.array(np.bincount(chunk.row, np.log10(chunk.p), minlength=size)),
+                ],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return (_together(answers, rows) if levels else answers).mapInArrow(result, schema)
+
+
+def _together(answers: DataFrame, rows: int) -> DataFrame:
+    """Each chunk followed by its answers by level and part; two chunks to a task or so."""
+    return answers.repartition(max(1, rows // 2), "chunk").sortWithinPartitions("chunk", "kind", "part")
