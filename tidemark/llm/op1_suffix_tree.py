@@ -8,7 +8,8 @@ whether or not its suffix was kept. A kept context's distribution is its counts
 to the suffix's distribution, so each is proper over the known words and one symbol for all unknown ones. A word is
 scored in the longest kept context that ends before it.
 
-Texts are cut into chunks of bounded size, one row each, with words as global numbers. Each level of the tree is one round:
+Texts are cut into chunks of bounded size, one row each. A first round gives words global numbers and counts: each chunk's
+distinct words are dealt to parts by hash, and a part numbers its own, the most frequent first. Each level of the tree is then one round:
 
 1. A chunk's distinct grams (context and next word), with their counts in its training documents, go to parts dealt
    by context. What is sent is one packed row for a chunk and part.
@@ -40,11 +41,12 @@ SHARE = 0.85
 #: Documents whose crc32(doc_id as text) mod OF is HELD_OUT aren't learnt from.
 OF, HELD_OUT = 5, 1
 #: Bytes of text and documents in a chunk, words in a part, and occurrences of a context that is dealt by gram.
-CHUNK, CHUNK_DOCS, PART, HOT = 12 << 20, 60_000, 1 << 19, 1 << 18
+CHUNK, CHUNK_DOCS, PART, HOT = 8 << 20, 60_000, 1 << 19, 1 << 18
 #: Steps of a log probability that is sent to the test, a nat each so many.
 STEPS = 256
 _END, _A, _B = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
 _ROW = "kind int, chunk long, part int, data binary, docs binary"
+_LISTED = _ROW + ", words binary, tokens long"
 _SENT = "part int, chunk long, data binary"
 _ANSWER = "kind int, chunk long, part int, data binary, docs binary, key long, n long, kinds long, gain double"
 
@@ -63,8 +65,12 @@ def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(hashes), np.concatenate(rows)) if rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to one row for each chunk: its documents, its tokens as places in the chunk's list of words, the list, and how often training has each."""
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents to one row for each chunk: its tokens as places in its list of words, its documents, and the list with counts in training."""
     context = TaskContext.get()
     base = (context.partitionId() if context else 0) << 24
     number, rows, size = 0, [], 0
@@ -77,8 +83,8 @@ def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.bincount(token[~held[row]], minlength=len(kinds))
         null = table["doc_id"].is_null().to_numpy()
         docs = packed(table["doc_id"].fill_null(0).to_numpy(), null.astype(np.int64), held.astype(np.int64), np.bincount(row, minlength=len(held)))
-        lists = [pa.array([x.tolist()], pa.list_(pa.int64())) for x in (kinds.view(np.int64), seen)]
-        return pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([packed(token)], pa.binary()), pa.array([docs], pa.binary()), *lists], ["chunk", "data", "docs", "words", "seen"])
+        cols = [pa.array([0], pa.int32()), pa.array([base + number]), pa.array([0], pa.int32()), *(pa.array([x], pa.binary()) for x in (packed(token), docs, packed(kinds, seen))), pa.array([len(token)])]
+        return pa.RecordBatch.from_arrays(cols, _names(_LISTED))
 
     for batch in batches:
         for i, j in pieces(utf8(batch["text"])[1], CHUNK // 4):
@@ -92,21 +98,107 @@ def _in_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A chunk with the numbers and counts of its words in place of its list: tokens become places in the sorted numbers."""
-    for batch in batches:
-        for r in range(len(batch)):
-            at, number, count = (batch[c][r].values.to_numpy(zero_copy_only=False) for c in ("at", "number", "count"))
-            (token,) = unpacked(batch["data"][r].as_py())
-            have, place = np.unique(number, return_inverse=True)
-            to = np.empty(len(at), np.int64)
-            to[at] = place
-            counts = np.zeros(len(have), np.int64)
-            counts[place] = count
-            data = packed(have, counts, to[token])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([0], pa.int32()), batch["chunk"].slice(r, 1), pa.array([0], pa.int32()), pa.array([data], pa.binary()), batch["docs"].slice(r, 1)], [x.split()[0] for x in _ROW.split(", ")]
-            )
+def _segments(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of each run of equal parts."""
+    cut = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(0, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        yield int(part[a]), a, b
+
+
+def _sent(number: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(rows), 1024):
+        part, data = zip(*rows[a : a + 1024], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([number] * len(part), pa.int64()), pa.array(data, pa.binary())], _names(_SENT))
+
+
+def _word_parts(words: bytes, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, counts, order by part, and parts in that order, of a chunk's words."""
+    hashes, seen = unpacked(words)
+    part = (mixed(hashes.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    return hashes, seen, order, part[order]
+
+
+def _word_rows(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, words in zip(batch["chunk"].to_pylist(), batch["words"], strict=True):
+                hashes, seen, order, part = _word_parts(words.as_py(), parts)
+                yield from _sent(number, [(p, packed(hashes[order[a:b]], seen[order[a:b]])) for p, a, b in _segments(part)])
+
+    return run
+
+
+def _answers(rows: list[dict]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    empty = {"chunk": 0, "part": 0, "data": None, "docs": None, "key": 0, "n": 0, "kinds": 0, "gain": 0.0}
+    return pa.RecordBatch.from_arrays([pa.array([(empty | r)[c] for r in rows], t) for c, t in zip(_names(_ANSWER), types, strict=True)], _names(_ANSWER))
+
+
+def _in_parts(one: Callable[[int, list[int], list[list[np.ndarray]]], Iterator[dict]]):
+    """Rows sorted by part, to what one() makes of each whole part: answers in rows of some hundred."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["part"]):
+            for part, a, b in _segments(table["part"].to_numpy()):
+                own, held = table.slice(a, b - a), []
+                for row in one(part, own["chunk"].to_pylist(), [unpacked(x.as_py()) for x in own["data"]]):
+                    held.append(row)
+                    if len(held) == 256:
+                        yield _answers(held)
+                        held = []
+                if held:
+                    yield _answers(held)
+
+    return run
+
+
+def _numbers(parts: int, hot: int):
+    """A part's words numbered, the most frequent first, and 0 for those that training lacks. Kind 0 answers, -3 has the sums,
+    -2 the words that are contexts with more than `hot` occurrences."""
+
+    def one(part: int, chunks: list[int], sent: list[list[np.ndarray]]) -> Iterator[dict]:
+        own, inverse = np.unique(np.concatenate([x[0] for x in sent]), return_inverse=True)
+        count = np.bincount(inverse, np.concatenate([x[1] for x in sent]), minlength=len(own)).astype(np.int64)
+        order = np.lexsort((own, -count))
+        number = np.empty(len(own), np.int64)
+        number[order] = np.arange(len(own)) * parts + part + 1
+        number[count == 0] = 0
+        yield {"kind": -3, "n": int(count.sum()), "kinds": int((count > 0).sum())}
+        for k in np.flatnonzero(count > hot):
+            yield {"kind": -2, "key": int(_word_hash(number[k : k + 1]).view(np.int64)[0]), "n": int(count[k])}
+        at = 0
+        for chunk, x in zip(chunks, sent, strict=True):
+            i = inverse[at : at + len(x[0])]
+            yield {"kind": 1, "chunk": chunk, "part": part, "data": packed(number[i], count[i])}
+            at += len(i)
+
+    return _in_parts(one)
+
+
+def _word_hash(number: np.ndarray) -> np.ndarray:
+    return mixed(number.astype(np.uint64) * _B + _A)
+
+
+def _numbered(parts: int):
+    """A chunk's row and its answers, to the row with numbers and counts of its words; tokens become places in the sorted numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["chunk"]):
+            for chunk, a, b in _segments(table["chunk"].to_numpy()):
+                rows = table.slice(a, b - a)
+                head, answers = rows.slice(0, 1), [unpacked(x.as_py()) for x in rows["data"].slice(1)]
+                (token,) = unpacked(head["data"][0].as_py())
+                order = _word_parts(head["words"][0].as_py(), parts)[2]
+                number, count = (np.concatenate([x[k] for x in answers]) for k in (0, 1))
+                have, first, place = np.unique(number, return_index=True, return_inverse=True)
+                to = np.empty(len(order), np.int64)
+                to[order] = place
+                cols = [pa.array([0], pa.int32()), pa.array([chunk], pa.int64()), pa.array([0], pa.int32())]
+                cols += [pa.array([packed(have, count[first], to[token])], pa.binary()), pa.array([head["docs"][0].as_py()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, _names(_ROW))
+
+    return run
 
 
 class _Chunk:
@@ -123,7 +215,7 @@ class _Chunk:
         c = self.counts
         self.p = np.where(c > 0, (c - DISCOUNT) / max(total, 1), rest)[self.token]
         # of the gram that ends at each token: its place among the chunk's grams, their hashes, and its count in training
-        self.gram, self.hashes, self.seen = self.token, mixed(self.ids.astype(np.uint64) * _B + _A), c[self.token]
+        self.gram, self.hashes, self.seen = self.token, _word_hash(self.ids), c[self.token]
 
     def deal(self, level: int) -> None:
         """Grams of contexts of so many words that training has LEAST times, in the order in which they are sent."""
@@ -143,16 +235,17 @@ class _Chunk:
         self.n = before[self.at]
         p = self.p[self.at[first[order]]]
         count = np.bincount(self.inverse, self.train[self.at], minlength=len(own)).astype(np.int64)
-        self.told = np.where(count > 0, np.rint(-np.log(np.maximum(p, 1e-300)) * STEPS), 0).astype(np.int64), count
+        self.told, self.count = np.where(count > 0, np.rint(-np.log(np.maximum(p, 1e-300)) * STEPS), 0).astype(np.int64), count
 
-    def parts_sent(self) -> Iterator[tuple[int, bytes]]:
+    def parts_sent(self) -> list[tuple[int, bytes]]:
         """For each part: contexts, how many grams each has, and the grams' words, log probabilities by the suffix, and counts."""
-        cut = np.flatnonzero(np.concatenate([[True], self.part[1:] != self.part[:-1], [True]])) if len(self.part) else np.zeros(0, np.int64)
-        for a, b in zip(cut[:-1], cut[1:], strict=True):
+        out = []
+        for part, a, b in _segments(self.part):
             h = self.above[a:b]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(np.concatenate([start, [b - a]]))
-            yield int(self.part[a]), packed(h[start].view(np.int64), size, self.ids[self.word[a:b]], self.told[0][a:b], self.told[1][a:b])
+            out.append((part, packed(h[start], size, self.ids[self.word[a:b]], self.told[a:b], self.count[a:b])))
+        return out
 
     def take(self, level: int, answers: list[bytes]) -> None:
         """Probabilities by this level's kept contexts, and what the next level needs; answers come in order of their parts."""
@@ -190,22 +283,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], levels: int, make: Callable[[byte
 
 
 def _summed(level: int, hot: tuple[np.ndarray, np.ndarray], hot_from: int):
-    """Rows of a part, sorted by part, to answers (kind: the level), partial sums of hot contexts (-1) and grams that are hot contexts of the next level (-2)."""
-
-    def answer(kind: int, chunk=0, part=0, data=None, key=0, n=0, kinds=0, gain=0.0) -> tuple:
-        return kind, chunk, part, data, None, key, n, kinds, gain
+    """Rows of a part to answers (kind: the level), partial sums of hot contexts (-1) and grams that are hot contexts of the next level (-2)."""
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [x.split()[0] for x in _ANSWER.split(", ")])
-
-    def one(part: int, chunks: list[int], data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        sent = [unpacked(x) for x in data]
+    def one(part: int, chunks: list[int], sent: list[list[np.ndarray]]) -> Iterator[dict]:
         context = np.concatenate([np.repeat(x[0].view(np.uint64), x[1]) for x in sent])
         word, told, count = (np.concatenate([x[k] for x in sent]) for k in (2, 3, 4))
         gram = mixed(context * _A + word.astype(np.uint64))
         order = np.argsort(gram, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], gram[order[1:]] != gram[order[:-1]]])) if len(order) else order
+        first = np.flatnonzero(np.concatenate([[True], gram[order[1:]] != gram[order[:-1]]]))
         c = np.add.reduceat(count[order], first)
         of = np.empty(len(order), np.int64)
         of[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
@@ -213,46 +298,36 @@ def _summed(level: int, hot: tuple[np.ndarray, np.ndarray], hot_from: int):
         own, inverse = np.unique(context[order[first]], return_inverse=True)
         n = np.bincount(inverse, c, minlength=len(own))
         kinds = np.bincount(inverse[c > 0], minlength=len(own))
-        i = np.minimum(np.searchsorted(hot[0], own), len(hot[0]) - 1) if len(hot[0]) else np.zeros(len(own), np.int64)
-        is_hot = hot[0][i] == own if len(hot[0]) else np.zeros(len(own), bool)
-        if is_hot.any():
+        is_hot = np.zeros(len(own), bool)
+        if len(hot[0]):
+            i = np.minimum(np.searchsorted(hot[0], own), len(hot[0]) - 1)
+            is_hot = hot[0][i] == own
             n[is_hot] = hot[1][i[is_hot]]
         m = n[inverse]
         share = SHARE * np.maximum(m, 1) ** (SHARE - 1)
         left = (1 - share) * np.maximum(c - 1, 0) / np.maximum(m - 1, 1) + share * p
         gain = np.bincount(inverse, np.where(c > 0, c * np.log(left / p), 0), minlength=len(own))
-        rows = [answer(-1, key=int(own[k].view(np.int64)), n=int(n[k]), kinds=int(kinds[k]), gain=float(gain[k])) for k in np.flatnonzero(is_hot)]
-        rows += [answer(-2, key=int(gram[order[first[k]]].view(np.int64)), n=int(c[k])) for k in np.flatnonzero(c > hot_from)]
+        for k in np.flatnonzero(is_hot):
+            yield {"kind": -1, "key": int(own[k].view(np.int64)), "n": int(n[k]), "kinds": int(kinds[k]), "gain": float(gain[k])}
+        for k in np.flatnonzero(c > hot_from):
+            yield {"kind": -2, "key": int(gram[order[first[k]]].view(np.int64)), "n": int(c[k])}
         kept = np.where((gain > GAIN) & (n >= LEAST) & ~is_hot, kinds, 0)
         at = 0
         for chunk, x in zip(chunks, sent, strict=True):
             g = of[at : at + len(x[2])]
             heads = g[np.cumsum(x[1]) - x[1]]
-            rows.append(answer(level, chunk, part, packed(x[1], kept[inverse[heads]], c[g])))
+            yield {"kind": level, "chunk": chunk, "part": part, "data": packed(x[1], kept[inverse[heads]], c[g])}
             at += len(x[2])
-        for k in range(0, len(rows), 1024):
-            yield batch_of(rows[k : k + 1024])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["part"]):
-            parts = table["part"].to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1], [True]]))
-            for a, b in zip(cut[:-1], cut[1:], strict=True):
-                own = table.slice(a, b - a)
-                yield from one(int(parts[a]), own["chunk"].to_pylist(), own["data"].to_pylist())
-
-    return run
-
 
-def _hot_words(numbers: DataFrame, hot_from: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and counts of the contexts of one word that are dealt by gram: total / hot_from at most, for the threshold grows with the total."""
-    rows = numbers.where(F.col("c") > hot_from).select("number", "c").collect()
-    return _ordered(mixed(np.array([r.number for r in rows], np.uint64) * _B + _A), np.array([r.c for r in rows], np.int64))
+    return _in_parts(one)
 
 
-def _ordered(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+def _hot(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, in order, and counts of contexts that are dealt by gram: N / hot at most, and 2**20 whatever N is."""
+    rows = table.where("kind = -2").select("key", "n").collect()
+    key = np.array([r.key for r in rows], np.int64).view(np.uint64)
     order = np.argsort(key)
-    return key[order], *(v[order] for v in values)
+    return key[order], np.array([r.n for r in rows], np.int64)[order]
 
 
 def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
@@ -267,36 +342,19 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % OF == HELD_OUT, F.lit(False))
     source = docs.select(F.col("doc_id").cast("long"), held.alias("held"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "chunk long, data binary, docs binary, words array<long>, seen array<long>"
-    listed, listed_at = stored(source.mapInArrow(_in_chunks, schema), "listed")
-
-    # words by number, the most frequent first, so that numbers of frequent words are short
-    pairs = listed.select(F.explode(F.arrays_zip("words", "seen")).alias("x")).select(F.col("x.words").alias("h"), F.col("x.seen").alias("c"))
-    counted, counted_at = stored(pairs.groupBy("h").agg(F.sum("c").alias("c")).where("c > 0"), "counts")
-    total, kinds, rows = *counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first(), listed.count()
-    ranked, ranked_at = stored(counted.sort(F.desc("c"), "h").withColumn("m", F.monotonically_increasing_id()), "ranked")
-    per = {r.p: r.n for r in ranked.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count("*").alias("n")).collect()}  # a row for each partition of the sort
-    start, offsets = 0, []
-    for p in sorted(per):
-        offsets.append((p, start - (p << 33)))
-        start += per[p]
-    offset = spark.createDataFrame(offsets, "p long, offset long").hint("broadcast")
-    numbers = ranked.join(offset, F.shiftright("m", 33) == F.col("p")).select("h", "c", (F.col("m") + F.col("offset")).alias("number"))
-
-    # each chunk's list looked up: a frequent word is one row for each chunk, in a join that Spark can split
-    wanted = listed.select("chunk", F.posexplode("words").alias("at", "h"))
-    found = wanted.join(numbers, "h", "left").select("chunk", F.struct("at", F.coalesce("number", F.lit(kinds)).alias("number"), F.coalesce("c", F.lit(0)).alias("count")).alias("x"))
-    lists = found.groupBy("chunk").agg(F.collect_list("x").alias("x")).select("chunk", *(F.col(f"x.{c}").alias(c) for c in ("at", "number", "count")))
-    chunks, _ = stored(listed.select("chunk", "data", "docs").join(lists, "chunk").mapInArrow(_numbered, _ROW), "chunks")
-
-    hot_from, parts = max(hot, total >> 20), max(1, total // PART)
-    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    listed, listed_at = stored(source.mapInArrow(_listed, _LISTED), "listed")
+    rows, tokens = listed.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    parts, hot_from = max(1, tokens // PART), max(hot, tokens >> 20)
+
+    words = listed.select("chunk", "words").mapInArrow(_word_rows(parts), _SENT).repartition(parts, "part").sortWithinPartitions("part", "chunk")
+    table, words_at = stored(words.mapInArrow(_numbers(parts, hot_from), _ANSWER), "words")
+    total, kinds = table.where("kind = -3").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    both = listed.drop("tokens").unionByName(table.where("kind = 1").select(*_names(_ROW)), allowMissingColumns=True)
+    chunks, _ = stored(_together(both, rows).mapInArrow(_numbered(parts), _ROW), "chunks")
+    known: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {1: (*_hot(table), np.zeros(0, np.int64))}
     levels = depth if total else 0
-    if levels:
-        known[1] = *_hot_words(numbers, hot_from), none[1]  # read before the tables go
-    for path in (listed_at, counted_at, ranked_at):
-        removed(spark, path)
+    removed(spark, listed_at)
+    removed(spark, words_at)
 
     def make(known: dict) -> Callable[[bytes, bytes], _Chunk]:
         return lambda data, docs: _Chunk(data, docs, total, kinds, known, parts)
@@ -308,10 +366,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
         def send(batches: Iterator[pa.RecordBatch], level: int = level, step: dict = step) -> Iterator[pa.RecordBatch]:
             for number, chunk in _chunks(batches, level - 1, make(step)):
                 chunk.deal(level)
-                sent = list(chunk.parts_sent())
-                for a in range(0, len(sent), 1024):
-                    part, data = zip(*sent[a : a + 1024], strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([number] * len(part), pa.int64()), pa.array(data, pa.binary())], [x.split()[0] for x in _SENT.split(", ")])
+                yield from _sent(number, chunk.parts_sent())
 
         together = answers if level == 1 else _together(answers, rows)
         dealt = together.mapInArrow(send, _SENT).repartition(parts, "part").sortWithinPartitions("part", "chunk")
@@ -320,8 +375,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
         of = {r.key: r.kinds if r.gain > GAIN and r.n >= LEAST else 0 for r in sums}
         keys, n, _ = known[level]
         known[level] = keys, n, np.array([of.get(int(k), 0) for k in keys.view(np.int64)], np.int64)
-        following = table.where("kind = -2").select("key", "n").collect()
-        known[level + 1] = *_ordered(np.array([r.key for r in following], np.int64).view(np.uint64), np.array([r.n for r in following], np.int64)), none[1]
+        known[level + 1] = *_hot(table), np.zeros(0, np.int64)
         answers = answers.unionByName(table.where("kind > 0").select(*chunks.columns))
 
     below = float(np.log10(total + 0.5 * (kinds + 1)))
