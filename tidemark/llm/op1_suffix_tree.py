@@ -41,7 +41,7 @@ SHARE = 0.85
 #: Documents whose crc32(doc_id as text) mod OF is HELD_OUT aren't learnt from.
 OF, HELD_OUT = 5, 1
 #: Bytes of text and documents in a chunk, words in a part, and occurrences of a context that is dealt by gram.
-CHUNK, CHUNK_DOCS, PART, HOT = 8 << 20, 60_000, 1 << 19, 1 << 18
+CHUNK, CHUNK_DOCS, PART, HOT = 4 << 20, 60_000, 1 << 19, 1 << 18
 #: Steps of a log probability that is sent to the test, a nat each so many.
 STEPS = 256
 _END, _A, _B = (np.uint64(x) for x in (0x5851F42D4C957F2D, 0x9E3779B97F4A7C15, 0xD1342543DE82EF95))
@@ -208,8 +208,9 @@ class _Chunk:
         self.ids, self.counts, self.token = unpacked(data)
         self.doc_id, self.null, self.held, self.size = unpacked(docs)
         self.hot, self.parts = hot, parts
-        self.row = np.repeat(np.arange(len(self.size)), self.size)
-        self.place = np.arange(len(self.token)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.token = self.token.astype(np.int32)
+        self.row = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
+        self.place = (np.arange(len(self.token)) - np.repeat(np.cumsum(self.size) - self.size, self.size)).astype(np.int32)
         self.train = self.held[self.row] == 0
         rest = DISCOUNT * kinds / total if total else 1.0
         c = self.counts
@@ -222,15 +223,21 @@ class _Chunk:
         before = np.concatenate([[0], self.seen[:-1]])
         self.at = np.flatnonzero((self.place >= level) & (before >= LEAST))
         key = (self.gram[self.at - 1].astype(np.uint64) << np.uint64(32)) | self.token[self.at].astype(np.uint64)
-        own, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-        context, word = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]]) if len(key) else np.zeros(0, bool)
+        first = order[new]
+        own = key[first]
+        inverse = np.empty(len(key), np.int32)
+        inverse[order] = np.cumsum(new) - 1
+        del key, order, new
+        context, word = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.int32)
         above = self.hashes[context]
         gram = mixed(above * _A + self.ids[word].astype(np.uint64))
         hot = np.isin(above, self.hot[level][0])
         part = (mixed(np.where(hot, gram, above) + _B) % np.uint64(self.parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
+        back = np.empty(len(order), np.int32)
+        back[order] = np.arange(len(order), dtype=np.int32)
         self.inverse, self.above, self.next, self.word, self.part = back[inverse], above[order], gram[order], word[order], part[order]
         self.n = before[self.at]
         p = self.p[self.at[first[order]]]
@@ -264,7 +271,7 @@ class _Chunk:
         c, k, n = count[self.inverse], kinds[self.inverse], np.maximum(self.n, 1)
         p = self.p[self.at]
         self.p[self.at] = np.where(k > 0, np.maximum(c - DISCOUNT, 0) / n + DISCOUNT * k / n * p, p)
-        gram, seen = np.zeros(len(self.token), np.int64), np.zeros(len(self.token), np.int64)
+        gram, seen = np.zeros(len(self.token), np.int32), np.zeros(len(self.token), np.int64)
         gram[self.at], seen[self.at] = self.inverse, c
         self.gram, self.hashes, self.seen = gram, self.next, seen
 
