@@ -38,7 +38,8 @@ def tables(spark, request):
     filing = spark.createDataFrame(filings, "filing_id long, accession_no string, filer_id long, cik string, period date, filed_at timestamp, form_type string, amendment_kind string, parse_status string")
     holding = spark.createDataFrame(holdings, "filing_id long, security_id long, shares decimal(20,4), value_usd decimal(20,2), sshprnamt_type string, put_call string")
     ciks = spark.createDataFrame([(i, "sum", str(i), 1) for i in (1, 2, 3)], "filer_id long, overlap string, cik string, priority int")
-    counted = effective.effective_filing(effective.effective_filing_by_cik(filing), ciks)
+    filers = ciks.select("filer_id", "overlap")
+    counted = effective.effective_filing(effective.effective_filing_by_cik(filing), filers, ciks)
     snap = snapshot.position_snapshot(counted, filing, holding)
     return filing, counted, snap, change.position_change(snap)
 

@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 from pathlib import Path
 
 import __spark_entry__ as entry
@@ -6,16 +7,63 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods
-from tidemark.operators import clusters, paging, price, screener
+from tidemark.operators import change, clusters, effective, paging, price, screener
 
 
-@pytest.mark.parametrize(
-    ("n", "d", "agreeing", "holders", "exact", "ratio", "wanted"),
-    [(20, 1, 21, 35, 2, 0.0326, "high"), (10, 1, 1, 1, 1, 0.1, None), (10, 1, 3, 4, 0, 0.1, "medium"), (2, 1, 2, 3, 0, 0.5, None), (2, 1, 2, 3, 1, 0.5, "medium"), (2, 1, 4, 5, 0, 1.0, None)],
-)
-def test_verdicts(spark, n, d, agreeing, holders, exact, ratio, wanted):
-    row = spark.createDataFrame([(n, d, agreeing, holders, exact, ratio)], "numerator int, denominator int, holders_agreeing int, holders int, holders_exact int, price_ratio double")
-    assert price.judge(row).first().confidence == wanted
+#: Evidence as (numerator, denominator, agreeing, holders, exact, price ratio), and the confidence or the reason against it.
+VERDICTS = [
+    ((20, 1, 21, 35, 2, "0.0326"), "high"), ((50, 1, 4, 11, 1, "0.0216"), "high"), ((10, 1, 6, 13, 0, "0.0462"), "medium"), ((3, 1, 9, 12, 0, "0.3614"), "medium"),
+    ((2, 1, 2, 5, 1, "0.5486"), "medium"), ((5, 1, 2, 2, 0, "0.2682"), "low"), ((1, 10, 3, 4, 2, "10.5"), "high"), ((10, 1, 3, 3, 0, "0.04"), "medium"),
+    ((10, 1, 2, 3, 0, "0.1"), "low"), ((2, 1, 4, 5, 0, "0.5"), "no holder exact to the share"),
+    ((None, None, 0, 31, 0, "1.379"), "no common ratio"), ((10, 1, 1, 1, 1, "0.1"), "1 of 1 holders agree"), ((2, 3, 2, 11, 1, "1.4839"), "2 of 11 holders agree"),
+    ((10, 1, 3, 3, 3, None), "no price on one side"), ((10, 1, 3, 3, 1, "0.4"), "the price moved x0.400"), ((10, 1, 3, 3, 0, "0.2323"), "the price moved x0.232"),
+    ((2, 3, 7, 14, 0, "1.34"), "no holder exact to the share"), ((3, 1, 2, 5, 0, "0.4532"), "no holder exact to the share, and no majority agreeing"),
+]
+
+
+def test_verdicts(spark):
+    schema = "i int, numerator int, denominator int, holders_agreeing int, holders int, holders_exact int, price_ratio decimal(28,10)"
+    rows = spark.createDataFrame([(i, n, d, a, h, e, Decimal(p) if p else None) for i, ((n, d, a, h, e, p), _) in enumerate(VERDICTS)], schema)
+    got = {r.i: r for r in price.judge(rows).collect()}
+    for i, (evidence, wanted) in enumerate(VERDICTS):
+        assert (got[i].confidence or got[i].reason) == wanted, evidence
+
+
+def test_outliers_moved_apart_and_are_no_split(spark):
+    cases = [((4, 1, 1, 5, "4.44", "0.294"), True), ((None, None, 0, 2, "0.155", "14.24"), True), ((1, 3, 1, 6, "0.35", "2"), False), ((10, 1, 3, 3, "10", "0.1"), False)]
+    rows = [(i, n, d, a, h, 0, Decimal(s), Decimal(p)) for i, ((n, d, a, h, s, p), _) in enumerate(cases)]
+    schema = "i int, numerator int, denominator int, holders_agreeing int, holders int, holders_exact int, shares_ratio decimal(28,6), price_ratio decimal(28,10)"
+    found = {r.i for r in price.judge(spark.createDataFrame(rows, schema)).where(price.is_outlier()).collect()}
+    assert found == {i for i, (_, wanted) in enumerate(cases) if wanted}
+
+
+def test_one_holder_looks_like_a_split(spark):
+    cases = [("100", "1000", "0.1", True), ("100", "1000", "0.5", False), ("100", "300", "0.34", True), ("100", "200", "0.5", True), ("100", "205", "0.5", False), ("100", "1000", None, True),
+             ("100", "1005", None, False), ("100", "156", "0.14", True), ("0", "5", "0.1", False), ("100", "112", "1.1", False)]
+    rows = spark.createDataFrame([(i, Decimal(a), Decimal(b), Decimal(p) if p else None) for i, (a, b, p, _) in enumerate(cases)], "i int, a decimal(20,4), b decimal(20,4), p decimal(28,10)")
+    got = {r.i for r in rows.where(price.looks_like_split(F.col("a"), F.col("b"), F.col("p"))).collect()}
+    assert got == {i for i, c in enumerate(cases) if c[3]}
+
+
+def test_a_cik_without_a_priority_row_counts_last_and_stays(spark):
+    by_cik = spark.createDataFrame([(1, 1, "a", 1), (2, 1, "z", 1), (3, 2, "z", 1)], "filing_id long, filer_id long, cik string, period int")
+    filers = spark.createDataFrame([(1, "successor"), (2, "successor")], "filer_id long, overlap string")
+    ciks = spark.createDataFrame([(1, "a", 0)], "filer_id long, cik string, priority int")
+    assert sorted(r.filing_id for r in effective.effective_filing(by_cik, filers, ciks).collect()) == [1, 3]
+
+
+def test_a_new_position_after_a_suspect_period_is_suspect(spark):
+    d = [dt.date(2024, 3, 31), dt.date(2024, 6, 30), dt.date(2024, 9, 30)]
+    rows = [(1, d[0], 1, True), (1, d[1], 1, False), (1, d[1], 2, False), (1, d[2], 2, False)]
+    snap = spark.createDataFrame([(f, p, s, Decimal(10), Decimal(100), Decimal(50), b) for f, p, s, b in rows], "filer_id long, period date, security_id long, shares decimal(20,4), value_usd decimal(20,2), weight_pct decimal(9,6), suspect boolean")
+    got = {(r.period, r.security_id, r.action): r.suspect for r in change.position_change(snap).collect()}
+    assert got == {(d[0], 1, "new"): True, (d[1], 1, "hold"): True, (d[1], 2, "new"): True, (d[2], 2, "hold"): False, (d[2], 1, "exit"): False}
+
+
+def test_saved_filters_are_read_through_the_vocabulary():
+    saved = {"action": ["new", "add"], "min_weight": ["10"], "is_new_position": "true", "gone": 3, "net_flow": "sideways", "min_exits": "five"}
+    assert screener.read_filters(saved) == ({"action": ["new", "add"], "min_weight": 10.0, "is_new_position": True}, ["gone", "net_flow", "min_exits"])
+    assert len(screener.SORTS) == len(set(screener.SORTS)) == 26 and len(screener.PRESETS) == 7
 
 
 def _lines(spark, offsets):
@@ -44,7 +92,7 @@ def test_clusters(spark, offsets, least, wanted):
 def test_grid_query_has_all_points(spark):
     import duckdb
 
-    name, folder = "drv18_insider_cluster_grid", "/root/testdata/sf0.001"
+    name, folder = "drv18_insider_clusters", "/root/testdata/sf0.001"
     con = duckdb.connect()
     for path in sorted(Path(folder).glob("*.parquet")):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")

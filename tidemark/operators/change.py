@@ -27,47 +27,59 @@ def with_splits(rows: DataFrame, splits: DataFrame | None) -> DataFrame:
     return joined.withColumn("splits", F.coalesce("splits", F.array().cast("array<struct<period:date,numerator:int,denominator:int>>")))
 
 
+_FIGURES = ("shares", "value_usd", "weight_pct")
+
+
 def position_change(snapshot: DataFrame, splits: DataFrame | None = None) -> DataFrame:
     """A row for each position of a published period, and one for each that the next published period lacks (exit).
 
     Positions are compared with the filer's previous published period, whatever the calendar says: absent then is new,
     within HOLD_PERCENT of the split-adjusted shares is hold, else add or trim. Value and weight deltas use the
-    figures as they were. An exit is dated at the filer's next period and isn't adjusted.
+    figures as they were. An exit is dated at the filer's next period and isn't adjusted. A row is suspect if its period or the
+    one before was published with a suspect filing, for a new position too.
 
-    Lags, leads and published neighbours come from two windows; what follows is told by comparing periods, so no self-join finds exits.
+    Lags, leads and published neighbours come from two windows over one reading of the snapshot, and each row makes its
+    own change and, where the next period lacks it, its exit. So there is neither a self-join nor a second pass.
     """
     by_position = Window.partitionBy("filer_id", "security_id").orderBy("period")
     by_filer = Window.partitionBy("filer_id").orderBy("period")
     published = snapshot.groupBy("filer_id", "period").agg(F.max("suspect").alias("period_suspect"))
-    published = published.withColumns({"prev_period": F.lag("period").over(by_filer), "next_period": F.lead("period").over(by_filer), "next_suspect": F.lead("period_suspect").over(by_filer)})
-    rows = snapshot.withColumns(
-        {f"last_{c}": F.lag(c).over(by_position) for c in ("period", "shares", "value_usd", "weight_pct", "suspect")} | {"held_next": F.lead("period").over(by_position)}
-    ).join(published, ["filer_id", "period"])
-    was_held = F.col("last_period") == F.col("prev_period")
-    rows = rows.withColumns({f"prev_{c}": F.when(was_held, F.col(f"last_{c}")) for c in ("shares", "value_usd", "weight_pct")})
+    neighbours = {"prev_period": F.lag("period").over(by_filer), "prev_suspect": F.lag("period_suspect").over(by_filer), "next_period": F.lead("period").over(by_filer), "next_suspect": F.lead("period_suspect").over(by_filer)}
+    last = {f"last_{c}": F.lag(c).over(by_position) for c in ("period", *_FIGURES)} | {"held_next": F.lead("period").over(by_position)}
+    rows = snapshot.withColumns(last).join(published.withColumns(neighbours), ["filer_id", "period"])
+    rows = rows.withColumns({f"prev_{c}": F.when(F.col("last_period") == F.col("prev_period"), F.col(f"last_{c}")) for c in _FIGURES})
     rows = with_splits(rows, splits)
     top, bottom = _factor("prev_period", "period")
     adjusted = F.when((top == 1) & (bottom == 1), F.col("prev_shares")).otherwise(divided(F.col("prev_shares").cast("decimal(20,4)") * top.cast("decimal(8,0)"), bottom.cast("decimal(8,0)"), 4))
-    rows = rows.withColumns({"numerator": F.when(F.col("prev_shares").isNotNull() & (top != bottom), top), "denominator": F.when(F.col("prev_shares").isNotNull() & (top != bottom), bottom), "before": adjusted.cast(SHARES)})
+    is_split = F.col("prev_shares").isNotNull() & (top != bottom)
+    rows = rows.withColumns({"numerator": F.when(is_split, top), "denominator": F.when(is_split, bottom), "before": adjusted.cast(SHARES)})
     delta = F.col("shares") - F.col("before")
     action = F.when(F.col("prev_shares").isNull(), "new").when(F.abs(delta) * 100 <= F.col("before") * F.lit(HOLD_PERCENT).cast("decimal(4,2)"), "hold").when(delta > 0, "add").otherwise("trim")
-    zero = F.lit(0)
-    compared = rows.select(
-        "filer_id", "period", "security_id", F.col("prev_period").alias("prev_period"), action.alias("action"), "shares", "prev_shares", "value_usd", F.col("prev_value_usd"), "weight_pct", "prev_weight_pct",
-        (F.col("shares") - F.coalesce("before", zero.cast(SHARES))).cast(SHARES).alias("shares_delta"), divided((delta * 100).cast("decimal(24,4)"), F.col("before"), 6).cast(PERCENT).alias("shares_delta_pct"),
-        (F.col("value_usd") - F.coalesce("prev_value_usd", zero.cast(MONEY))).cast(MONEY).alias("value_delta"),
-        (F.col("weight_pct") - F.coalesce("prev_weight_pct", zero.cast(WEIGHT))).cast("decimal(10,6)").alias("weight_delta"),
-        "numerator", "denominator", F.col("numerator").isNotNull().alias("is_split"), (F.col("suspect") | F.coalesce(F.when(was_held, F.col("last_suspect")), F.lit(False))).alias("suspect"),
+
+    def less(column: str, was: str, kind: str) -> Column:
+        return (F.col(column) - F.coalesce(was, F.lit(0).cast(kind))).cast(kind)
+
+    compared = F.struct(
+        "period", "prev_period", action.alias("action"), *_FIGURES, *(f"prev_{c}" for c in _FIGURES),
+        less("shares", "before", SHARES).alias("shares_delta"), divided((delta * 100).cast("decimal(24,4)"), F.col("before"), 6).cast(PERCENT).alias("shares_delta_pct"),
+        less("value_usd", "prev_value_usd", MONEY).alias("value_delta"), less("weight_pct", "prev_weight_pct", WEIGHT).cast("decimal(10,6)").alias("weight_delta"),
+        "numerator", "denominator", F.col("numerator").isNotNull().alias("is_split"), (F.col("suspect") | F.coalesce("prev_suspect", F.lit(False))).alias("suspect"),
     )
-    gone = rows.where(F.col("next_period").isNotNull() & ~F.coalesce(F.col("held_next") == F.col("next_period"), F.lit(False)))
-    none = lambda t: F.lit(0).cast(t)
-    exits = gone.select(
-        "filer_id", F.col("next_period").alias("period"), "security_id", F.col("period").alias("prev_period"), F.lit("exit").alias("action"), none(SHARES).alias("shares"), F.col("shares").alias("prev_shares"),
-        none(MONEY).alias("value_usd"), F.col("value_usd").alias("prev_value_usd"), none(WEIGHT).alias("weight_pct"), F.col("weight_pct").alias("prev_weight_pct"), (-F.col("shares")).cast(SHARES).alias("shares_delta"),
-        F.when(F.col("shares") != 0, F.lit(-100)).cast(PERCENT).alias("shares_delta_pct"), (-F.col("value_usd")).cast(MONEY).alias("value_delta"), (-F.col("weight_pct")).cast("decimal(10,6)").alias("weight_delta"),
+    exited = F.struct(
+        F.col("next_period").alias("period"), F.col("period").alias("prev_period"), F.lit("exit").alias("action"),
+        *(F.lit(0).cast(t).alias(c) for c, t in zip(_FIGURES, (SHARES, MONEY, WEIGHT), strict=True)), *(F.col(c).alias(f"prev_{c}") for c in _FIGURES),
+        (-F.col("shares")).cast(SHARES).alias("shares_delta"), F.when(F.col("shares") != 0, F.lit(-100)).cast(PERCENT).alias("shares_delta_pct"),
+        (-F.col("value_usd")).cast(MONEY).alias("value_delta"), (-F.col("weight_pct")).cast("decimal(10,6)").alias("weight_delta"),
         F.lit(None).cast("long").alias("numerator"), F.lit(None).cast("long").alias("denominator"), F.lit(False).alias("is_split"), (F.col("suspect") | F.col("next_suspect")).alias("suspect"),
     )
-    return compared.unionByName(exits)
+    gone = F.col("next_period").isNotNull() & ~F.coalesce(F.col("held_next") == F.col("next_period"), F.lit(False))
+    return rows.select("filer_id", "security_id", F.explode(F.array_compact(F.array(compared, F.when(gone, exited)))).alias("c")).select("filer_id", "c.period", "security_id", *(f"c.{x}" for x in _CHANGED))
+
+
+_CHANGED = [
+    "prev_period", "action", "shares", "prev_shares", "value_usd", "prev_value_usd", "weight_pct", "prev_weight_pct", "shares_delta", "shares_delta_pct",
+    "value_delta", "weight_delta", "numerator", "denominator", "is_split", "suspect",
+]
 
 
 def traded_usd() -> Column:

@@ -28,10 +28,11 @@ def effective_filing_by_cik(filing: DataFrame) -> DataFrame:
     return based.where(F.col("base").isNull() | (F.col("at") >= F.col("base"))).select("filing_id", "filer_id", "cik", "period")
 
 
-def effective_filing(by_cik: DataFrame, ciks: DataFrame) -> DataFrame:
-    """Filers that sum keep every CIK's; of others the CIK of the highest priority (none counts as -1), then the
-    greatest CIK, keeps the period. ciks: filer_id, overlap, cik, priority."""
-    ranked = by_cik.join(ciks, ["filer_id", "cik"])
+def effective_filing(by_cik: DataFrame, filers: DataFrame, ciks: DataFrame) -> DataFrame:
+    """Filers that sum keep every CIK's filings; of others the CIK of the highest priority, then the greatest CIK, keeps the
+    period. filers: filer_id, overlap. ciks: filer_id, cik, priority; a CIK without a row or a priority counts as -1."""
+    known = by_cik.join(filers.select("filer_id", "overlap"), "filer_id")
+    ranked = known.join(ciks.select("filer_id", "cik", "priority"), ["filer_id", "cik"], "left")
     by = Window.partitionBy("filer_id", "period").orderBy(F.coalesce("priority", F.lit(-1)).desc(), F.col("cik").desc())
     return ranked.withColumn("place", F.dense_rank().over(by)).where((F.col("overlap") == "sum") | (F.col("place") == 1)).select("filing_id", "filer_id", "cik", "period")
 
@@ -44,5 +45,7 @@ BY_CIK_SQL = """SELECT filing_id, filer_id, cik, period FROM (SELECT *, max(CASE
   (SELECT *, form_type = '13F-HR' OR coalesce(amendment_kind = 'restatement', false) AS whole, strftime(filed_at, '%Y%m%d%H%M%S%f') || accession_no AS accession_order FROM amendment
    WHERE parse_status IN ('ok', 'suspect') AND (form_type = '13F-HR' OR amendment_kind IS NOT NULL)))
   WHERE base IS NULL OR accession_order >= base"""
-EFFECTIVE_SQL = """SELECT filing_id, filer_id, cik, period FROM (SELECT b.*, overlap, dense_rank() OVER (PARTITION BY filer_id, period ORDER BY coalesce(priority, -1) DESC, cik DESC) AS place
-  FROM by_cik b JOIN amendment_cik USING (filer_id, cik)) WHERE overlap = 'sum' OR place = 1"""
+EFFECTIVE_SQL = """SELECT filing_id, filer_id, cik, period FROM
+  (SELECT b.*, overlap, dense_rank() OVER (PARTITION BY filer_id, period ORDER BY coalesce(priority, -1) DESC, cik DESC) AS place
+   FROM by_cik b JOIN amendment_filer USING (filer_id) LEFT JOIN amendment_cik USING (filer_id, cik))
+  WHERE overlap = 'sum' OR place = 1"""

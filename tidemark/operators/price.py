@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.numeric import PRICE, median_disc
 from ..functions.periods import next_quarter
 
-#: Split ratios looked for, as (numerator, denominator), and how near to one a median must lie.
-FRACTIONS = [(2, 1), (3, 1), (4, 1), (5, 1), (6, 1), (7, 1), (8, 1), (10, 1), (15, 1), (20, 1), (25, 1), (50, 1), (3, 2), (5, 4), (1, 2), (1, 5), (1, 10), (1, 20)]
-NEAR, AGREE_PERCENT, OUTLIER = 1.25, 2, 2.5
+#: Common forward splits as (numerator, denominator); each is looked for in reverse too.
+FORWARD = [(3, 2), (2, 1), (3, 1), (4, 1), (5, 1), (10, 1), (20, 1), (25, 1), (50, 1)]
+FRACTIONS = FORWARD + [(d, n) for n, d in FORWARD]
+#: How near, as a factor, a ratio must lie to a fraction; holders that must agree; shares that an exact
+#: holder may be off; what is an outlier; the band of price ratio times fraction; sizes from which agreement alone, and a majority, is enough.
+NEAR, LEAST_AGREEING, EXACT_SHARES, OUTLIER, BAND, ANY_FROM, MAJORITY_FROM = 1.25, 2, 1, 2.5, (0.4, 1.6), 4, 3
+#: Prices of holdings within this percentage of the median agree with it.
+AGREE_PERCENT = 2
 
 
 def implied_price(snapshot: DataFrame) -> DataFrame:
@@ -36,51 +41,113 @@ def implied_price(snapshot: DataFrame) -> DataFrame:
 
 
 def split_candidates(snapshot: DataFrame, prices: DataFrame) -> DataFrame:
-    """security_id, period, holders, median ratio of shares now to a calendar quarter before, the nearest of FRACTIONS
-    within NEAR (numerator, denominator), holders that agree with it and that match it to a share, and the ratio of prices.
+    """security_id, period, numerator, denominator, holders, holders_agreeing, holders_exact, shares_ratio, price_ratio.
 
-    Kept with two holders or more, where two agree or the median is OUTLIER times apart.
+    Holders are those with shares in the quarter and in the calendar quarter before. The discrete median of their ratios
+    goes to the nearest of FRACTIONS, as a factor, if it lies within NEAR of it; holders within NEAR of the fraction
+    agree, those at most EXACT_SHARES off are exact. Kept with LEAST_AGREEING holders or more, where that many
+    agree or the median moved OUTLIER times either way.
     """
     now = snapshot.where("shares > 0").select("filer_id", "security_id", "period", "shares")
     before = now.select("filer_id", "security_id", next_quarter(F.col("period")).alias("period"), F.col("shares").alias("was"))
-    pair = now.join(before, ["filer_id", "security_id", "period"]).withColumn("ratio", (F.col("shares").cast("decimal(18,4)") / F.col("was").cast("decimal(18,4)")).cast("decimal(28,10)"))
-    cells = pair.groupBy("security_id", "period").agg(F.count("*").alias("holders"), median_disc(F.col("ratio")).alias("shares_ratio"), F.collect_list(F.struct("shares", "was")).alias("pairs")).where("holders >= 2")
-    options = F.array(*[F.struct(F.abs(F.col("shares_ratio").cast("double") - F.lit(n / d)).alias("off"), F.lit(n).alias("n"), F.lit(d).alias("d")) for n, d in FRACTIONS])
-    nearest = F.array_min(options)
-    ratio = F.col("shares_ratio").cast("double") * F.col("near.d") / F.col("near.n")
-    cells = cells.withColumn("near", nearest).withColumn("near", F.when((ratio <= NEAR) & (ratio >= 1 / NEAR), F.col("near")))
-    fits = lambda p: F.abs(p["shares"].cast("double") * F.col("near.d") - p["was"].cast("double") * F.col("near.n"))
-    agree = F.size(F.filter("pairs", lambda p: fits(p) * 100 <= p["was"].cast("double") * F.col("near.n") * AGREE_PERCENT))
-    exact = F.size(F.filter("pairs", lambda p: fits(p) <= F.col("near.d")))
+    quotient = F.col("shares").cast("decimal(18,4)") / F.col("was").cast("decimal(18,4)")
+    pair = now.join(before, ["filer_id", "security_id", "period"]).withColumn("ratio", quotient.cast("decimal(28,10)"))
+    cells = pair.groupBy("security_id", "period").agg(
+        F.count("*").alias("holders"), median_disc(F.col("ratio")).alias("shares_ratio"), F.collect_list(F.struct("shares", "was", "ratio")).alias("pairs")
+    )
+    near = nearest_fraction(F.col("shares_ratio").cast("double"))
+    cells = cells.where(F.col("holders") >= LEAST_AGREEING).withColumn("near", near)
+    n, d = F.col("near.n"), F.col("near.d")
+
+    def agrees(p: Column) -> Column:
+        scaled = p["ratio"].cast("double") * d
+        return (scaled * NEAR >= n) & (scaled <= n * NEAR)
+
+    counts = {"holders_agreeing": F.size(F.filter("pairs", agrees)), "holders_exact": F.size(F.filter("pairs", lambda p: _is_exact(p["shares"], p["was"], n, d)))}
+    cells = cells.withColumns({name: F.when(F.col("near").isNull(), 0).otherwise(count) for name, count in counts.items()})
     by = Window.partitionBy("security_id").orderBy("period")
     priced = prices.where("price is not null").withColumns({"last": F.lag("price").over(by), "last_period": F.lag("period").over(by)})
-    priced = priced.where(F.col("period") == next_quarter(F.col("last_period"))).select("security_id", "period", (F.col("price").cast("decimal(18,8)") / F.col("last").cast("decimal(18,8)")).cast("decimal(28,10)").alias("price_ratio"))
-    none = F.col("near").isNull()
-    full = cells.withColumns({"holders_agreeing": F.when(none, 0).otherwise(agree), "holders_exact": F.when(none, 0).otherwise(exact)}).join(priced, ["security_id", "period"], "left")
-    full = full.select("security_id", "period", F.col("near.n").alias("numerator"), F.col("near.d").alias("denominator"), "holders", "holders_agreeing", "holders_exact", "shares_ratio", "price_ratio")
-    return full.where((F.col("holders_agreeing") >= 2) | (F.col("shares_ratio") >= OUTLIER) | (F.col("shares_ratio") * OUTLIER <= 1))
+    moved = (F.col("price").cast("decimal(18,8)") / F.col("last").cast("decimal(18,8)")).cast("decimal(28,10)")
+    priced = priced.where(F.col("period") == next_quarter(F.col("last_period"))).select("security_id", "period", moved.alias("price_ratio"))
+    full = cells.join(priced, ["security_id", "period"], "left").select(
+        "security_id", "period", n.alias("numerator"), d.alias("denominator"), "holders", "holders_agreeing", "holders_exact", "shares_ratio", "price_ratio"
+    )
+    return full.where((F.col("holders_agreeing") >= LEAST_AGREEING) | (F.col("shares_ratio") >= OUTLIER) | (F.col("shares_ratio") * OUTLIER <= 1))
+
+
+def nearest_fraction(ratio: Column) -> Column:
+    """struct(off, n, d) of the fraction nearest to the ratio, as a factor of one or more; null where that is over NEAR."""
+    options = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(d).alias("d")) for n, d in FRACTIONS])  # folded to one literal
+
+    def placed(f: Column) -> Column:
+        scaled = ratio * f["d"] / f["n"]
+        return F.struct(F.greatest(scaled, F.lit(1.0) / F.nullif(scaled, F.lit(0.0))).alias("off"), f["n"].alias("n"), f["d"].alias("d"))
+
+    return F.array_min(F.filter(F.transform(options, placed), lambda x: x["off"] <= NEAR))
+
+
+def _is_exact(shares: Column, was: Column, n: Column, d: Column) -> Column:
+    return F.abs(shares.cast("double") * d - was.cast("double") * n) <= d * EXACT_SHARES
+
+
+def corroborated(n: Column, d: Column, price_ratio: Column) -> Column:
+    """The price ratio times the fraction, one plus the return, is in BAND and nearer one than the fraction."""
+    fraction, product = n / d, price_ratio.cast("double") * n / d
+    in_band = (price_ratio * n >= d * F.lit(BAND[0]).cast("decimal(3,1)")) & (price_ratio * n <= d * F.lit(BAND[1]).cast("decimal(3,1)"))
+    return in_band & F.when(fraction > 1, product * product < fraction).otherwise(product * product > fraction)
 
 
 def judge(candidates: DataFrame) -> DataFrame:
-    """Candidates with `confidence` (high, medium, low), null if they aren't a split.
+    """Candidates with `confidence` (high, medium, low; null where it is no split) and `reason`.
 
-    A third of the holders and two must agree. The price times the fraction must be in 0.4 to 1.6 and so nearer 1 than
-    the fraction. Then four agreeing are enough, three need an exact match or a majority of the holders, two an exact match.
+    LEAST_AGREEING holders and a third of them must agree, and the price must corroborate the ratio. Its size, the ratio
+    or its reverse, then tells what else it takes: from ANY_FROM nothing, from MAJORITY_FROM an exact holder or three
+    that are a majority, below that an exact holder.
     """
-    fraction = F.col("numerator") / F.col("denominator")
-    product = F.col("price_ratio").cast("double") * fraction
-    enough = (F.col("holders_agreeing") >= 2) & (F.col("holders_agreeing") * 3 >= F.col("holders"))
-    nearer = F.when(fraction > 1, product * product < fraction).otherwise(product * product > fraction)
-    fits = product.isNotNull() & (product >= 0.4) & (product <= 1.6) & nearer
-    agreeing, exact = F.col("holders_agreeing"), F.col("holders_exact") > 0
-    backed = (agreeing >= 4) | ((agreeing == 3) & (exact | (agreeing * 2 > F.col("holders")))) | exact
+    n, d, agreeing, holders = (F.col(c) for c in ("numerator", "denominator", "holders_agreeing", "holders"))
+    size, exact = F.greatest(n / d, d / n), F.col("holders_exact") > 0
+    backed = (size >= ANY_FROM) | exact
+    majority = (agreeing >= 3) & (agreeing * 2 > holders)
+    moved = F.concat(F.lit("the price moved x"), F.format_string("%.3f", F.col("price_ratio").cast("double")))
+    no = (
+        F.when(n.isNull(), "no common ratio")
+        .when((agreeing < LEAST_AGREEING) | (agreeing * 3 < holders), F.concat(agreeing.cast("string"), F.lit(" of "), holders.cast("string"), F.lit(" holders agree")))
+        .when(F.col("price_ratio").isNull(), "no price on one side")
+        .when(~corroborated(n, d, F.col("price_ratio")), moved)
+        .when(~backed & (size < MAJORITY_FROM), "no holder exact to the share")
+        .when(~backed & ~majority, "no holder exact to the share, and no majority agreeing")
+    )
     grade = F.when(exact & (agreeing >= 3), "high").when(exact | (agreeing >= 3), "medium").otherwise("low")
-    return candidates.withColumn("confidence", F.when(F.coalesce(enough & fits & backed, F.lit(False)), grade))
+    yes = F.when(exact & (agreeing >= 3), "an exact holder and three agreeing").when(exact | (agreeing >= 3), "an exact holder or three agreeing").otherwise("two holders agree")
+    return candidates.withColumn("reason", no).withColumn("confidence", F.when(F.col("reason").isNull(), grade)).withColumn("reason", F.coalesce("reason", yes))
+
 
+def is_outlier() -> Column:
+    """Of verdicts: no split, yet the shares moved OUTLIER times either way and the price as far the other way."""
+    shares, price = F.col("shares_ratio").cast("double"), F.col("price_ratio").cast("double")
+    up = (shares >= OUTLIER) & (price * OUTLIER <= 1)
+    down = (shares < 1) & (shares * OUTLIER <= 1) & (price >= OUTLIER)
+    return F.coalesce(F.col("confidence").isNull() & (F.col("holders") >= LEAST_AGREEING) & (up | down), F.lit(False))
 
-def is_outlier(ratio: Column, split: Column) -> Column:
-    """A move of OUTLIER times either way that isn't a split."""
-    return ((ratio >= OUTLIER) | (ratio * OUTLIER <= 1)) & ~split
+
+def looks_like_split(prev_shares: Column, shares: Column, price_ratio: Column) -> Column:
+    """One holder's move that could be a split which nobody has found yet.
+
+    Either the price moved OUTLIER times, or the shares moved by one of FRACTIONS that the price corroborates and that is
+    exact or MAJORITY_FROM at least; without a price the shares must be exact.
+    """
+    near = nearest_fraction(shares.cast("double") / F.nullif(prev_shares.cast("double"), F.lit(0.0)))
+    exact = _is_exact(shares, prev_shares, near["n"], near["d"])
+    size = F.greatest(near["n"] / near["d"], near["d"] / near["n"])
+    wild = (price_ratio >= OUTLIER) | (price_ratio.cast("double") <= 1 / OUTLIER)
+    fits = corroborated(near["n"], near["d"], price_ratio) & (exact | (size >= MAJORITY_FROM))
+    found = F.when(price_ratio.isNotNull() & wild, price_ratio > 0).when(near.isNull(), False).when(price_ratio.isNull(), exact).otherwise(fits)
+    return F.coalesce((prev_shares > 0) & (shares > 0) & found, F.lit(False))
+
+
+def splits_of(verdicts: DataFrame) -> DataFrame:
+    """The verdicts that are splits."""
+    return verdicts.where("confidence is not null").select("security_id", "period", "numerator", "denominator", "confidence")
 
 
 def adjusted_price(prices: DataFrame, splits: DataFrame) -> DataFrame:

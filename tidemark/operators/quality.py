@@ -72,18 +72,31 @@ def amendment_roles(filing: DataFrame) -> DataFrame:
     return rows.select("filing_id", "filer_id", "cik", "period", role.alias("role"), "originals", (F.col("originals") > 1).alias("duplicate_originals"))
 
 
-def overlap(books: DataFrame) -> DataFrame:
-    """books (filer_id, cik, security_id, shares, value_usd) to each two neighbouring CIKs of a filer: the share of their union's value in
-    positions whose counts agree within SAME_SHARES percent of the larger, and the verdict."""
-    ciks = books.select("filer_id", "cik").distinct().withColumn("other", F.lead("cik").over(Window.partitionBy("filer_id").orderBy("cik"))).where("other is not null")
-    left = ciks.join(books, ["filer_id", "cik"]).select("filer_id", F.col("cik"), "other", "security_id", F.col("shares").alias("a"), F.col("value_usd").alias("va"))
-    right = ciks.join(books.withColumnRenamed("cik", "other"), ["filer_id", "other"]).select("filer_id", "cik", "other", "security_id", F.col("shares").alias("b"), F.col("value_usd").alias("vb"))
-    both = left.join(right, ["filer_id", "cik", "other", "security_id"], "full")
+def overlap(books: DataFrame, ciks: DataFrame) -> DataFrame:
+    """books (filer_id, period, cik, security_id, put_call, sshprnamt_type, shares, value_usd): the book of each CIK of a filer and
+    period against that of the primary, the one of the highest priority and then the greatest CIK.
+
+    identical_share is the value of positions whose share counts agree within SAME_SHARES percent of the larger, over the
+    union, which takes each position at its larger value. ciks: filer_id, cik, priority.
+    """
+    position = ["security_id", "put_call", "sshprnamt_type"]
+    book = ["filer_id", "period"]
+    summed = books.groupBy(*book, "cik", *position).agg(F.sum("shares").alias("shares"), F.sum("value_usd").alias("value"))
+    ranked = summed.select(*book, "cik").distinct().join(ciks, ["filer_id", "cik"], "left").withColumn("rank", F.struct(F.coalesce("priority", F.lit(-1)), "cik"))
+    first = Window.partitionBy(*book).orderBy(F.col("rank").desc())
+    pairs = ranked.select(*book, "cik", F.first("cik").over(first).alias("primary")).where("cik <> primary")
+    keys = [F.coalesce(c, F.lit("")).alias(c) if c != "security_id" else F.col(c) for c in position]
+    summed = summed.select(*book, "cik", *keys, "shares", "value")
+    mine = pairs.join(summed.withColumnRenamed("cik", "primary"), [*book, "primary"]).select(*book, "cik", "primary", *position, F.col("shares").alias("a"), F.col("value").alias("va"))
+    theirs = pairs.join(summed, [*book, "cik"]).select(*book, "cik", "primary", *position, F.col("shares").alias("b"), F.col("value").alias("vb"))
+    both = mine.join(theirs, [*book, "cik", "primary", *position], "full")
     larger = F.greatest("va", "vb")
-    same = F.coalesce(F.abs(F.col("a") - F.col("b")) * 100 <= F.greatest("a", "b") * SAME_SHARES, F.lit(False))
-    sums = both.groupBy("filer_id", "cik", "other").agg(F.sum(larger).alias("union_value"), F.coalesce(F.sum(F.when(same, larger)), F.lit(0)).alias("same_value"), F.count("*").alias("positions"))
-    ratio = (F.col("same_value") / F.nullif(F.col("union_value"), F.lit(0))).cast("double")
-    return sums.withColumn("ratio", ratio).withColumn("verdict", F.when(ratio >= 0.9, "same book").when(ratio <= 0.1, "separate").otherwise("unclear"))
+    same = F.coalesce((F.col("a") != 0) & (F.col("b") != 0) & (F.abs(F.col("a") - F.col("b")) * 1000 <= F.greatest("a", "b") * int(SAME_SHARES * 10)), F.lit(False))
+    sums = both.withColumnRenamed("primary", "primary_cik").groupBy(*book, "primary_cik", "cik").agg(
+        F.count("va").alias("primary_positions"), F.count("vb").alias("other_positions"), F.sum(larger).alias("union_value"), F.coalesce(F.sum(F.when(same, larger)), F.lit(0)).alias("same_value")
+    )
+    ratio = F.coalesce(F.col("same_value").cast("double") / F.nullif(F.col("union_value").cast("double"), F.lit(0.0)), F.lit(0.0))
+    return sums.withColumn("identical_share", ratio).withColumn("verdict", F.when(ratio >= 0.9, "same book").when(ratio <= 0.1, "separate").otherwise("unclear"))
 
 
 def coverage(holding: DataFrame, known: DataFrame, by: str = "period") -> DataFrame:

@@ -1,48 +1,44 @@
-"""Search and lookup of securities by ticker, identifier and name."""
+"""Search of stocks and investors by name: starts first, then what is alike."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import containment, normal_ticker
+from ..functions.text import containment, strict_word_similarity, word_similarity
+
+#: What a match is worth, the least letters of a fuzzy search, and the least similarities of a candidate.
+EXACT, TICKER_START, NAME_START, FUZZY_MAX, LETTERS, WORD, STRICT = 100, 90, 80, 70, 3, 0.6, 0.5
+
 
-#: Least likeness of a fuzzy match, and what it is worth.
-FUZZY, WORTH = 0.6, 70
+def _alike(query: str, column: Column) -> Column:
+    """1 where the query is whole words of the text, else the mean of its two word similarities; null for a candidate of neither.
 
+    A text without half the query's trigrams can reach neither bound, and its similarities aren't worked out.
+    """
+    bound = r"[\p{L}\p{N}_]"
+    whole = f"(?i)(?<!{bound})" + r"\s+".join(re.escape(w) for w in query.split()) + f"(?!{bound})"
+    word, strict = word_similarity(query, column), strict_word_similarity(query, column)
+    value = F.when(column.rlike(whole), F.lit(1.0)).otherwise((word + strict) / 2)
+    return F.when((containment(F.lit(query), column) >= STRICT) & ((word >= WORD) | (strict >= STRICT)), value)
 
-def valid_on(day: Column) -> Column:
-    """valid_from <= day < valid_to, nulls unbounded."""
-    return F.coalesce(F.col("valid_from") <= day, F.lit(True)) & F.coalesce(F.col("valid_to") > day, F.lit(True))
+
+def search_stocks(names: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """names (id, ticker, name, held) with a score: EXACT the ticker itself, TICKER_START and NAME_START for starts, else
+    up to FUZZY_MAX. All starts score above all else, so one order serves. Ties go to what is most held, then the smaller id."""
+    q = query.strip()
+    starts = F.when(F.upper("ticker") == q.upper(), F.lit(float(EXACT))).when(F.lower("ticker").startswith(q.lower()), F.lit(float(TICKER_START))).when(F.lower("name").startswith(q.lower()), F.lit(float(NAME_START)))
+    fuzzy = F.greatest(_alike(q, F.col("name")), _alike(q, F.col("ticker"))) * FUZZY_MAX if len(q) >= LETTERS else F.lit(None).cast("double")
+    full = names.withColumn("score", F.coalesce(starts, fuzzy)).where("score is not null")
+    return full.orderBy(F.col("score").desc(), F.coalesce("held", F.lit(-1)).desc(), "id").limit(limit)
 
 
-def search(names: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """names (id, ticker, name, held) with a score: 100 the ticker itself, 90 its start, 80 the start of the name, else
-    WORTH times the likeness. Ties go to what is most held, then the smaller id."""
+def search_investors(names: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """names (slug, display_name, manager_name, held), likewise; ties go to the larger portfolio, then the name and slug."""
     q = query.strip()
-    low = F.lit(q.lower())
-    alike = F.when(F.concat(F.lit(" "), F.lower("name"), F.lit(" ")).contains(f" {q.lower()} "), F.lit(1.0)).otherwise(containment(low, F.col("name")))
-    fuzzy = F.when(alike >= FUZZY, alike * WORTH) if len(q) >= 3 else F.lit(None).cast("double")
-    score = F.when(F.upper("ticker") == q.upper(), 100.0).when(F.upper("ticker").startswith(q.upper()), 90.0).when(F.lower("name").startswith(q.lower()), 80.0).otherwise(fuzzy)
-    return names.withColumn("score", score).where("score is not null").orderBy(F.col("score").desc(), F.coalesce("held", F.lit(-1)).desc(), "id").limit(limit)
-
-
-def lookup(symbols: DataFrame, aliases: DataFrame, securities: DataFrame, day: str) -> DataFrame:
-    """symbols (symbol) to security_id by tier: 0 an alias on the day, 1 the present ticker, 2 an alias at any time, 3 the CUSIP.
-    Within a tier the latest alias, then the latest held, then the greater id wins."""
-    wanted = symbols.select("symbol", normal_ticker(F.col("symbol")).alias("ticker")).distinct()
-    at = F.lit(day).cast("date")
-    alias = wanted.join(aliases, "ticker").select("symbol", F.when(valid_on(at), 0).otherwise(2).alias("tier"), F.coalesce("valid_to", F.lit("9999-12-31").cast("date")).alias("recent"), "security_id")
-    now = wanted.join(securities.select("ticker", "security_id"), "ticker").select("symbol", F.lit(1).alias("tier"), F.lit(None).cast("date").alias("recent"), "security_id")
-    cusip = wanted.where(F.length("symbol") == 9).join(securities.select(F.col("cusip").alias("ticker"), "security_id"), "ticker").select("symbol", F.lit(3).alias("tier"), F.lit(None).cast("date").alias("recent"), "security_id")
-    every = alias.unionByName(now).unionByName(cusip).join(securities.select("security_id", "last_held"), "security_id", "left")
-    by = Window.partitionBy("symbol").orderBy("tier", F.col("recent").desc_nulls_last(), F.col("last_held").desc_nulls_last(), F.col("security_id").desc())
-    return every.withColumn("place", F.row_number().over(by)).where("place = 1").select("symbol", "security_id", "tier")
-
-
-def collisions(aliases: DataFrame) -> DataFrame:
-    """Tickers that two securities have at once."""
-    far, early = F.lit("9999-12-31").cast("date"), F.lit("0001-01-01").cast("date")
-    a = aliases.select("ticker", "security_id", F.coalesce("valid_from", early).alias("f"), F.coalesce("valid_to", far).alias("t"))
-    b = a.select("ticker", F.col("security_id").alias("other"), F.col("f").alias("f2"), F.col("t").alias("t2"))
-    return a.join(b, "ticker").where("security_id < other and f < t2 and f2 < t").select("ticker", "security_id", "other", F.greatest("f", "f2").alias("since"), F.least("t", "t2").alias("until"))
+    starts = F.when(F.lower("display_name").startswith(q.lower()) | F.coalesce(F.lower("manager_name").startswith(q.lower()), F.lit(False)), F.lit(float(NAME_START)))
+    fuzzy = F.greatest(_alike(q, F.col("display_name")), _alike(q, F.col("manager_name"))) * FUZZY_MAX if len(q) >= LETTERS else F.lit(None).cast("double")
+    full = names.withColumn("score", F.coalesce(starts, fuzzy)).where("score is not null")
+    return full.orderBy(F.col("score").desc(), F.coalesce("held", F.lit(-1)).desc(), "display_name", "slug").limit(limit)

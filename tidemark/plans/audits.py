@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import core_name, normal_ticker, similarity
-from ..operators import change, quality, read, recompute, search, snapshot
+from ..functions.text import normal_ticker, similarity
+from ..operators import change, quality, read, recompute, snapshot
 from ..sources import sinks
 from ..streaming import batches
-from .catalog import Derived, add
+from .catalog import add
+from .derived import Derived
 
 _CELLS = "filer_id:l period:d security_id:l"
 _BROKEN = _CELLS + " problem:s"
@@ -36,13 +37,34 @@ add(
         (SELECT *, form_type = '13F-HR' OR coalesce(amendment_kind = 'restatement', false) AS whole, strftime(filed_at, '%Y%m%d%H%M%S%f') || accession_no AS o FROM amendment
          WHERE parse_status IN ('ok', 'suspect') AND (form_type = '13F-HR' OR amendment_kind IS NOT NULL)))""",
 )(lambda t: quality.amendment_roles(t.domain.amendment()))
+
+
+def _books(t: Derived) -> DataFrame:
+    """Each order's customer as one of three CIKs of a nation, with the order's lines as positions."""
+    order = t.domain.amendment().select("filing_id", "filer_id", "cik", "period")
+    line = t.domain.table("lineitem").select(
+        F.col("l_orderkey").alias("filing_id"), (F.col("l_partkey") % 5).alias("security_id"), F.when(F.col("l_returnflag") == "R", "Call").alias("put_call"), F.lit("SH").alias("sshprnamt_type"),
+        F.col("l_quantity").cast("decimal(20,4)").alias("shares"), F.col("l_extendedprice").cast("decimal(20,2)").alias("value_usd"),
+    )
+    return line.join(order, "filing_id")
+
+
+_BOOK_SQL = """SELECT filer_id, period, cik, l_partkey % 5 AS security_id, CASE WHEN l_returnflag = 'R' THEN 'Call' ELSE '' END AS put_call, sum(l_quantity::DECIMAL(20,4)) AS shares, sum(l_extendedprice::DECIMAL(20,2)) AS value
+  FROM lineitem JOIN amendment ON filing_id = l_orderkey GROUP BY 1, 2, 3, 4, 5"""
 add(
-    "q12_book_overlap", "filer_id:l cik:s other:s positions:l union_value:f same_value:f verdict:s",
-    """SELECT filer_id, '1' AS cik, '2' AS other, count(*) AS positions, sum(greatest(va, vb)) AS union_value, coalesce(sum(greatest(va, vb)) FILTER (abs(a - b) * 100 <= greatest(a, b) * 0.5), 0) AS same_value,
-      CASE WHEN same_value / union_value >= 0.9 THEN 'same book' WHEN same_value / union_value <= 0.1 THEN 'separate' ELSE 'unclear' END AS verdict
-      FROM (SELECT filer_id, security_id, sum(shares) AS a, sum(value_usd) AS va FROM holding WHERE put_call IS NULL GROUP BY 1, 2) x FULL JOIN (SELECT filer_id, security_id, sum(shares) AS b, sum(value_usd) AS vb FROM holding WHERE put_call IS NOT NULL GROUP BY 1, 2) y
-      USING (filer_id, security_id) GROUP BY 1""",
-)(lambda t: quality.overlap(t.holding.groupBy("filer_id", F.when(F.col("put_call").isNull(), "1").otherwise("2").alias("cik"), "security_id").agg(F.sum("shares").alias("shares"), F.sum("value_usd").alias("value_usd"))))
+    "q12_book_overlap", "filer_id:l period:d primary_cik:s cik:s primary_positions:l other_positions:l union_value:f same_value:f verdict:s",
+    """SELECT *, CASE WHEN same_value >= 0.9 * union_value THEN 'same book' WHEN same_value <= 0.1 * union_value THEN 'separate' ELSE 'unclear' END AS verdict FROM
+      (SELECT filer_id, period, first AS primary_cik, cik, count(va) AS primary_positions, count(vb) AS other_positions, sum(greatest(va, vb))::DOUBLE AS union_value,
+         coalesce(sum(greatest(va, vb)) FILTER (a <> 0 AND b <> 0 AND abs(a - b) <= 0.005 * greatest(a, b)), 0)::DOUBLE AS same_value
+       FROM (SELECT p.*, a.security_id, a.put_call, a.shares AS a, a.value AS va, b.shares AS b, b.value AS vb FROM pairs p JOIN book a ON a.filer_id = p.filer_id AND a.period = p.period AND a.cik = p.first
+               LEFT JOIN book b ON b.filer_id = p.filer_id AND b.period = p.period AND b.cik = p.cik AND b.security_id = a.security_id AND b.put_call = a.put_call
+             UNION ALL SELECT p.*, b.security_id, b.put_call, NULL, NULL, b.shares, b.value FROM pairs p JOIN book b ON b.filer_id = p.filer_id AND b.period = p.period AND b.cik = p.cik
+               WHERE NOT EXISTS (SELECT 1 FROM book a WHERE a.filer_id = p.filer_id AND a.period = p.period AND a.cik = p.first AND a.security_id = b.security_id AND a.put_call = b.put_call))
+       GROUP BY 1, 2, 3, 4)""",
+    book=_BOOK_SQL,
+    pairs="""SELECT filer_id, period, cik, first FROM (SELECT filer_id, period, cik, first_value(cik) OVER (PARTITION BY filer_id, period ORDER BY coalesce(priority, -1) DESC, cik DESC) AS first
+      FROM (SELECT DISTINCT filer_id, period, cik FROM book) LEFT JOIN amendment_cik USING (filer_id, cik)) WHERE cik <> first""",
+)(lambda t: quality.overlap(_books(t), t.domain.amendment_cik()))
 add(
     "q13_coverage", "period:d rows:l known_rows:l rows_pct:f value_pct:f",
     """SELECT period, count(*) AS rows, count(*) FILTER (k) AS known_rows, round((count(*) FILTER (k) * 100 / count(*))::DECIMAL(20,6), 1) AS rows_pct, round((coalesce(sum(value_usd) FILTER (k), 0)::DOUBLE * 100 / sum(value_usd)::DOUBLE)::DECIMAL(20,6), 1) AS value_pct
@@ -92,13 +114,6 @@ add(
     f"SELECT p_partkey, len(list_intersect({_GRAMS('p_name')}, {_GRAMS(repr(_ASK))})) / len(list_distinct(list_concat({_GRAMS('p_name')}, {_GRAMS(repr(_ASK))}))) AS alike FROM part",
 )(lambda t: t.domain.table("part").select("p_partkey", similarity(F.col("p_name"), F.lit(_ASK)).alias("alike")))
 add("txt02_normal_tickers", "p_brand:s ticker:s", "SELECT DISTINCT p_brand, replace(upper(trim(p_brand)), '-', '.') AS ticker FROM part")(lambda t: t.domain.table("part").select("p_brand", normal_ticker(F.col("p_brand")).alias("ticker")).distinct())
-add("txt07_core_names", "c_custkey:l core:s")(lambda t: t.domain.table("customer").select("c_custkey", core_name(F.col("c_name")).alias("core")))
-_HELD_SQL = "SELECT p_partkey AS id, p_brand AS ticker, p_name AS name, p_retailprice AS held FROM part"
-add(
-    "qry28_search", "id:l ticker:s name:s score:f",
-    f"""SELECT * FROM (SELECT *, CASE WHEN upper(ticker) = 'BLUE' THEN 100 WHEN starts_with(upper(ticker), 'BLUE') THEN 90 WHEN starts_with(lower(name), 'blue') THEN 80 WHEN contains(' ' || lower(name) || ' ', ' blue ') THEN 70
-      WHEN len(list_intersect({_GRAMS("'blue'")}, {_GRAMS('name')})) / 5 >= 0.6 THEN 70 * len(list_intersect({_GRAMS("'blue'")}, {_GRAMS('name')})) / 5 END AS score FROM ({_HELD_SQL})) WHERE score IS NOT NULL ORDER BY score DESC, held DESC, id LIMIT 20""",
-)(lambda t: search.search(t.domain.table("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("ticker"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("held")), "blue"))
 add("src12_page_titles", "page_id:l title:s", "SELECT page_id, nullif(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title>', 1), '') AS title FROM pages")(
     lambda t: t.domain.table("pages").select("page_id", F.nullif(F.regexp_extract("html", "(?is)<title[^>]*>([^<]*)</title>", 1), F.lit("")).alias("title"))
 )

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import change, clusters, effective, paging, price, read, returns, screener, snapshot, views
-from .domain import Domain, oracle
+from ..operators import change, clusters, effective, paging, price, read, returns, screener, views
+from .derived import SQL, Derived
+from .domain import oracle
 from .typed import typed, typed_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,35 +20,6 @@ ORACLES: dict[str, str] = {}
 PERIOD, YEAR_BEFORE = "1998-09-30", "1997-12-31"
 
 
-class Derived:
-    """The derived tables over a Domain, each a lazy DataFrame."""
-
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.domain = Domain(spark, sf_dir)
-        self.filing, self.holding, self.filer = self.domain.filing(), self.domain.holding(), self.domain.filer()
-        self.lines = self.domain.insider_line()
-        self.effective = self.filing.select("filing_id", "filer_id", "cik", "period")
-        self.snapshot = snapshot.position_snapshot(self.effective, self.filing, self.holding)
-        self.winning = snapshot.winning_filings(self.effective, self.filing)
-        self.published = snapshot.filer_period(self.snapshot)
-        self.prices = price.implied_price(self.snapshot)
-        self.change = change.position_change(self.snapshot)
-        self.consensus = views.consensus_holdings(self.snapshot)
-        self.flows = views.quarter_flows(self.change)
-        self.summary = views.filer_summary(self.snapshot, self.change)
-        self.year = views.year_flows(self.flows, self.change)
-        self.feed = views.filing_feed(self.winning, self.summary, self.change)
-        self.best = views.top_holding(self.snapshot)
-
-
-#: The derived tables for DuckDB, in order of dependency.
-SQL = {
-    "by_cik": effective.BY_CIK_SQL, "effective_filing": effective.EFFECTIVE_SQL, "snapshot": snapshot.SNAPSHOT_SQL, "filer_period": snapshot.FILER_PERIOD_SQL, "published": change.PUBLISHED_SQL,
-    "price": price.PRICE_SQL, "change": change.CHANGE_SQL, "consensus": views.CONSENSUS_SQL, "flowing": views.FLOWING_SQL, "flows": views.FLOWS_SQL, "year_flows": views.YEAR_SQL,
-    "summary": views.SUMMARY_SQL, "feed": views.FEED_SQL, "counted": clusters.COUNTED_SQL,
-}
-
-
 def add(name: str, spec: str, sql: str | None = None, **more: str):
     """Register a query: a function of Derived. sql: a table expression over SQL and the domain's tables."""
 
@@ -68,75 +40,26 @@ _AT = f"period = DATE '{PERIOD}'"
 
 # ---------------------------------------------------------------- derived tables
 
-add("drv12_consensus_holdings", _CONSENSUS, "SELECT * FROM consensus")(lambda t: t.consensus)
-add("drv01_effective_filing_by_cik", "filing_id:l filer_id:l cik:s period:d", "SELECT * FROM by_cik")(lambda t: effective.effective_filing_by_cik(t.domain.amendment()))
+add("drv12_consensus_holdings", _CONSENSUS, "SELECT * FROM consensus")(lambda t: t.fresh("consensus"))
+add("drv01_effective_filing_by_cik", "filing_id:l filer_id:l cik:s period:d", "SELECT * FROM by_cik")(lambda t: t.amendments)
 add("drv02_effective_filing", "filing_id:l filer_id:l cik:s period:d", "SELECT * FROM effective_filing")(
-    lambda t: effective.effective_filing(effective.effective_filing_by_cik(t.domain.amendment()), t.domain.amendment_cik())
+    lambda t: effective.effective_filing(t.amendments, t.domain.amendment_filer(), t.domain.amendment_cik())
 )
 add("qry31_resolved_filings", "filing_id:l filer_id:l cik:s period:d", "SELECT * FROM effective_filing WHERE period = DATE '1996-12-31'")(
-    lambda t: effective.resolved_filings(effective.effective_filing(effective.effective_filing_by_cik(t.domain.amendment()), t.domain.amendment_cik()), "1996-12-31")
+    lambda t: effective.resolved_filings(effective.effective_filing(t.amendments, t.domain.amendment_filer(), t.domain.amendment_cik()), "1996-12-31")
 )
-add("drv03_position_snapshot", _SNAPSHOT, "SELECT * FROM snapshot")(lambda t: t.snapshot)
-add("drv04_filer_period", "filer_id:l period:d suspect:b", "SELECT * FROM filer_period")(lambda t: t.published)
-add("drv05_implied_price", "security_id:l period:d price:f confidence:s observation_count:l priced_count:l unpriced_count:l agreeing_count:l", "SELECT * FROM price")(lambda t: t.prices)
-add("drv10_position_change", _CHANGE, "SELECT * FROM change")(lambda t: t.change)
+add("drv03_position_snapshot", _SNAPSHOT, "SELECT * FROM snapshot")(lambda t: t.fresh("snapshot"))
+add("drv04_filer_period", "filer_id:l period:d suspect:b", "SELECT * FROM filer_period")(lambda t: t.fresh("published"))
+add("drv05_implied_price", "security_id:l period:d price:f confidence:s observation_count:l priced_count:l unpriced_count:l agreeing_count:l", "SELECT * FROM price")(lambda t: t.fresh("prices"))
+add("drv10_position_change", _CHANGE, "SELECT * FROM change")(lambda t: t.fresh("change"))
 add("drv11_traded_usd", "filer_id:l period:d security_id:l action:s traded:f", "SELECT * FROM flowing")(lambda t: t.change.where("prev_period is not null").withColumn("traded", change.traded_usd()))
-add("drv13_quarter_flows", _FLOWS, "SELECT * FROM flows")(lambda t: t.flows)
-add("drv14_filer_summary", "filer_id:l period:d portfolio_value:f positions:l top10_weight:f turnover:f", "SELECT * FROM summary")(lambda t: t.summary)
-add("drv15_year_flows", _FLOWS, "SELECT * FROM year_flows")(lambda t: t.year)
+add("drv13_quarter_flows", _FLOWS, "SELECT * FROM flows")(lambda t: t.fresh("flows"))
+add("drv14_filer_summary", "filer_id:l period:d portfolio_value:f positions:l top10_weight:f turnover:f", "SELECT * FROM summary")(lambda t: t.fresh("summary"))
+add("drv15_year_flows", _FLOWS, "SELECT * FROM year_flows")(lambda t: t.fresh("year"))
 add("drv16_filing_feed", "filing_id:l filer_id:l period:d filed_on:d portfolio_value:f positions:l top_security_id:l top_action:s top_traded:f", "SELECT * FROM feed")(
-    lambda t: t.feed.withColumn("filed_on", F.to_date("filed_at"))
+    lambda t: t.fresh("feed").withColumn("filed_on", F.to_date("filed_at"))
 )
 
-_PAIR_SQL = """SELECT n.security_id, n.period, n.shares::DOUBLE AS shares, b.shares::DOUBLE AS was FROM snapshot n JOIN snapshot b ON b.filer_id = n.filer_id AND b.security_id = n.security_id
-  AND n.period = last_day(date_trunc('month', b.period) + INTERVAL 3 MONTH) WHERE n.shares > 0 AND b.shares > 0"""
-_RATIO_SQL = "SELECT security_id, period, count(*) AS holders, quantile_disc(round(shares / was, 10), 0.5) AS shares_ratio FROM pair GROUP BY 1, 2 HAVING count(*) >= 2"
-_NEAR_SQL = f"""SELECT *, CASE WHEN shares_ratio * d / n BETWEEN {1 / price.NEAR} AND {price.NEAR} THEN n END AS numerator, CASE WHEN shares_ratio * d / n BETWEEN {1 / price.NEAR} AND {price.NEAR} THEN d END AS denominator
-  FROM ratio, (VALUES {", ".join(f"({n}::DOUBLE, {d}::DOUBLE)" for n, d in price.FRACTIONS)}) f(n, d) QUALIFY row_number() OVER (PARTITION BY security_id, period ORDER BY abs(shares_ratio - n / d), n, d) = 1"""
-_CANDIDATE_SQL = f"""SELECT c.security_id, c.period, any_value(numerator) AS numerator, any_value(denominator) AS denominator, any_value(holders) AS holders, any_value(shares_ratio) AS shares_ratio,
-  count(*) FILTER (abs(shares * denominator - was * numerator) * 100 <= was * numerator * {price.AGREE_PERCENT}) AS holders_agreeing, count(*) FILTER (abs(shares * denominator - was * numerator) <= denominator) AS holders_exact
-  FROM near c JOIN pair USING (security_id, period) GROUP BY 1, 2"""
-_SPLIT = {"pair": _PAIR_SQL, "ratio": _RATIO_SQL, "near": _NEAR_SQL, "candidate": _CANDIDATE_SQL}
-add(
-    "drv06_split_candidates", "security_id:l period:d numerator:l denominator:l holders:l holders_agreeing:l holders_exact:l shares_ratio:g",
-    f"SELECT * FROM candidate WHERE holders_agreeing >= 2 OR shares_ratio >= {price.OUTLIER} OR shares_ratio * {price.OUTLIER} <= 1", **_SPLIT,
-)(lambda t: price.split_candidates(t.snapshot, t.prices))
-add("drv07_split_verdicts", "security_id:l period:d numerator:l denominator:l holders:l holders_agreeing:l holders_exact:l confidence:s")(lambda t: price.judge(price.split_candidates(t.snapshot, t.prices)))
-add("drv08_outlying_ratios", "security_id:l period:d shares_ratio:g", f"SELECT * FROM candidate WHERE (shares_ratio >= {price.OUTLIER} OR shares_ratio * {price.OUTLIER} <= 1) AND numerator IS NULL", **_SPLIT)(
-    lambda t: price.split_candidates(t.snapshot, t.prices).where(price.is_outlier(F.col("shares_ratio"), F.col("numerator").isNotNull()))
-)
-_MADE_UP = "SELECT security_id, period, 2 AS numerator, 1 AS denominator FROM price WHERE (security_id + month(period) + year(period)) % 11 = 0"
-
-
-def _splits(t: Derived) -> DataFrame:
-    """Two-for-one splits in every eleventh quarter of a security."""
-    hit = F.pmod(F.col("security_id") + F.month("period") + F.year("period"), F.lit(11)) == 0
-    return t.prices.where(hit).select("security_id", "period", F.lit(2).alias("numerator"), F.lit(1).alias("denominator"))
-
-
-add(
-    "drv10_split_adjusted_change", "filer_id:l period:d security_id:l action:s is_split:b shares_delta:f shares_delta_pct:f",
-    """SELECT *, factor > 1 AS is_split, round(shares - prev_shares * factor, 4) AS shares_delta, round((shares - prev_shares * factor) * 100 / nullif(prev_shares * factor, 0), 6) AS shares_delta_pct,
-      CASE WHEN abs(shares - prev_shares * factor) * 100 <= prev_shares * factor * 0.01 THEN 'hold' WHEN shares > prev_shares * factor THEN 'add' ELSE 'trim' END AS action
-      FROM (SELECT c.filer_id, c.period, c.security_id, any_value(c.shares)::DOUBLE AS shares, any_value(c.prev_shares)::DOUBLE AS prev_shares, power(2, count(s.period)) AS factor FROM change c
-        LEFT JOIN made_up s ON s.security_id = c.security_id AND s.period > c.prev_period AND s.period <= c.period WHERE c.action NOT IN ('new', 'exit') GROUP BY 1, 2, 3)""",
-    made_up=_MADE_UP,
-)(lambda t: change.position_change(t.snapshot, _splits(t)).where("action not in ('new', 'exit')"))
-add(
-    "drv25_adjusted_price", "security_id:l period:d price:f adjusted_price:f",
-    "SELECT p.security_id, p.period, any_value(price) AS price, round(any_value(price) / power(2, count(s.period)), 8) AS adjusted_price FROM price p LEFT JOIN made_up s ON s.security_id = p.security_id AND s.period > p.period GROUP BY 1, 2",
-    made_up=_MADE_UP,
-)(lambda t: price.adjusted_price(t.prices, _splits(t)))
-add(
-    "drv17_estimated_return", "security_id:l period:d basis:f later:f later_on:d source:s estimated_return_pct:f",
-    """SELECT *, round((later * power(2, (SELECT count(*) FROM made_up s WHERE s.security_id = x.security_id AND s.period > x.period AND s.period <= later_on)) / nullif(basis, 0) - 1) * 100, 2) AS estimated_return_pct FROM
-      (SELECT p.security_id, p.period, p.price AS basis, CASE WHEN quoted AND NOT straddles THEN close WHEN NOT quoted AND l.period > p.period THEN l.price END AS later,
-        CASE WHEN quoted AND NOT straddles THEN date WHEN NOT quoted AND l.period > p.period THEN l.period END AS later_on, CASE WHEN quoted AND NOT straddles THEN 'quote' WHEN NOT quoted AND l.period > p.period THEN 'implied' END AS source
-      FROM (SELECT p.*, q.date, q.close, coalesce(q.date > p.period, false) AS quoted, EXISTS (SELECT 1 FROM made_up s WHERE s.security_id = p.security_id AND s.period > q.date AND s.period <= last_day(date_trunc('quarter', q.date) + INTERVAL 2 MONTH)) AS straddles
-        FROM price p LEFT JOIN (SELECT security_id, date, close FROM quote QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY date DESC) = 1) q USING (security_id)) p
-      LEFT JOIN (SELECT security_id, period, price FROM price WHERE price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY period DESC) = 1) l ON l.security_id = p.security_id) x""",
-    made_up=_MADE_UP,
-)(lambda t: returns.estimated_return(t.prices.select("security_id", "period"), t.prices, t.domain.quote(), _splits(t)))
 add("jon10_latest_quote_before", "security_id:l period:d close:f", "SELECT p.security_id, p.period, q.close FROM price p ASOF LEFT JOIN quote q ON q.security_id = p.security_id AND p.period >= q.date")(
     lambda t: returns.latest_before(t.prices.select("security_id", "period"), t.domain.quote(), "security_id", "period", "date", "close")
 )
@@ -145,14 +68,11 @@ add("jon10_latest_quote_before", "security_id:l period:d close:f", "SELECT p.sec
 
 _LINE = "id:l transaction_date:d insider_id:l issuer_cik:s transaction_code:s value_usd:f"
 add("drv19_counted_purchases", "id:l issuer_cik:s insider_id:l excluded:s", "SELECT * FROM counted")(lambda t: clusters.counted_purchases(t.lines))
-_GRID = [(1, 2), (3, 2), (3, 3), (7, 3)]
-add("drv18_insider_clusters", "window_days:l min_insiders:l issuer_cik:s window_start:d window_end:d insiders:l lines:l shares:f value_usd:f security_id:l", " UNION ALL ".join(f"({clusters.clusters_sql(*g)})" for g in _GRID))(
-    lambda t: clusters.cluster_grid(t.lines, _GRID)
-)
-#: The operator's own grid; the query above has four short windows besides.
-add("drv18_insider_cluster_grid", "window_days:l min_insiders:l issuer_cik:s window_start:d window_end:d insiders:l lines:l shares:f value_usd:f security_id:l", " UNION ALL ".join(f"({clusters.clusters_sql(*g)})" for g in clusters.GRID))(
-    lambda t: clusters.cluster_grid(t.lines)
-)
+_EPISODE = "window_days:l min_insiders:l issuer_cik:s window_start:d window_end:d insiders:l lines:l shares:f value_usd:f security_id:l"
+#: Windows so short that the driver's month of events falls into several episodes.
+_SHORT = [(1, 2), (3, 2), (3, 3), (7, 3)]
+add("drv18_insider_clusters", _EPISODE, " UNION ALL ".join(f"({clusters.clusters_sql(*g)})" for g in clusters.GRID))(lambda t: t.fresh("episodes"))
+add("drv18_short_windows", _EPISODE, " UNION ALL ".join(f"({clusters.clusters_sql(*g)})" for g in _SHORT))(lambda t: clusters.cluster_grid(t.lines, _SHORT))
 add(
     "qry17_cluster_breakdown", "issuer_cik:s window_start:d insider_id:l lines:l shares:f value_usd:f last_bought:d is_director:b",
     f"""SELECT e.issuer_cik, window_start, insider_id, count(*) AS lines, sum(l.shares) AS shares, sum(l.value_usd) AS value_usd, max(transaction_date) AS last_bought, bool_or(is_director) AS is_director
@@ -244,42 +164,3 @@ add(
 add("qry25_latest_filing", "period:d filings:l filers:l last_filed:d", "SELECT period, count(*) AS filings, count(DISTINCT filer_id) AS filers, max(filed_at)::DATE AS last_filed FROM filing WHERE parse_status = 'ok' GROUP BY 1")(
     lambda t: t.winning.groupBy("period").agg(F.count("*").alias("filings"), F.countDistinct("filer_id").alias("filers"), F.max("filed_at").alias("last_filed"))
 )
-
-# ---------------------------------------------------------------- screener and paging
-
-_SCREEN = "filer_id:l period:d security_id:l action:s value_usd:f weight_pct:f"
-
-
-def _tables(t: Derived) -> screener.Tables:
-    return screener.Tables(t.change, t.consensus, t.flows, t.filer, clusters.insider_clusters(t.lines, 3, 3), clusters.counted_purchases(t.lines).where("excluded is null"))
-
-
-_CLUSTERED = {"clustered": f"SELECT DISTINCT security_id FROM ({clusters.clusters_sql(3, 3)}) WHERE security_id IS NOT NULL"}
-_LATER, _HELD = "prev_period IS NOT NULL", "action <> 'exit'"
-_HAS = lambda table, test: f"security_id IN (SELECT security_id FROM {table} x WHERE x.{_AT} AND {test})"
-_RUN = "SELECT *, sum((action = 'add')::INT) OVER (PARTITION BY filer_id, security_id, broken ORDER BY period ROWS UNBOUNDED PRECEDING) AS added_quarters FROM (SELECT *, sum((action <> 'add')::INT) OVER (PARTITION BY filer_id, security_id ORDER BY period) AS broken FROM change)"
-for _name, _filters, _test in (
-    ("scr01_period", {}, _HELD), ("scr02_action", {"action": ["exit", "trim"]}, f"{_LATER} AND action IN ('exit', 'trim')"), ("scr03_min_holders", {"min_holders": 5}, f"{_HELD} AND {_HAS('consensus', 'holder_count >= 5')}"),
-    ("scr04_min_value", {"min_value": 60000}, f"{_HELD} AND value_usd >= 60000"), ("scr05_min_weight", {"min_weight": 5}, f"{_HELD} AND weight_pct >= 5"),
-    ("scr06_weight_change", {"weight_change": -2}, f"{_HELD} AND {_LATER} AND weight_delta <= -2"), ("scr08_filer_category", {"filer_category": ["activist", "quant"]}, f"{_HELD} AND filer_id IN (SELECT filer_id FROM filer WHERE category IN ('activist', 'quant'))"),
-    ("scr10_net_flow", {"net_flow": "sell"}, f"{_HELD} AND {_HAS('flows', 'net < 0')}"), ("scr11_min_exits", {"min_exits": 2}, f"{_HELD} AND {_HAS('flows', 'exits >= 2')}"),
-    ("scr12_is_new_position", {"is_new_position": True}, f"{_HELD} AND {_LATER} AND action = 'new'"), ("scr13_added_quarters", {"added_quarters": 2}, f"{_HELD} AND (filer_id, security_id) IN (SELECT (filer_id, security_id) FROM runs x WHERE x.{_AT} AND added_quarters >= 2)"),
-    ("scr14_insider_cluster", {"insider_cluster": True}, f"{_HELD} AND security_id IN (SELECT security_id FROM clustered)"), ("scr14_no_insider_cluster", {"insider_cluster": False}, f"{_HELD} AND security_id NOT IN (SELECT security_id FROM clustered)"),
-    ("scr15_insider_buyers", {"insider_buyers": 3}, f"{_HELD} AND security_id IN (SELECT security_id FROM counted WHERE excluded IS NULL GROUP BY 1 HAVING count(DISTINCT insider_id) >= 3)"),
-    ("scr18_preset_new_conviction", screener.PRESETS["new-conviction"], f"{_HELD} AND {_LATER} AND action = 'new' AND weight_pct >= 5"),
-    ("scr18_preset_crowded_exits", screener.PRESETS["crowded-exits"], f"{_LATER} AND action = 'exit' AND {_HAS('flows', 'exits >= 2')}"),
-    ("scr18_preset_big_trims", screener.PRESETS["big-trims"], f"{_LATER} AND action = 'trim' AND weight_delta <= -2"),
-    ("scr18_preset_activist_moves", screener.PRESETS["activist-moves"], f"{_LATER} AND action IN ('new', 'add') AND filer_id IN (SELECT filer_id FROM filer WHERE category = 'activist')"),
-    ("scr18_preset_insider_backed", screener.PRESETS["insider-backed"], f"{_LATER} AND action IN ('new', 'add') AND security_id IN (SELECT security_id FROM clustered)"),
-):
-    add(_name, _SCREEN, f"SELECT * FROM change WHERE {_AT} AND {_test}", **_CLUSTERED, runs=_RUN)(lambda t, f=_filters: screener.screen(_tables(t), PERIOD, **f))
-add("scr17_match_counts", "positions:l stocks:l investors:l", f"SELECT count(*) AS positions, count(DISTINCT security_id) AS stocks, count(DISTINCT filer_id) AS investors FROM change WHERE {_AT} AND {_HELD} AND weight_pct >= 5")(
-    lambda t: screener.matches(screener.screen(_tables(t), PERIOD, min_weight=5))
-)
-_ORDER = "ORDER BY coalesce(shares_delta_pct, -1e18) DESC, filer_id, security_id"
-add("scr16_sorted_page", _SCREEN, f"SELECT * FROM change WHERE {_AT} AND {_HELD} {_ORDER} LIMIT 51")(
-    lambda t: paging.page(screener.screen(_tables(t), PERIOD), [paging.Key("shares_delta_pct", True), paging.Key("filer_id"), paging.Key("security_id")], 50)
-)
-add("srt02_next_page", _SCREEN, f"SELECT * FROM change WHERE {_AT} AND {_HELD} AND (value_usd < 50000 OR (value_usd = 50000 AND filer_id > 3)) ORDER BY value_usd DESC, filer_id, security_id LIMIT 51")(
-    lambda t: paging.page(screener.screen(_tables(t), PERIOD), [paging.Key("value_usd", True), paging.Key("filer_id"), paging.Key("security_id")], 50, [50000, 3, 10**9])
-)

@@ -29,8 +29,30 @@ class Domain:
         return self.table("supplier").select(F.col("s_suppkey").alias("filer_id"), F.col("s_name").alias("name"), F.lower(F.replace("s_name", F.lit("#"), F.lit("-"))).alias("slug"), category.alias("category"))
 
     def security(self) -> DataFrame:
+        """A brand, with a ticker that has a point; every ninth is delisted."""
         ident = F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("long")
-        return self.table("part").select(ident.alias("security_id"), F.col("p_brand").alias("ticker")).distinct()
+        brands = self.table("part").select(ident.alias("security_id")).distinct()
+        number = F.col("security_id").cast("string")
+        return brands.select(
+            "security_id", F.concat(F.lit("B."), number).alias("ticker"), F.lpad(number, 9, "0").alias("cusip"), F.concat(F.lit("Brand "), number, F.lit(" Inc")).alias("name"),
+            F.when(F.col("security_id") % 9 == 0, F.lit("1999-06-30").cast("date")).alias("delisted_by"),
+        )
+
+    def alias(self) -> DataFrame:
+        """Tickers of securities over time: a former one until 1998, then the present one; every seventh also has its neighbour's from 1999."""
+        day = lambda text: F.lit(text).cast("date")
+        number = F.col("security_id").cast("string")
+        ranges = [
+            F.struct(F.concat(F.lit("OLD."), number).alias("ticker"), day(None).alias("valid_from"), day("1998-01-01").alias("valid_to"), F.lit(True).alias("has")),
+            F.struct(F.col("ticker"), day("1998-01-01").alias("valid_from"), day(None).alias("valid_to"), F.lit(True).alias("has")),
+            F.struct(F.concat(F.lit("B."), (F.col("security_id") + 1).cast("string")).alias("ticker"), day("1999-01-01").alias("valid_from"), day(None).alias("valid_to"), (F.col("security_id") % 7 == 0).alias("has")),
+        ]
+        return self.security().select("security_id", F.explode(F.array(*ranges)).alias("a")).where("a.has").select("security_id", "a.ticker", "a.valid_from", "a.valid_to")
+
+    def issuer_ticker(self) -> DataFrame:
+        """SEC's list: every third issuer of a hundred with the ticker of one security, spelled with a dash."""
+        cik = F.col("id").cast("string")
+        return self.spark.range(0, 100, 3).select(F.concat(F.lit("B-"), (F.col("id") + 11).cast("string")).alias("ticker"), cik.alias("cik"))
 
     def _lines(self) -> DataFrame:
         part = self.table("part").select("p_partkey", F.regexp_extract("p_brand", "([0-9]+)$", 1).cast("long").alias("security_id"))
@@ -64,10 +86,16 @@ class Domain:
             F.when(F.col("o_orderstatus") == "P", "suspect").otherwise("ok").alias("parse_status"),
         )
 
+    def amendment_filer(self) -> DataFrame:
+        """Nations as filers; even ones sum their CIKs, odd ones are succeeded by them."""
+        overlap = F.when(F.col("n_nationkey") % 2 == 0, "sum").otherwise("successor")
+        return self.table("nation").select(F.col("n_nationkey").cast("long").alias("filer_id"), overlap.alias("overlap"))
+
     def amendment_cik(self) -> DataFrame:
-        """Nations' CIKs with priorities; even nations sum theirs, odd ones are succeeded by them."""
-        nation = self.table("nation").select(F.col("n_nationkey").cast("long").alias("filer_id"), F.when(F.col("n_nationkey") % 2 == 0, "sum").otherwise("successor").alias("overlap"))
-        return nation.select("filer_id", "overlap", F.explode(F.array(*[F.struct(F.lit(str(i)).alias("cik"), F.lit(p).cast("int").alias("priority")) for i, p in ((0, 1), (1, 2), (2, None))])).alias("x")).select("filer_id", "overlap", "x.*")
+        """Nations' CIKs with priorities: CIK 2 has none, and every fifth nation has no row for its CIK 1."""
+        each = F.explode(F.array(*[F.struct(F.lit(str(i)).alias("cik"), F.lit(p).cast("int").alias("priority")) for i, p in ((0, 1), (1, 2), (2, None))]))
+        rows = self.table("nation").select(F.col("n_nationkey").cast("long").alias("filer_id"), each.alias("x")).select("filer_id", "x.*")
+        return rows.where("not (cik = '1' and filer_id % 5 = 0)")
 
     def insider_line(self) -> DataFrame:
         day = F.to_date("ts")
@@ -88,7 +116,12 @@ class Domain:
 #: The same tables for DuckDB, as common table expressions.
 SQL = {
     "filer": f"SELECT s_suppkey::BIGINT AS filer_id, s_name AS name, lower(replace(s_name, '#', '-')) AS slug, ({CATEGORIES!r})[s_nationkey % 6 + 1] AS category FROM supplier",
-    "security": "SELECT DISTINCT regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT AS security_id, p_brand AS ticker FROM part",
+    "security": """SELECT security_id, 'B.' || security_id AS ticker, lpad(security_id::VARCHAR, 9, '0') AS cusip, 'Brand ' || security_id || ' Inc' AS name,
+      CASE WHEN security_id % 9 = 0 THEN DATE '1999-06-30' END AS delisted_by FROM (SELECT DISTINCT regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT AS security_id FROM part)""",
+    "alias": """SELECT security_id, 'OLD.' || security_id AS ticker, NULL::DATE AS valid_from, DATE '1998-01-01' AS valid_to FROM security
+      UNION ALL SELECT security_id, ticker, DATE '1998-01-01', NULL FROM security
+      UNION ALL SELECT security_id, 'B.' || (security_id + 1), DATE '1999-01-01', NULL FROM security WHERE security_id % 7 = 0""",
+    "issuer_ticker": "SELECT 'B-' || (i + 11) AS ticker, i::VARCHAR AS cik FROM range(0, 100, 3) r(i)",
     "lines_": """SELECT l_partkey, l_suppkey::BIGINT AS filer_id, last_day(date_trunc('quarter', l_shipdate) + INTERVAL 2 MONTH)::DATE AS period, regexp_extract(p_brand, '([0-9]+)$', 1)::BIGINT AS security_id,
       l_quantity::DECIMAL(20,4) AS q, l_extendedprice::DECIMAL(20,2) AS v, l_returnflag, l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "holding": """SELECT filer_id * 10000 + year(period) * 4 + quarter(period) - 1 AS filing_id, filer_id, security_id, period, q AS shares, v AS value_usd,
@@ -99,8 +132,9 @@ SQL = {
       last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH)::DATE AS period, o_orderdate AS filed_at, CASE WHEN o_orderpriority[1] IN ('1', '2') THEN '13F-HR' ELSE '13F-HR/A' END AS form_type,
       CASE o_orderpriority[1] WHEN '3' THEN 'restatement' WHEN '4' THEN 'new_holdings' END AS amendment_kind, CASE WHEN o_orderstatus = 'P' THEN 'suspect' ELSE 'ok' END AS parse_status
       FROM orders JOIN customer ON o_custkey = c_custkey""",
-    "amendment_cik": """SELECT n_nationkey::BIGINT AS filer_id, CASE WHEN n_nationkey % 2 = 0 THEN 'sum' ELSE 'successor' END AS overlap, cik, priority
-      FROM nation, (VALUES ('0', 1), ('1', 2), ('2', NULL)) c(cik, priority)""",
+    "amendment_filer": "SELECT n_nationkey::BIGINT AS filer_id, CASE WHEN n_nationkey % 2 = 0 THEN 'sum' ELSE 'successor' END AS overlap FROM nation",
+    "amendment_cik": """SELECT n_nationkey::BIGINT AS filer_id, cik, priority FROM nation, (VALUES ('0', 1), ('1', 2), ('2', NULL)) c(cik, priority)
+      WHERE NOT (cik = '1' AND n_nationkey % 5 = 0)""",
     "insider_line": """SELECT event_id::BIGINT AS id, ts::DATE AS transaction_date, event_id::BIGINT AS filing_id, user_id::BIGINT AS insider_id, json_extract_string(props, '$.k') AS issuer_cik,
       json_extract_string(props, '$.k')::BIGINT % 25 AS security_id, event_id % 11 = 0 AS is_derivative,
       CASE event_type WHEN 'purchase' THEN 'P' WHEN 'error' THEN 'A' WHEN 'signup' THEN 'G' ELSE 'S' END AS transaction_code, 100::DECIMAL(20,4) AS shares,
