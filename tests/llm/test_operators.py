@@ -237,8 +237,8 @@ def test_op7(spark, empty):
 
 def test_op8(spark):
     calls = [("c1", 0, "a", "search", '{"words": 3, "text": "x"}', None), ("c1", 2, "b", "summarise", '{"text": "x", "words": "3"}', "a"), ("c1", 4, "c", "translate", "not json", "b"), ("c2", 0, "d", "other", "{}", "e"), ("c2", 2, "e", "search", None, "d")]
-    calls = spark.createDataFrame(calls, "conv_id string, turn long, call_id string, name string, arguments string, after string")
-    results = spark.createDataFrame([("a", 1, 'said "yes"'), ("z", 1, "no call"), ("a", 3, "later")], "call_id string, turn long, content string")
+    calls = spark.createDataFrame([(*c, "clash", "clash") for c in calls], "conv_id string, turn long, call_id string, name string, arguments string, after string, id string, depth string")
+    results = spark.createDataFrame([("c1", "a", 1, 'said "yes"'), ("c1", "z", 1, "no call"), ("c1", "a", 3, "later")], "conv_id string, call_id string, turn long, content string")
     got = {r.call_id: r for r in op8_toolcalls.link_calls(calls, results).collect()}
     assert {k: (r.depth, r.valid, r.errors, r.has_result) for k, r in got.items()} == {
         "a": (0, True, [], True), "b": (1, False, ["type:words"], False), "c": (2, False, ["not-json"], False), "d": (None, False, ["unknown-tool"], False), "e": (None, False, ["not-json"], False),
@@ -247,6 +247,24 @@ def test_op8(spark):
     assert op8_toolcalls.link_calls(calls.limit(0), results).count() == 0
 
 
+def test_op8_keeps_conversations_and_every_call_apart(spark):
+    text = "t" * 200_000
+    calls = [
+        ("c1", 0, "call_0", "search", '{"words": 3, "text": "x"}', None), ("c2", 0, "call_0", "search", '{"words": 3, "text": "x"}', None), (None, 0, "call_0", "search", "{}", None),
+        ("c1", 2, "call_0", "search", '{"words": 4, "text": "y"}', None), ("c1", 2, "call_0", "search", '{"words": 4, "text": "y"}', None),
+        ("c1", 4, None, "search", '{"words": 1, "text": "' + text + '"}', "call_0"), ("c1", 4, None, None, "", "gone"), ("c1", None, "n", "search", "[]", "call_0"),
+    ]
+    calls = spark.createDataFrame(calls, "conv_id string, turn long, call_id string, name string, arguments string, after string")
+    results = spark.createDataFrame([("c1", "call_0", 1, "one"), ("c2", "call_0", 1, None), ("c1", None, 1, "none")], "conv_id string, call_id string, turn long, content string")
+    got = op8_toolcalls.link_calls(calls, results).collect()
+    seen = sorted((str(r.conv_id), str(r.turn), str(r.call_id), r.depth, r.has_result) for r in got)
+    assert seen == [
+        ("None", "0", "call_0", 0, False), ("c1", "0", "call_0", 0, True), ("c1", "2", "call_0", 0, True), ("c1", "2", "call_0", 0, True), ("c1", "4", "None", 0, False), ("c1", "4", "None", 1, False),
+        ("c1", "None", "n", 1, False), ("c2", "0", "call_0", 0, True),
+    ]
+    assert max(len(r.json) for r in got) > 200_000
+
+
 # ---------------------------------------------------------------- 9
 
 

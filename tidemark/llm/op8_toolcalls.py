@@ -41,41 +41,54 @@ def argument_errors(name: str, arguments: str, schemas: dict[str, dict[str, tupl
     return F.when(F.coalesce(broken, F.lit(True)), F.array(F.lit("not-json"))).otherwise(found)
 
 
+def _key(*columns: str) -> Column:
+    """One text for an identifier within its conversation, null without the identifier."""
+    return F.when(F.col(columns[-1]).isNotNull(), F.to_json(F.struct(*(F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)))))
+
+
 def depths(calls: DataFrame) -> DataFrame:
-    """(call_id, after) to (call_id, depth): steps from a call that builds on none, by doubling the step that
+    """(id, after) to (id, depth): steps from a call that builds on none, by doubling the step that
     each row has taken, so a chain takes rounds in the logarithm of its length. Calls on or behind a cycle have
     a null depth; a call that names one that isn't there builds on none."""
-    ids = calls.select("call_id")
-    linked = calls.where("after is not null").join(ids.select(F.col("call_id").alias("after")), "after", "left_semi").select("call_id", F.col("after").alias("up"))
-    state = ids.join(linked, "call_id", "left").withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long"))
+    ids = calls.select("id")
+    linked = calls.where("after is not null").join(ids.select(F.col("id").alias("after")).hint("shuffle_hash"), "after", "left_semi").select("id", F.col("after").alias("up"))
+    state = ids.join(linked.hint("shuffle_hash"), "id", "left").withColumn("depth", F.when(F.col("up").isNotNull(), 1).otherwise(0).cast("long"))
     state = written(state, "depths")
     rounds = ceil(log2(state.count() + 1)) + 1
     for _ in range(rounds):
         if state.where("up is not null").isEmpty():
             break
-        above = state.select(F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
-        state = state.join(above, "up", "left").select("call_id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("more"))
+        state = state.join(above.hint("shuffle_hash"), "up", "left").select("id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
         state = written(state, "depths")
-    return state.select("call_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+    return state.select("id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, tuple[str, bool]]] | None = None) -> DataFrame:
-    """calls (conv_id, turn, call_id, name, arguments, after) and results (call_id, turn, content) to a row for each call:
+    """calls (conv_id, turn, call_id, name, arguments, after) and results (conv_id, turn, call_id, content) to a row for each call:
     conv_id, turn, call_id, depth, valid, errors, has_result and `json`, canonical: keys in order, no white space.
 
-    (depth, turn, call_id) orders a conversation's calls after those that they build on. Of repeated calls or
-    results of one id the first by turn stays. A call without an id or a conversation takes part under the id it has,
-    or ''. Null or malformed arguments are not-json; results of no call are left out. Columns besides
-    these aren't read; empty tables give no rows.
+    Identifiers hold within a conversation (a null one is a conversation too), so two that both use `call_0` are kept apart.
+    (depth, turn, call_id) orders a conversation's calls after those that they build on. Every call has its row: repeated
+    ones share the result and the depth of the first by turn, those without an identifier have no result and stand one
+    step after what they build on. Of several results of an identifier the first by turn counts. Null or malformed
+    arguments are not-json; results of no call are left out. Columns besides these aren't read; empty tables give no rows.
+
+    Joins are hash joins on keys that are unique on their built side, so that each part of it is small however large a conversation is.
     """
     schemas = SCHEMAS if schemas is None else schemas
-    named = calls.select(F.coalesce("call_id", F.lit("")).alias("call_id"), F.struct("turn", "conv_id", "name", "arguments", "after").alias("call"))
-    first = named.groupBy("call_id").agg(F.min("call").alias("call")).select("call_id", "call.*")
+    named = calls.select("conv_id", "turn", "call_id", "name", "arguments", _key("conv_id", "call_id").alias("id"), _key("conv_id", "after").alias("after"))
+    first = named.where("id is not null").groupBy("id").agg(F.min(F.struct("turn", "after"))["after"].alias("after"))
     first = written(first, "calls")
-    answer = results.where("call_id is not null").groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r"))
-    answer = answer.select("call_id", F.lit(True).alias("answered"), F.col("r.content").alias("content"))
-    full = first.join(depths(first.select("call_id", "after")), "call_id").join(answer, "call_id", "left")
-    full = full.withColumn("errors", argument_errors("name", "arguments", schemas))
+    answer = results.select(_key("conv_id", "call_id").alias("id"), "turn", "content").where("id is not null").groupBy("id").agg(F.min(F.struct("turn", "content")).alias("r"))
+    answer = answer.select("id", F.lit(True).alias("answered"), F.col("r.content").alias("content"))
+    known = written(depths(first).join(answer.hint("shuffle_hash"), "id", "left"), "answers")
+    own = named.where("id is not null").join(known.hint("shuffle_hash"), "id").select("conv_id", "turn", "call_id", "name", "arguments", "depth", "answered", "content")
+    above = known.select(F.col("id").alias("after"), "depth", F.lit(True).alias("there"))
+    loose = named.where("id is null").join(above.hint("shuffle_hash"), "after", "left").select(
+        "conv_id", "turn", "call_id", "name", "arguments", F.when(F.col("there"), F.col("depth") + 1).otherwise(0).alias("depth"), F.lit(None).cast("boolean").alias("answered"), F.lit(None).cast("string").alias("content")
+    )
+    full = own.unionByName(loose).withColumn("errors", argument_errors("name", "arguments", schemas))
     full = full.withColumns({"valid": F.size("errors") == 0, "has_result": F.coalesce("answered", F.lit(False))})
     tidy = F.coalesce(F.to_json(F.try_parse_json("arguments")), F.lit("null"))
     quoted = lambda c: F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(c).cast("string").alias("x"))), '(?s)^\\{"x":(.*)\\}$', 1), F.lit("null"))
@@ -88,7 +101,7 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str
 
 def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results as the conversations imply them: each assistant turn calls a tool with its whole text, building on the
-    call two turns before; the user turn after it holds the result."""
+    call two turns before; the user turn after it holds the result. A turn without a number or a conversation makes a call without an identifier."""
     ident = lambda turn: F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), turn.cast("string"))
     turn = F.col("turn")
     kind = F.pmod(F.floor(turn / 2), F.lit(3))
@@ -96,10 +109,8 @@ def calls_of(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     arguments = F.when(kind == 0, F.to_json(F.struct("text", count.alias("words")))).when(kind == 1, F.to_json(F.struct(F.lit(0.5).alias("ratio"), "text", count.cast("string").alias("words"))))
     arguments = arguments.otherwise(F.to_json(F.struct(F.when(F.pmod("conv_id", F.lit(2)) == 0, "en").alias("target"), "text")))
     name = F.when(kind == 0, "search").when(kind == 1, "summarise").otherwise("translate")
-    calls = conversations.where("role = 'assistant' and conv_id is not null and turn is not null")
-    calls = calls.select("conv_id", "turn", ident(turn).alias("call_id"), name.alias("name"), arguments.alias("arguments"), ident(turn - 2).alias("after"))
-    results = conversations.where("role = 'user' and conv_id is not null and turn is not null")
-    return calls, results.select(ident(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    calls = conversations.where("role = 'assistant'").select("conv_id", "turn", ident(turn).alias("call_id"), name.alias("name"), arguments.alias("arguments"), ident(turn - 2).alias("after"))
+    return calls, conversations.where("role = 'user'").select("conv_id", "turn", ident(turn - 1).alias("call_id"), F.col("text").alias("content"))
 
 
 ORACLE = """
