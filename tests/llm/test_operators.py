@@ -302,6 +302,52 @@ def test_op9(docs, rows, empty):
 # ---------------------------------------------------------------- 10
 
 
+def _least_edits(item, text):
+    """Fewest edits that turn the item into some substring of the text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item, 1):
+        last, row = row, [i] + [0] * len(text)
+        for j, d in enumerate(text, 1):
+            row[j] = min(last[j - 1] + (c != d), last[j] + 1, row[j - 1] + 1)
+    return min(row)
+
+
+@pytest.mark.parametrize("block", [op10_decontaminate.BLOCK, 400])
+def test_op10_against_the_plain_table(spark, monkeypatch, block):
+    monkeypatch.setattr(op10_decontaminate, "BLOCK", block)
+    rng = random.Random(11)
+    letters = "abcdefghij"
+    common = "the question shared by every item is "
+    items = [common + "".join(rng.choices(letters, k=rng.randint(5, 90))) for _ in range(12)] + ["".join(rng.choices(letters, k=k)) for k in (11, 12, 24, 40)]
+    rows = []
+    for n in range(150):
+        item = list(rng.choice(items))
+        for _ in range(rng.randint(0, 7)):  # substitutions, insertions and deletions, at the ends too
+            at = rng.choice([0, len(item) - 1, rng.randrange(len(item))]) if item else 0
+            kind = rng.randrange(3)
+            item[at : at + (kind != 1)] = [rng.choice(letters)] if kind < 2 else []
+        around = ["".join(rng.choices(letters, k=rng.choice([0, 0, 3, 60]))) for _ in range(2)]
+        rows.append((n, around[0] + "".join(item) + around[1] + (common if n % 7 == 0 else "")))
+    benchmark = spark.createDataFrame([(None if i == 3 else i, t) for i, t in enumerate(items)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, __matches long").repartition(2)
+    got = {r.doc_id: r for r in op10_decontaminate.contamination(docs, benchmark).collect()}
+    plain = lambda t: t.replace(" ", "")
+    hits = 0
+    for i, text in rows:
+        wanted = {}
+        for k, item in enumerate(items):
+            own = plain(item)
+            if len(own) >= op10_decontaminate.Q:
+                budget = min(int(len(own) * op10_decontaminate.RATE), (len(own) - op10_decontaminate.Q) // op10_decontaminate.Q)
+                least = _least_edits(own, plain(text))
+                if least <= budget:
+                    wanted[None if k == 3 else k] = least
+        hits += len(wanted)
+        assert set(got[i].item_ids) == set(wanted), (i, text)
+        assert got[i].least_edits == (min(wanted.values()) if wanted else None)
+    assert hits > 60
+
+
 def test_op10(spark, docs, empty):
     rng = random.Random(4)
     items = [" ".join(rng.choices(WORDS, k=30)) for _ in range(6)]

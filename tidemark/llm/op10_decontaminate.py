@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, utf8, window_hash
+from .common import pieces, removed, stored, utf8, window_hash
 
 #: Bytes of a q-gram, and edits allowed for each byte of a normalised item.
 Q, RATE = 12, 0.05
-#: Bytes of items that one index holds; a larger benchmark is searched in so many blocks.
-BLOCK = 16 << 20
+#: Bytes of items that one index holds; a larger benchmark is searched block after block.
+BLOCK = 4 << 20
+#: Pairs that the search holds at once.
+PAIRS = 1 << 20
 _TABLE = 22
 
 MATCHES = "array<struct<item_id:long,start:int,stop:int,edits:int>>"
@@ -35,13 +37,21 @@ def normalised(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return low[kept], np.searchsorted(kept, at), kept
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
 class Index:
-    """q-grams of the items, sorted by hash, with the edits and common q-grams that each item asks for."""
+    """q-grams of a block of items: the edits and common q-grams that each item asks for, its probes, and all its q-grams.
+
+    An item of t q-grams asks for t - q * edits of them. So of any q * edits + 1 of its q-grams a match has one, and its
+    rarest so many are its probes: a q-gram that many items share is looked at for those alone that have none rarer.
+    """
 
-    def __init__(self, ids: list[int], texts: list[str], q: int = Q, rate: float = RATE):
+    def __init__(self, ids: list[int | None], texts: list[str], q: int = Q, rate: float = RATE):
         data, at = utf8(pa.array(texts, pa.string()))
         data, at, _ = normalised(data, at)
-        self.q, self.ids, self.at, self.data = q, np.asarray(ids, np.int64), at, data
+        self.q, self.ids, self.at, self.data = q, pa.array(ids, pa.int64()), at, data
         self.size = np.diff(at)
         self.edits = np.maximum(np.minimum((self.size * rate).astype(np.int64), (self.size - q) // q), 0)
         self.least = np.maximum(self.size - q + 1 - q * self.edits, 1)
@@ -49,14 +59,70 @@ class Index:
         of = np.searchsorted(at, np.arange(len(h)), "right") - 1
         fits = np.arange(len(h)) + q <= at[of + 1]
         h, of, place = h[fits], of[fits], (np.arange(len(h)) - at[of])[fits]
-        order = np.argsort(h, kind="stable")
-        h, self.item, self.place = h[order], of[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        self.hash, self.first = h[first], np.concatenate([first, [len(h)]])
+        self.hash, gram = np.unique(h, return_inverse=True)
+        count = np.bincount(gram, minlength=len(self.hash))
+        # all q-grams, by item and then q-gram
+        order = np.lexsort((place, gram, of))
+        self.key, self.place = of[order] * max(len(self.hash), 1) + gram[order], place[order]
+        # probes, by q-gram
+        order = np.lexsort((place, count[gram], of))
+        rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        probe = order[rank <= q * self.edits[of[order]]]
+        probe = probe[np.argsort(gram[probe], kind="stable")]
+        self.probe_item, self.probe_place = of[probe], place[probe]
+        self.probe_first = np.searchsorted(gram[probe], np.arange(len(self.hash) + 1))
         self.table = np.zeros(1 << _TABLE, bool)
         self.table[self.hash >> np.uint64(64 - _TABLE)] = True
 
 
+def _spread(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that stand for so many things each: the row of each thing, and its place among the row's."""
+    return np.repeat(np.arange(len(count)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _slices(count: np.ndarray) -> Iterator[slice]:
+    """Ranges of rows that stand for PAIRS things at most, or of one row."""
+    total, i = np.cumsum(count), 0
+    while i < len(count):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
+        yield slice(i, j)
+        i = j
+
+
+def _bands(index: Index, x: np.ndarray, gram: np.ndarray, row: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, band) with enough common q-grams. Band b of an item with e edits holds the diagonals from b (e + 1) to before
+    (b + 2) (e + 1), so bands overlap and any match lies whole in one."""
+    found = []
+    count = index.probe_first[gram + 1] - index.probe_first[gram]
+    for part in _slices(count):
+        of, nth = _spread(count[part])
+        post = index.probe_first[gram[part]][of] + nth
+        item, r = index.probe_item[post], row[part][of]
+        band = np.floor_divide(x[part][of] - index.probe_place[post] - cut[r], index.edits[item] + 1)
+        both = np.stack([np.tile(r, 2), np.tile(item, 2), np.concatenate([band, band - 1])])
+        found.append(np.unique(both, axis=1))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    row_, item, band = np.unique(np.concatenate(found, axis=1), axis=1)
+    wide = index.edits[item] + 1
+    begin = cut[row_] + band * wide
+    first = np.searchsorted(x, np.maximum(begin, cut[row_]))
+    last = np.searchsorted(x, np.minimum(begin + 2 * wide + index.size[item], cut[row_ + 1]))
+    shared = np.zeros(len(item), np.int64)
+    count = np.maximum(last - first, 0)
+    for part in _slices(count):
+        of, nth = _spread(count[part])
+        at = first[part][of] + nth
+        key = item[part][of] * len(index.hash) + gram[at]
+        low = np.searchsorted(index.key, key)
+        again, more = _spread(np.searchsorted(index.key, key, "right") - low)
+        diagonal = x[at][again] - index.place[low[again] + more] - begin[part][of][again]
+        inside = (diagonal >= 0) & (diagonal < 2 * wide[part][of][again])
+        shared[part] += np.bincount(of[again][inside], minlength=part.stop - part.start)
+    enough = shared >= index.least[item]
+    return row_[enough], item[enough], band[enough]
+
+
 def _align(index: Index, data: np.ndarray, item: np.ndarray, low: np.ndarray, width: int, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fewest edits that turn each item into bytes of its region, and where these start and stop in data.
 
@@ -88,7 +154,7 @@ def _align(index: Index, data: np.ndarray, item: np.ndarray, low: np.ndarray, wi
         done = size == i + 1
         if done.any():
             j = packed[done].argmin(1)
-            value = packed[done, j] if False else packed[done][np.arange(done.sum()), j]
+            value = packed[done][np.arange(done.sum()), j]
             best[done] = value >> 40
             start[done] = value & ((1 << 40) - 1)
             stop[done] = low[done] + i + j + 1
@@ -109,21 +175,7 @@ def find(index: Index, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ..
     row = np.searchsorted(cut, x, "right") - 1
     ok = x + index.q <= cut[row + 1]
     x, k, row = x[ok], k[ok], row[ok]
-    count = index.first[k + 1] - index.first[k]
-    post = np.repeat(index.first[k] - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
-    x, row = np.repeat(x, count), np.repeat(row, count)
-    item, diagonal = index.item[post], x - index.place[post] - cut[row]  # of the document, so that bands don't depend on the batch
-    wide = index.edits[item] + 1
-    band = np.floor_divide(diagonal, wide)
-    row, item, band = np.concatenate([row, row]), np.concatenate([item, item]), np.concatenate([band, band - 1])
-    order = np.lexsort((band, item, row))
-    row, item, band = row[order], item[order], band[order]
-    if not len(row):
-        return none
-    first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | (band[1:] != band[:-1])]))
-    count = np.diff(np.concatenate([first, [len(row)]]))
-    enough = count >= index.least[item[first]]
-    row, item, band = row[first][enough], item[first][enough], band[first][enough]
+    row, item, band = _bands(index, x, k, row, cut)
     if not len(row):
         return none
     edits = index.edits[item]
@@ -161,7 +213,7 @@ def _column(index: Index):
                 found = find(index, data[at[i] : at[j]], at[i : j + 1] - at[i])
                 parts.append((found[0] + i, *found[1:]))
             cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 5
-            values = pa.StructArray.from_arrays([pa.array(index.ids[cols[1]] if len(cols[1]) else cols[1]), *(pa.array(c.astype(np.int32)) for c in cols[2:])], ["item_id", "start", "stop", "edits"])
+            values = pa.StructArray.from_arrays([index.ids.take(pa.array(cols[1])), *(pa.array(c.astype(np.int32)) for c in cols[2:])], ["item_id", "start", "stop", "edits"])
             offsets = np.searchsorted(cols[0], np.arange(len(column) + 1)).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), values)
 
@@ -174,17 +226,24 @@ def with_matches(docs: DataFrame, benchmark: DataFrame, name: str = "matches", q
     An item matches where its normalised bytes turn into the text's with RATE edits a byte at most (fewer for
     short items, so that the q-gram lemma asks for one common q-gram at least). Null and empty texts match
     nothing; neither do items that are null or have under q normalised bytes. A repeated item is found under
-    each of its ids; a null item_id stays null. Items of more than BLOCK bytes in all are searched in blocks, each
-    within that bound, so that what goes to the executors doesn't grow with the benchmark.
+    each of its ids; a null item_id stays null. A benchmark of more than BLOCK bytes is searched block after block:
+    driver and tasks hold the index of one, and what was found goes on in a stored table.
     """
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(total // BLOCK) + 1
-    columns = []
+    found, before = docs, None
     for block in range(blocks):
         rows = sorted(items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect(), key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        columns.append(_column(Index([-1 if r.item_id is None else r.item_id for r in rows], [r.text for r in rows], q, rate)))
-    return docs.withColumn(name, columns[0] if blocks == 1 else F.concat(*columns))
+        column = _column(Index([r.item_id for r in rows], [r.text for r in rows], q, rate))
+        if block == 0:
+            found = found.withColumn(name, column)
+        else:
+            kept, path = stored(found, "matches")
+            if before:
+                removed(docs.sparkSession, before)
+            found, before = kept.withColumn(name, F.concat(name, column)), path
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
