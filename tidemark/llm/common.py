@@ -20,16 +20,31 @@ _ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local runs without one a temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Without it a local run has a temporary folder; on a
+    cluster, whose executors would not see that, it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not (have := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
             have = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = have.get()
     return where.rstrip("/")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until docs has no such column."""
+    have = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """The DataFrame as a Parquet table in the shared folder, which cuts its lineage and survives lost executors; and where it is."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
@@ -168,27 +183,44 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
+#: Nodes with more than this share of all links are hubs: fewer than HUBS of them can be, so their minima may be broadcast.
+HUBS = 1024
+
+
+def _followed(links: DataFrame, least: DataFrame, limit: int) -> DataFrame:
+    """links (a, b) with the minimum m of a. A hub's links stay where they are and meet its minimum there; the others are shuffled."""
+    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", "m"))
+    rest = links.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= limit).select("a", "m"), "a")
+    return links.join(hubs, "a").select("a", "b", "m").unionByName(rest.select("a", "b", "m"))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) links to (id, root), root the smallest id that can be reached; ids without links have no row.
 
     Large-star and small-star rounds: every node's neighbours are hung on the smallest of them, until
-    nothing changes. A round has two grouped minima, whose partial sums spare hubs, and joins that AQE can split.
+    nothing changes; an error if `rounds` don't suffice, which takes chains of 2**30 nodes or so. A round has two
+    grouped minima, whose partial sums spare hubs, and joins that don't shuffle a hub's links (_followed).
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links = written(links, "links")
-    before = None
+    links, path = stored(links, "links")
+    total, before = links.count(), None
     for _ in range(rounds):
+        limit = max(2 * total // HUBS, 1000)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _followed(both.where("b > a"), least, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*")
-        links = written(small.where("a <> b").distinct(), "links")
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _followed(large, least, limit).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*")
+        links, new = stored(small.where("a <> b").distinct(), "links")
+        removed(links.sparkSession, path)
+        path = new
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, total = now, now[0]
+    else:
+        raise RuntimeError(f"components are not complete after {rounds} rounds")
     return links.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
 
 

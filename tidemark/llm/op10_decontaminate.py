@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, removed, stored, utf8, window_hash
+from .common import pieces, removed, stored, unused, utf8, window_hash
 
 #: Bytes of a q-gram, and edits allowed for each byte of a normalised item.
 Q, RATE = 12, 0.05
@@ -258,4 +258,5 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, in which no item is found."""
-    return with_matches(docs, benchmark, "__matches").where("size(__matches) = 0").drop("__matches")
+    (name,) = unused(docs, "matches")
+    return with_matches(docs, benchmark, name).where(F.size(name) == 0).drop(name)

@@ -16,8 +16,8 @@ from .common import shared_dir
 
 #: Payloads from this size on are stored once.
 REVISIT_BYTES = 100
-#: Records of one WARC file at most, which bounds what a reader holds.
-FILE_RECORDS = 2000
+#: Compressed bytes of one WARC file, by which a reader's memory is bounded; a single longer record makes a longer file.
+FILE_BYTES = 8 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed values of the format: fields of a URL record's header line by version.
 FIELDS = {
@@ -25,7 +25,9 @@ FIELDS = {
     "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 _CRLF = b"\r\n"
-RECORD = "page_id long, url string, ip string, date string, head string, payload string"
+RECORD = "kind string, page_id long, url string, ip string, date string, head binary, payload binary"
+#: A gzip member of no bytes, which ends a file: the text writer puts something after each row.
+_EMPTY = zlib.compressobj(1, zlib.DEFLATED, 31).flush()
 
 
 # ---------------------------------------------------------------- ARC
@@ -48,7 +50,7 @@ def arc_segment(version: str, records: list[tuple[str, str, str, bytes]], name:
 def parse_arc(data: bytes) -> Iterator[dict[str, object]]:
     """The URL records of an ARC file: header fields by name as its version block lists them, and `body`.
 
-    A version block without a list of fields has its version's. Blank lines between records are skipped; a header
+    The version block itself is a record too. One without a list of fields has its version's. Blank lines between records are skipped; a header
     line with another count of fields, or a length that the file doesn't hold, ends the reading with ValueError.
     """
     at, fields, size = 0, None, len(data)
@@ -72,23 +74,27 @@ def parse_arc(data: bytes) -> Iterator[dict[str, object]]:
             lines = body.decode("utf-8", "replace").splitlines()
             version = lines[0].split(" ")[0] if lines else "1"
             fields = (lines[1] if len(lines) > 1 and lines[1] else FIELDS.get(version, FIELDS["1"])).split(" ")
+            yield {"URL": values[0], "IP-address": values[1], "Archive-date": values[2], "body": body}
             continue
         if fields is None or len(values) != len(fields):
             raise ValueError(f"an ARC header line of {len(values)} fields")
         yield dict(zip(fields, values, strict=True)) | {"body": body}
 
 
-def _split_http(body: bytes) -> tuple[str, bytes]:
+def _split_http(body: bytes) -> tuple[bytes, bytes]:
     cut = body.find(b"\r\n\r\n")
-    return ("", body) if cut < 0 or not body.startswith(b"HTTP/") else (body[: cut + 4].decode("utf-8", "replace"), body[cut + 4 :])
+    return (b"", body) if cut < 0 or not body.startswith(b"HTTP/") else (body[: cut + 4], body[cut + 4 :])
 
 
 def _rows(records: Iterator[dict[str, object]]) -> list[tuple]:
+    """RECORD rows: a version block is a warcinfo, a dns: answer a resource, all else a response. Bytes stay as they are."""
     out = []
     for r in records:
-        head, payload = _split_http(r["body"])
-        page = re.search(r"\r\nX-Page-Id: (-?\d+)\r\n", head)
-        out.append((int(page[1]) if page else None, r["URL"], r["IP-address"], r["Archive-date"], head, payload.decode("utf-8", "replace")))
+        url = r["URL"]
+        kind = "warcinfo" if url.startswith("filedesc://") else "resource" if url.startswith("dns:") else "response"
+        head, payload = _split_http(r["body"]) if kind == "response" else (b"", r["body"])
+        page = re.search(rb"\r\nX-Page-Id: (-?\d+)\r\n", head)
+        out.append((kind, int(page[1]) if page else None, url, r["IP-address"], r["Archive-date"], head, payload))
     return out
 
 
@@ -96,8 +102,8 @@ def _batch(rows: list[tuple], kinds: tuple[pa.DataType, ...], names: list[str])
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(kinds), kinds, strict=True)], names)
 
 
-_RECORD_TYPES = (pa.int64(), *[pa.string()] * 5)
-_RECORD_NAMES = ["page_id", "url", "ip", "date", "head", "payload"]
+_RECORD_TYPES = (pa.string(), pa.int64(), *[pa.string()] * 3, *[pa.binary()] * 2)
+_RECORD_NAMES = ["kind", "page_id", "url", "ip", "date", "head", "payload"]
 
 
 def _through_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +124,8 @@ def _through_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of ARC files (.arc or .arc.gz) as RECORD rows; page_id is null unless a record's HTTP head has it."""
+    """The records of ARC files (.arc or .arc.gz) as RECORD rows, version blocks and dns answers among them; page_id is null
+    unless a record's HTTP head has it. A file is one task, so it should be of the usual size of some hundred MB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,32 +158,54 @@ def _record_id(page: str, digest: str):
 
 
 def warc_records(records: DataFrame) -> DataFrame:
-    """A column `record` with the text of one WARC record for each row of RECORD.
+    """Columns `head` and `block`, the bytes of one WARC record for each row of RECORD.
 
-    Of records with one payload digest and REVISIT_BYTES or more, those of the smallest page_id are responses, the others
-    revisits that refer to it. The digest's group is a minimum, summed before it is shuffled; the join back is one
-    that Spark splits where many rows share a payload.
+    Of responses with one payload digest and REVISIT_BYTES or more, those of the smallest page_id are responses, the others
+    revisits that refer to it. Equal rows are one record to WARC and share its identifier. The digest's group is a minimum, summed
+    before it is shuffled; the join back is one that Spark splits where many rows share a payload.
     """
     named = records.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
-    firsts = named.where(F.col("size") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    known = named.join(firsts, "digest", "left")
-    again = F.coalesce((F.col("first").isNotNull()) & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
+    firsts = named.where((F.col("kind") == "response") & (F.col("size") >= REVISIT_BYTES)).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    known = named.join(firsts.where("n > 1").select("digest", "first"), "digest", "left")
+    again = F.coalesce((F.col("kind") == "response") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
     known = known.withColumns({"again": again, "id": _record_id("page_id", "digest")})
     block = F.when(F.col("again"), F.col("head")).otherwise(F.concat("head", "payload"))
     when = F.concat(*(F.substring("date", i, n) if isinstance(i, int) else F.lit(i) for i, n in ((1, 4), ("-", 0), (5, 2), ("-", 0), (7, 2), ("T", 0), (9, 2), (":", 0), (11, 2), (":", 0), (13, 2), ("Z", 0))))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
+    info, web = F.col("kind") == "warcinfo", F.octet_length("head") > 0
+    kind = F.when(info, "text/plain").when(F.col("kind") == "resource", "text/dns").when(web, "application/http; msgtype=response").otherwise("application/octet-stream")
     head = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(F.col("again"), "revisit").otherwise("response")), line("WARC-Record-ID", F.col("id")), line("WARC-Date", when),
-        line("WARC-Target-URI", F.col("url")), line("WARC-IP-Address", F.col("ip")), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(F.col("again"), "revisit").otherwise(F.col("kind"))), line("WARC-Record-ID", F.col("id")), line("WARC-Date", when),
+        F.when(info, line("WARC-Filename", F.substring_index("url", "/", -1))).otherwise(F.concat(line("WARC-Target-URI", F.col("url")), line("WARC-IP-Address", F.col("ip")))),
+        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), line("X-Payload-Bytes", F.col("size").cast("string")),
         F.when(F.col("again"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id("first", "digest")))).otherwise(""),
-        line("Content-Type", F.lit("application/http; msgtype=response")), line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"),
+        line("Content-Type", kind), line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"),
     )
-    return known.withColumn("block", block).select(F.concat(head, "block").alias("record"))
+    return known.withColumn("block", block).select(head.alias("head"), "block")
+
+
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """WARC files of about FILE_BYTES, a row each: records as gzip members of their own."""
+    parts, size = [], 0
+    for batch in batches:
+        for head, block in zip(batch["head"], batch["block"], strict=True):
+            squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
+            parts += [squeeze.compress(head.as_py().encode()), squeeze.compress(block.as_py()), squeeze.compress(_CRLF * 2), squeeze.flush()]
+            size += sum(map(len, parts[-4:]))
+            if size >= FILE_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["file"])
+                parts, size = [], 0
+    if parts:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], ["file"])
 
 
 def write_warc(records: DataFrame, path: str) -> None:
-    """WARC files of FILE_RECORDS records at most, gzip-compressed, in a folder that all executors share."""
-    warc_records(records).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).option("compression", "gzip").text(path)
+    """WARC files of about FILE_BYTES, each record a gzip member, in a folder that all executors share.
+
+    A row is a file. Spark's text writer puts its bytes as they are, and an empty gzip member in place of a line's end.
+    """
+    files = warc_records(records).mapInArrow(_files, "file binary").select(F.col("file").cast("string").alias("value"))
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", _EMPTY.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -213,21 +242,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for content in batch["content"]:
             out = []
             for head, block in parse_warc(_plain(content.as_py())):
-                http, payload = _split_http(block)
-                stated = head["warc-payload-digest"].removeprefix("sha256:")
-                if head["warc-type"] == "response":
-                    size, digest, refers = len(payload), hashlib.sha256(payload).hexdigest(), None
-                    if digest != stated:
-                        raise ValueError(f"the payload of {head['warc-record-id']} doesn't have its digest")
-                else:
-                    size, digest, refers = int(re.search(r"\r\nContent-Length: (\d+)\r\n", http)[1]), stated, _page_of(head["warc-refers-to"])
+                payload = _split_http(block)[1]
+                size, digest, refers = int(head["x-payload-bytes"]), head["warc-payload-digest"].removeprefix("sha256:"), None
+                if head["warc-type"] == "revisit":
+                    refers = _page_of(head["warc-refers-to"])
+                elif len(payload) != size or hashlib.sha256(payload).hexdigest() != digest:
+                    raise ValueError(f"the payload of {head['warc-record-id']} doesn't have its length and digest")
                 out.append((_page_of(head["warc-record-id"]), size, digest, head["warc-type"], refers))
             yield _batch(out, kinds, ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type and refers_to of the records in WARC files. A
-    response's payload is digested again and must match; a revisit has its payload's size in the HTTP head it keeps."""
+    """page_id, payload_bytes, payload_digest, record_type and refers_to of the records in WARC files that write_warc() made.
+    Payloads are digested again and must match; of a revisit, which has none, size and digest are as stated."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read, schema)
 
@@ -237,14 +264,14 @@ def archive_pages(pages: DataFrame) -> DataFrame:
 
     A null html is an empty payload, a null url `unknown:`; white space in a url is percent-coded. A row without
     page_id is a record too, never what others refer to if one with an id has its payload. Repeated rows are records
-    each; those that share the smallest id are all responses. An empty table gives no rows; other columns aren't read.
+    each; those that share the smallest id are all responses. The segments' version blocks become warcinfo records, which aren't returned. An empty table gives no rows; other columns aren't read.
     """
     spark = pages.sparkSession
     date = F.date_format(F.timestamp_seconds(F.lit(1104537600) + F.pmod(F.coalesce(F.col("page_id").cast("long"), F.lit(0)), F.lit(100_000_000))), "yyyyMMddHHmmss")
     source = pages.select(F.col("page_id").cast("long"), "url", date.alias("date"), "html")
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(source.mapInArrow(_through_arc, RECORD), path)
-    return read_warc(spark, path)
+    return read_warc(spark, path).where("record_type in ('response', 'revisit')")
 
 
 ORACLE = f"""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, prefix_hash, span_hash, utf8, words
+from .common import pieces, prefix_hash, span_hash, unused, utf8, words
 
 #: Labelled documents and lines that training reads at most. Everything else covers all rows.
 SAMPLE_DOCUMENTS, SAMPLE_LINES = 2000, 50_000
@@ -205,4 +205,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, whose score is THRESHOLD or more."""
     model = train(docs, labels)
-    return docs.withColumn("__quality_score", score_column(model)).where(F.col("__quality_score") >= THRESHOLD).drop("__quality_score")
+    (name,) = unused(docs, "score")
+    return docs.withColumn(name, score_column(model)).where(F.col(name) >= THRESHOLD).drop(name)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, prefix_hash, span_hash, utf8, whole_groups, window_min, written
+from .common import mixed, pieces, prefix_hash, span_hash, unused, utf8, whole_groups, window_min, written
 
 LENGTH, K = 100, 32
 SIDE = LENGTH - K
@@ -494,10 +494,10 @@ def removal_digests(docs: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, with repeated strings cut from text. A row that loses its whole text goes."""
-    plain = docs.select("doc_id", "text")
-    ranges = repeated_ranges(plain).groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("__ranges"))
-    named = docs.withColumns({"__doc": F.coalesce("doc_id", F.lit(_LAST)), "__tie": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = named.join(ranges.withColumnsRenamed({"doc": "__doc", "tie": "__tie"}), ["__doc", "__tie"], "left")
+    own_ranges, doc, tie, cut_text = unused(docs, "ranges", "doc", "tie", "cut")
+    ranges = repeated_ranges(docs.select("doc_id", "text")).groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(own_ranges))
+    named = docs.withColumns({doc: F.coalesce("doc_id", F.lit(_LAST)), tie: F.xxhash64(F.coalesce("text", F.lit("")))})
+    joined = named.join(ranges.withColumnsRenamed({"doc": doc, "tie": tie}), [doc, tie], "left")
 
     def trim(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for text, own in batches:
@@ -512,9 +512,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 merged.append(union)
             yield _trimmed(pa.table({"text": text}), merged)
 
-    cut = F.arrow_udf(trim, "string").asNondeterministic()("text", "__ranges")
-    done = joined.withColumn("__cut", cut).where("__ranges is null or __cut <> ''")
-    done = done.withColumn("text", F.col("__cut"))
+    cut = F.arrow_udf(trim, "string").asNondeterministic()("text", own_ranges)
+    done = joined.withColumn(cut_text, cut).where(F.col(own_ranges).isNull() | (F.col(cut_text) != ""))
+    done = done.withColumn("text", F.col(cut_text))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("__ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        done = done.withColumn("n_chars", F.when(F.col(own_ranges).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return done.select(*docs.columns)
