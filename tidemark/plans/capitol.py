@@ -109,5 +109,5 @@ add(
 )(lambda t: congress.chamber_coverage(_table(t, "report"), _trade(t), _table(t, "filed_name")))
 add(
     "qry21_unread_filings", "chamber:s doc_id:s filing_date:d reason:s",
-    "SELECT * FROM (SELECT r.chamber, doc_id, filing_date, reason FROM reasoned r JOIN filed_name n ON n.id = r.filed_name_id WHERE n.member_id = 34 AND reason IS NOT NULL ORDER BY filing_date DESC, doc_id DESC LIMIT 200)", **SQL, reasoned=_REASON,
-)(lambda t: congress.unread_filings(_table(t, "report"), _trade(t), _table(t, "filed_name"), 34))
+    "SELECT * FROM (SELECT r.chamber, doc_id, filing_date, reason FROM reasoned r JOIN filed_name n ON n.id = r.filed_name_id WHERE n.member_id = 361 AND reason IS NOT NULL ORDER BY filing_date DESC, doc_id DESC LIMIT 200)", **SQL, reasoned=_REASON,
+)(lambda t: congress.unread_filings(_table(t, "report"), _trade(t), _table(t, "filed_name"), 361))

@@ -59,16 +59,18 @@ def _one_holder(t: Derived) -> DataFrame:
     return rows.withColumn("moved", F.round(F.try_divide(now, then), 10).cast("decimal(28,10)")).where(price.looks_like_split(F.col("prev_shares"), F.col("shares"), F.col("moved")))
 
 
-add(
-    "drv09_looks_like_split", "filer_id:l period:d security_id:l action:s moved:g",
-    f"""SELECT c.* FROM (SELECT *, round((value_usd::DOUBLE / shares::DOUBLE) / (prev_value_usd::DOUBLE / prev_shares::DOUBLE), 10) AS moved, shares::DOUBLE / prev_shares::DOUBLE AS r
+#: Moves of single holders that look like splits, for DuckDB.
+LIKE_SQL = f"""SELECT c.* FROM (SELECT *, round((value_usd::DOUBLE / shares::DOUBLE) / (prev_value_usd::DOUBLE / prev_shares::DOUBLE), 10) AS moved, shares::DOUBLE / prev_shares::DOUBLE AS r
         FROM change WHERE action IN ('add', 'trim', 'hold')) c
       LEFT JOIN (VALUES {_FRACTIONS}) f(n, d) ON greatest(r * d / n, n / (r * d)) <= 1.25
       WHERE shares > 0 AND prev_shares > 0 AND (moved >= 2.5 OR moved <= 1 / 2.5 OR n IS NOT NULL)
       QUALIFY row_number() OVER (PARTITION BY filer_id, period, security_id ORDER BY greatest(r * d / n, n / (r * d)) NULLS LAST) = 1
         AND (moved >= 2.5 OR moved <= 1 / 2.5 OR (moved * n / d BETWEEN 0.4 AND 1.6
           AND CASE WHEN n > d THEN (moved * n / d) * (moved * n / d) < n / d ELSE (moved * n / d) * (moved * n / d) > n / d END
-          AND (abs(shares::DOUBLE * d - prev_shares::DOUBLE * n) <= d OR greatest(n / d, d / n) >= 3)))""",
+          AND (abs(shares::DOUBLE * d - prev_shares::DOUBLE * n) <= d OR greatest(n / d, d / n) >= 3)))"""
+add(
+    "drv09_looks_like_split", "filer_id:l period:d security_id:l action:s moved:g",
+    LIKE_SQL,
 )(_one_holder)
 
 #: Two-for-one splits in every eleventh quarter of a security, for the figures that splits adjust.

@@ -34,20 +34,27 @@ def cover_pages(documents: DataFrame, xml: str = "xml") -> DataFrame:
         *[c for c in documents.columns if c != xml], _day(_text("__x", "reportCalendarOrQuarter")).alias("period"), _text("__x", "filingManager", "name").alias("manager"), F.lpad(_text("__x", "cik"), 10, "0").alias("cik"),
         _text("__x", "amendmentNo").try_cast("int").alias("amendment_no"), F.when(kind == "RESTATEMENT", "restatement").when(kind == "NEW HOLDINGS", "new_holdings").alias("amendment_kind"),
         quantity(_text("__x", "tableEntryTotal")).cast("long").alias("entries"), quantity(_text("__x", "tableValueTotal")).alias("total"),
+        F.lower(_text("__x", "isConfidentialOmitted")).isin("true", "1").alias("confidential_omitted"),
     )
 
 
+#: What an entry of an information table holds; each fragment is parsed once into it.
+_ENTRY = """nameOfIssuer string, titleOfClass string, cusip string, value string, shrsOrPrnAmt struct<sshPrnamt: string, sshPrnamtType: string>, putCall string,
+  investmentDiscretion string, votingAuthority struct<Sole: string, Shared: string, None: string>"""
+
+
 def information_tables(documents: DataFrame, xml: str = "xml") -> DataFrame:
     """A row for each entry; `problem` names what keeps one from being read, and the others stay."""
     rows = documents.select(*[c for c in documents.columns if c != xml], F.posexplode(_fragments(xml, "infoTable")).alias("place", "__x"))
-    amount = _text("__x", "shrsOrPrnAmt", "sshPrnamt")
+    rows = rows.withColumn("__e", F.from_xml("__x", _ENTRY, {"rowTag": "infoTable"}))
+    text = lambda path: F.nullif(F.trim(f"__e.{path}"), F.lit(""))
     rows = rows.withColumns({
-        "cusip": normal_cusip(_text("__x", "cusip")), "issuer": _text("__x", "nameOfIssuer"), "title": _text("__x", "titleOfClass"), "value": quantity(_text("__x", "value")), "shares": quantity(amount),
-        "sshprnamt_type": F.upper(_text("__x", "shrsOrPrnAmt", "sshPrnamtType")), "put_call": put_call(_text("__x", "putCall")), "discretion": _text("__x", "investmentDiscretion"),
-        "voting_sole": quantity(_text("__x", "votingAuthority", "Sole")), "voting_shared": quantity(_text("__x", "votingAuthority", "Shared")), "voting_none": quantity(_text("__x", "votingAuthority", "None")),
+        "cusip": normal_cusip(text("cusip")), "issuer": text("nameOfIssuer"), "title": text("titleOfClass"), "value": quantity(text("value")), "shares": quantity(text("shrsOrPrnAmt.sshPrnamt")),
+        "sshprnamt_type": F.upper(text("shrsOrPrnAmt.sshPrnamtType")), "put_call": put_call(text("putCall")), "discretion": text("investmentDiscretion"),
+        "voting_sole": quantity(text("votingAuthority.Sole")), "voting_shared": quantity(text("votingAuthority.Shared")), "voting_none": quantity(text("votingAuthority.None")),
     })
     wrong = F.when(F.col("cusip").isNull(), "cusip").when(F.col("value").isNull(), "value").when(F.col("shares").isNull(), "shares").when(~F.coalesce(F.col("sshprnamt_type").isin("SH", "PRN"), F.lit(False)), "type")
-    return rows.withColumn("problem", wrong).drop("__x")
+    return rows.withColumn("problem", wrong).drop("__x", "__e")
 
 
 def collapsed(rows: DataFrame) -> DataFrame:
@@ -73,6 +80,28 @@ def insider_forms(documents: DataFrame, xml: str = "xml") -> DataFrame:
     }).drop("n", "l", "__x")
 
 
+def reporting_owners(documents: DataFrame, xml: str = "xml") -> DataFrame:
+    """Every reporting owner of insider reports, joint filers too, with their roles and the title of an officer."""
+    keep = [c for c in documents.columns if c != xml]
+    rows = documents.select(*keep, F.explode(_fragments(xml, "reportingOwner")).alias("__x"))
+    roles = (("Director", "director"), ("Officer", "officer"), ("TenPercentOwner", "ten_percent_owner"), ("Other", "other"))
+    return rows.select(
+        *keep, F.lpad(_text("__x", "rptOwnerCik"), 10, "0").alias("owner_cik"), _text("__x", "rptOwnerName").alias("owner_name"),
+        *(F.coalesce(_text("__x", f"is{r}").isin("1", "true"), F.lit(False)).alias(f"is_{n}") for r, n in roles), _text("__x", "officerTitle").alias("officer_title"),
+    )
+
+
+def whole_forms(lines: DataFrame, key: str) -> DataFrame:
+    """Lines of the reports of which every line has its code and date: one bad line fails its document."""
+    bad = lines.where("transaction_code is null or transaction_date is null").select(key).distinct()
+    return lines.join(bad, key, "left_anti")
+
+
+def cited_footnotes(rows: DataFrame, ids: str = "footnote_ids", texts: str = "footnotes") -> DataFrame:
+    """A line's own footnotes: those of the document's map that the line cites."""
+    return rows.withColumn(texts, F.map_filter(texts, lambda k, _: F.array_contains(ids, k)))
+
+
 # ---------------------------------------------------------------- lists and indexes
 
 
@@ -111,3 +140,49 @@ def legislators(spark: SparkSession, path: str) -> DataFrame:
     schema = "id struct<bioguide: string>, name struct<first: string, last: string, official_full: string>, terms array<struct<type: string, start: string, `end`: string, state: string, district: string, party: string>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.col("id.bioguide").alias("member"), F.col("name.first").alias("first"), F.col("name.last").alias("last"), F.explode("terms").alias("t"))
     return rows.select("member", "first", "last", F.when(F.col("t.type") == "sen", "senate").otherwise("house").alias("chamber"), F.to_date("t.start").alias("start"), F.to_date("t.end").alias("until"), "t.state", "t.district", "t.party")
+
+
+def published_days(spark: SparkSession, path: str) -> DataFrame:
+    """Days of a quarter's listing (JSON of a directory's items) that have a form index."""
+    rows = spark.read.schema("directory struct<item: array<struct<name: string>>>").option("multiLine", True).json(path).select(F.explode("directory.item.name").alias("name"))
+    return rows.select(F.try_to_timestamp(F.regexp_extract("name", r"^form\.([0-9]{8})\.idx(?:\.gz)?$", 1), F.lit("yyyyMMdd")).cast("date").alias("day")).where("day is not null").distinct()
+
+
+def overflow_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Filings of a history's further pages, each one object of parallel arrays; the page's file has the CIK in its name."""
+    fields = ["accessionNumber", "form", "filingDate", "reportDate", "primaryDocument"]
+    rows = spark.read.schema(", ".join(f"{f} array<string>" for f in fields)).option("multiLine", True).json(path).withColumn("cik", F.regexp_extract(F.input_file_name(), r"CIK([0-9]{10})", 1))
+    each = rows.select("cik", F.explode(F.arrays_zip(*fields)).alias("f"))
+    return each.select("cik", F.col("f.accessionNumber").alias("accession_no"), F.col("f.form").alias("form_type"), F.to_date("f.filingDate").alias("filed_on"), F.to_date(F.nullif("f.reportDate", F.lit(""))).alias("period"), F.col("f.primaryDocument").alias("document"))
+
+
+def yearly_index(documents: DataFrame, xml: str = "xml") -> DataFrame:
+    """Members' entries of a yearly disclosure index: names, type of filing, state and district, year, day and document; `problem` marks
+    entries without a document or a day, and the others stay."""
+    keep = [c for c in documents.columns if c != xml]
+    rows = documents.select(*keep, F.explode(_fragments(xml, "Member")).alias("__x"))
+    entry = F.from_xml("__x", "Prefix string, Last string, First string, Suffix string, FilingType string, StateDst string, Year int, FilingDate string, DocID string", {"rowTag": "Member"})
+    rows = rows.withColumn("__e", entry)
+    day = F.try_to_timestamp("__e.FilingDate", F.lit("M/d/yyyy")).cast("date")
+    return rows.select(
+        *keep, F.col("__e.Last").alias("last_name"), F.col("__e.First").alias("first_name"), F.col("__e.Suffix").alias("suffix"), F.col("__e.FilingType").alias("filing_type"), F.substring("__e.StateDst", 1, 2).alias("state"),
+        F.substring("__e.StateDst", 3, 2).try_cast("int").alias("district"), F.col("__e.Year").alias("year"), day.alias("filed_on"), F.col("__e.DocID").alias("doc_id"),
+        F.when(F.col("__e.DocID").isNull(), "doc_id").when(day.isNull(), "filed_on").alias("problem"),
+    )
+
+
+def curated(spark: SparkSession, entries: list[dict], present: DataFrame | None = None) -> DataFrame:
+    """A curated list of investors (slug, name, category, ciks) as filers and CIKs: a row for each CIK, later ones with the higher priority.
+    Entries replace those of their slug among the present rows, whose others stay. The list is written by hand, so small."""
+    rows = [(e["slug"], e["name"], e.get("category"), cik.zfill(10), n) for e in entries for n, cik in enumerate(e.get("ciks", []))]
+    new = spark.createDataFrame(rows, "slug string, name string, category string, cik string, priority int")
+    return new if present is None else present.join(F.broadcast(new.select("slug").distinct()), "slug", "left_anti").select(*new.columns).unionByName(new)
+
+
+def loaded_once(filing: DataFrame, holding: DataFrame, new_filing: DataFrame, new_holding: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Filings and holdings after a load: a filing loaded again replaces itself by its accession number, its holdings with it."""
+    key = ["accession_no"]
+    return (
+        filing.join(new_filing.select(*key), key, "left_anti").unionByName(new_filing.dropDuplicates(key)),
+        holding.join(new_filing.select(*key), key, "left_anti").unionByName(new_holding),
+    )

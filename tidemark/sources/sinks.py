@@ -23,14 +23,34 @@ def latest(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
 
 def csv_cell(column: Column, kind: str) -> Column:
-    """Text of a CSV cell: decimals plain, booleans true or false, and a quote before what a spreadsheet would run."""
+    """Text of a CSV cell: decimals plain, booleans true or false, JSON with its keys in order, and a quote before what a spreadsheet would run."""
     if kind.startswith(("array", "struct", "map")):
-        column = F.to_json(column)
-    text = column.cast("string")
-    return F.when(text.rlike("^[=+\\-@\\t\\r]"), F.concat(F.lit("'"), text)).otherwise(text) if kind == "string" else text
+        return _guarded(F.to_json(F.parse_json(F.to_json(column))))
+    if kind.startswith("decimal"):
+        return F.regexp_replace(F.format_string("%s", column.cast("string")), "^0E-?[0-9]+$", "0")
+    return _guarded(column) if kind == "string" else column.cast("string")
+
+
+def _guarded(text: Column) -> Column:
+    return F.when(text.rlike("^[=+\\-@\\t\\r]"), F.concat(F.lit("'"), text)).otherwise(text)
+
+
+def csv_lines(rows: DataFrame) -> DataFrame:
+    """One CSV line for each row, as write_csv() writes it."""
+    cells = [csv_cell(F.col(c), t) for c, t in rows.dtypes]
+    quoted = [F.when(c.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.regexp_replace(c, '"', '""'), F.lit('"'))).otherwise(F.coalesce(c, F.lit(""))) for c in cells]
+    return rows.select(F.concat_ws(",", *quoted).alias("line"))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
     """CSV files with CRLF line ends and a header each."""
     cells = rows.select(*(csv_cell(F.col(c), t).alias(c) for c, t in rows.dtypes))
     cells.write.option("header", True).option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+
+
+def csv_text(rows: DataFrame, about: dict[str, str]):
+    """The lines of one CSV for a reader: a byte order mark, a block of # lines about it, the header and the rows, streamed one partition after another."""
+    yield "\ufeff" + "".join(f"# {k}: {v}\r\n" for k, v in about.items())
+    yield ",".join(rows.columns) + "\r\n"
+    for r in csv_lines(rows).toLocalIterator():
+        yield r.line + "\r\n"

@@ -25,6 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _ROOTS.setdefault(context.applicationId, tempfile.mkdtemp(prefix="tidemark-"))
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The DataFrame as a table in the shared folder: a step of an iteration, whose lineage it cuts."""
+    path = f"{shared_folder(df.sparkSession)}/steps/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Tables of one input folder. A table is written when it is first asked for and then read back, in this application."""
 
