@@ -183,42 +183,32 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
 # ---------------------------------------------------------------- connected components
 
 
-#: Nodes with more than this share of all links are hubs: fewer than HUBS of them can be, so their minima may be broadcast.
-HUBS = 1024
-
-
-def _followed(links: DataFrame, least: DataFrame, limit: int) -> DataFrame:
-    """links (a, b) with the minimum m of a. A hub's links stay where they are and meet its minimum there; the others are shuffled."""
-    hubs = F.broadcast(least.where(F.col("n") > limit).select("a", "m"))
-    rest = links.join(hubs.select("a"), "a", "left_anti").join(least.where(F.col("n") <= limit).select("a", "m"), "a")
-    return links.join(hubs, "a").select("a", "b", "m").unionByName(rest.select("a", "b", "m"))
-
-
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(a, b) links to (id, root), root the smallest id that can be reached; ids without links have no row.
 
     Large-star and small-star rounds: every node's neighbours are hung on the smallest of them, until
-    nothing changes; an error if `rounds` don't suffice, which takes chains of 2**30 nodes or so. A round has two
-    grouped minima, whose partial sums spare hubs, and joins that don't shuffle a hub's links (_followed).
+    nothing changes; an error if `rounds` don't suffice, which takes chains of 2**30 nodes or so. The minima of
+    a round are grouped with partial sums and stored, so that both sides of the join with them come straight from a
+    shuffle: Spark then splits the part that a hub's links are in.
     """
-    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links, path = stored(links, "links")
-    total, before = links.count(), None
+    spark = edges.sparkSession
+    links, path = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    before = None
     for _ in range(rounds):
-        limit = max(2 * total // HUBS, 1000)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _followed(both.where("b > a"), least, limit).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _followed(large, least, limit).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*")
-        links, new = stored(small.where("a <> b").distinct(), "links")
-        removed(links.sparkSession, path)
+        least, least_at = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        hung = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large, large_at = stored(hung.where("a <> b").distinct(), "large")
+        smallest, smallest_at = stored(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        hung = large.join(smallest, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("s")).select("s.*")
+        links, new = stored(hung.where("a <> b").distinct(), "links")
+        for old in (path, least_at, large_at, smallest_at):
+            removed(spark, old)
         path = new
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before, total = now, now[0]
+        before = now
     else:
         raise RuntimeError(f"components are not complete after {rounds} rounds")
     return links.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
