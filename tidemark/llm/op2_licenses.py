@@ -122,6 +122,7 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     best = sums.select("key", F.array_min(cosines).alias("m")).where(F.col("m.s") <= -threshold).select("key", F.col("m.license").alias("license"), (-F.col("m.s")).alias("score"))
     best = written(best, "scores")
     own = _best(found.select("path", "key").join(best, "key"), "path").select(F.col("path").alias("p"), F.col("license").alias("own_license"), F.col("score").alias("own_score"))
+    own = written(own, "own")  # read three times below
     full = rows.select("path").join(own, F.col("path").eqNullSafe(F.col("p")), "left").drop("p")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     full = full.withColumn("dir", F.when(F.col("path").isNotNull(), folder))
@@ -158,12 +159,12 @@ WITH t(license, text) AS (VALUES {values}),
 tw AS (SELECT license, term, count(*) AS c FROM (SELECT license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM t) GROUP BY 1, 2),
 f AS (SELECT coalesce(source, '') || '/' || coalesce(lang, '') || '/b' || (doc_id // 64) AS dir, CASE WHEN doc_id % 8 = 0 THEN 'LICENSE-' ELSE 'file-' END || doc_id AS name, coalesce(text, '') AS text FROM documents),
 n AS (SELECT count(*) AS n FROM f),
-dw AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT dir, name, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM f) WHERE term IN (SELECT term FROM tw) GROUP BY 1),
-idf AS (SELECT DISTINCT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM tw LEFT JOIN dw USING (term), n),
+dw AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT dir, name, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM f) GROUP BY 1),
+idf AS (SELECT term, ln((n + 1) / (coalesce(df, 0) + 1)) + 1 AS idf FROM (SELECT term FROM tw UNION SELECT term FROM dw) LEFT JOIN dw USING (term), n),
 tv AS (SELECT license, term, c * idf / sqrt(sum((c * idf) ** 2) OVER (PARTITION BY license)) AS weight FROM tw JOIN idf USING (term)),
 p AS (SELECT dir, name, unnest(string_split(text, chr(10))) AS part FROM f UNION ALL SELECT dir, name, text FROM f WHERE name LIKE 'LICENSE%'),
 w AS (SELECT part, term, count(*) AS c FROM (SELECT part, unnest(regexp_extract_all(lower(part), '[a-z0-9]+')) AS term FROM (SELECT DISTINCT part FROM p)) GROUP BY 1, 2),
-x AS (SELECT part, term, c * coalesce(idf, ln(n + 1) + 1) AS x FROM w LEFT JOIN idf USING (term), n),
+x AS (SELECT part, term, c * idf AS x FROM w JOIN idf USING (term)),
 norm AS (SELECT part, sqrt(sum(x * x)) AS norm FROM x GROUP BY 1),
 sc AS (SELECT part, license, round(sum(x * weight) / any_value(norm), 6) AS score FROM x JOIN tv USING (term) JOIN norm USING (part) GROUP BY 1, 2),
 own AS (SELECT dir, name, license, score FROM p JOIN sc USING (part) WHERE score >= {THRESHOLD}
