@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import folded_words, normal_ticker, similarity, trigrams
+from ..functions.assets import classify
+from ..functions.text import asset_key, core_name, extract_ticker, folded_words, name_similarity, normal_ticker, share_class, similarity, trigrams
+from .lookup import lookup_on
 
 #: The sector and venues whose listings count, the composite among them, and fuzzy suggestions' number and least similarity.
 EQUITY, COMPOSITE = "Equity", "US"
@@ -135,6 +137,108 @@ def issuer_names(cusips: DataFrame, matches: DataFrame, lists: DataFrame) -> Dat
     return full.select("cusip", F.coalesce("figi_name", "l.issuer_name").alias("name"), source.alias("source"), F.when(F.col("figi_name").isNull(), F.col("l.period")).alias("period"))
 
 
+# ---------------------------------------------------------------- disclosed assets
+
+#: The least similarity of names for a ticker, a hinted one, a name alone, and a name against a ticker that
+#: disagrees; and confidences: on the day, former or hinted, disagreeing, the most of a name, and a name whose ticker is another.
+TICKER_AGREES, HINT_AGREES, NAME_ACCEPT, NAME_OVERRULES = 0.35, 0.25, 0.75, 0.9
+ON_THE_DAY, FORMER, DISAGREEING, NAME_CEILING, OTHER_LISTING = 1.0, 0.9, 0.8, 0.95, 0.8
+
+
+def name_candidates(names: DataFrame, securities: DataFrame, least: float = NAME_ACCEPT) -> DataFrame:
+    """Distinct names (name) with the securities whose name or filed name is alike: name, security_id, score.
+
+    Equal core names score 1. Others reach `least` only if they share one of their rarest trigrams (see fuzzy_matches), which are joined.
+    """
+    def probes(rows: DataFrame, key: list[str]) -> DataFrame:
+        return rows.select(*key, "core", F.size(trigrams(F.col("core"))).alias("t"), F.explode(trigrams(F.col("core"))).alias("g"))
+
+    asked = probes(names.select("name").distinct().withColumn("core", core_name(F.col("name"))).where(F.length(F.replace("core", F.lit(" "))) >= 3), ["name"])
+    listed = securities.select("security_id", F.explode(F.array_compact(F.array("name", "filed_name"))).alias("n")).select("security_id", core_name(F.col("n")).alias("core")).where("core <> ''").distinct()
+    known = probes(listed, ["security_id"])
+    frequent = known.groupBy("g").agg(F.count("*").alias("df"))
+
+    def rarest(rows: DataFrame, key: list[str]) -> DataFrame:
+        order = Window.partitionBy(*key, "core").orderBy(F.coalesce("df", F.lit(0)), "g")
+        return rows.join(frequent, "g", "left").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("t") - F.ceil(F.lit(least) * F.col("t")) + 1)
+
+    a = rarest(asked, ["name"]).select("name", F.col("core").alias("a"), "g")
+    b = rarest(known, ["security_id"]).select("security_id", F.col("core").alias("b"), "g")
+    pairs = a.join(b, "g").select("name", "security_id", "a", "b").distinct()
+    score = F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(similarity(F.col("a"), F.col("b")))
+    return pairs.withColumn("score", score).where(F.col("score") >= least).groupBy("name", "security_id").agg(F.max("score").alias("score"))
+
+
+def same_listing(given: Column, ticker: Column) -> Column:
+    """Equal tickers, or the given one with a V at its end, as a spin-off has before it trades."""
+    return (given == ticker) | ((F.length(given) >= 4) & (given == F.concat(ticker, F.lit("V"))))
+
+
+def resolve_assets(lines: DataFrame, overrides: DataFrame, securities: DataFrame, aliases: DataFrame, held: DataFrame) -> DataFrame:
+    """lines (id, asset_type, asset_name, ticker, day) to id, asset_class, security_id, method, confidence.
+
+    A person's override of the line's key comes first, then its class, which may rule a security out. A ticker, given or in the name, is
+    taken if the names agree; one that disagrees stands unless a name is very close to another security. Without a ticker the likeliest
+    name is taken from NAME_ACCEPT on: by score to two places, listed on the day, dollars held that year and the one before, having a
+    ticker. overrides: key, security_id, asset_class. held: security_id, year, value, last_held.
+    """
+    kind = classify(F.col("asset_type"), F.col("asset_name"), F.col("ticker"), F.lit(None).cast("string"))
+    rows = lines.select("id", "asset_name", "day", asset_key(F.col("asset_type"), F.col("ticker"), F.col("asset_name")).alias("key"), kind.alias("kind"), extract_ticker(F.coalesce("asset_name", F.lit("")), F.col("ticker")).alias("symbol"))
+    given = overrides.select("key", F.struct(F.col("security_id").alias("security_id"), F.col("asset_class").alias("asset_class")).alias("given"))
+    rows = rows.join(given, "key", "left")
+    looked = rows.where("given is null and kind.lookup")
+    names = securities.select("security_id", F.struct("name", "filed_name", "ticker", "delisted_by").alias("about"))
+    last = held.groupBy("security_id").agg(F.max("last_held").alias("last_held"))
+    asked = looked.where("symbol is not null").select(F.col("symbol.ticker").alias("symbol"), "day")
+    hits = lookup_on(asked, aliases, securities, last).join(names, "security_id").select(F.col("symbol").alias("s"), F.col("day").alias("d"), F.struct("security_id", "via", "about").alias("hit"))
+    looked = looked.join(hits, (F.col("symbol.ticker") == F.col("s")) & (F.col("day") == F.col("d")), "left").drop("s", "d")
+    alike = F.when(F.col("asset_name").isNull(), F.lit(1.0)).otherwise(F.greatest(name_similarity(F.col("asset_name"), F.col("hit.about.name")), name_similarity(F.col("asset_name"), F.col("hit.about.filed_name"))))
+    weak = F.col("symbol.hinted") | (F.col("hit.via") == 2)
+    agrees = alike >= F.when(F.col("symbol.hinted"), HINT_AGREES).otherwise(TICKER_AGREES)
+    looked = looked.withColumns({"fits": F.coalesce(F.col("hit").isNotNull() & agrees, F.lit(False)), "against": F.coalesce(F.col("hit").isNotNull() & ~weak & ~agrees, F.lit(False)), "weak": F.coalesce(weak, F.lit(False))})
+    # the likeliest name, for lines that need one
+    needs = looked.where("not fits and kind.by_name and asset_name is not null").select("id", "asset_name", "day")
+    found = name_candidates(needs.select(F.col("asset_name").alias("name")), securities).withColumnRenamed("name", "asset_name")
+    years = held.groupBy("security_id").agg(F.map_from_entries(F.collect_list(F.struct("year", "value"))).alias("years"))
+    ranked = needs.join(found, "asset_name").join(names, "security_id").join(years, "security_id", "left")
+    of_year = lambda back: F.coalesce(F.try_element_at("years", F.year("day") - back), F.lit(0).cast("decimal(20,2)"))
+    wanted, theirs = share_class(F.col("asset_name")), F.coalesce(share_class(F.col("about.name")), share_class(F.col("about.filed_name")))
+    ranked = ranked.where(wanted.isNull() | theirs.isNull() | (wanted == theirs))  # another class of the issuer is another security
+    listed = F.col("about.delisted_by").isNull() | (F.col("about.delisted_by") > F.col("day"))
+    order = F.struct(F.round("score", 2), listed, (of_year(0) + of_year(1)), F.col("about.ticker").isNotNull(), -F.col("security_id"))
+    best = ranked.groupBy("id").agg(F.max_by(F.struct("security_id", "score", F.col("about.ticker").alias("ticker")), order).alias("best"))
+    looked = looked.join(best, "id", "left")
+    overrules = F.coalesce((F.col("best.score") >= NAME_OVERRULES) & (F.col("best.security_id") != F.col("hit.security_id")), F.lit(False))
+    ticker = F.when(F.col("symbol.hinted"), F.lit(None)).otherwise(F.col("symbol.ticker"))
+    named = F.least(F.round("best.score", 3), F.lit(NAME_CEILING))
+    elsewhere = F.coalesce(ticker.isNotNull() & F.col("best.ticker").isNotNull() & ~same_listing(ticker, F.col("best.ticker")), F.lit(False))
+    answer = lambda who, how, sure: F.struct(who.alias("security_id"), F.lit(how).alias("method"), (sure if isinstance(sure, Column) else F.lit(sure)).cast("double").alias("confidence"))
+    hit, name = F.col("hit.security_id"), F.col("best.security_id")
+    result = (
+        F.when(F.col("fits") & (F.col("hit.via") == 2), answer(hit, "former_ticker", FORMER)).when(F.col("fits") & F.col("weak"), answer(hit, "ticker", FORMER)).when(F.col("fits"), answer(hit, "ticker", ON_THE_DAY))
+        .when(F.col("against") & overrules, answer(name, "name", named)).when(F.col("against"), answer(hit, "ticker", DISAGREEING))
+        .when(name.isNotNull(), answer(name, "name", F.when(elsewhere, F.least(named, F.lit(OTHER_LISTING))).otherwise(named)))
+    )
+    done = looked.withColumn("r", result).select("id", F.when(F.col("r").isNotNull(), F.col("kind.asset_class")).otherwise(F.col("kind.otherwise")).alias("asset_class"), "r.security_id", "r.method", "r.confidence")
+    plain = rows.where("given is null and not kind.lookup").select("id", F.col("kind.asset_class").alias("asset_class"), F.lit(None).cast("long").alias("security_id"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("confidence"))
+    manual = rows.where("given is not null").select("id", F.coalesce("given.asset_class", "kind.asset_class").alias("asset_class"), F.col("given.security_id").alias("security_id"), F.lit("manual").alias("method"), F.when(F.col("given.security_id").isNotNull(), ON_THE_DAY).alias("confidence"))
+    return done.unionByName(plain).unionByName(manual)
+
+
+def asset_coverage(resolved: DataFrame, resolvable: list[str], low: float = 0.8) -> DataFrame:
+    """resolved (chamber, filing_id, asset_class, security_id, confidence) to a row for each chamber: lines, those that should name a
+    stock and do, those of low confidence, and filings resolved wholly or partly."""
+    should, found = F.coalesce(F.col("asset_class").isin(resolvable), F.lit(False)), F.col("security_id").isNotNull()
+    count = lambda test: F.count(F.when(test, 1))
+    each = resolved.groupBy("chamber", "filing_id").agg(
+        F.count("*").alias("lines"), count(F.col("asset_class").isNull()).alias("pending"), count(should).alias("resolvable"), count(should & found).alias("r"), count(found).alias("found"), count(found & (F.col("confidence") < low)).alias("low")
+    )
+    return each.groupBy("chamber").agg(
+        *(F.sum(c).alias(c) for c in ("lines", "pending", "resolvable")), F.sum("found").alias("resolved"), F.sum("low").alias("low_confidence"), count(F.col("resolvable") > 0).alias("filings"),
+        count((F.col("resolvable") > 0) & (F.col("r") == F.col("resolvable"))).alias("filings_resolved"), count((F.col("r") > 0) & (F.col("r") < F.col("resolvable"))).alias("filings_partly"),
+    )
+
+
 # ---------------------------------------------------------------- members of Congress
 
 

@@ -34,19 +34,27 @@ def ticker_labels(rows: DataFrame, day: str, aliases: DataFrame, securities: Dat
 
 
 def lookup(symbols: DataFrame, aliases: DataFrame, securities: DataFrame, held: DataFrame, day: str) -> DataFrame:
-    """symbols (symbol) to security_id and via: 0 a ticker on the day, 1 the present one, 2 one at any time, 3 the CUSIP.
+    """symbols (symbol) to security_id and via on one day; see lookup_on()."""
+    asked = symbols.select("symbol", F.lit(day).cast("date").alias("day"))
+    return lookup_on(asked, aliases, securities, held).drop("day")
+
+
+def lookup_on(symbols: DataFrame, aliases: DataFrame, securities: DataFrame, held: DataFrame) -> DataFrame:
+    """symbols (symbol, day) to security_id and via: 0 a ticker on the day, 1 the present one, 2 one at any time, 3 the CUSIP.
 
     Within a tier the latest range wins, then the security last held, then the greater id. held: security_id, last_held.
     """
     far = F.lit("9999-12-31").cast("date")
-    wanted = symbols.select("symbol", F.upper("symbol").alias("key")).distinct()
-    alias = aliases.select(F.upper("ticker").alias("key"), "security_id", F.coalesce("valid_to", far).alias("recent"), valid_on(F.lit(day).cast("date")).alias("now"))
-    named = wanted.join(alias, "key").select("symbol", "security_id", F.explode(F.when(F.col("now"), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(2)))).alias("via"), "recent")
-    present = wanted.join(securities.select(F.upper("ticker").alias("key"), "security_id"), "key").select("symbol", "security_id", F.lit(1).alias("via"), far.alias("recent"))
-    cusip = wanted.where(F.length("key") == 9).join(securities.select(F.col("cusip").alias("key"), "security_id"), "key").select("symbol", "security_id", F.lit(3).alias("via"), far.alias("recent"))
+    key = ["symbol", "day"]
+    wanted = symbols.select(*key, F.upper("symbol").alias("key")).distinct()
+    alias = aliases.select(F.upper("ticker").alias("key"), "security_id", "valid_from", "valid_to")
+    named = wanted.join(alias, "key").withColumn("via", F.explode(F.when(valid_on(F.col("day")), F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(2)))))
+    named = named.select(*key, "security_id", "via", F.coalesce("valid_to", far).alias("recent"))
+    present = wanted.join(securities.select(F.upper("ticker").alias("key"), "security_id"), "key").select(*key, "security_id", F.lit(1).alias("via"), far.alias("recent"))
+    cusip = wanted.where(F.length("key") == 9).join(securities.select(F.col("cusip").alias("key"), "security_id"), "key").select(*key, "security_id", F.lit(3).alias("via"), far.alias("recent"))
     every = named.unionByName(present).unionByName(cusip).join(held.select("security_id", "last_held"), "security_id", "left")
-    order = Window.partitionBy("symbol").orderBy("via", F.col("recent").desc(), F.col("last_held").desc_nulls_last(), F.col("security_id").desc())
-    return every.withColumn("place", F.row_number().over(order)).where("place = 1").select("symbol", "security_id", "via")
+    order = Window.partitionBy(*key).orderBy("via", F.col("recent").desc(), F.col("last_held").desc_nulls_last(), F.col("security_id").desc())
+    return every.withColumn("place", F.row_number().over(order)).where("place = 1").select(*key, "security_id", "via")
 
 
 def suggestions(key: str, aliases: DataFrame, securities: DataFrame, worth: DataFrame, limit: int = SUGGESTIONS) -> DataFrame:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import alerts, chains, entities, lookup
+from ..functions.assets import classify
+from ..operators import alerts, chains, congress, entities, lookup
+from .capitol import SQL as CAPITOL
+from .capitol import _table as congress_table
+from .capitol import _trade
 from .catalog import PERIOD, add
 from .derived import Derived
 from .splits import LIKE_SQL
@@ -179,6 +183,67 @@ add(
         FROM names u JOIN names r ON r.ticker IS NOT NULL AND u.ticker IS NULL) WHERE similarity >= 0.8) WHERE place <= 3""", names=_NAMES,
 )(lambda t: entities.fuzzy_matches(_named(t)))
 
+# ---------------------------------------------------------------- disclosed assets
+
+#: Lines as filed (code, name, ticker) and the class that the rules give: if found, if not, whether a security is looked for, by name too.
+_CLASSES = [
+    (("ST", "Apple Inc", "AAPL"), ("equity", "equity", True, True)), (("ST", "Vanguard Fund", "VFIAX"), ("mutual_fund", "mutual_fund", False, True)), (("GS", "US Treasury Note", None), ("treasury", "treasury", False, True)),
+    (("GS", "Austin ISD", None), ("municipal_bond", "municipal_bond", False, True)), (("CS", "FNMA Pool", None), ("agency_bond", "agency_bond", False, True)), (("OT", "New Thing", "NEWT"), ("equity", "other", True, False)),
+    (("OT", "Bitcoin", None), ("crypto", "crypto", False, True)), (("OT", "Thing", None), ("other", "other", False, True)), (("ST", "Acme Preferred", "ACME"), ("equity", "equity", True, False)), (("ZZ", "x", None), ("other", "other", False, True)),
+    ((None, "Ford 4.5% due 2030", None), ("corporate_bond", "corporate_bond", False, True)), ((None, "iShares Core ETF", None), ("equity", "unknown", True, True)), ((None, "Call option on Acme", None), ("stock_option", "stock_option", True, True)),
+    ((None, "Smith Family Trust", None), ("other", "other", False, True)), ((None, "Blue River Partners IV", None), ("private", "private", False, True)), ((None, "Microsoft Corp", None), ("equity", "unknown", True, True)), (("OP", "NVDA call", "NVDA"), ("stock_option", "stock_option", True, True)),
+]
+
+
+def _classified(t: Derived) -> DataFrame:
+    rows = t.spark.createDataFrame([(i, *g) for i, (g, _) in enumerate(_CLASSES)], "n int, code string, name string, ticker string")
+    kind = classify(F.col("code"), F.col("name"), F.col("ticker"), F.lit(None).cast("string"))
+    return rows.select("n", kind.alias("k")).select("n", "k.*")
+
+
+_KINDS = ", ".join(f"({i}, '{a}', '{b}', {str(c).lower()}, {str(d).lower()})" for i, (_, (a, b, c, d)) in enumerate(_CLASSES))
+add("txt08_asset_classes", "n:l asset_class:s otherwise:s lookup:b by_name:b", f"SELECT * FROM (VALUES {_KINDS}) v(n, asset_class, otherwise, lookup, by_name)")(_classified)
+
+_LISTED = [(1, "AAPL", "037833100", "APPLE INC", "APPLE INC COM", None), (2, "META", "30303M102", "META PLATFORMS INC", "FACEBOOK INC CL A", None), (3, "HONA", "438516106", "HONEYWELL AEROSPACE", None, None), (4, "APP", "03831W108", "APPLOVIN CORP", None, None), (5, None, "111111111", "OLD MINING CO", None, "2015-03-31")]
+_ALIASES = [(1, "AAPL", None, None), (2, "FB", None, "2022-06-09"), (2, "META", "2022-06-09", None), (3, "HONA", None, None), (4, "APP", None, None)]
+#: Lines as filed, and what the cascade gives: class, security, method, confidence.
+_CASES = [
+    (("ST", "Apple Inc. - Common Stock", "AAPL", "2024-05-01"), ("equity", 1, "ticker", 1.0)), (("ST", "Facebook, Inc. - Class A", "FB", "2020-05-01"), ("equity", 2, "ticker", 1.0)), (("ST", "Meta Platforms, Inc.", "FB", "2024-05-01"), ("equity", 2, "former_ticker", 0.9)),
+    (("ST", "Apple Inc", None, "2024-05-01"), ("equity", 1, "name", 0.95)), (("ST", "Meta Platforms Inc", "APP", "2024-05-01"), ("equity", 2, "name", 0.95)), (("ST", "Apple Inc", "APP", "2024-05-01"), ("equity", 4, "ticker", 1.0)), (("ST", "Something Else Entirely", "APP", "2024-05-01"), ("equity", 4, "ticker", 0.8)),
+    (("ST", "Honeywell Aerospace", "HONAV", "2024-05-01"), ("equity", 3, "name", 0.95)), (("GS", "US Treasury Note", None, "2024-05-01"), ("treasury", None, None, None)), ((None, "Nothing Known Here", None, "2024-05-01"), ("unknown", None, None, None)),
+    (("ST", "Mystery Holdings", None, "2024-05-01"), ("equity", 4, "manual", 1.0)), ((None, "Apple Inc AAPL", None, "2024-05-01"), ("equity", 1, "ticker", 0.9)), (("ST", "037833100 thing", "037833100", "2024-05-01"), ("equity", 1, "ticker", 0.8)),
+]
+
+
+def _resolved(t: Derived) -> DataFrame:
+    create, day = t.spark.createDataFrame, lambda c: F.col(c).cast("date").alias(c)
+    lines = create([(i, *c) for i, (c, _) in enumerate(_CASES)], "id int, asset_type string, asset_name string, ticker string, day string").withColumn("day", F.col("day").cast("date"))
+    securities = create(_LISTED, "security_id long, ticker string, cusip string, name string, filed_name string, delisted_by string").withColumn("delisted_by", F.col("delisted_by").cast("date"))
+    aliases = create(_ALIASES, "security_id long, ticker string, valid_from string, valid_to string").select("security_id", "ticker", day("valid_from"), day("valid_to"))
+    held = create([(1, 2024, 100, "2024-03-31"), (4, 2024, 5, "2024-03-31")], "security_id long, year int, value int, last_held string").select("security_id", "year", F.col("value").cast("decimal(20,2)").alias("value"), day("last_held"))
+    ruled = create([("ST||mystery holdings", 4, "equity")], "key string, security_id long, asset_class string")
+    return entities.resolve_assets(lines, ruled, securities, aliases, held)
+
+
+def _sql(v) -> str:
+    return "NULL" if v is None else repr(v)
+
+
+add("res03_resolved_assets", "id:l asset_class:s security_id:l method:s confidence:f", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_sql, w))})" for i, (_, w) in enumerate(_CASES)) + ") v(id, asset_class, security_id, method, confidence)")(_resolved)
+
+
+def _assets(t: Derived) -> DataFrame:
+    rows = _trade(t).where("parse_status = 'parsed'").join(congress_table(t, "report").select(F.col("id").alias("filing_id"), "chamber"), "filing_id")
+    return rows.select("chamber", "filing_id", "asset_class", "security_id", (F.pmod("id", F.lit(10)) / 10).alias("confidence"))
+
+
+add(
+    "res04_asset_coverage", "chamber:s lines:l pending:l resolvable:l resolved:l low_confidence:l filings:l filings_resolved:l filings_partly:l",
+    """SELECT chamber, sum(n) AS lines, 0 AS pending, sum(able) AS resolvable, sum(found) AS resolved, sum(low) AS low_confidence, count(*) FILTER (able > 0) AS filings, count(*) FILTER (able > 0 AND r = able) AS filings_resolved, count(*) FILTER (r > 0 AND r < able) AS filings_partly FROM
+      (SELECT chamber, filing_id, count(*) AS n, count(*) FILTER (asset_class <> 'municipal_bond') AS able, count(*) FILTER (asset_class <> 'municipal_bond' AND security_id IS NOT NULL) AS r, count(security_id) AS found, count(security_id) FILTER (d.id % 10 < 8) AS low
+       FROM dated d JOIN report r ON r.id = d.filing_id WHERE parse_status = 'parsed' GROUP BY 1, 2) GROUP BY 1""", **CAPITOL,
+)(lambda t: entities.asset_coverage(_assets(t), congress.RESOLVABLE))
+
 # ---------------------------------------------------------------- members
 
 _MEMBERS = [

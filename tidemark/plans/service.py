@@ -3,18 +3,21 @@ and meters, customers for accounts."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import asset_key
-from ..operators import service
+from ..operators import clusters, service
 from ..sources import sinks
 from .capitol import SQL as CAPITOL
 from .capitol import _table as congress_table
 from .capitol import _trade
 from .catalog import PERIOD, add
-from .derived import Derived
+from .derived import BUILDERS, Derived
 from .people import _LISTS, _MATCHES, _duck, _lineitem
+from .splits import SQL as SPLITS
 
 # ---------------------------------------------------------------- runs
 
@@ -202,3 +205,22 @@ add(
     "qry30_export_portfolio", "filer_id:l period:d security_id:l shares:f value_usd:f weight_pct:f accession_no:s filed_on:d amended:b",
     f"SELECT s.*, lpad(source_filing_id::VARCHAR, 20, '0') AS accession_no, filed_at::DATE AS filed_on, false AS amended FROM snapshot s JOIN filing f ON f.filing_id = source_filing_id WHERE s.period = DATE '{PERIOD}'",
 )(lambda t: service.exported(t.snapshot.where(F.col("period") == F.lit(PERIOD).cast("date")), t.filing))
+
+# ---------------------------------------------------------------- stored tables
+
+
+def _refreshed(t: Derived) -> DataFrame:
+    """All stored tables built anew in order of dependency, with the rows of each."""
+    t.refresh()
+    counts = [getattr(t, name).agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name in BUILDERS]
+    return reduce(DataFrame.unionByName, counts)
+
+
+_STORED = {
+    "snapshot": "snapshot", "published": "filer_period", "prices": "price", "verdicts": "verdict", "change": "change", "consensus": "consensus", "flows": "flows", "summary": "summary", "year": "year_flows", "feed": "feed", "best": "filer_period",
+}
+add(
+    "snk07_refreshed_tables", "name:s rows:l",
+    " UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS rows FROM {table}" for name, table in _STORED.items()) + " UNION ALL SELECT 'episodes', count(*) FROM (" + " UNION ALL ".join(f"({clusters.clusters_sql(*g)})" for g in clusters.GRID) + ")",
+    **SPLITS,
+)(_refreshed)
