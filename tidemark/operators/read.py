@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.periods import deadline, quarter_end, quarters_between
 from .change import traded_usd
+from .paging import Key, page
 
 _FAR = 10**22
 
@@ -62,9 +63,28 @@ def investor_list(filer: DataFrame, summary: DataFrame, best: DataFrame, categor
     return rows.join(latest, "filer_id", "left").join(top, ["filer_id", "period"], "left")
 
 
-def investor_detail(filer: DataFrame, published: DataFrame) -> DataFrame:
+def investor_detail(filer: DataFrame, published: DataFrame, filing: DataFrame | None = None) -> DataFrame:
+    """Each filer with its first and last period and how many; with filings also `ciks`, all that it filed under, in order."""
     spans = published.groupBy("filer_id").agg(F.min("period").alias("first_period"), F.max("period").alias("last_period"), F.count("*").alias("periods"))
-    return filer.join(spans, "filer_id", "left").fillna(0, ["periods"])
+    full = filer.join(spans, "filer_id", "left").fillna(0, ["periods"])
+    if filing is None:
+        return full
+    return full.join(filing.groupBy("filer_id").agg(F.array_sort(F.collect_set("cik")).alias("ciks")), "filer_id", "left")
+
+
+#: Sorts by name, as the columns that lead; ties go to the keys given with them, the same way.
+SORTS = {
+    "investors": {"value": [("portfolio_value", -1)], "positions": [("positions", -1)], "name": [("name", "")]},
+    "portfolio": {"weight": [("weight_key", None)], "value": [("value_usd", None)], "shares": [("shares", None)], "change": [("change_key", None)]},
+    "flows": {c: [(c, None)] for c in ("bought", "sold", "net", "net_shares", "buyers", "sellers", "new_positions", "exits", "holder_count")},
+    "insiders": {"date": [("transaction_date", None)], "value": [("value_usd", -1)]},
+}
+
+
+def sorted_page(rows: DataFrame, listing: str, sort: str, ties: list[str], descending: bool = True, size: int = 50, position: list[object] | None = None) -> DataFrame:
+    """A page of a listing by one of its SORTS; a missing value counts as the least there can be."""
+    lead = [Key(c, descending, missing) for c, missing in SORTS[listing][sort]]
+    return page(rows, [*lead, *(Key(c, descending) for c in ties)], size, position)
 
 
 def sparkline(filer: DataFrame, summary: DataFrame, last: str, quarters: int = 8) -> DataFrame:
@@ -164,18 +184,34 @@ def filing_gaps(published: DataFrame) -> DataFrame:
     return rows.select("filer_id", F.last_day(F.add_months(F.trunc("last", "month"), 3)).alias("first_missing"), quarter_end(F.add_months(F.trunc("period", "month"), -3)).alias("last_missing"), F.col("missing").cast("long").alias("quarters"))
 
 
-def insider_feed(lines: DataFrame, codes: tuple[str, ...] = ("P", "S"), min_value: float | None = None, first: str | None = None, last: str | None = None, roles: tuple[str, ...] = (), plan: bool | None = None, stocks: list[int] | None = None) -> DataFrame:
-    """Lines by code, role (any of them), value, trade date, plan flag and security, newest first by date and id."""
+def insider_feed(
+    lines: DataFrame, codes: tuple[str, ...] = ("P", "S"), min_value: float | None = None, first: str | None = None, last: str | None = None, roles: tuple[str, ...] = (), plan: bool | None = None,
+    filed_first: str | None = None, filed_last: str | None = None, insiders: list[int] | None = None, stocks: DataFrame | None = None, issuers: DataFrame | None = None,
+) -> DataFrame:
+    """Lines by code, role (any of them), value, trade days, plan flag, days of filing (whole UTC days, both included) and insiders.
+
+    stocks (security_id) takes lines linked to one of them, and with issuers (issuer_cik) the unlinked lines of those too.
+    """
     rows = lines.where(F.col("transaction_code").isin(*codes))
     if roles:
         held = F.lit(False)
         for r in roles:
             held = held | F.coalesce(F.col(f"is_{r}"), F.lit(False))
         rows = rows.where(held)
-    for on, test in ((min_value, lambda v: F.col("value_usd") >= v), (first, lambda v: F.col("transaction_date") >= _day(v)), (last, lambda v: F.col("transaction_date") <= _day(v)), (plan, lambda v: F.col("is_10b5_1") == v), (stocks, lambda v: F.col("security_id").isin(*v))):
+    tests = [
+        (min_value, lambda v: F.col("value_usd") >= v), (first, lambda v: F.col("transaction_date") >= _day(v)), (last, lambda v: F.col("transaction_date") <= _day(v)), (plan, lambda v: F.col("is_10b5_1") == v),
+        (filed_first, lambda v: F.col("filed_at") >= _day(v)), (filed_last, lambda v: F.col("filed_at") < F.date_add(_day(v), 1)), (insiders, lambda v: F.col("insider_id").isin(*v)),
+    ]
+    for on, test in tests:
         if on is not None:
             rows = rows.where(test(on))
-    return rows
+    if stocks is None:
+        return rows
+    linked = rows.join(stocks.select("security_id").distinct(), "security_id", "left_semi")
+    if issuers is None:
+        return linked
+    loose = rows.where("security_id is null").join(issuers.select("issuer_cik").distinct(), "issuer_cik", "left_semi")
+    return linked.select(*rows.columns).unionByName(loose.select(*rows.columns))
 
 
 def cluster_breakdown(clusters: DataFrame, lines: DataFrame) -> DataFrame:

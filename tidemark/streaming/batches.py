@@ -69,3 +69,32 @@ def mail_batches(items: DataFrame, user: str, at: str, wait: int = WAIT) -> Data
 
     rows = times.select(user, F.explode(F.aggregate("t", start, step)).alias("b"))
     return rows.select(user, F.timestamp_micros(F.col("b.first") + span).alias("sent_at"), F.col("b.n").alias("items"))
+
+
+#: Mails that a user gets in a day at most, and the hour of the digest, both by the user's own clock.
+DAILY, DIGEST_HOUR = 3, 19
+
+
+def due_mail(waiting: DataFrame, users: DataFrame, now: str, wait: int = WAIT) -> DataFrame:
+    """What to do for each user with something waiting at an instant: user_id, action (batch, digest, to_digest, wait), items.
+
+    waiting: user_id, kind (instant or digest), since. users: user_id, zone, quiet_from and quiet_to (hours, may run over midnight), sent_today.
+    A batch is due `wait` minutes after its oldest item, outside quiet hours, and takes all items with it. DAILY mails a day are sent; while
+    today's digest is ahead and has content the last of them is its own, and a batch without room goes to the digest. The digest is due from
+    DIGEST_HOUR on. Groups are a count and a minimum, so a user with many items is as cheap as one with few.
+    """
+    at = F.lit(now).cast("timestamp")
+    sums = waiting.groupBy("user_id").agg(
+        F.min(F.when(F.col("kind") == "instant", F.col("since"))).alias("oldest"), F.count(F.when(F.col("kind") == "instant", 1)).alias("instant"), F.count(F.when(F.col("kind") == "digest", 1)).alias("digest")
+    )
+    rows = sums.join(users, "user_id").withColumn("hour", F.hour(F.from_utc_timestamp(at, F.col("zone"))))
+    over = F.col("quiet_from") > F.col("quiet_to")
+    inside = (F.col("hour") >= F.col("quiet_from")) & (F.col("hour") < F.col("quiet_to"))
+    quiet = F.when(F.col("quiet_from") == F.col("quiet_to"), False).when(over, (F.col("hour") >= F.col("quiet_from")) | (F.col("hour") < F.col("quiet_to"))).otherwise(inside)
+    ahead = (F.col("digest") > 0) & (F.col("hour") < DIGEST_HOUR)
+    room = F.lit(DAILY) - F.col("sent_today") - F.when(ahead, 1).otherwise(0)
+    ripe = F.col("oldest").isNotNull() & (F.unix_timestamp("oldest") + wait * 60 <= F.unix_timestamp(at))
+    digest = (F.col("digest") > 0) & (F.col("hour") >= DIGEST_HOUR) & (F.col("sent_today") < DAILY)
+    action = F.when(quiet, "wait").when(digest, "digest").when(ripe & (room > 0), "batch").when(ripe, "to_digest").otherwise("wait")
+    items = F.when(action == "digest", F.col("digest")).when(action.isin("batch", "to_digest"), F.col("instant")).otherwise(0)
+    return rows.select("user_id", action.alias("action"), items.cast("long").alias("items"))
