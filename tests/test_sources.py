@@ -5,7 +5,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import quality, search
+from tidemark.operators import lookup, quality
 from tidemark.sources import filings, sinks
 from tidemark.streaming import batches
 
@@ -64,8 +64,8 @@ def test_text(spark):
     row = spark.createDataFrame([("The Acme Holdings, Inc. Class A", "Buy (BRK/B) [x]", "$1,001 - $15,000", "Over $50,000,000", "Not under a 10b5-1 plan.", "Sold. Under a Rule 10b5-1 plan; fully.", "ÉCOLE", "12 3")], "a string, b string, c string, d string, e string, f string, g string, h string")
     low, high = text.amount_band(F.col("c"))
     over = text.amount_band(F.col("d"))
-    got = row.select(text.core_name(F.col("a")), text.extract_ticker(F.col("b")), low, high, *over, text.planned(F.col("e")), text.planned(F.col("f")), text.fold(F.col("g")), text.normal_cusip(F.col("h")), text.similarity(F.lit("word"), F.lit("words"))).first()
-    assert tuple(got) == ("acme", "BRK.B", 1001, 15000, 50_000_000, None, False, True, "ecole", "000000123", 4 / 7)
+    got = row.select(text.core_name(F.col("a")), text.extract_ticker(F.col("b"))["ticker"], low, high, *over, text.planned(F.col("e")), text.planned(F.col("f")), text.fold(F.col("g")), text.normal_cusip(F.col("h")), text.similarity(F.lit("word"), F.lit("words"))).first()
+    assert tuple(got) == ("acme hldg", "BRK.B", 1001, 15000, 50_000_000, None, False, True, "ecole", "000000123", 4 / 7)
 
 
 def test_guards(spark):
@@ -81,10 +81,10 @@ def test_lookup_prefers_the_alias_of_the_day(spark):
     aliases = spark.createDataFrame([("FB", 1, None, d(2022, 6, 9)), ("FB", 2, d(2023, 1, 1), None)], "ticker string, security_id long, valid_from date, valid_to date")
     securities = spark.createDataFrame([(1, "META", "30303M102", d(2024, 3, 31)), (2, "FB", "99999X999", None)], "security_id long, ticker string, cusip string, last_held date")
     symbols = spark.createDataFrame([("fb",), ("meta",), ("30303M102",), ("none",)], "symbol string")
-    got = lambda day: {r.symbol: (r.security_id, r.tier) for r in search.lookup(symbols, aliases, securities, day).collect()}
+    got = lambda day: {r.symbol: (r.security_id, r.via) for r in lookup.lookup(symbols, aliases, securities, securities, day).collect()}
     assert got("2020-01-01") == {"fb": (1, 0), "meta": (1, 1), "30303M102": (1, 3)}
     assert got("2024-01-01")["fb"] == (2, 0)
-    assert search.collisions(aliases).count() == 0
+    assert lookup.collisions(aliases).count() == 0
 
 
 def test_mail_batches(spark):
