@@ -24,41 +24,48 @@ def counted_purchases(lines: DataFrame) -> DataFrame:
 
 
 def insider_clusters(lines: DataFrame, days: int = 30, least: int = 3) -> DataFrame:
-    """Episodes of each issuer: issuer_cik, window_start, window_end, insiders, lines, shares, value_usd, security_id, transaction_ids.
+    """The episodes of one point of the grid; see cluster_grid()."""
+    return cluster_grid(lines, [(days, least)]).drop("window_days", "min_insiders")
 
-    A day qualifies if the window of it and the days before holds `least` insiders. A window starts at its first purchase;
+
+def cluster_grid(lines: DataFrame, grid: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Episodes of each issuer for each window of days and least number of insiders: window_days, min_insiders, issuer_cik, window_start,
+    window_end, insiders, lines, shares, value_usd, security_id, transaction_ids.
+
+    A day qualifies if the window of it and the days before holds so many insiders. A window starts at its first purchase;
     one that starts after the previous qualifying day's end is a new episode, else they share a purchase. Sums cover all counted
     lines of the issuer from the start to the end. The security is that of all lines, null if they differ or one has none.
 
     Purchases are reduced to one row for an issuer, insider and day before the frame, whose set is so no larger than its insiders.
+    Each length of window is one pass, whose days qualify for all the numbers they reach; all episodes meet the lines in one join.
     """
     counted = counted_purchases(lines).where("excluded is null")
     day = F.datediff("transaction_date", F.lit("1970-01-01").cast("date"))
     days_of = counted.select("issuer_cik", "insider_id", "transaction_date").distinct().withColumn("day", day)
-    frame = Window.partitionBy("issuer_cik").orderBy("day").rangeBetween(-days, 0)
-    windows = days_of.withColumns({"insiders": F.size(F.collect_set("insider_id").over(frame)), "start": F.min("transaction_date").over(frame)})
-    ends = windows.where(F.col("insiders") >= least).select("issuer_cik", "transaction_date", "start").distinct()
-    order = Window.partitionBy("issuer_cik").orderBy("transaction_date")
+    numbers: dict[int, list[int]] = {}
+    for days, least in grid or GRID:
+        numbers.setdefault(days, []).append(least)
+    ends = None
+    for days, leasts in numbers.items():
+        frame = Window.partitionBy("issuer_cik").orderBy("day").rangeBetween(-days, 0)
+        windows = days_of.select("issuer_cik", "transaction_date", F.size(F.collect_set("insider_id").over(frame)).alias("insiders"), F.min("transaction_date").over(frame).alias("start"))
+        reached = F.explode(F.filter(F.array(*map(F.lit, leasts)), lambda n: n <= F.col("insiders")))
+        part = windows.groupBy("issuer_cik", "transaction_date").agg(F.max("insiders").alias("insiders"), F.min("start").alias("start"))
+        part = part.select(F.lit(days).alias("window_days"), reached.alias("min_insiders"), "issuer_cik", "transaction_date", "start")
+        ends = part if ends is None else ends.unionByName(part)
+    point = ["window_days", "min_insiders", "issuer_cik"]
+    order = Window.partitionBy(*point).orderBy("transaction_date")
     fresh = F.coalesce((F.col("start") > F.lag("transaction_date").over(order)).cast("int"), F.lit(1))
     islands = ends.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(order))
-    episodes = islands.groupBy("issuer_cik", "island").agg(F.min("start").alias("window_start"), F.max("transaction_date").alias("window_end"))
+    episodes = islands.groupBy(*point, "island").agg(F.min("start").alias("window_start"), F.max("transaction_date").alias("window_end"))
     inside = counted.join(episodes, "issuer_cik").where("transaction_date between window_start and window_end")
     one = F.when((F.count("*") == F.count("security_id")) & (F.min("security_id") == F.max("security_id")), F.min("security_id"))
-    return inside.groupBy("issuer_cik", "window_start", "window_end").agg(
+    return inside.groupBy(*point, "window_start", "window_end").agg(
         F.countDistinct("insider_id").alias("insiders"), F.count("*").alias("lines"), F.sum("shares").cast("decimal(20,4)").alias("shares"), F.sum("value_usd").cast("decimal(20,2)").alias("value_usd"),
         one.alias("security_id"), F.transform(F.array_sort(F.collect_list(F.struct("transaction_date", "id"))), lambda s: s["id"]).alias("transaction_ids"),
     )
 
 
-def cluster_grid(lines: DataFrame, grid: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Episodes for each window and least number of the grid."""
-    parts = [insider_clusters(lines, d, m).select(F.lit(d).alias("window_days"), F.lit(m).alias("min_insiders"), "*") for d, m in grid or GRID]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 COUNTED_SQL = """SELECT *, CASE WHEN is_derivative THEN 'derivative' WHEN NOT (is_director OR is_officer) THEN 'role' WHEN is_10b5_1 THEN '10b5_1' WHEN plan THEN 'plan' END AS excluded FROM insider_line WHERE transaction_code = 'P'"""
 
 
