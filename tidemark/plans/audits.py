@@ -131,7 +131,13 @@ add(
     "str07_over_limit", "event_id:l in_window:l",
     "SELECT * FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) AS in_window FROM events) WHERE in_window > 2",
 )(lambda t: batches.over_limit(t.domain.table("events"), "user_id", "ts", 3 * 86400, 2))
-add("str06_mail_batches", "user_id:l sent_at:t items:l")(lambda t: batches.mail_batches(t.domain.table("events"), "user_id", "ts", 3 * 1440))
+_MOMENTS = "SELECT user_id, ts, count(*) AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS place FROM events GROUP BY 1, 2"
+_HEADS = """SELECT user_id, ts AS head FROM moment WHERE place = 1 UNION ALL
+  SELECT h.user_id, (SELECT min(m.ts) FROM moment m WHERE m.user_id = h.user_id AND m.ts > h.head + INTERVAL 3 DAY) AS next FROM head h WHERE next IS NOT NULL"""
+add(
+    "str06_mail_batches", "user_id:l sent_at:t items:l",
+    "SELECT h.user_id, head + INTERVAL 3 DAY AS sent_at, sum(n) AS items FROM head h JOIN moment m ON m.user_id = h.user_id AND m.ts BETWEEN head AND head + INTERVAL 3 DAY GROUP BY 1, 2", moment=_MOMENTS, head=_HEADS,
+)(lambda t: batches.mail_batches(t.domain.table("events"), "user_id", "ts", 3 * 1440))
 add("str04_first_arrivals", "user_id:l", "SELECT DISTINCT user_id FROM events")(lambda t: batches.arrivals_once(t.domain.table("events"), "user_id", "ts"))
 add("snk05_latest_of_user", "user_id:l event_id:l event_type:s", "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")(
     lambda t: sinks.latest(t.domain.table("events"), ["user_id"], ["ts", "event_id"])

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..sources.store import written
+
 #: Minutes that a batch of notices waits from its first.
 WAIT = 15
 
@@ -56,19 +58,27 @@ def over_limit(requests: DataFrame, key: str, at: str, seconds: int, most: int)
 
 
 def mail_batches(items: DataFrame, user: str, at: str, wait: int = WAIT) -> DataFrame:
-    """Each user's waiting items as batches: one is sent `wait` minutes after its first item, with all that came by then."""
-    times = items.groupBy(user).agg(F.array_sort(F.collect_list(F.unix_micros(F.col(at).cast("timestamp")))).alias("t"))
-    span = F.lit(wait * 60 * 1_000_000).cast("long")
-    start = F.array().cast("array<struct<first:bigint,n:bigint>>")
-
-    def step(done, t):
-        last = F.try_element_at(done, F.lit(-1))
-        joins = F.coalesce(t <= last["first"] + span, F.lit(False))
-        grown = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(last["first"].alias("first"), (last["n"] + 1).alias("n"))))
-        return F.when(joins, grown).otherwise(F.concat(done, F.array(F.struct(t.alias("first"), F.lit(1).cast("long").alias("n")))))
-
-    rows = times.select(user, F.explode(F.aggregate("t", start, step)).alias("b"))
-    return rows.select(user, F.timestamp_micros(F.col("b.first") + span).alias("sent_at"), F.col("b.n").alias("items"))
+    """Each user's waiting items as batches: one is sent `wait` minutes after its first item, with all that came by then.
+
+    Each moment points to the first one beyond its wait, where the next batch would start; batches start at the moments that
+    the first one leads to. These are found by doubling the pointers' reach, in rounds in the logarithm of the
+    longest row of batches, so no user's items are folded in one row.
+    """
+    span = wait * 60 * 1_000_000
+    moments = items.select(F.col(user), F.unix_micros(F.col(at).cast("timestamp")).alias("t")).groupBy(user, "t").agg(F.count("*").alias("n"))
+    by = Window.partitionBy(user).orderBy("t")
+    reach = by.rangeBetween(0, span)
+    rows = moments.withColumns({"place": F.row_number().over(by), "ahead": F.count("*").over(reach), "items": F.sum("n").over(reach)})
+    rows = written(rows.select(user, "t", "place", (F.col("place") + F.col("ahead")).alias("next"), "items"), "moments")
+    starts, jump = rows.where("place = 1").select(user, "place"), rows.select(user, "place", "next")
+    while True:
+        more = starts.join(jump, [user, "place"]).select(user, F.col("next").alias("place")).join(rows.select(user, "place"), [user, "place"], "left_semi").join(starts, [user, "place"], "left_anti")
+        more = written(more.distinct(), "starts")
+        if more.isEmpty():
+            break
+        starts = written(starts.unionByName(more), "starts")
+        jump = written(jump.join(jump.select(user, F.col("place").alias("next"), F.col("next").alias("after")), [user, "next"]).select(user, "place", F.col("after").alias("next")), "jumps")
+    return rows.join(starts, [user, "place"], "left_semi").select(user, F.timestamp_micros(F.col("t") + F.lit(span)).alias("sent_at"), "items")
 
 
 #: Mails that a user gets in a day at most, and the hour of the digest, both by the user's own clock.
