@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table, and the SQL of those that SQL can express."""
+"""The queries of the operators, each over its whole table, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -15,6 +15,8 @@ from . import (
     op8_toolcalls,
     op9_suffix,
     op10_decontaminate,
+    op11_yinyang,
+    op13_divergence,
 )
 
 
@@ -62,6 +64,14 @@ def op10_qgram_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_yinyang.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,6 +85,8 @@ QUERIES = {
         op8_tool_call_linking,
         op9_suffix_dedup,
         op10_qgram_decontamination,
+        op11_vector_codes,
+        op13_source_divergence,
     )
 }
 ORACLES = {
@@ -82,4 +94,6 @@ ORACLES = {
     "op3_arc_to_warc": op3_warc.ORACLE,
     "op6_mix_to_weights": op6_mixing.ORACLE,
     "op8_tool_call_linking": op8_toolcalls.ORACLE,
+    "op11_vector_codes": op11_yinyang.ORACLE,
+    "op13_source_divergence": op13_divergence.ORACLE,
 }
