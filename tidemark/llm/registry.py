@@ -16,6 +16,7 @@ from . import (
     op9_suffix,
     op10_decontaminate,
     op11_yinyang,
+    op12_secrets,
     op13_divergence,
 )
 
@@ -68,6 +69,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_yinyang.vector_codes(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_secrets.scan(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op13_divergence.divergence(_table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES = {
         op9_suffix_dedup,
         op10_qgram_decontamination,
         op11_vector_codes,
+        op12_secret_scan,
         op13_source_divergence,
     )
 }
