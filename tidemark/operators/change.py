@@ -90,11 +90,18 @@ def traded_usd() -> Column:
     return F.coalesce(F.when(F.col("action") == "exit", then).otherwise(now), F.lit(0)).cast("decimal(24,6)")
 
 
-CHANGE_SQL = """SELECT filer_id, period, security_id, prev_period, CASE WHEN prev_shares IS NULL THEN 'new' WHEN abs(shares - prev_shares) * 100 <= prev_shares * 0.01 THEN 'hold' WHEN shares > prev_shares THEN 'add' ELSE 'trim' END AS action,
-    shares, prev_shares, value_usd, prev_value_usd, weight_pct, prev_weight_pct, shares - coalesce(prev_shares, 0) AS shares_delta, round((shares - prev_shares)::DOUBLE * 100 / nullif(prev_shares, 0)::DOUBLE, 6) AS shares_delta_pct,
-    value_usd - coalesce(prev_value_usd, 0) AS value_delta, round(weight_pct - coalesce(prev_weight_pct, 0), 6) AS weight_delta
-  FROM (SELECT s.filer_id, s.period, s.security_id, p.prev_period, s.shares, s.value_usd, s.weight_pct, b.shares AS prev_shares, b.value_usd AS prev_value_usd, b.weight_pct AS prev_weight_pct FROM snapshot s
-    JOIN published p USING (filer_id, period) LEFT JOIN snapshot b ON b.filer_id = s.filer_id AND b.security_id = s.security_id AND b.period = p.prev_period)
-  UNION ALL SELECT s.filer_id, p.next_period, s.security_id, s.period, 'exit', 0, s.shares, 0, s.value_usd, 0, s.weight_pct, -s.shares, CASE WHEN s.shares <> 0 THEN -100 END, -s.value_usd, -s.weight_pct
+#: Changes for DuckDB, by the splits among the verdicts.
+_PRODUCT = "coalesce((SELECT product({side}) FROM verdict v WHERE v.confidence IS NOT NULL AND v.security_id = s.security_id AND v.period > p.prev_period AND v.period <= s.period), 1)"
+CHANGE_SQL = f"""SELECT filer_id, period, security_id, prev_period,
+    CASE WHEN before IS NULL THEN 'new' WHEN abs(shares - before) * 100 <= before * 0.01 THEN 'hold' WHEN shares > before THEN 'add' ELSE 'trim' END AS action,
+    shares, prev_shares, value_usd, prev_value_usd, weight_pct, prev_weight_pct,
+    shares - coalesce(before, 0) AS shares_delta, round((shares - before)::DOUBLE * 100 / nullif(before, 0)::DOUBLE, 6) AS shares_delta_pct,
+    value_usd - coalesce(prev_value_usd, 0) AS value_delta, round(weight_pct - coalesce(prev_weight_pct, 0), 6) AS weight_delta,
+    before IS NOT NULL AND numerator <> denominator AS is_split, CASE WHEN before IS NOT NULL AND numerator <> denominator THEN numerator / denominator END AS split_ratio
+  FROM (SELECT *, CASE WHEN numerator = denominator THEN prev_shares ELSE round(prev_shares::DOUBLE * numerator / denominator, 4)::DECIMAL(20,4) END AS before FROM
+    (SELECT s.filer_id, s.period, s.security_id, p.prev_period, s.shares, s.value_usd, s.weight_pct, b.shares AS prev_shares, b.value_usd AS prev_value_usd, b.weight_pct AS prev_weight_pct,
+       {_PRODUCT.format(side="numerator")} AS numerator, {_PRODUCT.format(side="denominator")} AS denominator
+     FROM snapshot s JOIN published p USING (filer_id, period) LEFT JOIN snapshot b ON b.filer_id = s.filer_id AND b.security_id = s.security_id AND b.period = p.prev_period))
+  UNION ALL SELECT s.filer_id, p.next_period, s.security_id, s.period, 'exit', 0, s.shares, 0, s.value_usd, 0, s.weight_pct, -s.shares, CASE WHEN s.shares <> 0 THEN -100 END, -s.value_usd, -s.weight_pct, false, NULL
   FROM snapshot s JOIN published p USING (filer_id, period) WHERE next_period IS NOT NULL AND NOT EXISTS (SELECT 1 FROM snapshot n WHERE n.filer_id = s.filer_id AND n.security_id = s.security_id AND n.period = p.next_period)"""
 PUBLISHED_SQL = "SELECT filer_id, period, lag(period) OVER (PARTITION BY filer_id ORDER BY period) AS prev_period, lead(period) OVER (PARTITION BY filer_id ORDER BY period) AS next_period FROM filer_period"

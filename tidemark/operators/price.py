@@ -162,3 +162,37 @@ PRICE_SQL = """SELECT security_id, period, round(median, 8) AS price, CASE WHEN
     observation_count, priced_count, observation_count - priced_count AS unpriced_count, agreeing_count FROM
   (SELECT security_id, period, any_value(median) AS median, count(*) AS observation_count, count(*) FILTER (value_usd > 0) AS priced_count, count(*) FILTER (value_usd > 0 AND abs(each - median) * 100 <= median * 2) AS agreeing_count FROM
     (SELECT *, quantile_disc(CASE WHEN value_usd > 0 THEN each END, 0.5) OVER (PARTITION BY security_id, period) AS median FROM (SELECT *, value_usd::DOUBLE / shares::DOUBLE AS each FROM snapshot WHERE shares > 0)) GROUP BY 1, 2)"""
+#: FRACTIONS and the rules of splits for DuckDB.
+FRACTIONS_SQL = ", ".join(f"({n}::DOUBLE, {d}::DOUBLE)" for n, d in FRACTIONS)
+#: Holders of both quarters, median ratios, nearest fractions, counts, the ratio of prices, verdicts.
+SPLIT_SQL = {
+    "pair": """
+      SELECT n.security_id, n.period, n.shares::DOUBLE AS shares, b.shares::DOUBLE AS was, round(n.shares::DOUBLE / b.shares::DOUBLE, 10) AS ratio
+      FROM snapshot n JOIN snapshot b ON b.filer_id = n.filer_id AND b.security_id = n.security_id
+        AND n.period = last_day(date_trunc('month', b.period) + INTERVAL 3 MONTH)
+      WHERE n.shares > 0 AND b.shares > 0""",
+    "ratio": "SELECT security_id, period, count(*) AS holders, quantile_disc(ratio, 0.5) AS shares_ratio FROM pair GROUP BY 1, 2 HAVING count(*) >= 2",
+    "near": f"""
+      SELECT r.*, n AS numerator, d AS denominator FROM ratio r LEFT JOIN
+        (SELECT security_id, period, n, d FROM ratio, (VALUES {FRACTIONS_SQL}) f(n, d)
+         WHERE greatest(shares_ratio * d / n, n / (shares_ratio * d)) <= 1.25
+         QUALIFY row_number() OVER (PARTITION BY security_id, period ORDER BY greatest(shares_ratio * d / n, n / (shares_ratio * d))) = 1) USING (security_id, period)""",
+    "moved": """
+      SELECT security_id, n.period, round(n.price::DOUBLE / b.price::DOUBLE, 10) AS price_ratio FROM price n JOIN price b USING (security_id)
+      WHERE n.period = last_day(date_trunc('month', b.period) + INTERVAL 3 MONTH)""",
+    "candidate": """
+      SELECT * FROM
+        (SELECT c.security_id, c.period, any_value(numerator) AS numerator, any_value(denominator) AS denominator, any_value(holders) AS holders, any_value(shares_ratio) AS shares_ratio,
+           count(*) FILTER (ratio * denominator * 1.25 >= numerator AND ratio * denominator <= numerator * 1.25) AS holders_agreeing,
+           count(*) FILTER (abs(shares * denominator - was * numerator) <= denominator) AS holders_exact
+         FROM near c JOIN pair USING (security_id, period) GROUP BY 1, 2)
+      LEFT JOIN moved USING (security_id, period)
+      WHERE holders_agreeing >= 2 OR shares_ratio >= 2.5 OR shares_ratio * 2.5 <= 1""",
+    "verdict": """
+      SELECT *, CASE WHEN numerator IS NULL OR holders_agreeing < 2 OR holders_agreeing * 3 < holders OR price_ratio IS NULL THEN NULL
+          WHEN NOT (product BETWEEN 0.4 AND 1.6 AND CASE WHEN fraction > 1 THEN product * product < fraction ELSE product * product > fraction END) THEN NULL
+          WHEN size < 3 AND holders_exact = 0 THEN NULL
+          WHEN size < 4 AND holders_exact = 0 AND NOT (holders_agreeing >= 3 AND holders_agreeing * 2 > holders) THEN NULL
+          WHEN holders_exact > 0 AND holders_agreeing >= 3 THEN 'high' WHEN holders_exact > 0 OR holders_agreeing >= 3 THEN 'medium' ELSE 'low' END AS confidence
+      FROM (SELECT *, numerator / denominator AS fraction, price_ratio * numerator / denominator AS product, greatest(numerator / denominator, denominator / numerator) AS size FROM candidate)""",
+}

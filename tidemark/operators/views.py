@@ -91,7 +91,7 @@ def top_holding(snapshot: DataFrame) -> DataFrame:
 
 
 CONSENSUS_SQL = """SELECT *, rank() OVER (PARTITION BY period ORDER BY total_value DESC) AS value_rank FROM (SELECT period, security_id, count(DISTINCT filer_id) AS holder_count, sum(value_usd)::DECIMAL(20,2) AS total_value,
-  sum(shares)::DECIMAL(20,4) AS total_shares, round(avg(weight_pct), 6) AS avg_weight, round(quantile_cont(weight_pct, 0.5)::DECIMAL(18,8), 6) AS median_weight FROM snapshot GROUP BY 1, 2)"""
+  sum(shares)::DECIMAL(20,4) AS total_shares, ((2 * sum(round(weight_pct * 1000000)::HUGEINT) + count(weight_pct)) // (2 * count(weight_pct)))::DOUBLE / 1000000 AS avg_weight, round(quantile_cont(weight_pct, 0.5)::DECIMAL(18,8), 6) AS median_weight FROM snapshot GROUP BY 1, 2)"""
 FLOWING_SQL = """SELECT *, round(coalesce(CASE WHEN action = 'exit' THEN abs(shares_delta)::DOUBLE * prev_value_usd::DOUBLE / nullif(prev_shares, 0)::DOUBLE ELSE abs(shares_delta)::DOUBLE * value_usd::DOUBLE / nullif(shares, 0)::DOUBLE END, 0), 6)::DECIMAL(24,6) AS traded
   FROM change WHERE prev_period IS NOT NULL"""
 FLOWS_SQL = """SELECT *, round(bought - sold, 2) AS net FROM (SELECT period, security_id, round(coalesce(sum(traded) FILTER (action IN ('new', 'add')), 0), 2) AS bought, round(coalesce(sum(traded) FILTER (action IN ('trim', 'exit')), 0), 2) AS sold,

@@ -33,7 +33,7 @@ def add(name: str, spec: str, sql: str | None = None, **more: str):
 
 
 _SNAPSHOT = "filer_id:l period:d security_id:l shares:f value_usd:f weight_pct:f source_filing_id:l suspect:b"
-_CHANGE = "filer_id:l period:d security_id:l prev_period:d action:s shares:f prev_shares:f value_usd:f prev_value_usd:f weight_pct:f prev_weight_pct:f shares_delta:f shares_delta_pct:f value_delta:f weight_delta:f"
+_CHANGE = "filer_id:l period:d security_id:l prev_period:d action:s shares:f prev_shares:f value_usd:f prev_value_usd:f weight_pct:f prev_weight_pct:f shares_delta:f shares_delta_pct:f value_delta:f weight_delta:f is_split:b split_ratio:f"
 _CONSENSUS = "period:d security_id:l holder_count:l total_value:f total_shares:f avg_weight:f median_weight:f value_rank:l"
 _FLOWS = "period:d security_id:l bought:f sold:f net:f net_shares:f new_positions:l exits:l buyers:l sellers:l"
 _AT = f"period = DATE '{PERIOD}'"
@@ -51,7 +51,7 @@ add("qry31_resolved_filings", "filing_id:l filer_id:l cik:s period:d", "SELECT *
 add("drv03_position_snapshot", _SNAPSHOT, "SELECT * FROM snapshot")(lambda t: t.fresh("snapshot"))
 add("drv04_filer_period", "filer_id:l period:d suspect:b", "SELECT * FROM filer_period")(lambda t: t.fresh("published"))
 add("drv05_implied_price", "security_id:l period:d price:f confidence:s observation_count:l priced_count:l unpriced_count:l agreeing_count:l", "SELECT * FROM price")(lambda t: t.fresh("prices"))
-add("drv10_position_change", _CHANGE, "SELECT * FROM change")(lambda t: t.fresh("change"))
+add("drv10_position_change", _CHANGE, "SELECT * FROM change")(lambda t: t.fresh("change").withColumn("split_ratio", F.col("numerator") / F.col("denominator")))
 add("drv11_traded_usd", "filer_id:l period:d security_id:l action:s traded:f", "SELECT * FROM flowing")(lambda t: t.change.where("prev_period is not null").withColumn("traded", change.traded_usd()))
 add("drv13_quarter_flows", _FLOWS, "SELECT * FROM flows")(lambda t: t.fresh("flows"))
 add("drv14_filer_summary", "filer_id:l period:d portfolio_value:f positions:l top10_weight:f turnover:f", "SELECT * FROM summary")(lambda t: t.fresh("summary"))

@@ -16,7 +16,7 @@ BUILDERS: dict[str, Callable] = {
     "published": lambda t: snapshot.filer_period(t.snapshot),
     "prices": lambda t: price.implied_price(t.snapshot),
     "verdicts": lambda t: price.judge(price.split_candidates(t.snapshot, t.prices)),
-    "change": lambda t: change.position_change(t.snapshot),
+    "change": lambda t: change.position_change(t.snapshot, t.splits),
     "consensus": lambda t: views.consensus_holdings(t.snapshot),
     "flows": lambda t: views.quarter_flows(t.change),
     "summary": lambda t: views.filer_summary(t.snapshot, t.change),
@@ -74,6 +74,11 @@ class Derived:
     def winning(self) -> DataFrame:
         return snapshot.winning_filings(self.effective, self.filing)
 
+    @property
+    def splits(self) -> DataFrame:
+        """The splits that the chain has found before the changes are made."""
+        return price.splits_of(self.verdicts)
+
     @property
     def amendments(self) -> DataFrame:
         return effective.effective_filing_by_cik(self.domain.amendment())
@@ -82,6 +87,6 @@ class Derived:
 #: The derived tables for DuckDB, in order of dependency.
 SQL = {
     "by_cik": effective.BY_CIK_SQL, "effective_filing": effective.EFFECTIVE_SQL, "snapshot": snapshot.SNAPSHOT_SQL, "filer_period": snapshot.FILER_PERIOD_SQL, "published": change.PUBLISHED_SQL,
-    "price": price.PRICE_SQL, "change": change.CHANGE_SQL, "consensus": views.CONSENSUS_SQL, "flowing": views.FLOWING_SQL, "flows": views.FLOWS_SQL, "year_flows": views.YEAR_SQL,
+    "price": price.PRICE_SQL, **price.SPLIT_SQL, "change": change.CHANGE_SQL, "consensus": views.CONSENSUS_SQL, "flowing": views.FLOWING_SQL, "flows": views.FLOWS_SQL, "year_flows": views.YEAR_SQL,
     "summary": views.SUMMARY_SQL, "feed": views.FEED_SQL, "counted": clusters.COUNTED_SQL,
 }

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import periods, text
 from ..operators import quality
-from ..sources import filings, sinks
+from ..sources import filings, partitions, sinks, tables
+from ..sources.store import shared_folder
 from .catalog import add
 from .derived import Derived
 
@@ -135,7 +138,7 @@ def _split_changes(t: Derived) -> DataFrame:
     """Changes with a split by rule, adjusted rightly but for one security."""
     split = F.col("action").isin("add", "trim", "hold") & (F.pmod("security_id", F.lit(5)) == 0)
     two = lambda x: F.when(split, x).cast("long")
-    delta = F.when(split, F.col("shares") - F.col("prev_shares") * 2).otherwise(F.col("shares_delta")) + F.when(F.col("security_id") == 10, 1).otherwise(0)
+    delta = F.when(split, F.col("shares") - F.col("prev_shares") * 2).otherwise(F.col("shares") - F.coalesce("prev_shares", F.lit(0))) + F.when(F.col("security_id") == 10, 1).otherwise(0)
     return t.change.withColumns({"numerator": two(2), "denominator": two(1), "is_split": F.coalesce(split, F.lit(False)), "shares_delta": delta})
 
 
@@ -146,33 +149,66 @@ add(
       WHERE greatest(r / 2, 2 / r) > greatest(r, 1 / r)""",
 )(lambda t: quality.split_changes_are_plausible(_split_changes(t)))
 
-# ---------------------------------------------------------------- text and dates by worked cases
+# ---------------------------------------------------------------- text and dates
+
+
+def _sql(t: Derived, table: str, query: str) -> DataFrame:
+    return t.spark.sql(query.replace(f"FROM {table}", f"FROM {{{table}}}"), **{table: t.domain.table(table)})
 
-#: Amounts as filed, and their bands.
-_AMOUNTS = [("$1,001 - $15,000", "1001", "15000"), ("Over $50,000,000", "50000000", None), ("$2,345.67", "2345.67", "2345.67"), ("none", None, None)]
-_NUMBERS = [("1,234", "1234"), (" 7.50 ", "7.5"), ("x", None), ("", None)]
-_CUSIPS = [("37833100", "037833100"), ("594918104", "594918104"), ("12 34", "000001234"), ("too long 123", None)]
-_PLANS = [("Sold under a Rule 10b5-1 plan.", True), ("This was not made under a 10b5-1 plan.", False), ("Gift.", False), ("Not a gift. Made by a 10b5-1 trading plan.", True)]
 
+#: Prices of orders as disclosed amounts: the band that each lies in, in words; those beyond are told as they are.
+_AMOUNT = "o_totalprice * CASE o_orderkey % 7 WHEN 0 THEN 900 WHEN 1 THEN 60 WHEN 2 THEN 0.01 ELSE 1 END"
+_BANDED = "CASE " + " ".join(f"WHEN amount >= {low} AND amount < {high + 1} THEN {{{i}}}" for i, (low, high) in enumerate(text.BANDS)) + " {9} END"
+_IN_WORDS = _BANDED.format(*(f"'${low:,} - ${high:,}'" for low, high in text.BANDS), "WHEN amount > 50000000 THEN 'Over $50,000,000' WHEN amount < 1001 THEN concat('$', CAST(CAST(amount AS DECIMAL(20,2)) AS STRING)) ELSE 'none'")
+add(
+    "txt11_amount_bands", "id:l low:f high:f",
+    f"""SELECT o_orderkey AS id, {_BANDED.format(*(low for low, _ in text.BANDS), "WHEN amount > 50000000 THEN 50000000 WHEN amount < 1001 THEN amount::DECIMAL(20,2)")} AS low,
+      {_BANDED.format(*(high for _, high in text.BANDS), "WHEN amount < 1001 THEN amount::DECIMAL(20,2)")} AS high FROM (SELECT o_orderkey, {_AMOUNT} AS amount FROM orders)""",
+)(lambda t: _sql(t, "orders", f"SELECT o_orderkey AS id, {_IN_WORDS} AS given FROM (SELECT o_orderkey, {_AMOUNT} AS amount FROM orders) x").select("id", *(c.alias(n) for c, n in zip(text.amount_band(F.col("given")), ("low", "high"), strict=True))))
+add("txt12_quantities", "id:l number:f", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 <> 0 THEN round(o_totalprice::DECIMAL(20,4), 2) END AS number FROM orders")(
+    lambda t: t.domain.table("orders").select(F.col("o_orderkey").alias("id"), text.quantity(F.when(F.col("o_orderkey") % 9 == 0, F.lit("n/a")).otherwise(F.concat(F.lit(" "), F.format_number(F.col("o_totalprice").cast("decimal(20,4)"), 2)))).alias("number"))
+)
+_CUSIP = "CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey AS STRING) WHEN 1 THEN concat('a', p_partkey, ' b') WHEN 2 THEN concat(' 12 ', p_partkey) ELSE concat('too long ', p_partkey, 'xxx') END"
+add(
+    "txt12_cusips", "id:l cusip:s",
+    "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN lpad(p_partkey::VARCHAR, 9, '0') WHEN 1 THEN lpad('A' || p_partkey || 'B', 9, '0') WHEN 2 THEN lpad('12' || p_partkey, 9, '0') END AS cusip FROM part",
+)(lambda t: _sql(t, "part", f"SELECT p_partkey AS id, {_CUSIP} AS given FROM part").select("id", text.normal_cusip(F.col("given")).alias("cusip")))
 
-def _quoted(*values) -> str:
-    return "(" + ", ".join("NULL" if v is None else repr(v) if isinstance(v, str) else str(v).lower() for v in values) + ")"
+#: Footnotes of insider lines, whether each speaks of a plan, and the first range of prices in it, from the line's value v.
+_NOTES = [
+    ("'Sold under a Rule 10b5-1 plan.'", True, None), ("'These sales were not made pursuant to a Rule 10b5-1 plan.'", False, None), ("'The reporting person acted outside of the 10b5-1 plan; prices from $1.50 to $2.25.'", False, (1.5, 2.25)),
+    ("'Under plan no. 3, a Rule 10b-5-1 trading plan.'", True, None), ("concat('Prices ranged from $', v, ' to $', v + 1, ', an average.')", False, ("v", "v + 1")), ("'No plan. NT$31.795 to US$1; $9.00 to $3.00.'", False, None),
+    ("concat('The plan no longer applies, see Rule 10b5-1. Sold between $', v + 2, ' and $', v + 5, '.')", False, ("v + 2", "v + 5")), ("'Neither a gift nor a grant. A 10b5-1 plan.'", True, None), ("'Made under Rule 10b5-12.'", False, None),
+]
+_VALUE = "CAST(1 + floor(value) AS INT)"
 
 
-def _values(rows: list, names: str) -> str:
-    return f"SELECT * FROM (VALUES {', '.join(_quoted(*r) for r in rows)}) v({names})"
+def _noted(pick: str, what) -> str:
+    return f"CASE {pick} " + " ".join(f"WHEN {i} THEN {what(*n)}" for i, n in enumerate(_NOTES)) + " END"
 
 
-def _given(t: Derived, rows: list) -> DataFrame:
-    return t.spark.createDataFrame([(r[0],) for r in rows], "given string")
+def _lines(t: Derived) -> DataFrame:
+    """Insider lines in forms of three with a footnote each; every fourth form has its checkbox set."""
+    return _sql(
+        t, "events",
+        f"SELECT event_id AS id, CAST(floor(event_id / 3) AS BIGINT) AS form, floor(event_id / 3) % 4 = 0 AS checkbox, {_noted('event_id % 11', lambda n, *_: n)} AS note, CASE event_id % 5 WHEN 0 THEN '0' WHEN 1 THEN concat(v, '.10-', v + 1, '.50') ELSE concat('1,0', 10 + v % 80, '.25') END AS price FROM (SELECT event_id, {_VALUE} AS v FROM events) x",
+    )
 
 
-add("txt11_amount_bands", "given:s low:f high:f", _values(_AMOUNTS, "given, low, high"))(lambda t: _given(t, _AMOUNTS).select("given", *(c.alias(n) for c, n in zip(text.amount_band(F.col("given")), ("low", "high"), strict=True))))
-add("txt12_quantities", "given:s number:f", _values(_NUMBERS, "given, number"))(lambda t: _given(t, _NUMBERS).select("given", text.quantity(F.col("given")).alias("number")))
-add("txt12_cusips", "given:s cusip:s", _values(_CUSIPS, "given, cusip"))(lambda t: _given(t, _CUSIPS).select("given", text.normal_cusip(F.col("given")).alias("cusip")))
-add("txt13_planned", "given:s planned:b", _values(_PLANS, "given, planned"))(lambda t: _given(t, _PLANS).select("given", text.planned(F.col("given")).alias("planned")))
-_FOLDED = [("Grijalva Raúl", "grijalva raul"), ("O’Rourke", "orourke"), ("Straße 5", "strasse 5"), ("Ocasio-Cortez", "ocasio cortez"), ("J.D. Vance", "j d vance"), ("Čapek ŁÓDŹ", "capek odz")]
-add("txt04_folded_names", "given:s folded:s", _values(_FOLDED, "given, folded"))(lambda t: _given(t, _FOLDED).select("given", F.array_join(text.folded_words(F.col("given")), " ").alias("folded")))
+_TOLD = f"SELECT event_id AS id, event_id // 3 AS form, coalesce({_noted('event_id % 11', lambda n, p, r: str(p).lower())}, false) AS told FROM events"
+add(
+    "txt13_plan_trades", "id:l planned:b", "SELECT id, told OR ((form % 4 = 0) AND NOT bool_or(told) OVER (PARTITION BY form)) AS planned FROM told", told=_TOLD,
+)(lambda t: filings.plan_trades(_lines(t).withColumn("notes", F.array_compact(F.array("note"))), "form", texts="notes").select("id", F.col("is_10b5_1").alias("planned")))
+_RANGED = lambda side: _noted("event_id % 11", lambda n, p, r: f"({r[side]})::DOUBLE" if r else "NULL")
+add(
+    "txt13_price_ranges", "id:l price:f price_low:f price_high:f",
+    f"""SELECT event_id AS id, CASE WHEN event_id % 5 > 1 THEN 1000 + 10 + v % 80 + 0.25 END AS price, CASE WHEN event_id % 5 = 1 THEN v + 0.10 ELSE {_RANGED(0)} END AS price_low, CASE WHEN event_id % 5 = 1 THEN v + 1.50 ELSE {_RANGED(1)} END AS price_high
+      FROM (SELECT event_id, {_VALUE} AS v FROM events)""",
+)(lambda t: filings.priced(_lines(t), cited="note"))
+add(
+    "txt04_folded_texts", "doc_id:l words:l folded:s",
+    "SELECT doc_id, len(w) AS words, md5(array_to_string(w, ' ')) AS folded FROM (SELECT doc_id, list_filter(string_split_regex(replace(strip_accents(replace(lower(text), 'ß', 'ss')), chr(39), ''), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL)",
+)(lambda t: t.domain.table("documents").where("text is not null").select("doc_id", text.folded_words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("words"), F.md5(F.array_join("w", " ")).alias("folded")))
 add(
     "txt03_periods", "day:d quarter:d label:s parsed:d before:d after:d due:d filing:b number:l",
     """SELECT DISTINCT o_orderdate::DATE AS day, q AS quarter, year(q) || 'Q' || quarter(q) AS label, q AS parsed, last_day(date_trunc('month', q) - INTERVAL 3 MONTH) AS before, last_day(date_trunc('month', q) + INTERVAL 3 MONTH) AS after, q + 45 AS due,
@@ -202,3 +238,41 @@ add(
     "src14_curated_list", "slug:s name:s category:s cik:s priority:l",
     "SELECT slug, name, category, lpad(filer_id::VARCHAR, 10, '0') AS cik, 0 AS priority FROM filer WHERE slug <> 'supplier-000000003' UNION ALL SELECT * FROM (VALUES ('supplier-000000003', 'Three', 'value', '0000000012', 0), ('supplier-000000003', 'Three', 'value', '0000000034', 1), ('new-one', 'New', NULL, '0000000056', 0)) v",
 )(lambda t: filings.curated(t.spark, _CURATED, t.filer.select("slug", "name", "category", F.lpad(F.col("filer_id").cast("string"), 10, "0").alias("cik"), F.lit(0).alias("priority"))))
+
+# ---------------------------------------------------------------- report tables and year partitions
+
+_HEAD = "".join(f"<th>{c}</th>" for c in tables.COLUMNS)
+#: Pages with a report's table put at their end; of every thirteenth a row is missing.
+_ROWS = "page_id % 4 + 1"
+_SHOWN = f"({_ROWS}) - CASE WHEN page_id % 13 = 0 THEN 1 ELSE 0 END"
+
+
+def _reports(t: Derived) -> DataFrame:
+    row = "concat('<tr><td>', n, '</td><td>01/0', n, '/2024</td><td>Self</td><td>T', page_id % 50, '</td><td>', 'Asset &amp; ', page_id, '<div>Rate: ', n, '%</div></td><td>Stock</td><td>Purchase</td><td>$1,001 - $15,000</td><td>--</td></tr>')"
+    return t.spark.sql(
+        f"SELECT page_id, concat('<h1>Report ', page_id, '</h1><p>(', {_ROWS}, ' transactions total)</p><article>', regexp_replace(html, '(?i)</?h1[^>]*>|</?table[^>]*>|</?script[^>]*>', ' '), '</article><table><tr>{_HEAD}</tr>', array_join(transform(slice(sequence(1, 9), 1, CAST({_SHOWN} AS INT)), n -> {row}), ''), '</table>') AS html FROM {{pages}}",
+        pages=t.domain.table("pages"),
+    )
+
+
+add(
+    "src12_report_lines", "page_id:l problem:s line:l c2:s c4:s c5:s c8:s",
+    f"""SELECT page_id, NULL AS problem, n AS line, '01/0' || n || '/2024' AS c2, 'T' || (page_id % 50) AS c4, 'Asset & ' || page_id || ' Rate: ' || n || '%' AS c5, '$1,001 - $15,000' AS c8 FROM pages, LATERAL (SELECT unnest(range(1, ({_ROWS} + 1)::BIGINT)) AS n) WHERE page_id % 13 <> 0 AND html IS NOT NULL
+      UNION ALL SELECT page_id, ({_SHOWN}) || ' rows where the page counts ' || ({_ROWS}), NULL, NULL, NULL, NULL, NULL FROM pages WHERE page_id % 13 = 0 AND html IS NOT NULL""",
+)(lambda t: tables.report_lines(_reports(t).where("html is not null"), "page_id"))
+
+
+def _years(t: Derived) -> DataFrame:
+    """Line items by the year that they were shipped in: two years are added after the first rows, more rows come then, and a year is read."""
+    rows = t.domain.table("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"), F.to_date("l_shipdate").alias("day"), F.col("l_extendedprice").alias("value"))
+    kept = partitions.Years(t.spark, f"{shared_folder(t.spark)}/years-{uuid.uuid4().hex}", rows.schema, "day")
+    kept.insert(rows.where("id % 3 <> 0"), ["id"])
+    kept.add_year(1997)
+    kept.add_year(1998)
+    kept.insert(rows.where("id % 3 = 0"), ["id"])
+    return kept.between("1997-06-01", "1998-05-31")
+
+
+add(
+    "snk10_year_partitions", "day:d lines:l value:f", "SELECT l_shipdate::DATE AS day, count(*) AS lines, round(sum(l_extendedprice), 2) AS value FROM lineitem WHERE l_shipdate BETWEEN DATE '1997-06-01' AND DATE '1998-05-31' GROUP BY 1",
+)(lambda t: _years(t).groupBy("day").agg(F.count("*").alias("lines"), F.round(F.sum("value"), 2).alias("value")))

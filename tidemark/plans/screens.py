@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import clusters, lookup, paging, screener
 from .catalog import PERIOD, add
 from .derived import Derived
-from .splits import MADE_UP, RETURNS_SQL, estimates
+from .splits import FOUND, RETURNS_SQL, estimates
 
 _SCREEN = "filer_id:l period:d security_id:l action:s value_usd:f weight_pct:f"
 _KEYS = "filer_id:l period:d security_id:l"
@@ -37,7 +37,7 @@ SQL = {
     "episode": clusters.clusters_sql(30, 3).replace("counted", "bought"),
     "overlapping": f"SELECT * FROM episode WHERE window_end >= date_trunc('quarter', DATE '{PERIOD}') AND window_start <= DATE '{PERIOD}'",
     "clustered": f"SELECT security_id FROM overlapping WHERE security_id IS NOT NULL UNION {_LISTED} WHERE cik IN (SELECT issuer_cik FROM overlapping)",
-    "made_up": MADE_UP,
+    "used_split": FOUND,
     "estimate": RETURNS_SQL,
 }
 
@@ -62,6 +62,23 @@ def _has(table: str, test: str) -> str:
     return f"security_id IN (SELECT security_id FROM {table} x WHERE x.{_AT} AND {test})"
 
 
+def test_sql(filters: dict) -> str:
+    """What the twin asks of a change of the period, for filters as the vocabulary reads them."""
+    words = lambda v: ", ".join(f"'{x}'" for x in v)
+    tests = [_LATER if "action" in filters else _HELD]
+    for name, v in filters.items():
+        tests.append(
+            {
+                "action": lambda v: f"action IN ({words(v)})", "min_value": lambda v: f"value_usd >= {v}", "min_weight": lambda v: f"weight_pct >= {v}",
+                "filer_slug": lambda v: f"filer_id IN (SELECT filer_id FROM filer WHERE slug IN ({words(v)}))", "filer_category": lambda v: f"filer_id IN (SELECT filer_id FROM filer WHERE category IN ({words(v)}))",
+                "net_flow": lambda v: _has("flows", "net > 0" if v == "buy" else "net < 0"), "min_holders": lambda v: _has("consensus", f"holder_count >= {v}"), "min_exits": lambda v: _has("flows", f"exits >= {v}"),
+                "added_quarters": _chain, "insider_cluster": lambda v: f"security_id {'' if v else 'NOT '}IN (SELECT security_id FROM clustered)", "insider_buyers": lambda v: f"security_id IN ({_buyers(v)})",
+                "is_new_position": lambda v: f"{_LATER} AND (action = 'new') = {v}", "weight_change": lambda v: f"{_LATER} AND weight_delta {'>=' if v > 0 else '<='} {v}",
+            }[name](v)
+        )
+    return " AND ".join(tests)
+
+
 #: Name, filters, and what the SQL twin asks of a change of the period.
 FILTERED = [
     ("scr01_period", {}, _HELD),
@@ -107,7 +124,7 @@ SORTED = {
     "net_value_usd": ("f.net", " LEFT JOIN flows f ON f.security_id = c.security_id AND f.period = c.period"), "price_estimate": ("e.implied_price", _ESTIMATE),
     "estimated_return_pct": ("e.estimated_return_pct", _ESTIMATE), "return_to_last_quarter_pct": ("e.return_to_last_quarter_pct", _ESTIMATE),
     "estimated_return_as_of": ("CASE WHEN e.estimated_return_pct IS NOT NULL THEN e.quote_date END", _ESTIMATE),
-    "last_quarter_period": ("CASE WHEN e.return_to_last_quarter_pct IS NOT NULL THEN e.last_quarter_period END", _ESTIMATE), "is_split": ("0", ""), "split_ratio": ("NULL", ""),
+    "last_quarter_period": ("CASE WHEN e.return_to_last_quarter_pct IS NOT NULL THEN e.last_quarter_period END", _ESTIMATE), "is_split": ("c.is_split::INTEGER", ""), "split_ratio": ("c.split_ratio", ""),
 }
 
 

@@ -9,46 +9,13 @@ from ..operators import change, price, returns, snapshot
 from .catalog import add
 from .derived import Derived
 
-_FRACTIONS = ", ".join(f"({n}::DOUBLE, {d}::DOUBLE)" for n, d in price.FRACTIONS)
-#: The rules of splits for DuckDB: holders of both quarters, median ratios, nearest fractions, counts, the ratio of prices, verdicts.
-SQL = {
-    "pair": """
-      SELECT n.security_id, n.period, n.shares::DOUBLE AS shares, b.shares::DOUBLE AS was, round(n.shares::DOUBLE / b.shares::DOUBLE, 10) AS ratio
-      FROM snapshot n JOIN snapshot b ON b.filer_id = n.filer_id AND b.security_id = n.security_id
-        AND n.period = last_day(date_trunc('month', b.period) + INTERVAL 3 MONTH)
-      WHERE n.shares > 0 AND b.shares > 0""",
-    "ratio": "SELECT security_id, period, count(*) AS holders, quantile_disc(ratio, 0.5) AS shares_ratio FROM pair GROUP BY 1, 2 HAVING count(*) >= 2",
-    "near": f"""
-      SELECT r.*, n AS numerator, d AS denominator FROM ratio r LEFT JOIN
-        (SELECT security_id, period, n, d FROM ratio, (VALUES {_FRACTIONS}) f(n, d)
-         WHERE greatest(shares_ratio * d / n, n / (shares_ratio * d)) <= 1.25
-         QUALIFY row_number() OVER (PARTITION BY security_id, period ORDER BY greatest(shares_ratio * d / n, n / (shares_ratio * d))) = 1) USING (security_id, period)""",
-    "moved": """
-      SELECT security_id, n.period, round(n.price::DOUBLE / b.price::DOUBLE, 10) AS price_ratio FROM price n JOIN price b USING (security_id)
-      WHERE n.period = last_day(date_trunc('month', b.period) + INTERVAL 3 MONTH)""",
-    "candidate": """
-      SELECT * FROM
-        (SELECT c.security_id, c.period, any_value(numerator) AS numerator, any_value(denominator) AS denominator, any_value(holders) AS holders, any_value(shares_ratio) AS shares_ratio,
-           count(*) FILTER (ratio * denominator * 1.25 >= numerator AND ratio * denominator <= numerator * 1.25) AS holders_agreeing,
-           count(*) FILTER (abs(shares * denominator - was * numerator) <= denominator) AS holders_exact
-         FROM near c JOIN pair USING (security_id, period) GROUP BY 1, 2)
-      LEFT JOIN moved USING (security_id, period)
-      WHERE holders_agreeing >= 2 OR shares_ratio >= 2.5 OR shares_ratio * 2.5 <= 1""",
-    "verdict": """
-      SELECT *, CASE WHEN numerator IS NULL OR holders_agreeing < 2 OR holders_agreeing * 3 < holders OR price_ratio IS NULL THEN NULL
-          WHEN NOT (product BETWEEN 0.4 AND 1.6 AND CASE WHEN fraction > 1 THEN product * product < fraction ELSE product * product > fraction END) THEN NULL
-          WHEN size < 3 AND holders_exact = 0 THEN NULL
-          WHEN size < 4 AND holders_exact = 0 AND NOT (holders_agreeing >= 3 AND holders_agreeing * 2 > holders) THEN NULL
-          WHEN holders_exact > 0 AND holders_agreeing >= 3 THEN 'high' WHEN holders_exact > 0 OR holders_agreeing >= 3 THEN 'medium' ELSE 'low' END AS confidence
-      FROM (SELECT *, numerator / denominator AS fraction, price_ratio * numerator / denominator AS product, greatest(numerator / denominator, denominator / numerator) AS size FROM candidate)""",
-}
 _CANDIDATE = "security_id:l period:d numerator:l denominator:l holders:l holders_agreeing:l holders_exact:l shares_ratio:f price_ratio:f"
-add("drv06_split_candidates", _CANDIDATE, "SELECT * FROM candidate", **SQL)(lambda t: price.split_candidates(t.snapshot, t.prices))
-add("drv07_split_verdicts", _CANDIDATE + " confidence:s", "SELECT * FROM verdict", **SQL)(lambda t: t.fresh("verdicts"))
+add("drv06_split_candidates", _CANDIDATE, "SELECT * FROM candidate")(lambda t: price.split_candidates(t.snapshot, t.prices))
+add("drv07_split_verdicts", _CANDIDATE + " confidence:s", "SELECT * FROM verdict")(lambda t: t.fresh("verdicts"))
 add(
     "drv08_outliers", "security_id:l period:d shares_ratio:f price_ratio:f",
     """SELECT * FROM verdict WHERE confidence IS NULL AND ((shares_ratio >= 2.5 AND price_ratio * 2.5 <= 1)
-      OR (shares_ratio < 1 AND 1 / shares_ratio >= 2.5 AND 1 / price_ratio * 2.5 <= 1))""", **SQL,
+      OR (shares_ratio < 1 AND 1 / shares_ratio >= 2.5 AND 1 / price_ratio * 2.5 <= 1))""",
 )(lambda t: t.verdicts.where(price.is_outlier()))
 
 
@@ -62,7 +29,7 @@ def _one_holder(t: Derived) -> DataFrame:
 #: Moves of single holders that look like splits, for DuckDB.
 LIKE_SQL = f"""SELECT c.* FROM (SELECT *, round((value_usd::DOUBLE / shares::DOUBLE) / (prev_value_usd::DOUBLE / prev_shares::DOUBLE), 10) AS moved, shares::DOUBLE / prev_shares::DOUBLE AS r
         FROM change WHERE action IN ('add', 'trim', 'hold')) c
-      LEFT JOIN (VALUES {_FRACTIONS}) f(n, d) ON greatest(r * d / n, n / (r * d)) <= 1.25
+      LEFT JOIN (VALUES {price.FRACTIONS_SQL}) f(n, d) ON greatest(r * d / n, n / (r * d)) <= 1.25
       WHERE shares > 0 AND prev_shares > 0 AND (moved >= 2.5 OR moved <= 1 / 2.5 OR n IS NOT NULL)
       QUALIFY row_number() OVER (PARTITION BY filer_id, period, security_id ORDER BY greatest(r * d / n, n / (r * d)) NULLS LAST) = 1
         AND (moved >= 2.5 OR moved <= 1 / 2.5 OR (moved * n / d BETWEEN 0.4 AND 1.6
@@ -115,29 +82,35 @@ add(
     made_up=MADE_UP,
 )(lambda t: price.adjusted_price(t.prices, made_up(t)))
 
-#: The two estimated returns of every priced cell, for DuckDB.
-RETURNS_SQL = """
+_FACTOR = "coalesce((SELECT product(numerator::DOUBLE / denominator) FROM used_split s WHERE s.security_id = p.security_id AND s.period > p.period AND s.period <= {until}), 1)"
+#: The two estimated returns of every priced cell, for DuckDB, with the splits of the relation used_split.
+RETURNS_SQL = f"""
   SELECT security_id, period, price AS implied_price, confidence AS price_confidence, close AS quote_close, date AS quote_date,
-    CASE WHEN usable THEN nullif(to_quote, 1) END AS basis_split_ratio, CASE WHEN usable THEN round(price / to_quote, 8) END AS basis_price,
+    CASE WHEN usable AND split_to_quote THEN round(to_quote, 10) END AS basis_split_ratio, CASE WHEN usable THEN round(price / to_quote, 8) END AS basis_price,
     CASE WHEN usable THEN round((close * to_quote / nullif(price, 0) - 1) * 100, 2) END AS estimated_return_pct,
     last_period AS last_quarter_period, last_price AS last_quarter_price, last_confidence AS last_quarter_confidence,
-    CASE WHEN last_period IS NOT NULL THEN nullif(to_last, 1) END AS last_quarter_split_ratio, round((last_price * to_last / nullif(price, 0) - 1) * 100, 2) AS return_to_last_quarter_pct
+    CASE WHEN split_to_last THEN round(to_last, 10) END AS last_quarter_split_ratio, round((last_price * to_last / nullif(price, 0) - 1) * 100, 2) AS return_to_last_quarter_pct
   FROM (SELECT p.security_id, p.period, p.price, p.confidence, q.close, q.date, l.period AS last_period, l.price AS last_price, l.confidence AS last_confidence,
-      q.date IS NOT NULL AND NOT EXISTS (SELECT 1 FROM made_up s WHERE s.security_id = p.security_id AND s.period > q.date AND s.period <= last_day(date_trunc('quarter', q.date) + INTERVAL 2 MONTH)) AS usable,
-      power(2, (SELECT count(*) FROM made_up s WHERE s.security_id = p.security_id AND s.period > p.period AND s.period <= q.date)) AS to_quote,
-      power(2, (SELECT count(*) FROM made_up s WHERE s.security_id = p.security_id AND s.period > p.period AND s.period <= l.period)) AS to_last
+      q.date IS NOT NULL AND NOT EXISTS (SELECT 1 FROM used_split s WHERE s.security_id = p.security_id AND s.period > q.date AND s.period <= last_day(date_trunc('quarter', q.date) + INTERVAL 2 MONTH)) AS usable,
+      {_FACTOR.format(until="q.date")} AS to_quote, {_FACTOR.format(until="l.period")} AS to_last,
+      EXISTS (SELECT 1 FROM used_split s WHERE s.security_id = p.security_id AND s.period > p.period AND s.period <= q.date) AS split_to_quote,
+      EXISTS (SELECT 1 FROM used_split s WHERE s.security_id = p.security_id AND s.period > p.period AND s.period <= l.period) AS split_to_last
     FROM price p
     LEFT JOIN (SELECT security_id, date, close FROM quote QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY date DESC) = 1) q ON q.security_id = p.security_id AND q.date > p.period
     LEFT JOIN (SELECT security_id, period, price, confidence FROM price WHERE price IS NOT NULL QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY period DESC) = 1) l
       ON l.security_id = p.security_id AND l.period > p.period)"""
+#: The splits that the chain has found.
+FOUND = "SELECT security_id, period, numerator, denominator FROM verdict WHERE confidence IS NOT NULL"
 _RETURN = (
     "security_id:l period:d implied_price:f price_confidence:s quote_close:f quote_date:d basis_split_ratio:f basis_price:f estimated_return_pct:f "
     "last_quarter_period:d last_quarter_price:f last_quarter_confidence:s last_quarter_split_ratio:f return_to_last_quarter_pct:f"
 )
 
 
-def estimates(t: Derived) -> DataFrame:
-    return returns.estimated_return(t.prices.select("security_id", "period"), t.prices, t.domain.quote(), made_up(t))
+def estimates(t: Derived, splits: DataFrame | None = None) -> DataFrame:
+    """Returns of every priced cell, by the splits that the chain has found unless others are given."""
+    return returns.estimated_return(t.prices.select("security_id", "period"), t.prices, t.domain.quote(), t.splits if splits is None else splits)
 
 
-add("drv17_estimated_return", _RETURN, "SELECT * FROM estimate", made_up=MADE_UP, estimate=RETURNS_SQL)(estimates)
+add("drv17_estimated_return", _RETURN, "SELECT * FROM estimate", used_split=FOUND, estimate=RETURNS_SQL)(estimates)
+add("drv17_made_up_splits", _RETURN, "SELECT * FROM estimate", used_split=MADE_UP, estimate=RETURNS_SQL)(lambda t: estimates(t, made_up(t)))

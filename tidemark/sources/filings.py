@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normal_cusip, normal_ticker, put_call, quantity
+from ..functions.text import normal_cusip, normal_ticker, put_call, quantity, planned, price_range
 
 
 def _tag(name: str) -> str:
@@ -102,6 +102,26 @@ def cited_footnotes(rows: DataFrame, ids: str = "footnote_ids", texts: str = "fo
     return rows.withColumn(texts, F.map_filter(texts, lambda k, _: F.array_contains(ids, k)))
 
 
+def priced(rows: DataFrame, raw: str = "price", cited: str = "cited") -> DataFrame:
+    """Lines with price, price_low and price_high, from the price as filed and the footnotes that it cites.
+
+    A price of 0 is none. One that is a range itself is no single price; the range is otherwise the first in the footnotes that is one.
+    """
+    given = F.col(raw)
+    number = F.regexp_replace(F.trim(given), ",", "").try_cast("decimal(20,8)")
+    own = F.when(number.isNull() & given.isNotNull(), price_range(F.when(given.contains("$"), given).otherwise(F.concat(F.lit("$"), F.trim(given)))))
+    found = F.coalesce(own, price_range(F.coalesce(F.col(cited), F.lit(""))))
+    return rows.withColumns({"price_low": found["low"], "price_high": found["high"], raw: F.when(number > 0, number)})
+
+
+def plan_trades(rows: DataFrame, form: str, checkbox: str = "checkbox", texts: str = "footnotes") -> DataFrame:
+    """Lines with is_10b5_1: one of a line's own footnotes (a list) says that it was under a plan; where none of a form's lines has such a footnote, its checkbox holds for
+    all of them, for it can't say which it means."""
+    told = F.coalesce(F.exists(texts, planned), F.lit(False))
+    any_told = F.max(F.col("is_10b5_1")).over(Window.partitionBy(form))
+    return rows.withColumn("is_10b5_1", told).withColumn("is_10b5_1", F.col("is_10b5_1") | (F.coalesce(checkbox, F.lit(False)) & ~any_told))
+
+
 # ---------------------------------------------------------------- lists and indexes
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Tables of a row for each position are partitioned by period: a query of one period reads its files alone.
 BY_PERIOD = ("snapshot", "change")
+#: Postings are sorted by their key, so that a reader of a few of them skips the other row groups.
+SORTED = {"stock_grams": "gram", "investor_grams": "gram"}
 _ROOTS: dict[str, str] = {}
 _FOUND: dict[tuple[str, str, str], str] = {}
 
@@ -53,6 +55,8 @@ class Store:
         path = f"{shared_folder(self.spark)}/derived/{name}-{uuid.uuid4().hex}"
         if name in BY_PERIOD:  # rebalanced, so that files are neither tiny nor, for a large period, one
             build().hint("rebalance", "period").write.partitionBy("period").parquet(path)
+        elif name in SORTED:
+            build().repartitionByRange(SORTED[name]).sortWithinPartitions(SORTED[name]).write.parquet(path)
         else:
             build().hint("rebalance").write.parquet(path)
         _FOUND[self._key(name)] = path
