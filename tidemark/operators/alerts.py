@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .change import traded_usd
@@ -19,15 +19,28 @@ def fresh_pairs(snapshot: DataFrame, filing: DataFrame, now: str) -> DataFrame:
     return sums.where((F.col("filed_at") >= F.date_sub(F.lit(now).cast("date"), FRESH_DAYS)) & ~F.col("suspect")).select("filer_id", "period", "filed_at")
 
 
+def not_split_unadjusted() -> Column:
+    """Not an add or trim that looks like a split which nobody has found yet."""
+    price = F.try_divide(F.try_divide(F.col("value_usd").cast("double"), F.col("shares").cast("double")), F.try_divide(F.col("prev_value_usd").cast("double"), F.col("prev_shares").cast("double")))
+    split = F.col("action").isin("add", "trim") & ~F.col("is_split") & looks_like_split(F.col("prev_shares"), F.col("shares"), F.round(price, 10).cast("decimal(28,10)"))
+    return ~F.coalesce(split, F.lit(False))
+
+
+def filed_events(change: DataFrame, fresh: DataFrame, snapshot: DataFrame, filing: DataFrame) -> DataFrame:
+    """That a filer has filed: of each fresh pair its positions, their value, and how many were opened, added to, trimmed and sold out, as
+    change_events counts them. A pair's key is the same however often it is filed again."""
+    held = snapshot.join(fresh, ["filer_id", "period"]).groupBy("filer_id", "period").agg(F.first("filed_at").alias("filed_at"), F.count("*").alias("positions"), F.sum("value_usd").alias("value_usd"))
+    done = change_events(change, fresh, filing).groupBy("filer_id", "period").agg(*(F.count_if(F.col("action") == a).alias(a) for a in ("new", "add", "trim", "exit")))
+    return held.join(done, ["filer_id", "period"], "left").fillna(0, ["new", "add", "trim", "exit"])
+
+
 def change_events(change: DataFrame, fresh: DataFrame, filing: DataFrame) -> DataFrame:
     """Changes of fresh pairs worth telling, with `dollars`: no holds, first periods or suspect ones, none across a period that a
     suspect filing withholds, and no unadjusted add or trim that looks like a split."""
     rows = change.join(fresh, ["filer_id", "period"]).where("action <> 'hold' and not suspect and prev_period is not null")
     withheld = filing.where("parse_status = 'suspect'").groupBy("filer_id").agg(F.collect_set("period").alias("withheld"))
     rows = rows.join(withheld, "filer_id", "left").where(~F.coalesce(F.exists("withheld", lambda p: (p > F.col("prev_period")) & (p < F.col("period"))), F.lit(False)))
-    price = F.try_divide(F.try_divide(F.col("value_usd").cast("double"), F.col("shares").cast("double")), F.try_divide(F.col("prev_value_usd").cast("double"), F.col("prev_shares").cast("double")))
-    split = F.col("action").isin("add", "trim") & ~F.col("is_split") & looks_like_split(F.col("prev_shares"), F.col("shares"), F.round(price, 10).cast("decimal(28,10)"))
-    return rows.where(~F.coalesce(split, F.lit(False))).select("filer_id", "period", "security_id", "action", "filed_at", F.round(traded_usd(), 2).alias("dollars"))
+    return rows.where(not_split_unadjusted()).select("filer_id", "period", "security_id", "action", "filed_at", F.round(traded_usd(), 2).alias("dollars"))
 
 
 def heard(events: DataFrame, rules: DataFrame) -> DataFrame:

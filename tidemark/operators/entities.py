@@ -6,16 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.assets import classify
-from ..functions.text import asset_key, core_name, extract_ticker, folded_words, name_similarity, normal_ticker, share_class, similarity, trigrams
+from ..functions.text import asset_key, core_name, extract_ticker, name_similarity, normal_ticker, share_class, similarity, trigrams
 from .lookup import lookup_on
 
 #: The sector and venues whose listings count, the composite among them, and fuzzy suggestions' number and least similarity.
 EQUITY, COMPOSITE = "Equity", "US"
 VENUES = ["UA", "UN", "UQ", "UR", "UW", "UP", "UF", "UV"]
 SUGGESTED, ALIKE = 3, 0.8
-#: Fixed values of matching members: scores of exact and normalised fits, the factor out of office, the least that is
-#: accepted without a person, the least trigram similarity of a candidate, how many are kept, and the days a term goes on.
-EXACT, NORMALISED, OUT_OF_OFFICE, ACCEPT, TRIGRAM, CANDIDATES, GRACE = 1.0, 0.95, 0.6, 0.9, 0.3, 3, 366
 
 
 def choose_listing(matches: DataFrame) -> DataFrame:
@@ -237,53 +234,3 @@ def asset_coverage(resolved: DataFrame, resolvable: list[str], low: float = 0.8)
         *(F.sum(c).alias(c) for c in ("lines", "pending", "resolvable")), F.sum("found").alias("resolved"), F.sum("low").alias("low_confidence"), count(F.col("resolvable") > 0).alias("filings"),
         count((F.col("resolvable") > 0) & (F.col("r") == F.col("resolvable"))).alias("filings_resolved"), count((F.col("r") > 0) & (F.col("r") < F.col("resolvable"))).alias("filings_partly"),
     )
-
-
-# ---------------------------------------------------------------- members of Congress
-
-
-def in_office(chamber: Column, terms: str = "terms") -> Column:
-    """Does a term of the chamber (and, for the House, the state) overlap the days of the filings, with GRACE days after its end?"""
-    return F.exists(terms, lambda t: (t["chamber"] == chamber) & ((chamber != "house") | (t["state"] == F.col("state"))) & (t["start_date"] <= F.col("last_filed")) & (F.date_add(t["end_date"], GRACE) >= F.col("first_filed")))
-
-
-def match_members(filed: DataFrame, member: DataFrame, terms: DataFrame) -> DataFrame:
-    """filed (name_id, first_name, last_name, chamber, state, first_filed, last_filed) to candidates: name_id, member_id, method,
-    confidence, accepted; CANDIDATES at most, the likeliest first.
-
-    A member whose surname is the filed one fits exactly if the names are alike but for case and spaces, normalised if their folded words are,
-    or the first of their given names. If several in office fit, they share the score. One alone of ACCEPT or more is accepted. If
-    none in office fits, those out of office do with a factor, and members in office by trigrams. member: member_id, first_name, last_name.
-    """
-    def spaced(first: str, last: str) -> Column:
-        return F.lower(F.trim(F.regexp_replace(F.concat_ws(" ", F.col(first), F.col(last)), r"\s+", " ")))
-
-    def folded(column: str) -> Column:
-        return F.array_join(folded_words(F.coalesce(column, F.lit(""))), " ")
-
-    seats = terms.groupBy("member_id").agg(F.collect_list(F.struct("chamber", "state", "start_date", "end_date")).alias("terms"))
-    known = member.join(seats, "member_id").select(
-        "member_id", "terms", folded("last_name").alias("surname"), spaced("first_name", "last_name").alias("m_spaced"),
-        F.array_join(F.concat(folded_words(F.coalesce("first_name", F.lit(""))), folded_words(F.coalesce("last_name", F.lit("")))), " ").alias("m_folded"),
-        F.try_element_at(folded_words(F.coalesce("first_name", F.lit(""))), F.lit(1)).alias("m_given"),
-    )
-    asked = filed.select(
-        "name_id", "chamber", "state", "first_filed", "last_filed", folded("last_name").alias("surname"), spaced("first_name", "last_name").alias("spaced"),
-        F.array_join(F.concat(folded_words(F.coalesce("first_name", F.lit(""))), folded_words(F.coalesce("last_name", F.lit("")))), " ").alias("folded"),
-        F.try_element_at(folded_words(F.coalesce("first_name", F.lit(""))), F.lit(1)).alias("given"),
-    )
-    method = F.when(F.col("spaced") == F.col("m_spaced"), "exact").when((F.col("folded") == F.col("m_folded")) | (F.col("given") == F.col("m_given")), "normalised")
-    fits = asked.join(known, "surname").withColumns({"method": method, "sits": in_office(F.col("chamber"))}).where("method is not null")
-    by = Window.partitionBy("name_id")
-    fits = fits.withColumns({"seated": F.sum(F.col("sits").cast("int")).over(by), "all": F.count("*").over(by)}).where("sits or seated = 0")
-    base = F.when(F.col("method") == "exact", EXACT).otherwise(NORMALISED)
-    fits = fits.withColumn("confidence", F.round(F.when(F.col("sits"), base / F.col("seated")).otherwise(base * OUT_OF_OFFICE / F.col("all")), 3))
-    sure = fits.select("name_id", "member_id", "method", "confidence", (F.col("sits") & (F.col("seated") == 1) & (F.col("confidence") >= ACCEPT)).alias("accepted"))
-    open_names = asked.join(fits.where("sits").select("name_id").distinct(), "name_id", "left_anti")
-    # a chamber's seats, by state for the House: some hundred members, of whom each name is compared with its own
-    seat = known.select("member_id", "m_folded", "terms", F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["chamber"].alias("chamber"), F.when(t["chamber"] == "house", t["state"]).alias("seat"))))).alias("s")).select("member_id", "m_folded", "terms", "s.*")
-    alike = open_names.withColumn("seat", F.when(F.col("chamber") == "house", F.col("state"))).join(seat.withColumnRenamed("chamber", "c").withColumnRenamed("seat", "z"), (F.col("chamber") == F.col("c")) & F.col("seat").eqNullSafe(F.col("z")))
-    alike = alike.where(in_office(F.col("chamber"))).withColumn("confidence", F.round(similarity(F.col("folded"), F.col("m_folded")), 3)).where(F.col("confidence") >= TRIGRAM)
-    every = sure.unionByName(alike.select("name_id", "member_id", F.lit("trigram").alias("method"), "confidence", F.lit(False).alias("accepted")))
-    order = Window.partitionBy("name_id").orderBy(F.col("confidence").desc(), "member_id")
-    return every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES)

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.periods import next_quarter, quarter_end
 
@@ -151,14 +155,38 @@ def stale_cutoff(today: Column, window_days: int = 45) -> Column:
     return F.last_day(F.add_months(F.trunc(last, "month"), -3))
 
 
+#: Legal words that names are compared without, and the least likeness of a filer's name to ours.
+LEGAL = ["inc", "llc", "lp", "llp", "ltd", "limited", "co", "corp", "corporation", "plc", "sa", "ag"]
+NAME_ALIKE = 0.6
+
+
+def comparable_name(name: Column) -> Column:
+    """Lower case without points, other marks as spaces, legal words left out."""
+    words = F.split(F.regexp_replace(F.replace(F.lower(name), F.lit("."), F.lit("")), "[^0-9a-z]+", " "), " ")
+    return F.array_join(F.filter(words, lambda w: (w != "") & ~w.isin(LEGAL)), " ")
+
+
+@F.pandas_udf(DoubleType())
+def matching_blocks(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the letters in matching blocks over all letters: the longest block, then likewise on either side of it (Ratcliff and Obershelp)."""
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def verified_investors(entries: DataFrame, filing: DataFrame, today: str) -> DataFrame:
-    """entries (filer_id, cik, current) with their 13F-HR count, first and last period, and failures and warnings: no_13f, stale (a
-    warning alone for a CIK that no longer files)."""
+    """entries (filer_id, cik, current, and, if there are such columns, edgar_name, display_name and manager_name) with their 13F-HR count, first
+    and last period, and failures and warnings: no_13f, stale (a warning alone for a CIK that no longer files), name_mismatch (the filer's name is less than
+    NAME_ALIKE like either of ours, or unknown)."""
     own = filing.where("form_type = '13F-HR'").groupBy("filer_id", "cik").agg(F.count("*").alias("filings"), F.min("period").alias("earliest"), F.max("period").alias("latest"))
     full = entries.join(own, ["filer_id", "cik"], "left").fillna(0, ["filings"])
     none, stale = F.col("filings") == 0, F.col("latest").isNull() | (F.col("latest") < stale_cutoff(F.lit(today).cast("date")))
     failure = F.when(none, "no_13f").when(stale & F.col("current"), "stale")
-    return full.select("filer_id", "cik", "current", "filings", "earliest", "latest", failure.alias("failure"), F.when(~none & stale & ~F.col("current"), "stale").alias("warning"))
+    columns = ["filer_id", "cik", "current", "filings", "earliest", "latest", failure.alias("failure"), F.when(~none & stale & ~F.col("current"), "stale").alias("warning")]
+    if "edgar_name" not in entries.columns:
+        return full.select(*columns)
+    theirs = comparable_name(F.col("edgar_name"))
+    alike = F.greatest(*(matching_blocks(theirs, comparable_name(F.col(c))) for c in ("display_name", "manager_name")))
+    full = full.withColumn("likeness", alike)
+    return full.select(*columns, F.round("likeness", 6).alias("likeness"), (F.col("likeness").isNull() | (F.col("likeness") < NAME_ALIKE)).alias("name_mismatch"))
 
 
 def additions_check(lists: DataFrame, period: str, most_percent: int = 10) -> DataFrame:
@@ -191,18 +219,26 @@ def of_keys(rows: DataFrame, keys: list[tuple], names: list[str]) -> DataFrame:
 # ---------------------------------------------------------------- timeline and one filing
 
 
-def timeline(followed: DataFrame, lines: DataFrame, change: DataFrame, feed: DataFrame, first: str, last: str, top: int = 4) -> DataFrame:
-    """Events of a window, newest first: at, id, kind, side, filer_id, security_id, insider_id, dollars.
+def timeline(
+    followed: DataFrame, lines: DataFrame, change: DataFrame, feed: DataFrame, first: str, last: str, top: int = 4, filer: DataFrame | None = None, issuers: DataFrame | None = None, zone: str = "UTC"
+) -> DataFrame:
+    """Events of a window of days in a zone, newest first: at, id, kind, side, filer_id, security_id, insider_id, dollars.
 
-    followed: kind (insider, stock, investor) and target. An insider's lines of every code, a stock's of codes P and S; an investor's
-    filings; of a stock's holders the `top` largest moves of each whole period, dated by its latest filing and only then windowed.
+    followed: kind (insider, stock, investor) and target. An insider's lines of every code; a stock's of codes P and S, and with issuers
+    (issuer_cik, security_id) also those of its issuer that name no security; an investor's filings; of a stock's holders the `top` largest moves of each whole period, ties
+    by the slug where filer is given, dated by its latest filing and only then windowed.
     """
     from .change import traded_usd
 
-    window = (F.col("at") >= F.lit(first).cast("date")) & (F.col("at") < F.lit(last).cast("date"))
+    instant = lambda day: F.to_utc_timestamp(F.lit(day).cast("timestamp"), zone)
+    window = (F.col("at") >= instant(first)) & (F.col("at") < instant(last))
     pick = lambda kind, name: followed.where(F.col("kind") == kind).select(F.col("target").alias(name)).distinct()
     side = F.when(F.col("transaction_code").isin("P", "A", "M"), "acquire").when(F.col("transaction_code").isin("S", "G"), "dispose").otherwise("neutral")
-    own = lines.join(pick("insider", "insider_id"), "insider_id", "left_semi").unionByName(lines.where("transaction_code in ('P', 'S')").join(pick("stock", "security_id"), "security_id", "left_semi"))
+    market = lines.where("transaction_code in ('P', 'S')")
+    own = lines.join(pick("insider", "insider_id"), "insider_id", "left_semi").unionByName(market.join(pick("stock", "security_id"), "security_id", "left_semi"))
+    if issuers is not None:
+        of = issuers.join(pick("stock", "security_id"), "security_id", "left_semi").select("issuer_cik").distinct()
+        own = own.unionByName(market.where("security_id is null").join(of, "issuer_cik", "left_semi"))
     none = lambda kind: F.lit(None).cast(kind)
     trades = own.dropDuplicates(["id"]).select(
         F.col("filed_at").cast("timestamp").alias("at"), F.concat(F.lit("4:"), F.col("id").cast("string")).alias("id"), F.lit("insider_trade").alias("kind"), side.alias("side"), none("long").alias("filer_id"),
@@ -214,7 +250,9 @@ def timeline(followed: DataFrame, lines: DataFrame, change: DataFrame, feed: Dat
     )
     dated = feed.groupBy("filer_id", "period").agg(F.max("filed_at").alias("at"))
     moves = change.where("action <> 'hold' and prev_period is not null").join(pick("stock", "security_id"), "security_id", "left_semi").withColumn("dollars", F.round(traded_usd(), 2).cast("decimal(24,2)"))
-    order = Window.partitionBy("security_id", "period").orderBy(F.col("dollars").desc(), "filer_id")
+    if filer is not None:
+        moves = moves.join(filer.select("filer_id", "slug"), "filer_id", "left")
+    order = Window.partitionBy("security_id", "period").orderBy(F.col("dollars").desc(), "filer_id" if filer is None else "slug")
     moves = moves.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).join(dated, ["filer_id", "period"])
     holders = moves.select(
         F.col("at").cast("timestamp").alias("at"), F.concat_ws(":", F.lit("chg"), F.col("filer_id").cast("string"), F.col("period").cast("string"), F.col("security_id").cast("string")).alias("id"), F.lit("holder_change").alias("kind"),

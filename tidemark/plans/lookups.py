@@ -58,12 +58,17 @@ _SET = f"list_distinct(flatten({_PIECES}))"
 
 
 def _best(text: str, query: str, strict: bool) -> str:
-    """A scalar subquery: the greatest Jaccard similarity of the query's trigrams to a run of the text's."""
-    pieces = _PIECES.format(text)
-    runs = pieces if strict else f"flatten({pieces})"
-    own, asked = ("list_distinct(flatten(p[i:j]))" if strict else "list_distinct(p[i:j])"), _SET.format(repr(query))
-    return f"""coalesce((SELECT max(len(list_intersect({own}, {asked}))::DOUBLE / len(list_distinct(list_concat({own}, {asked}))))
-      FROM (SELECT {runs} AS p) w, range(1, 60) a(i), range(1, 60) b(j) WHERE i <= j AND j <= len(p)), 0)"""
+    """A scalar subquery: the greedy walk's greatest Jaccard similarity of the query's trigrams to an extent of the text's, folded over the ends."""
+    asked = _SET.format(repr(query))
+    if strict:
+        ends, starts, lower = "list_transform(range(1, len(w) + 1), lambda k: len(flatten(w[1:k])))", "list_transform(range(1, len(w) + 1), lambda k: len(flatten(w[1:k])) - len(w[k]) + 1)", "1"
+    else:
+        ends, starts, lower = "list_filter(range(1, len(flatten(w)) + 1), lambda k: list_contains(q, flatten(w)[k]))", "range(1, len(flatten(w)) + 1)", "coalesce(e[1], 1)"
+    alike = "len(list_intersect(list_distinct(p[i:x.lower]), q))::DOUBLE / len(list_distinct(list_concat(p[i:x.lower], q)))"
+    tried = f"list_max(list_transform(list_filter(s, lambda i: i >= acc.lower AND i <= x.lower), lambda i: {{'alike': {alike}, 'start': -i}}))"
+    return f"""coalesce((SELECT list_reduce(list_prepend({{'lower': l, 'best': 0.0::DOUBLE}}, list_transform(e, lambda y: {{'lower': y, 'best': 0.0::DOUBLE}})),
+        lambda acc, x: {{'lower': coalesce(-{tried}.start, acc.lower), 'best': greatest(acc.best, coalesce({tried}.alike, 0))}}).best
+      FROM (SELECT *, ({lower})::BIGINT AS l FROM (SELECT w, q, flatten(w) AS p, {ends} AS e, {starts} AS s FROM (SELECT {_PIECES.format(text)} AS w, {asked} AS q) a) b) c), 0)"""
 
 
 _ASK = "smal ring"
@@ -89,7 +94,27 @@ def _named(t: Derived):
 
 _NAMED = "SELECT p_partkey AS id, 'Q' || p_partkey AS ticker, p_name AS name, p_retailprice AS held FROM part"
 for _query in ("smal rin", "q77", "ring"):
-    add(f"qry28_search_{_query.replace(' ', '_')}", "id:l ticker:s name:s score:f", _search_sql(_query), named=_NAMED)(lambda t, q=_query: search.search_stocks(_named(t), q))
+    add(f"qry28_search_{_query.replace(' ', '_')}", "id:l ticker:s name:s score:f", _search_sql(_query), named=_NAMED)(
+        lambda t, q=_query: search.search_stocks(_named(t), q, postings=t.store.table("stock_grams", lambda: search.name_postings(_named(t), "id", "name", "ticker")))
+    )
+
+
+def _investors(t: Derived):
+    """Filers under their own names, their nation as manager."""
+    manager = t.domain.table("supplier").join(t.domain.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("filer_id"), F.col("n_name").alias("manager_name"))
+    return t.filer.join(manager, "filer_id").select("slug", F.col("name").alias("display_name"), "manager_name", (F.col("filer_id") % 7).alias("held"))
+
+
+_INVESTORS = "SELECT slug, f.name AS display_name, n_name AS manager_name, filer_id % 7 AS held FROM filer f JOIN supplier ON s_suppkey = filer_id JOIN nation ON s_nationkey = n_nationkey"
+for _query in ("germny", "nation_1", "supplier#00000000"):
+    _starts = f"starts_with(lower(display_name), '{_query}') OR starts_with(lower(manager_name), '{_query}')"
+    add(
+        f"qry28_investors_{_query.replace('#', '_')}", "slug:s display_name:s manager_name:s score:f",
+        f"""SELECT slug, i.display_name, i.manager_name, CASE WHEN {_starts.replace("display_name", "i.display_name").replace("manager_name", "i.manager_name")} THEN 80 ELSE 70 * greatest(a.alike, b.alike) END AS score FROM investor i
+          JOIN (SELECT display_name, {_alike_sql("display_name", _query)} AS alike FROM (SELECT DISTINCT display_name FROM investor)) a USING (display_name) JOIN (SELECT manager_name, {_alike_sql("manager_name", _query)} AS alike FROM (SELECT DISTINCT manager_name FROM investor)) b USING (manager_name)
+          WHERE score IS NOT NULL ORDER BY score DESC, held DESC, display_name, slug LIMIT 20""",
+        investor=_INVESTORS,
+    )(lambda t, q=_query: search.search_investors(_investors(t), q, postings=t.store.table("investor_grams", lambda: search.name_postings(_investors(t), "slug", "display_name", "manager_name"))))
 
 
 def _worth(t: Derived):
@@ -109,20 +134,21 @@ add(
 
 # ---------------------------------------------------------------- names as filed
 
-#: Names that the rules for core names and tickers meet, with the results worked out by hand: name, core, ticker, hinted.
+#: What follows an issuer's name in the forms that are filed, with what its core name keeps of it, the ticker found, and whether that is a hint.
 NAMES = [
-    ("Alphabet Inc. - Class A Common Stock (GOOGL)", "alphabet", "GOOGL", False), ("ALPHABET INC-CL A", "alphabet", None, None), ("Tractor Supply Co", "tractor supply", None, None),
-    ("TRACTOR SUPPLY COMPANY", "tractor supply", None, None), ("WORKDAY INCCLA", "workday", None, None), ("Berkshire Hathaway Inc. New (NYSE: BRK/B)", "berkshire hathaway new", "BRK.B", False),
-    ("Texas Pacific Land Trust", "texas pacific land tr", None, None), ("Nestlé S.A. Sponsored ADR", "nestle", None, None), ("AerCap Holdings N.V.", "aercap hldg", None, None),
-    ("Apple Inc AAPL", "apple aapl", "AAPL", True), ("Apple Inc", "apple", None, None), ("International Business Machines Corp", "intl bus mach", None, None),
+    (" Inc. - Class A Common Stock (GOOGL)", "", "GOOGL", False), (" INC-CL A", "", None, None), (" Supply Co", " supply", None, None), (" SUPPLY COMPANY", " supply", None, None), (" INCCLA", "", None, None), (" Hathaway Inc. New (NYSE: BRK/B)", " hathaway new", "BRK.B", False),
+    (" Land Trust", " land tr", None, None), ("é S.A. Sponsored ADR", "e", None, None), (" Holdings N.V.", " hldg", None, None), (" Inc AAPL", " aapl", "AAPL", True), (" Inc", "", None, None), (" International Business Machines Corp", " intl bus mach", None, None),
+    (" Technologies Group Ltd", " tech grp", None, None), (" & Sons, Mfg. Ordinary Shares", " sons mfg", None, None),
 ]
-_VALUES = ", ".join(f"({n!r}, {c!r}, {'NULL' if k is None else repr(k)}, {'NULL' if h is None else str(h).lower()})" for n, c, k, h in NAMES)
+_PICK = f"p_partkey % {len(NAMES)}"
+_CASES = lambda i, none="NULL": f"CASE {_PICK} " + " ".join(f"WHEN {k} THEN {none if n[i] is None else repr(n[i])}" for k, n in enumerate(NAMES)) + " END"
 
 
 def _names(t: Derived):
-    rows = t.spark.createDataFrame([(n,) for n, *_ in NAMES], "name string")
+    """Parts as issuers, each named in one of the forms."""
+    rows = t.domain.table("part").select("p_partkey", F.concat("p_name", F.expr(_CASES(0))).alias("name"))
     found = extract_ticker(F.col("name"))
-    return rows.select("name", core_name(F.col("name")).alias("core"), found["ticker"].alias("ticker"), found["hinted"].alias("hinted"))
+    return rows.select(F.col("p_partkey").alias("id"), "name", core_name(F.col("name")).alias("core"), found["ticker"].alias("ticker"), found["hinted"].alias("hinted"))
 
 
-add("txt07_core_names", "name:s core:s ticker:s hinted:b", f"SELECT * FROM (VALUES {_VALUES}) v(name, core, ticker, hinted)")(_names)
+add("txt07_core_names", "id:l name:s core:s ticker:s hinted:b", f"SELECT p_partkey AS id, p_name || {_CASES(0)} AS name, p_name || {_CASES(1)} AS core, {_CASES(2)} AS ticker, {_CASES(3)} AS hinted FROM part")(_names)

@@ -97,7 +97,7 @@ _DELISTED = """SELECT security_id, (SELECT min(period) FROM (SELECT DISTINCT per
   FROM security JOIN (SELECT cusip, max(period) AS period FROM listed WHERE status <> 'deleted' GROUP BY 1) l USING (cusip)"""
 add("res08_delistings", "security_id:l delisted_by:d", "SELECT * FROM delisting", **_SECURITY_SQL, delisting=_DELISTED)(lambda t: entities.delisted_by(t.security, _lineitem(t, _LISTS)))
 add(
-    "res09_settled_ranges", "security_id:l ticker:s valid_from:d valid_to:d",
+    "res08_settled_ranges", "security_id:l ticker:s valid_from:d valid_to:d",
     """SELECT b.security_id, b.ticker, coalesce((SELECT max(e.valid_to) FROM closed e WHERE e.now = e.valid_to AND upper(e.ticker) = upper(b.ticker) AND e.security_id <> b.security_id AND e.valid_to < coalesce(b.valid_to, DATE '9999-12-31')
         AND (b.valid_from IS NULL OR EXISTS (SELECT 1 FROM closed x WHERE x.now = x.valid_to AND upper(x.ticker) = upper(b.ticker) AND x.security_id <> b.security_id AND x.valid_to = b.valid_from))), b.valid_from) AS valid_from, b.valid_to FROM closed b""",
     **_SECURITY_SQL, delisting=_DELISTED,
@@ -195,41 +195,52 @@ _CLASSES = [
 ]
 
 
+_CLASS = lambda what: f"CASE p_partkey % {len(_CLASSES)} " + " ".join(f"WHEN {n} THEN {what(*c)}" for n, c in enumerate(_CLASSES)) + " END"
+_OR_NULL = lambda v: "NULL" if v is None else repr(v) if isinstance(v, str) else str(v).lower()
+
+
 def _classified(t: Derived) -> DataFrame:
-    rows = t.spark.createDataFrame([(i, *g) for i, (g, _) in enumerate(_CLASSES)], "n int, code string, name string, ticker string")
-    kind = classify(F.col("code"), F.col("name"), F.col("ticker"), F.lit(None).cast("string"))
-    return rows.select("n", kind.alias("k")).select("n", "k.*")
-
-
-_KINDS = ", ".join(f"({i}, '{a}', '{b}', {str(c).lower()}, {str(d).lower()})" for i, (_, (a, b, c, d)) in enumerate(_CLASSES))
-add("txt08_asset_classes", "n:l asset_class:s otherwise:s lookup:b by_name:b", f"SELECT * FROM (VALUES {_KINDS}) v(n, asset_class, otherwise, lookup, by_name)")(_classified)
-
-_LISTED = [(1, "AAPL", "037833100", "APPLE INC", "APPLE INC COM", None), (2, "META", "30303M102", "META PLATFORMS INC", "FACEBOOK INC CL A", None), (3, "HONA", "438516106", "HONEYWELL AEROSPACE", None, None), (4, "APP", "03831W108", "APPLOVIN CORP", None, None), (5, None, "111111111", "OLD MINING CO", None, "2015-03-31")]
-_ALIASES = [(1, "AAPL", None, None), (2, "FB", None, "2022-06-09"), (2, "META", "2022-06-09", None), (3, "HONA", None, None), (4, "APP", None, None)]
-#: Lines as filed, and what the cascade gives: class, security, method, confidence.
-_CASES = [
-    (("ST", "Apple Inc. - Common Stock", "AAPL", "2024-05-01"), ("equity", 1, "ticker", 1.0)), (("ST", "Facebook, Inc. - Class A", "FB", "2020-05-01"), ("equity", 2, "ticker", 1.0)), (("ST", "Meta Platforms, Inc.", "FB", "2024-05-01"), ("equity", 2, "former_ticker", 0.9)),
-    (("ST", "Apple Inc", None, "2024-05-01"), ("equity", 1, "name", 0.95)), (("ST", "Meta Platforms Inc", "APP", "2024-05-01"), ("equity", 2, "name", 0.95)), (("ST", "Apple Inc", "APP", "2024-05-01"), ("equity", 4, "ticker", 1.0)), (("ST", "Something Else Entirely", "APP", "2024-05-01"), ("equity", 4, "ticker", 0.8)),
-    (("ST", "Honeywell Aerospace", "HONAV", "2024-05-01"), ("equity", 3, "name", 0.95)), (("GS", "US Treasury Note", None, "2024-05-01"), ("treasury", None, None, None)), ((None, "Nothing Known Here", None, "2024-05-01"), ("unknown", None, None, None)),
-    (("ST", "Mystery Holdings", None, "2024-05-01"), ("equity", 4, "manual", 1.0)), ((None, "Apple Inc AAPL", None, "2024-05-01"), ("equity", 1, "ticker", 0.9)), (("ST", "037833100 thing", "037833100", "2024-05-01"), ("equity", 1, "ticker", 0.8)),
+    """A line for each part, of one of the kinds; descriptions speak of options where the code is OT."""
+    rows = t.domain.table("part").select(
+        "p_partkey", F.expr(_CLASS(lambda given, _: _OR_NULL(given[0]))).alias("code"), F.concat("p_name", F.lit(" "), F.expr(_CLASS(lambda given, _: _OR_NULL(given[1])))).alias("name"),
+        F.expr(_CLASS(lambda given, _: _OR_NULL(given[2]))).alias("ticker"), F.expr(_CLASS(lambda given, _: "'a call option'" if given[0] == "OT" else "NULL")).alias("description"),
+    )
+    kind = classify(F.col("code"), F.col("name"), F.col("ticker"), F.col("description"))
+    return rows.select("p_partkey", kind.alias("kind")).select("p_partkey", "kind.*")
+
+
+add("txt08_asset_classes", "p_partkey:l asset_class:s otherwise:s lookup:b by_name:b", "SELECT p_partkey, " + ", ".join(f"{_CLASS(lambda _, found, i=i: _OR_NULL(found[i]))} AS {n}" for i, n in enumerate(("asset_class", "otherwise", "lookup", "by_name"))) + " FROM part")(_classified)
+
+#: Customers as securities, with names and tickers of letters that their numbers give; the second in ten had another ticker until 2022.
+_CODE = "translate(substr(md5(CAST(c_custkey AS STRING)), 1, 9), '0123456789abcdef', 'bcdfghjklmnpqrst')"
+_TICKER = "upper(translate(lpad(CAST(c_custkey * 7919 % 99991 AS STRING), 5, '0'), '0123456789', 'bdfklmprst'))"
+_LISTED = f"SELECT c_custkey AS security_id, {_TICKER} AS ticker, lpad(CAST(c_custkey AS STRING), 9, '0') AS cusip, concat({_CODE}, ' Inc') AS name, concat({_CODE}, ' Inc Com') AS filed_name, CAST(NULL AS DATE) AS delisted_by FROM customer"
+_FORMER = f"SELECT c_custkey AS security_id, concat('OLD', c_custkey) AS ticker, CAST(NULL AS DATE) AS valid_from, DATE '2022-06-09' AS valid_to FROM customer WHERE c_custkey % 10 = 1 UNION ALL SELECT c_custkey, {_TICKER}, CASE WHEN c_custkey % 10 = 1 THEN DATE '2022-06-09' END, NULL FROM customer"
+#: A line of each kind: code, name and ticker as filed, its day, and the class, whether the security is found, the method and the confidence.
+_KINDS_OF_LINES = [
+    (f"'ST', concat({_CODE}, ' Inc. - Common Stock'), {_TICKER}", "2024-05-01", ("equity", True, "ticker", 1.0)), (f"'ST', concat({_CODE}, ', Inc. - Class A'), concat('OLD', c_custkey)", "2020-05-01", ("equity", True, "ticker", 1.0)),
+    (f"'ST', concat({_CODE}, ' Inc'), CAST(NULL AS STRING)", "2024-05-01", ("equity", True, "name", 0.95)), (f"'GS', concat({_CODE}, ' US Treasury Note'), CAST(NULL AS STRING)", "2024-05-01", ("treasury", False, None, None)),
+    ("CAST(NULL AS STRING), 'Nothing Known Here', CAST(NULL AS STRING)", "2024-05-01", ("unknown", False, None, None)), (f"'ST', concat('Mystery ', {_CODE}), CAST(NULL AS STRING)", "2024-05-01", ("equity", True, "manual", 1.0)),
+    (f"'ST', 'Something Else Entirely', {_TICKER}", "2024-05-01", ("equity", True, "ticker", 0.8)), (f"CAST(NULL AS STRING), concat({_CODE}, ' Inc ', {_TICKER}), CAST(NULL AS STRING)", "2024-05-01", ("equity", True, "ticker", 0.9)),
+    (f"'ST', concat({_CODE}, ' Inc'), concat('N', c_custkey)", "2024-05-01", ("equity", True, "name", 0.8)), (f"'OT', concat({_CODE}, ' thing'), CAST(NULL AS STRING)", "2024-05-01", ("other", False, None, None)),
 ]
 
 
-def _resolved(t: Derived) -> DataFrame:
-    create, day = t.spark.createDataFrame, lambda c: F.col(c).cast("date").alias(c)
-    lines = create([(i, *c) for i, (c, _) in enumerate(_CASES)], "id int, asset_type string, asset_name string, ticker string, day string").withColumn("day", F.col("day").cast("date"))
-    securities = create(_LISTED, "security_id long, ticker string, cusip string, name string, filed_name string, delisted_by string").withColumn("delisted_by", F.col("delisted_by").cast("date"))
-    aliases = create(_ALIASES, "security_id long, ticker string, valid_from string, valid_to string").select("security_id", "ticker", day("valid_from"), day("valid_to"))
-    held = create([(1, 2024, 100, "2024-03-31"), (4, 2024, 5, "2024-03-31")], "security_id long, year int, value int, last_held string").select("security_id", "year", F.col("value").cast("decimal(20,2)").alias("value"), day("last_held"))
-    ruled = create([("ST||mystery holdings", 4, "equity")], "key string, security_id long, asset_class string")
-    return entities.resolve_assets(lines, ruled, securities, aliases, held)
+def _customers(t: Derived, text: str) -> DataFrame:
+    return t.spark.sql(text.replace("FROM customer", "FROM {customer}"), customer=t.domain.table("customer"))
 
 
-def _sql(v) -> str:
-    return "NULL" if v is None else repr(v)
+def _resolved(t: Derived) -> DataFrame:
+    lines = _customers(t, " UNION ALL ".join(f"SELECT c_custkey AS id, {what}, DATE '{day}' AS day FROM customer WHERE c_custkey % 10 = {n}" for n, (what, day, _) in enumerate(_KINDS_OF_LINES))).toDF("id", "asset_type", "asset_name", "ticker", "day")
+    ruled = _customers(t, f"SELECT concat('ST||mystery ', {_CODE}) AS key, c_custkey AS security_id, 'equity' AS asset_class FROM customer WHERE c_custkey % 10 = 5")
+    held = _customers(t, "SELECT c_custkey AS security_id, 2024 AS year, CAST(100 AS DECIMAL(20,2)) AS value, DATE '2024-03-31' AS last_held FROM customer")
+    return entities.resolve_assets(lines, ruled, _customers(t, _LISTED), _customers(t, _FORMER), held)
 
 
-add("res03_resolved_assets", "id:l asset_class:s security_id:l method:s confidence:f", "SELECT * FROM (VALUES " + ", ".join(f"({i}, {', '.join(map(_sql, w))})" for i, (_, w) in enumerate(_CASES)) + ") v(id, asset_class, security_id, method, confidence)")(_resolved)
+add(
+    "res03_resolved_assets", "id:l asset_class:s security_id:l method:s confidence:f",
+    " UNION ALL ".join(f"SELECT c_custkey AS id, {_OR_NULL(kind)} AS asset_class, {'c_custkey' if found else 'NULL'} AS security_id, {_OR_NULL(how)} AS method, {_OR_NULL(sure)}::DOUBLE AS confidence FROM customer WHERE c_custkey % 10 = {n}" for n, (_, _, (kind, found, how, sure)) in enumerate(_KINDS_OF_LINES)),
+)(_resolved)
 
 
 def _assets(t: Derived) -> DataFrame:
@@ -244,38 +255,9 @@ add(
        FROM dated d JOIN report r ON r.id = d.filing_id WHERE parse_status = 'parsed' GROUP BY 1, 2) GROUP BY 1""", **CAPITOL,
 )(lambda t: entities.asset_coverage(_assets(t), congress.RESOLVABLE))
 
-# ---------------------------------------------------------------- members
-
-_MEMBERS = [
-    (1, "Thomas H.", "Kean"), (2, "Charles", "Schumer"), (3, "Alexandria", "Ocasio-Cortez"), (4, "Beto", "O'Rourke"), (5, "John", "Smith"), (6, "John", "Smith"), (7, "Raúl", "Grijalva"), (8, "Mary", "Jones"), (9, "Jon", "Smithe"),
-]
-_TERMS = [
-    (1, "house", "NJ", "2023-01-03", "2025-01-03"), (2, "senate", "NY", "1999-01-03", "2029-01-03"), (3, "house", "NY", "2019-01-03", "2027-01-03"), (4, "house", "TX", "2013-01-03", "2019-01-03"), (5, "house", "CA", "2021-01-03", "2025-01-03"),
-    (6, "house", "CA", "2021-01-03", "2025-01-03"), (7, "house", "AZ", "2003-01-03", "2025-01-03"), (8, "senate", "IA", "2015-01-03", "2021-01-03"), (9, "house", "CA", "2021-01-03", "2025-01-03"),
-]
-#: Filed names, and the candidates that the rules give: member, method, confidence, accepted.
-_FILED = [
-    ((1, "Thomas H", "Kean", "house", "NJ"), [(1, "normalised", 0.95, True)]), ((2, "CHARLES", "schumer", "senate", None), [(2, "exact", 1.0, True)]), ((3, "Alexandria", "Ocasio Cortez", "house", "NY"), [(3, "normalised", 0.95, True)]),
-    ((4, "Beto", "ORourke", "house", "TX"), [(4, "normalised", 0.57, False)]), ((5, "John", "Smith", "house", "CA"), [(5, "exact", 0.5, False), (6, "exact", 0.5, False)]), ((6, "Raul", "Grijalva", "house", "AZ"), [(7, "normalised", 0.95, True)]),
-    ((7, "Mary", "Jones", "senate", "IA"), [(8, "exact", 0.6, False)]), ((8, "Jon", "Smithes", "house", "CA"), [(9, "trigram", 0.769, False), (5, "trigram", 0.438, False), (6, "trigram", 0.438, False)]),
-]
-
-
-def _matched(t: Derived) -> DataFrame:
-    create = t.spark.createDataFrame
-    day = lambda c: F.col(c).cast("date").alias(c)
-    filed = create([(*f, "2024-02-01", "2024-03-01") for f, _ in _FILED], "name_id int, first_name string, last_name string, chamber string, state string, first_filed string, last_filed string")
-    filed = filed.select("name_id", "first_name", "last_name", "chamber", "state", day("first_filed"), day("last_filed"))
-    terms = create(_TERMS, "member_id int, chamber string, state string, start_date string, end_date string").select("member_id", "chamber", "state", day("start_date"), day("end_date"))
-    return entities.match_members(filed, create(_MEMBERS, "member_id int, first_name string, last_name string"), terms)
-
-
-_WANTED = ", ".join(f"({f[0]}, {m}, '{how}', {c}::DOUBLE, {str(ok).lower()})" for f, found in _FILED for m, how, c, ok in found)
-add("res01_member_matches", "name_id:l member_id:l method:s confidence:f accepted:b", f"SELECT * FROM (VALUES {_WANTED}) v(name_id, member_id, method, confidence, accepted)")(_matched)
-
 # ---------------------------------------------------------------- alerts
 
-_NOW = "1998-11-20"
+NOW = "1998-11-20"
 _RULES = """SELECT id AS rule_id, id % 6 AS user_id, CASE WHEN id % 2 = 0 THEN 'filer_change' ELSE 'stock_change' END AS kind, CASE WHEN id % 2 = 0 THEN id % 40 + 1 ELSE id % 25 + 1 END AS target,
   CASE WHEN id % 3 = 0 THEN 30000 END AS min_value, CAST(concat('1998-10-', lpad(CAST(id % 28 + 1 AS STRING), 2, '0')) AS TIMESTAMP) AS created_at FROM"""
 
@@ -284,20 +266,20 @@ def _rules(t: Derived) -> DataFrame:
     return t.spark.sql(f"{_RULES} range(120)")
 
 
-_ALERT_SQL = {
-    "fresh": f"SELECT s.filer_id, s.period, max(f.filed_at) AS filed_at FROM snapshot s JOIN filing f ON f.filing_id = s.source_filing_id GROUP BY 1, 2 HAVING max(f.filed_at) >= DATE '{_NOW}' - 30",
+ALERT_SQL = {
+    "fresh": f"SELECT s.filer_id, s.period, max(f.filed_at) AS filed_at FROM snapshot s JOIN filing f ON f.filing_id = s.source_filing_id GROUP BY 1, 2 HAVING max(f.filed_at) >= DATE '{NOW}' - 30",
     "splitlike": LIKE_SQL,
     "told": """SELECT c.filer_id, c.period, c.security_id, c.action, filed_at, round(traded, 2) AS dollars FROM flowing c JOIN fresh USING (filer_id, period)
       WHERE action <> 'hold' AND NOT EXISTS (SELECT 1 FROM filing x WHERE x.parse_status = 'suspect' AND x.filer_id = c.filer_id AND x.period > c.prev_period AND x.period < c.period)
-        AND NOT (action IN ('add', 'trim') AND EXISTS (SELECT 1 FROM splitlike z WHERE z.filer_id = c.filer_id AND z.period = c.period AND z.security_id = c.security_id))""",
+        AND NOT (action IN ('add', 'trim') AND EXISTS (SELECT 1 FROM splitlike z WHERE NOT z.is_split AND z.filer_id = c.filer_id AND z.period = c.period AND z.security_id = c.security_id))""",
     "rule": _duck(_RULES) + " range(120) r(id)",
 }
-add("str10_change_events", "filer_id:l period:d security_id:l action:s dollars:f", "SELECT * FROM told", **_ALERT_SQL)(lambda t: alerts.change_events(t.change, alerts.fresh_pairs(t.snapshot, t.filing, _NOW), t.filing))
+add("str10_change_events", "filer_id:l period:d security_id:l action:s dollars:f", "SELECT * FROM told", **ALERT_SQL)(lambda t: alerts.change_events(t.change, alerts.fresh_pairs(t.snapshot, t.filing, NOW), t.filing))
 add(
     "str11_heard_events", "rule_id:l user_id:l filer_id:l period:d security_id:l kind:s",
     """SELECT * FROM filers UNION ALL SELECT rule_id, user_id, e.filer_id, e.period, e.security_id, 'stock_change' AS kind FROM told e JOIN rule r ON r.kind = 'stock_change' AND r.target = e.security_id
       WHERE created_at <= filed_at AND (min_value IS NULL OR dollars >= min_value) AND NOT EXISTS (SELECT 1 FROM filers f WHERE f.user_id = r.user_id AND f.filer_id = e.filer_id AND f.period = e.period AND f.security_id = e.security_id)""",
-    **_ALERT_SQL,
+    **ALERT_SQL,
     filers="""SELECT rule_id, user_id, e.filer_id, e.period, e.security_id, 'filer_change' AS kind FROM told e JOIN rule r ON r.kind = 'filer_change' AND r.target = e.filer_id WHERE created_at <= filed_at AND (min_value IS NULL OR dollars >= min_value)
       QUALIFY row_number() OVER (PARTITION BY user_id, e.filer_id, e.period ORDER BY coalesce(dollars, 0) DESC, e.security_id, rule_id) <= 10""",
-)(lambda t: alerts.heard(alerts.change_events(t.change, alerts.fresh_pairs(t.snapshot, t.filing, _NOW), t.filing), _rules(t)))
+)(lambda t: alerts.heard(alerts.change_events(t.change, alerts.fresh_pairs(t.snapshot, t.filing, NOW), t.filing), _rules(t)))

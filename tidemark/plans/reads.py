@@ -9,7 +9,7 @@ from ..operators import paging, read, recompute, screener
 from ..streaming import batches
 from .catalog import PERIOD, add
 from .derived import Derived
-from .splits import MADE_UP, RETURNS_SQL, estimates, made_up
+from .splits import FOUND, MADE_UP, RETURNS_SQL, estimates, made_up
 
 _AT = f"period = DATE '{PERIOD}'"
 _INVESTORS = """SELECT f.filer_id, name, category, s.period, portfolio_value, positions FROM filer f LEFT JOIN (SELECT * FROM summary QUALIFY row_number() OVER (PARTITION BY filer_id ORDER BY period DESC) = 1) s USING (filer_id)"""
@@ -45,7 +45,7 @@ add(
 )(
     lambda t: _portfolio(t).where(F.col("action").isin("new", "trim")).join(t.security.where(F.lower("name").contains("brand 1")).select("security_id", "ticker"), "security_id")
 )
-_WITH = {"made_up": MADE_UP, "estimate": RETURNS_SQL}
+_WITH = {"used_split": FOUND, "made_up": MADE_UP, "estimate": RETURNS_SQL}
 _RETURNS = "implied_price:f estimated_return_pct:f return_to_last_quarter_pct:f"
 add(
     "qry03_portfolio_returns", f"filer_id:l security_id:l {_RETURNS}",
@@ -117,17 +117,42 @@ add("scr19_saved_screen", "filer_id:l security_id:l", f"SELECT filer_id, securit
 # ---------------------------------------------------------------- mail
 
 _NOW = "2024-01-20 12:20:00"
-_USER = "SELECT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'UTC' WHEN 1 THEN 'America/New_York' ELSE 'Asia/Tokyo' END AS zone, c_custkey % 24 AS quiet_from, (c_custkey * 7) % 24 AS quiet_to, c_custkey % 5 AS sent_today FROM customer"
+_USER = "SELECT c_custkey AS user_id, CASE c_custkey % 3 WHEN 0 THEN 'UTC' WHEN 1 THEN 'America/New_York' ELSE 'Asia/Tokyo' END AS zone, c_custkey % 24 AS quiet_from, (c_custkey * 7) % 24 AS quiet_to, c_custkey % 4 AS sent_today, c_custkey % 5 < 2 AS digest_emails, CASE WHEN c_custkey % 11 = 0 THEN TIMESTAMP '2024-01-20 19:00:00' END AS last_digest FROM customer"
+_SINCE = "2024-01-18 00:00:00"
 add(
     "str06_due_mail", "user_id:l action:s items:l",
-    f"""SELECT user_id, action, CASE action WHEN 'digest' THEN digest WHEN 'wait' THEN 0 ELSE instant END AS items FROM (SELECT *, CASE WHEN quiet THEN 'wait' WHEN digest > 0 AND hr >= 19 AND sent_today < 3 THEN 'digest'
-        WHEN oldest + INTERVAL 15 MINUTE <= TIMESTAMP '{_NOW}' AND 3 - sent_today - (digest > 0 AND hr < 19)::INT > 0 THEN 'batch' WHEN oldest + INTERVAL 15 MINUTE <= TIMESTAMP '{_NOW}' THEN 'to_digest' ELSE 'wait' END AS action
-      FROM (SELECT *, CASE WHEN quiet_from = quiet_to THEN false WHEN quiet_from > quiet_to THEN hr >= quiet_from OR hr < quiet_to ELSE hr >= quiet_from AND hr < quiet_to END AS quiet
-        FROM (SELECT *, hour(timezone(zone, TIMESTAMP '{_NOW}' AT TIME ZONE 'UTC')) AS hr FROM (SELECT user_id, min(ts) FILTER (event_type <> 'view') AS oldest, count(*) FILTER (event_type <> 'view') AS instant, count(*) FILTER (event_type = 'view') AS digest
-          FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' AND ts <= TIMESTAMP '{_NOW}' GROUP BY 1) JOIN ({_USER}) USING (user_id))))""",
+    """SELECT user_id, 'digest' AS action, dd + sd AS items FROM decided WHERE goes UNION ALL SELECT user_id, CASE WHEN room THEN 'batch' ELSE 'to_digest' END, instant FROM decided WHERE ripe
+      UNION ALL SELECT user_id, 'wait', 0 FROM decided WHERE NOT goes AND NOT ripe""",
+    item=f"SELECT user_id, ts, CASE WHEN event_type = 'view' THEN 'digest' WHEN event_type = 'error' THEN 'season' ELSE 'instant' END AS kind FROM events WHERE ts > TIMESTAMP '{_SINCE}' AND ts <= TIMESTAMP '{_NOW}'",
+    clock=f"SELECT *, timezone(zone, TIMESTAMP '{_NOW}' AT TIME ZONE 'UTC') AS here, date_trunc('day', here) + CASE WHEN hour(here) >= 19 THEN INTERVAL 19 HOUR ELSE INTERVAL (-5) HOUR END AS slot FROM ({_USER})",
+    tally="""SELECT user_id, any_value(here) AS here, any_value(slot) AS slot, any_value(quiet_from) AS qf, any_value(quiet_to) AS qt, any_value(sent_today) AS sent, any_value(digest_emails) AS emails, any_value(last_digest) AS last, min(ts) FILTER (kind = 'instant') AS oldest,
+        count(*) FILTER (kind = 'instant') AS instant, count(*) FILTER (kind = 'digest' AND due) AS dd, count(*) FILTER (kind = 'digest' AND NOT due) AS dl, count(*) FILTER (kind = 'season' AND due) AS sd, count(*) FILTER (kind = 'season' AND NOT due) AS sl
+      FROM (SELECT *, timezone(zone, ts AT TIME ZONE 'UTC') <= slot AS due FROM item JOIN clock USING (user_id)) GROUP BY 1""",
+    decided=f"""SELECT *, sent + (goes AND mailed > 0)::INT + (hour(here) < 19 AND (dl + CASE WHEN goes THEN 0 ELSE dd END > 0 OR emails AND (sl + CASE WHEN goes THEN 0 ELSE sd END > 0 OR month(here) IN (2, 5, 8, 11) AND day(here) <= 20)))::INT < 3 AS room
+      FROM (SELECT *, dd + CASE WHEN emails THEN sd ELSE 0 END AS mailed, NOT quiet AND dd + sd > 0 AND NOT coalesce(last >= slot, false) AND (dd + CASE WHEN emails THEN sd ELSE 0 END = 0 OR sent < 3) AS goes,
+          NOT quiet AND coalesce(oldest + INTERVAL 15 MINUTE <= TIMESTAMP '{_NOW}', false) AS ripe
+        FROM (SELECT *, CASE WHEN qf = qt THEN false WHEN qf > qt THEN hour(here) >= qf OR hour(here) < qt ELSE hour(here) >= qf AND hour(here) < qt END AS quiet FROM tally))""",
 )(
     lambda t: batches.due_mail(
-        t.domain.table("events").where(f"ts > timestamp '2024-01-20 00:00:00' and ts <= timestamp '{_NOW}'").select("user_id", F.when(F.col("event_type") == "view", "digest").otherwise("instant").alias("kind"), F.col("ts").alias("since")),
+        t.domain.table("events").where(f"ts > timestamp '{_SINCE}' and ts <= timestamp '{_NOW}'").select("user_id", F.when(F.col("event_type") == "view", "digest").when(F.col("event_type") == "error", "season").otherwise("instant").alias("kind"), F.col("ts").alias("since")),
         t.spark.sql(_USER.replace("FROM customer", "FROM {customer}"), customer=t.domain.table("customer")), _NOW,
     )
 )
+
+#: Days of events as a crawl's index; what was loaded falls short on some, until a second try of some of those.
+_READ = "SELECT event_type AS source, CAST(ts AS DATE) AS day, count(*) AS listed, count(CASE WHEN event_id % {n} <> {r} THEN 1 END) AS loaded FROM events WHERE {where} GROUP BY 1, 2"
+_TRIES = " UNION ALL ".join(f"SELECT * FROM ({_READ.format(n=n, r=r, where=w)}) t{n}" for n, r, w in ((149, 3, "true"), (367, 5, "CAST(ts AS DATE) > DATE '2024-01-10'")))
+_BEGUN = "SELECT event_type AS source, min(CAST(ts AS DATE)) AS first_day FROM events GROUP BY 1"
+
+
+def _crawl(t: Derived, text: str) -> DataFrame:
+    return t.spark.sql(text.replace("FROM events", "FROM {events}"), events=t.domain.table("events"))
+
+
+_WHOLE = {"tries": _TRIES, "begun": _BEGUN, "axis": "SELECT source, first_day, unnest(generate_series(first_day, DATE '2024-02-02', INTERVAL 1 DAY))::DATE AS day FROM begun", "whole": "SELECT DISTINCT source, day FROM tries WHERE loaded >= listed"}
+add(
+    "str01_crawl_progress", "source:s first_day:d watermark:d next_day:d done_ahead:l missing:l",
+    """SELECT source, first_day, CASE WHEN next_day IS NULL THEN DATE '2024-02-02' WHEN next_day > first_day THEN next_day - 1 END AS watermark, next_day, missing, (SELECT count(*) FROM whole w WHERE w.source = h.source AND w.day > next_day) AS done_ahead
+      FROM (SELECT a.source, first_day, min(a.day) FILTER (w.day IS NULL) AS next_day, count(*) FILTER (w.day IS NULL) AS missing FROM axis a LEFT JOIN whole w USING (source, day) GROUP BY 1, 2) h""", **_WHOLE,
+)(lambda t: batches.crawl_progress(_crawl(t, _BEGUN), _crawl(t, _TRIES), "2024-02-02"))
+add("str01_days_to_read", "source:s day:d", "SELECT source, day FROM axis ANTI JOIN whole USING (source, day)", **_WHOLE)(lambda t: batches.days_to_read(_crawl(t, _BEGUN), _crawl(t, _TRIES), "2024-02-02"))

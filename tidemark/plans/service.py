@@ -17,7 +17,7 @@ from .capitol import _trade
 from .catalog import PERIOD, add
 from .derived import BUILDERS, Derived
 from .people import _LISTS, _MATCHES, _duck, _lineitem
-from .splits import SQL as SPLITS
+from ..operators.price import SPLIT_SQL as SPLITS
 
 # ---------------------------------------------------------------- runs
 
@@ -148,6 +148,14 @@ def _entries(t: Derived) -> DataFrame:
     return t.domain.amendment_cik().select("filer_id", "cik", (F.col("priority") == 2).alias("p")).select("filer_id", "cik", F.coalesce("p", F.lit(False)).alias("current"))
 
 
+_EDGAR = [("upper(n_name) || ', INC.'", False), ("'The ' || n_name || ' CO'", False), ("translate(n_name, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '01234567890123456789012345')", True), ("NULL", True)]
+_NAMED = "SELECT n_nationkey AS filer_id, n_name AS display_name, 'qqqqqqqq' AS manager_name, CASE n_nationkey % 4 " + " ".join(f"WHEN {i} THEN {e}" for i, (e, _) in enumerate(_EDGAR)) + " END AS edgar_name FROM nation"
+add(
+    "q15_filer_names", "filer_id:l cik:s warning:s name_mismatch:b",
+    "SELECT filer_id, cik, CASE WHEN filings > 0 AND stale AND NOT current THEN 'stale' END AS warning, filer_id % 4 >= 2 AS name_mismatch FROM judged",
+    judged="""SELECT filer_id, cik, coalesce(priority = 2, false) AS current, coalesce(filings, 0) AS filings, latest IS NULL OR latest < DATE '2001-03-31' AS stale FROM amendment_cik
+      LEFT JOIN (SELECT filer_id, cik, count(*) AS filings, max(period) AS latest FROM amendment WHERE form_type = '13F-HR' GROUP BY 1, 2) USING (filer_id, cik)""",
+)(lambda t: service.verified_investors(_entries(t).join(t.spark.sql(_NAMED.replace("FROM nation", "FROM {nation}"), nation=t.domain.table("nation")), "filer_id"), t.domain.amendment(), "2001-08-20"))
 add(
     "q15_verified_investors", "filer_id:l cik:s current:b filings:l earliest:d latest:d failure:s warning:s",
     """SELECT *, CASE WHEN filings = 0 THEN 'no_13f' WHEN stale AND current THEN 'stale' END AS failure, CASE WHEN filings > 0 AND stale AND NOT current THEN 'stale' END AS warning FROM
@@ -177,19 +185,31 @@ _FOLLOWED = [("insider", 7), ("insider", 30), ("stock", 7), ("stock", 12), ("inv
 
 
 def _follow(t: Derived) -> DataFrame:
-    return t.spark.createDataFrame(_FOLLOWED, "kind string, target long")
+    return t.spark.createDataFrame([*_FOLLOWED, ("stock", 14)], "kind string, target long")
+
+
+def _unlinked(t: Derived) -> DataFrame:
+    """Insider lines, every fifth of which names no security."""
+    return t.lines.withColumn("security_id", F.when(F.col("id") % 5 != 0, F.col("security_id")))
+
+
+def _listed_issuers(t: Derived) -> DataFrame:
+    """Issuers with the securities that SEC lists for them."""
+    spelled = t.security.select("security_id", F.translate("ticker", ".", "-").alias("ticker"))
+    return t.domain.issuer_ticker().select(F.col("cik").alias("issuer_cik"), "ticker").join(spelled, "ticker").select("issuer_cik", "security_id")
 
 
 add(
     "qry22_timeline", "happened_at:t id:s kind:s side:s filer_id:l security_id:l insider_id:l dollars:f",
     """SELECT * FROM (
-      SELECT filed_at AS happened_at, '4:' || id AS id, 'insider_trade' AS kind, CASE WHEN transaction_code IN ('P', 'A', 'M') THEN 'acquire' WHEN transaction_code IN ('S', 'G') THEN 'dispose' ELSE 'neutral' END AS side, NULL AS filer_id, security_id, insider_id, value_usd AS dollars
-        FROM insider_line WHERE insider_id IN (7, 30) OR (transaction_code IN ('P', 'S') AND security_id IN (7, 12))
+      SELECT filed_at AS happened_at, '4:' || id AS id, 'insider_trade' AS kind, CASE WHEN transaction_code IN ('P', 'A', 'M') THEN 'acquire' WHEN transaction_code IN ('S', 'G') THEN 'dispose' ELSE 'neutral' END AS side, NULL AS filer_id, linked AS security_id, insider_id, value_usd AS dollars
+        FROM (SELECT *, CASE WHEN id % 5 <> 0 THEN security_id END AS linked FROM insider_line) WHERE insider_id IN (7, 30) OR (transaction_code IN ('P', 'S') AND (linked IN (7, 12, 14)
+          OR linked IS NULL AND issuer_cik IN (SELECT cik FROM issuer_ticker i JOIN security s ON i.ticker = replace(s.ticker, '.', '-') WHERE s.security_id IN (7, 12, 14))))
       UNION ALL SELECT filed_on::TIMESTAMP, '13f:' || filing_id, 'filing', 'neutral', filer_id, NULL, NULL, portfolio_value FROM feed WHERE filer_id IN (3, 8)
       UNION ALL SELECT happened_at, 'chg:' || filer_id || ':' || period || ':' || security_id, 'holder_change', CASE WHEN action IN ('new', 'add') THEN 'acquire' ELSE 'dispose' END, filer_id, security_id, NULL, dollars FROM
-        (SELECT * FROM (SELECT *, round(traded, 2) AS dollars FROM flowing WHERE action <> 'hold' AND security_id IN (7, 12)) QUALIFY row_number() OVER (PARTITION BY security_id, period ORDER BY dollars DESC, filer_id) <= 4)
-        JOIN (SELECT filer_id, period, max(filed_on)::TIMESTAMP AS happened_at FROM feed GROUP BY 1, 2) USING (filer_id, period)) WHERE happened_at >= DATE '1998-01-01' AND happened_at < DATE '2024-01-20'""",
-)(lambda t: service.timeline(_follow(t), t.lines, t.change, t.feed, "1998-01-01", "2024-01-20").withColumnRenamed("at", "happened_at"))
+        (SELECT * FROM (SELECT *, round(traded, 2) AS dollars FROM flowing WHERE action <> 'hold' AND security_id IN (7, 12, 14)) JOIN (SELECT filer_id, slug FROM filer) USING (filer_id) QUALIFY row_number() OVER (PARTITION BY security_id, period ORDER BY dollars DESC, slug) <= 4)
+        JOIN (SELECT filer_id, period, max(filed_on)::TIMESTAMP AS happened_at FROM feed GROUP BY 1, 2) USING (filer_id, period)) WHERE happened_at >= TIMESTAMP '1998-01-01 05:00:00' AND happened_at < TIMESTAMP '2024-01-20 05:00:00'""",
+)(lambda t: service.timeline(_follow(t), _unlinked(t), t.change, t.feed, "1998-01-01", "2024-01-20", filer=t.filer, issuers=_listed_issuers(t), zone="America/New_York").withColumnRenamed("at", "happened_at"))
 add(
     "qry27_one_filing", "filing_id:l accession_no:s security_id:l put_call:s sshprnamt_type:s shares:f value_usd:f",
     "SELECT h.filing_id, lpad(h.filing_id::VARCHAR, 20, '0') AS accession_no, security_id, put_call, sshprnamt_type, shares, value_usd FROM holding h WHERE filing_id = 37994",

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..functions.periods import in_filing_window
 from ..sources.store import written
 
 #: Minutes that a batch of notices waits from its first.
@@ -85,26 +86,68 @@ def mail_batches(items: DataFrame, user: str, at: str, wait: int = WAIT) -> Data
 DAILY, DIGEST_HOUR = 3, 19
 
 
+def is_quiet(hour: Column, first: Column, last: Column) -> Column:
+    """Is the hour in quiet hours, which may run over midnight? Equal ends are none."""
+    return F.when(first == last, False).when(first > last, (hour >= first) | (hour < last)).otherwise((hour >= first) & (hour < last))
+
+
 def due_mail(waiting: DataFrame, users: DataFrame, now: str, wait: int = WAIT) -> DataFrame:
-    """What to do for each user with something waiting at an instant: user_id, action (batch, digest, to_digest, wait), items.
+    """What goes at an instant for each user with something waiting: user_id, action (digest, batch, to_digest, wait), items; a digest and a batch
+    may go at once, each a row.
 
-    waiting: user_id, kind (instant or digest), since. users: user_id, zone, quiet_from and quiet_to (hours, may run over midnight), sent_today.
-    A batch is due `wait` minutes after its oldest item, outside quiet hours, and takes all items with it. DAILY mails a day are sent; while
-    today's digest is ahead and has content the last of them is its own, and a batch without room goes to the digest. The digest is due from
-    DIGEST_HOUR on. Groups are a count and a minimum, so a user with many items is as cheap as one with few.
+    waiting: user_id, kind (instant, digest or season), since. users: user_id, zone, quiet_from and quiet_to (hours, may run over midnight), sent_today
+    and, if there are such columns, digest_emails (whether season items are mailed; false without) and last_digest (the DIGEST_HOUR by the user's clock whose digest has gone).
+
+    Nothing goes in quiet hours. The digest first: all on it that was queued by the last DIGEST_HOUR, once, if it has nothing to mail or the day has
+    room. Then the batch, `wait` minutes after its oldest item, with all instant items: while today's digest is ahead and will have something to mail
+    the last of the DAILY mails is its own, and a batch without room goes to the digest. Groups are counts and a minimum, so a
+    user with many items is as cheap as one with few.
     """
     at = F.lit(now).cast("timestamp")
-    sums = waiting.groupBy("user_id").agg(
-        F.min(F.when(F.col("kind") == "instant", F.col("since"))).alias("oldest"), F.count(F.when(F.col("kind") == "instant", 1)).alias("instant"), F.count(F.when(F.col("kind") == "digest", 1)).alias("digest")
-    )
-    rows = sums.join(users, "user_id").withColumn("hour", F.hour(F.from_utc_timestamp(at, F.col("zone"))))
-    over = F.col("quiet_from") > F.col("quiet_to")
-    inside = (F.col("hour") >= F.col("quiet_from")) & (F.col("hour") < F.col("quiet_to"))
-    quiet = F.when(F.col("quiet_from") == F.col("quiet_to"), False).when(over, (F.col("hour") >= F.col("quiet_from")) | (F.col("hour") < F.col("quiet_to"))).otherwise(inside)
-    ahead = (F.col("digest") > 0) & (F.col("hour") < DIGEST_HOUR)
-    room = F.lit(DAILY) - F.col("sent_today") - F.when(ahead, 1).otherwise(0)
-    ripe = F.col("oldest").isNotNull() & (F.unix_timestamp("oldest") + wait * 60 <= F.unix_timestamp(at))
-    digest = (F.col("digest") > 0) & (F.col("hour") >= DIGEST_HOUR) & (F.col("sent_today") < DAILY)
-    action = F.when(quiet, "wait").when(digest, "digest").when(ripe & (room > 0), "batch").when(ripe, "to_digest").otherwise("wait")
-    items = F.when(action == "digest", F.col("digest")).when(action.isin("batch", "to_digest"), F.col("instant")).otherwise(0)
-    return rows.select("user_id", action.alias("action"), items.cast("long").alias("items"))
+    has = lambda name, otherwise: F.coalesce(F.col(name), otherwise) if name in users.columns else otherwise
+    known = users.select("user_id", "zone", "quiet_from", "quiet_to", "sent_today", has("digest_emails", F.lit(False)).alias("digest_emails"), has("last_digest", F.lit(None).cast("timestamp")).alias("last_digest"))
+    local = F.from_utc_timestamp(at, F.col("zone"))
+    evening = F.date_trunc("day", local) + F.make_interval(hours=F.lit(DIGEST_HOUR))
+    known = known.withColumns({"local": local, "slot": F.when(local >= evening, evening).otherwise(evening - F.expr("interval 1 day"))})
+    rows = waiting.join(known, "user_id").withColumn("due", F.from_utc_timestamp(F.col("since").cast("timestamp"), F.col("zone")) <= F.col("slot"))
+    count = lambda test: F.count_if(test)
+    sums = rows.groupBy("user_id").agg(
+        *(F.first(c).alias(c) for c in ("local", "slot", "quiet_from", "quiet_to", "sent_today", "digest_emails", "last_digest")), F.min(F.when(F.col("kind") == "instant", F.col("since").cast("timestamp"))).alias("oldest"),
+        count(F.col("kind") == "instant").alias("instant"), *(count((F.col("kind") == k) & (F.col("due") if now_ else ~F.col("due"))).alias(f"{k}_{'due' if now_ else 'later'}") for k in ("digest", "season") for now_ in (True, False)),
+    )
+    c, hour = F.col, F.hour("local")
+    quiet = is_quiet(hour, c("quiet_from"), c("quiet_to"))
+    due, mailed = c("digest_due") + c("season_due"), c("digest_due") + F.when(c("digest_emails"), c("season_due")).otherwise(0)
+    done = F.coalesce(c("last_digest") >= c("slot"), F.lit(False))
+    sums = sums.withColumn("digest_goes", ~quiet & (due > 0) & ~done & ((mailed == 0) | (c("sent_today") < DAILY)))
+    sent = c("sent_today") + F.when(c("digest_goes") & (mailed > 0), 1).otherwise(0)
+    left = lambda kind: c(f"{kind}_later") + F.when(c("digest_goes"), 0).otherwise(c(f"{kind}_due"))
+    ahead = (hour < DIGEST_HOUR) & ((left("digest") > 0) | (c("digest_emails") & ((left("season") > 0) | in_filing_window(F.to_date("local")))))
+    ripe = ~quiet & F.coalesce(F.unix_timestamp("oldest") + wait * 60 <= F.unix_timestamp(at), F.lit(False))
+    room = sent + ahead.cast("int") < DAILY
+    action = lambda name, holds, items: F.when(holds, F.struct(F.lit(name).alias("action"), items.cast("long").alias("items")))
+    acts = F.array_compact(F.array(action("digest", c("digest_goes"), due), action("batch", ripe & room, c("instant")), action("to_digest", ripe & ~room, c("instant"))))
+    acts = F.when(F.size(acts) > 0, acts).otherwise(F.array(F.struct(F.lit("wait").alias("action"), F.lit(0).cast("long").alias("items"))))
+    return sums.select("user_id", F.explode(acts).alias("a")).select("user_id", "a.*")
+
+
+def crawl_progress(days: DataFrame, read: DataFrame, last: str) -> DataFrame:
+    """How far each crawl has come: source, first_day, watermark, next_day, done_ahead, missing.
+
+    days (source, first_day): where each crawl begins. read (source, day, listed, loaded): what a day's index listed and how much of it was loaded, a row for each
+    try. A day is read when a try loaded all that it listed. The watermark is the last day before the first that isn't read, null at the very start, so a
+    crawl that starts there again leaves nothing out; days after it may be done already (done_ahead) and those that aren't (missing) are all that is left.
+    """
+    axis = days.select("source", F.col("first_day").cast("date").alias("first_day"), F.explode(F.sequence(F.col("first_day").cast("date"), F.lit(last).cast("date"))).alias("day"))
+    whole = read.where("loaded >= listed").select("source", F.col("day").cast("date").alias("day"), F.lit(True).alias("whole")).distinct()
+    rows = axis.join(whole, ["source", "day"], "left").fillna(False, ["whole"])
+    holes = rows.groupBy("source", "first_day").agg(F.min(F.when(~F.col("whole"), F.col("day"))).alias("next_day"), F.count_if(~F.col("whole")).alias("missing"), F.count_if("whole").alias("full"))
+    mark = F.coalesce(F.date_sub("next_day", 1), F.lit(last).cast("date"))
+    ahead = F.col("full") - F.datediff(mark, F.date_sub("first_day", 1))
+    return holes.select("source", "first_day", F.when(mark >= F.col("first_day"), mark).alias("watermark"), "next_day", ahead.cast("long").alias("done_ahead"), "missing")
+
+
+def days_to_read(days: DataFrame, read: DataFrame, last: str) -> DataFrame:
+    """(source, day) still to be read, from each crawl's watermark on; what is done beyond it isn't read again."""
+    axis = days.select("source", F.explode(F.sequence(F.col("first_day").cast("date"), F.lit(last).cast("date"))).alias("day"))
+    return axis.join(read.where("loaded >= listed").select("source", F.col("day").cast("date").alias("day")), ["source", "day"], "left_anti")
