@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from tidemark.llm import op13_divergence as op13
 
 SCHEMA = "doc_id long, text string, lang string, source string, rank int, item string, total long"
@@ -34,9 +36,27 @@ def plain(rows, least, top, scale):
     return sorted(out)
 
 
-def test_against_the_plain_version(spark, monkeypatch):
-    monkeypatch.setattr(op13, "HELD", 300)
-    monkeypatch.setattr(op13, "TEXT", 500)
+def test_a_task_hands_on_what_it_has_counted(monkeypatch):
+    monkeypatch.setattr(op13, "HELD", 8)
+    monkeypatch.setattr(op13, "TEXT", 60)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(["a", "B", "cé", "d1e"], k=rng.randint(0, 20))) for _ in range(50)] + [None]
+    batch = pa.RecordBatch.from_pydict({"lang": ["en"] * 51, "source": [f"s{i % 2}" for i in range(51)], "text": texts})
+    counts, documents, batches = Counter(), Counter(), 0
+    for out in op13._count(iter([batch, batch.slice(3, 0), batch])):
+        batches += 1
+        for r in out.to_pylist():
+            counts[r["source"], r["term"]] += r["n"]
+            documents[r["source"], r["term"]] += r["d"]
+    wanted, within = Counter(), Counter()
+    for i, text in enumerate(texts * 2):
+        terms = re.findall("[a-zé]+", (text or "").lower())
+        wanted.update((f"s{i % 51 % 2}", t) for t in terms)
+        within.update((f"s{i % 51 % 2}", t) for t in set(terms))
+    assert counts == wanted and documents == within and batches > 2
+
+
+def test_against_the_plain_version(spark):
     rng = random.Random(2)
     words = [f"W{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(80)] + ["Été", "été", "straße", "日本", "x"]
     rows = []

@@ -133,7 +133,11 @@ def test_op3_reads_archives_byte_for_byte(spark, tmp_path, monkeypatch):
     op3_warc.write_warc(rows, str(tmp_path / "out"))
     files = [f.read_bytes() for f in sorted((tmp_path / "out").glob("part-*"))]
     seen = [(head, block) for f in files for head, block in op3_warc.parse_warc(gzip.decompress(f))]
-    assert sorted(h["warc-type"] for h, _ in seen) == ["resource", "response", "response", "response", "response", "warcinfo", "warcinfo"]
+    assert sorted(h["warc-type"] for h, _ in seen) == ["resource", "response", "response", "response", "revisit", "warcinfo", "warcinfo"]
+    ids = {(h["warc-record-id"], h["warc-target-uri"]) for h, _ in seen if "warc-target-uri" in h}
+    assert len(ids) == len({i for i, _ in ids}) == 4  # URLs of one payload and date have identifiers of their own
+    again = next(h for h, _ in seen if h["warc-type"] == "revisit")
+    assert (again["warc-target-uri"], again["warc-refers-to"]) == ("http://z/", next(i for i, u in ids if u == "http://y/"))
     blocks = {h["warc-target-uri"]: (h["content-type"], b) for h, b in seen if "warc-target-uri" in h}
     assert blocks["http://x/"] == ("application/http; msgtype=response", web) and blocks["dns:x"] == ("text/dns", b"x 1.2.3.4")
     assert all(len(f) < 2500 for f in files) and all(f.startswith(b"\x1f\x8b") for f in files)
@@ -314,23 +318,64 @@ def test_op9_suffix_array():
             assert common[b] == k
 
 
-def test_op9(docs, rows, empty):
-    seen, wanted = set(), {}
-    for i, text, *_ in sorted(rows[:-1], key=lambda r: r[0]):
-        raw = (text or "").encode()
+def in_order(df):
+    """(doc_id, text) as repeats count them: by id, a null one last, then by a hash of the text."""
+    rows = df.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as tie").collect()
+    return [(r.doc_id, r.text) for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.tie))]
+
+
+def removals(ordered):
+    """For each text, which of its bytes go."""
+    seen = set()
+    for _, text in ordered:
+        raw = text.encode()
         gone = np.zeros(len(raw), bool)
         for a in range(len(raw) - 99):
             if raw[a : a + 100] in seen:
                 gone[a : a + 100] = True
             seen.add(raw[a : a + 100])
+        yield raw, gone
+
+
+def digest_rows(df):
+    out = []
+    for (i, _), (raw, gone) in zip(ordered := in_order(df), removals(ordered), strict=True):
         spans = int((np.diff(np.concatenate([[0], gone.view(np.int8)])) == 1).sum())
-        wanted[i] = (i, len(raw), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest())
-    got = {r.doc_id: tuple(r) for r in op9_suffix.removal_digests(docs.dropDuplicates(["doc_id"])).collect()}
-    assert got == wanted
+        out.append((str(i), len(raw), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(raw, np.uint8)[~gone])).hexdigest()))
+    return sorted(out)
+
+
+def test_op9(docs, rows, empty):
+    got = [(str(r[0]), *r[1:]) for r in map(tuple, op9_suffix.removal_digests(docs).collect())]
+    assert sorted(got) == digest_rows(docs)
     assert op9_suffix.removal_digests(empty).count() == 0
     assert op9_suffix.remove_repeats(docs).columns == docs.columns
 
 
+def test_op9_copies_of_a_row_keep_the_first(spark):
+    t, u = "".join(f"a{i} " for i in range(40)), "short text"
+    for ids in ((1, 1, 2), (None, None, 2), (1, 1, None)):
+        rows = [(ids[0], t), (ids[1], t), (ids[2], "other " + u), (ids[0], u), (ids[0], u), (ids[0], None), (ids[0], t + "more of it")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted((str(r[0]), *r[1:]) for r in map(tuple, op9_suffix.removal_digests(docs).collect())) == digest_rows(docs)
+        kept = sorted((str(r.doc_id), r.text or "") for r in op9_suffix.remove_repeats(docs).collect())
+        ordered = in_order(docs)
+        left = [(str(i), bytes(np.frombuffer(raw, np.uint8)[~gone]).decode()) for (i, _), (raw, gone) in zip(ordered, removals(ordered), strict=True) if not raw or not gone.all()]
+        assert kept == sorted(left) and sum(x[1].startswith(t[:50]) for x in kept) == 1
+
+
+def test_op9_hot_anchors_are_split(spark):
+    rng = random.Random(8)
+    passage = " ".join(rng.choices(WORDS, k=40))
+    rows = [(i, " ".join(rng.choices(WORDS, k=rng.randint(0, 30))) + passage[rng.randrange(60) :] + " ".join(rng.choices(WORDS, k=rng.randint(0, 30)))) for i in range(50)]
+    rows += [rows[4], rows[4], (None, rows[5][1]), (None, rows[5][1] + "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted((str(r[0]), *r[1:]) for r in map(tuple, op9_suffix.removal_digests(docs, 3).collect())) == digest_rows(docs)
+    found = op9_suffix._identified(docs).select("doc", "tie", "text").mapInArrow(op9_suffix._find, op9_suffix._FOUND)
+    met = found.repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place").mapInArrow(op9_suffix._meet(3), op9_suffix._FOUND)
+    assert met.where("kind = 3").count() > 50
+
+
 # ---------------------------------------------------------------- 10
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import op6_mixing, op7_quality, op10_decontaminate
-from tests.llm.test_operators import WORDS, _least_edits, grams, texts
+from tests.llm.test_operators import WORDS, _least_edits, grams, in_order, removals, texts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, ranges string, doc long, tie long, cut string, matches string, score double"
 STAGES = dict(corpus_pipeline.STAGES)
@@ -72,19 +72,12 @@ def test_near_duplicates(spark, docs, folder):
 
 
 def test_repeated_strings(spark, docs, folder):
-    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    seen, wanted = set(), []
-    for i, text in sorted((r.doc_id, r.text or "") for r in own.collect()):
-        raw = text.encode()
-        gone = np.zeros(len(raw), bool)
-        for a in range(len(raw) - 99):
-            if raw[a : a + 100] in seen:
-                gone[a : a + 100] = True
-            seen.add(raw[a : a + 100])
+    wanted = []
+    for (i, _), (raw, gone) in zip(ordered := in_order(docs), removals(ordered), strict=True):
         left = bytes(np.frombuffer(raw, np.uint8)[~gone]).decode("utf-8", "ignore")
         if left or not raw:
-            wanted.append((i, left))
-    assert rows_of(STAGES["suffix-array dedup"](spark, own, folder[0])) == sorted(wanted)
+            wanted.append((-1 if i is None else i, left))
+    assert rows_of(STAGES["suffix-array dedup"](spark, docs, folder[0])) == sorted(wanted)
 
 
 def test_decontamination(spark, docs, folder):

@@ -14,12 +14,12 @@ that an anchor has, each with the bytes that such strings around it can reach (i
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mixed, pieces, prefix_hash, span_hash, unused, utf8, whole_groups, window_min, written
@@ -247,10 +247,17 @@ def _rows(kind: int, anchor, context, doc, tie, place, start, stop) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "anchor", "context", "doc", "tie", "place", "start", "stop"])
 
 
+def _once(anchor, context, doc, tie, place) -> np.ndarray:
+    """Of sorted rows, those that don't repeat the row before them: copies of a document have the same anchors, which count once."""
+    differs = [x[1:] != x[:-1] for x in (anchor, context, doc, tie, place)]
+    return np.concatenate([[True], np.logical_or.reduce(differs)])
+
+
 def _firsts(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Of equal contexts the first, as kind 0; the ranges of the others, as kind 1."""
     anchor, context, doc, tie, place, start, stop = (np.concatenate(c) for c in zip(*parts, strict=True))
     order = np.lexsort((place, tie, doc, context, anchor))
+    order = order[_once(*(c[order] for c in (anchor, context, doc, tie, place)))]
     again = np.concatenate([[False], (anchor[order][1:] == anchor[order][:-1]) & (context[order][1:] == context[order][:-1])])
     first, later = np.sort(order[~again]), order[again]  # in the order of documents, rows compress far better
     if len(first):
@@ -278,28 +285,34 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _firsts(parts)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(hot: int):
     """Rows sorted by anchor, context, document and place: ranges of repeated contexts (kind 1, those that come so
-    too), and the firsts of anchors that have several (kind 2; 3 if they are more than HOT)."""
-    for table in whole_groups(batches, ["anchor"]):
-        ranges = pc.equal(table["kind"], 1)
-        yield from table.filter(ranges).combine_chunks().to_batches()
-        table = table.filter(pc.invert(ranges))
-        if not table.num_rows:
-            continue
-        anchor, context, doc, tie, place, start, stop = (table[c].to_numpy() for c in ("anchor", "context", "doc", "tie", "place", "start", "stop"))
-        same = anchor[1:] == anchor[:-1]
-        again = np.concatenate([[False], same & (context[1:] == context[:-1])])
-        if again.any():
-            d, t, a, b = _ranges(doc[again], tie[again], start[again], stop[again])
-            none = np.zeros(len(d), np.int64)
-            yield _rows(1, none, none, d, t, none, a, b)
-        anchor, context, doc, tie, place, start, stop = (c[~again] for c in (anchor, context, doc, tie, place, start, stop))
-        first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
-        count = np.repeat(np.diff(np.concatenate([first, [len(anchor)]])), np.diff(np.concatenate([first, [len(anchor)]])))
-        for kind, use in ((2, (count > 1) & (count <= HOT)), (3, count > HOT)):
-            if use.any():
-                yield _rows(kind, *(c[use] for c in (anchor, context, doc, tie, place, start, stop)))
+    too), and the firsts of anchors that have several (kind 2; 3 if they are more than `hot`)."""
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ["anchor"]):
+            ranges = pc.equal(table["kind"], 1)
+            yield from table.filter(ranges).combine_chunks().to_batches()
+            table = table.filter(pc.invert(ranges))
+            if not table.num_rows:
+                continue
+            anchor, context, doc, tie, place, start, stop = (table[c].to_numpy() for c in ("anchor", "context", "doc", "tie", "place", "start", "stop"))
+            once = _once(anchor, context, doc, tie, place)
+            anchor, context, doc, tie, place, start, stop = (c[once] for c in (anchor, context, doc, tie, place, start, stop))
+            same = anchor[1:] == anchor[:-1]
+            again = np.concatenate([[False], same & (context[1:] == context[:-1])])
+            if again.any():
+                d, t, a, b = _ranges(doc[again], tie[again], start[again], stop[again])
+                none = np.zeros(len(d), np.int64)
+                yield _rows(1, none, none, d, t, none, a, b)
+            anchor, context, doc, tie, place, start, stop = (c[~again] for c in (anchor, context, doc, tie, place, start, stop))
+            first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]]))
+            count = np.repeat(np.diff(np.concatenate([first, [len(anchor)]])), np.diff(np.concatenate([first, [len(anchor)]])))
+            for kind, use in ((2, (count > 1) & (count <= hot)), (3, count > hot)):
+                if use.any():
+                    yield _rows(kind, *(c[use] for c in (anchor, context, doc, tie, place, start, stop)))
+
+    return meet
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,38 +417,33 @@ def _shards(table: pa.Table) -> Iterator[pa.RecordBatch]:
 # ---------------------------------------------------------------- documents
 
 
-def _apply(finish: Callable):
-    """Each document's row (kind 0) is followed by its ranges (kind 1); finish() makes the result of one document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, ["doc", "tie"]):
-            kind, doc, tie = (table[c].to_numpy() for c in ("kind", "doc", "tie"))
-            start, stop = table["start"].fill_null(0).to_numpy(), table["stop"].fill_null(0).to_numpy()
-            is_range = kind == 1
-            d, t, a, b = _ranges(doc[is_range], tie[is_range], start[is_range].astype(np.int64), stop[is_range].astype(np.int64))
-            at = np.flatnonzero(~is_range)
-            ids = list(zip(d.tolist(), t.tolist(), strict=True))
-            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for key, x, y in zip(ids, a.tolist(), b.tolist(), strict=True):
-                found.setdefault(key, []).append((x, y))
-            rows = table.take(pa.array(at))
-            yield finish(rows, [found.get((int(x), int(y)), []) for x, y in zip(doc[at], tie[at], strict=True)])
-
-    return run
-
-
-def _digests(rows: pa.Table, ranges: list[list[tuple[int, int]]]) -> pa.RecordBatch:
-    out = []
-    for doc_id, text, own in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist(), ranges, strict=True):
-        raw, at, kept = (text or "").encode(), 0, hashlib.sha256()
-        for a, b in own:
-            kept.update(raw[at:a])
-            at = b
-        kept.update(raw[at:])
-        out.append((doc_id, len(raw), sum(b - a for a, b in own), len(own), kept.hexdigest()))
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranges of a document (kind 0) are followed by its row (kind 1), and that by rows alike, which lose all that strings of LENGTH bytes cover.
+    Rows go as they come: however many copies a document has, none is held."""
+    own, spans, first = None, [], True
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    kinds = [pa.int64()] * 4 + [pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], names)
+    for batch in batches:
+        kind, doc, tie, start, stop = (batch[c].to_pylist() for c in ("kind", "doc", "tie", "start", "stop"))
+        out = []
+        for i in range(batch.num_rows):
+            if own != (doc[i], tie[i]):
+                own, spans, first = (doc[i], tie[i]), [], True
+            if kind[i] == 0:
+                if spans and start[i] <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], stop[i])
+                else:
+                    spans.append([start[i], stop[i]])
+                continue
+            raw = (batch["text"][i].as_py() or "").encode()
+            gone = spans if first else [[0, len(raw)]] if len(raw) >= LENGTH else []
+            first, at, kept = False, 0, hashlib.sha256()
+            for a, b in gone:
+                kept.update(raw[at:a])
+                at = b
+            kept.update(raw[at:])
+            out.append((batch["doc_id"][i].as_py(), len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], names)
 
 
 def _trimmed(rows: pa.Table, ranges: list[list[tuple[int, int]]]) -> pa.Array:
@@ -460,11 +468,11 @@ def _identified(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc": F.coalesce("doc_id", F.lit(_LAST)), "tie": F.xxhash64(F.coalesce("text", F.lit("")))})
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, tie, start, stop): byte ranges of repeated strings. doc is doc_id, the largest long for a null; tie
-    is a hash of the text, which tells rows of one doc_id apart."""
+    is a hash of the text, which tells rows of one doc_id apart; of rows alike in both, the ranges are those of the first."""
     text = _identified(docs.select("doc_id", "text")).select("doc", "tie", "text")
-    meet = text.mapInArrow(_find, _FOUND).repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place").mapInArrow(_meet, _FOUND)
+    meet = text.mapInArrow(_find, _FOUND).repartition("anchor").sortWithinPartitions("anchor", "context", "doc", "tie", "place").mapInArrow(_meet(hot), _FOUND)
     meet = written(meet, "contexts")
     wanted = meet.where("kind >= 2").select("kind", "anchor", "doc", "tie", "place", "start", "stop", F.lit(None).cast("string").alias("text"))
     source = text.select(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("anchor"), "doc", "tie", *(F.lit(0).alias(c) for c in ("place", "start", "stop")), "text")
@@ -473,28 +481,25 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return meet.where("kind = 1").unionByName(ranges).select("doc", "tie", "start", "stop")
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
-    ranges = repeated_ranges(docs)
-    base = _identified(docs).select(F.lit(0).alias("kind"), "doc", "tie", F.lit(0).alias("start"), F.lit(0).alias("stop"), "doc_id", "text")
-    empty = [F.lit(None).cast(t).alias(c) for c, t in docs.select("doc_id", "text").dtypes]
-    both = base.unionByName(ranges.select(F.lit(1).alias("kind"), "doc", "tie", "start", "stop", *empty))
-    return both.repartition("doc", "tie").sortWithinPartitions("doc", "tie", "kind")
-
-
-def removal_digests(docs: DataFrame) -> DataFrame:
+def removal_digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row.
 
-    A null text is empty and loses nothing, as does any text under LENGTH bytes. Rows of one doc_id come in the
-    order of a hash of their texts; rows alike in both are one document, with the same result each. A null
-    doc_id comes after all others. Other columns aren't read; an empty table gives no rows.
+    A null text is empty and loses nothing, as does any text under LENGTH bytes. Rows of one doc_id come in the order of a hash of their texts, and
+    rows alike in both one after another: the first keeps what no earlier document has, the others start later and lose
+    everything from LENGTH bytes on. `hot`: contexts of one anchor from which on they are split. A null doc_id comes after all others. Other columns aren't read; an empty table gives no rows.
     """
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return _with_ranges(docs.withColumn("doc_id", F.col("doc_id").cast("long"))).mapInArrow(_apply(_digests), schema)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = _identified(docs).select(F.lit(1).alias("kind"), "doc", "tie", F.lit(0).alias("start"), F.lit(0).alias("stop"), "doc_id", "text")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in docs.select("doc_id", "text").dtypes]
+    both = rows.unionByName(repeated_ranges(docs, hot).select(F.lit(0).alias("kind"), "doc", "tie", "start", "stop", *empty))
+    dealt = both.repartition("doc", "tie").sortWithinPartitions("doc", "tie", "kind", "start")
+    return dealt.mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """The rows of docs, all their columns, with repeated strings cut from text. A row that loses its whole text goes."""
-    own_ranges, doc, tie, cut_text = unused(docs, "ranges", "doc", "tie", "cut")
+    """The rows of docs, all their columns, with repeated strings cut from text. A row that loses its whole text goes; of rows alike in id and text, with
+    LENGTH bytes or more, so do all but one. Shorter texts stay as they are."""
+    own_ranges, doc, tie, cut_text, copy = unused(docs, "ranges", "doc", "tie", "cut", "copy")
     ranges = repeated_ranges(docs.select("doc_id", "text")).groupBy("doc", "tie").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias(own_ranges))
     named = docs.withColumns({doc: F.coalesce("doc_id", F.lit(_LAST)), tie: F.xxhash64(F.coalesce("text", F.lit("")))})
     joined = named.join(ranges.withColumnsRenamed({"doc": doc, "tie": tie}), [doc, tie], "left")
@@ -513,6 +518,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield _trimmed(pa.table({"text": text}), merged)
 
     cut = F.arrow_udf(trim, "string").asNondeterministic()("text", own_ranges)
+    again = F.row_number().over(Window.partitionBy(doc, tie).orderBy(F.lit(0))) > 1  # dealt and sorted like that by the join
+    joined = joined.withColumn(copy, again).where(~F.col(copy) | (F.octet_length(F.coalesce("text", F.lit(""))) < LENGTH))
     done = joined.withColumn(cut_text, cut).where(F.col(own_ranges).isNull() | (F.col(cut_text) != ""))
     done = done.withColumn("text", F.col(cut_text))
     if "n_chars" in docs.columns:
