@@ -9,7 +9,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir
@@ -148,27 +148,30 @@ def _plain(data: bytes) -> bytes:
     return b"".join(parts) if parts else data
 
 
-def _record_id(page: str, digest: str):
-    """A UUID of version 8 that holds the page's number and a part of the digest; of version 5 without a number."""
-    p, d = F.lpad(F.lower(F.hex(page)), 16, "0"), F.col(digest)
+def _record_id(page: Column, url: Column, date: Column, digest: Column) -> Column:
+    """A UUID of version 8 that holds the page's number and a part of the digest; of a record without a number one of version 5, from its URL, date and digest."""
     cut = lambda c, i, n: F.substring(c, i, n)
+    p, d = F.lpad(F.lower(F.hex(page)), 16, "0"), digest
     numbered = F.concat(cut(p, 1, 8), F.lit("-"), cut(p, 9, 4), F.lit("-8"), cut(p, 13, 3), F.lit("-8"), cut(p, 16, 1), cut(d, 1, 2), F.lit("-"), cut(d, 3, 12))
-    other = F.concat(cut(d, 1, 8), F.lit("-"), cut(d, 9, 4), F.lit("-5"), cut(d, 13, 3), F.lit("-8"), cut(d, 16, 3), F.lit("-"), cut(d, 19, 12))
-    return F.concat(F.lit("<urn:uuid:"), F.when(F.col(page).isNotNull(), numbered).otherwise(other), F.lit(">"))
+    n = F.sha2(F.concat_ws("\n", F.coalesce(url, F.lit("")), F.coalesce(date, F.lit("")), d), 256)
+    other = F.concat(cut(n, 1, 8), F.lit("-"), cut(n, 9, 4), F.lit("-5"), cut(n, 13, 3), F.lit("-8"), cut(n, 16, 3), F.lit("-"), cut(n, 19, 12))
+    return F.concat(F.lit("<urn:uuid:"), F.when(page.isNotNull(), numbered).otherwise(other), F.lit(">"))
 
 
 def warc_records(records: DataFrame) -> DataFrame:
     """Columns `head` and `block`, the bytes of one WARC record for each row of RECORD.
 
     Of responses with one payload digest and REVISIT_BYTES or more, those of the smallest page_id are responses, the others
-    revisits that refer to it. Equal rows are one record to WARC and share its identifier. The digest's group is a minimum, summed
-    before it is shuffled; the join back is one that Spark splits where many rows share a payload.
+    revisits that refer to it. Records of archives have no page_id: they come after all that have one, by date and URL, and are told by these. Equal rows
+    are one record to WARC and share its identifier. The digest's group is a minimum, summed before it is shuffled; the join back is one
+    that Spark splits where many rows share a payload.
     """
     named = records.withColumns({"digest": F.sha2("payload", 256), "size": F.octet_length("payload")})
-    firsts = named.where((F.col("kind") == "response") & (F.col("size") >= REVISIT_BYTES)).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    named = named.withColumn("own", F.struct(F.col("page_id").isNull().alias("unnumbered"), "page_id", F.when(F.col("page_id").isNull(), F.col("date")).alias("date"), F.when(F.col("page_id").isNull(), F.col("url")).alias("url")))
+    firsts = named.where((F.col("kind") == "response") & (F.col("size") >= REVISIT_BYTES)).groupBy("digest").agg(F.min("own").alias("first"), F.count("*").alias("n"))
     known = named.join(firsts.where("n > 1").select("digest", "first"), "digest", "left")
-    again = F.coalesce((F.col("kind") == "response") & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.lit(False))
-    known = known.withColumns({"again": again, "id": _record_id("page_id", "digest")})
+    again = F.coalesce((F.col("kind") == "response") & F.col("first").isNotNull() & ~F.col("own").eqNullSafe(F.col("first")), F.lit(False))
+    known = known.withColumns({"again": again, "id": _record_id(F.col("page_id"), F.col("url"), F.col("date"), F.col("digest"))})
     block = F.when(F.col("again"), F.col("head")).otherwise(F.concat("head", "payload"))
     when = F.concat(*(F.substring("date", i, n) if isinstance(i, int) else F.lit(i) for i, n in ((1, 4), ("-", 0), (5, 2), ("-", 0), (7, 2), ("T", 0), (9, 2), (":", 0), (11, 2), (":", 0), (13, 2), ("Z", 0))))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -178,7 +181,7 @@ def warc_records(records: DataFrame) -> DataFrame:
         F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(F.col("again"), "revisit").otherwise(F.col("kind"))), line("WARC-Record-ID", F.col("id")), line("WARC-Date", when),
         F.when(info, line("WARC-Filename", F.substring_index("url", "/", -1))).otherwise(F.concat(line("WARC-Target-URI", F.col("url")), line("WARC-IP-Address", F.col("ip")))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")), line("X-Payload-Bytes", F.col("size").cast("string")),
-        F.when(F.col("again"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id("first", "digest")))).otherwise(""),
+        F.when(F.col("again"), F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("first.page_id"), F.col("first.url"), F.col("first.date"), F.col("digest"))))).otherwise(""),
         line("Content-Type", kind), line("Content-Length", F.octet_length("block").cast("string")), F.lit("\r\n"),
     )
     return known.withColumn("block", block).select(head.alias("head"), "block")
@@ -263,7 +266,7 @@ def archive_pages(pages: DataFrame) -> DataFrame:
     """Pages (page_id, url, html) as ARC records, converted and written as WARC files, and read back.
 
     A null html is an empty payload, a null url `unknown:`; white space in a url is percent-coded. A row without
-    page_id is a record too, never what others refer to if one with an id has its payload. Repeated rows are records
+    page_id is a record too, never what others refer to if one with an id has its payload; of several alike without any, the first by URL is the response. Repeated rows are records
     each; those that share the smallest id are all responses. The segments' version blocks become warcinfo records, which aren't returned. An empty table gives no rows; other columns aren't read.
     """
     spark = pages.sparkSession
