@@ -95,9 +95,32 @@ def test_decontamination(spark, docs, folder):
 
 
 def test_mixing_takes_what_the_plan_takes(spark, docs, folder):
-    out = STAGES["mixing sources to target weights"](spark, docs, folder[0])
-    taken = {r.doc_id: (r.epochs, r.tokens_taken) for r in op6_mixing.mix(docs.dropDuplicates(["doc_id", "text"])).collect()}
-    assert out.count() > 0 and {r.doc_id for r in out.collect()} <= {*taken, None, *range(100)}
+    own = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    plan = {r.doc_id: r for r in op6_mixing.mix(own).collect()}
+    texts_ = {r.doc_id: r.text for r in own.collect()}
+    got = STAGES["mixing sources to target weights"](spark, own, folder[0]).collect()
+    assert {r.doc_id for r in got} == set(plan)
+    total, cut = 0, 0
+    for r in got:
+        p, whole = plan[r.doc_id], texts_[r.doc_id]
+        words = whole.split()
+        assert (r.mix_epochs, r.mix_tokens) == (p.epochs, p.tokens_taken)
+        if p.epochs or p.tokens_taken == p.n_tokens:
+            assert r.text == whole
+        else:
+            assert whole.startswith(r.text) and r.text.split() == words[: p.tokens_taken] and r.n_chars == len(r.text)
+            cut += 1
+        total += len(r.text.split()) * max(1, p.epochs)
+    assert cut and total <= sum(p.tokens_taken for p in plan.values()) <= op6_mixing.SHARE * sum(len((t or "").split()) for t in texts_.values())
+
+
+def test_mixing_with_copies_and_clashing_columns(spark):
+    rows = [(i // 2, f"\t a{i}  b\n" * 30, "en", f"s{i % 4}", 7, 1, "x") for i in range(40)] + [(None, "null id " * 9, None, None, 1, 1, "x")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, mix_tokens int, mix_epochs int, cut string")
+    got = op6_mixing.mixed_documents(docs).collect()
+    taken = op6_mixing.mix(docs).collect()
+    assert {r.doc_id for r in got} == {r.doc_id for r in taken} and all(r.cut == "x" for r in got)
+    assert sum(len(r.text.split()) for r in got if not r.mix_epochs) <= sum(r.tokens_taken for r in taken if not r.epochs) + len(got)
 
 
 def test_run_on_the_smallest_tables(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import written, unused
 
 #: Target weights of children against their siblings; children that aren't named weigh 1.
 DOMAINS = {"d0": 4.0, "d1": 3.0, "d2": 2.0, "d3": 1.0}
@@ -97,12 +97,29 @@ def mix(docs: DataFrame, share: float = SHARE, epochs: int = EPOCHS, seed: str =
     return taken.select("doc_id", *tree, "n_tokens", "epochs", "tokens_taken")
 
 
+def first_tokens(text: Column, count: Column) -> Column:
+    """The text up to the end of so many of its tokens, what lies between them as it is."""
+    space = WORD.replace("[^", "[").rstrip("+")
+    parts = F.split(text, f"(?<={space})(?={WORD.rstrip('+')})")  # each token with the white space after it
+    lead = F.when(text.rlike(f"^{space}"), 1).otherwise(0)
+    return F.regexp_replace(F.array_join(F.slice(parts, F.lit(1), (count + lead).cast("int")), ""), f"{space}+$", "")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, with mix_epochs and mix_tokens: its whole epochs and all its tokens.
-    Rows of one doc_id share what the mix takes of them, each its average."""
+
+    A text that is taken in part alone, the last of its leaf, ends with the last token that is taken, and n_chars, if there is such a column, is its length
+    then; others are whole. Rows of one doc_id share what the mix takes of them, each its average. Columns of docs named mix_epochs or mix_tokens are replaced."""
     taken = mix(docs, **options).groupBy("doc_id").agg(F.avg("epochs").cast("long").alias("mix_epochs"), F.avg("tokens_taken").cast("long").alias("mix_tokens"))
     names = [c for c in docs.columns if c not in ("mix_epochs", "mix_tokens")]
-    return docs.select(*names).alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", "mix_epochs", "mix_tokens")
+    joined = docs.select(*names).alias("d").join(taken.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id"))).select("d.*", "mix_epochs", "mix_tokens")
+    part = (F.col("mix_epochs") == 0) & (F.col("mix_tokens") < F.regexp_count("text", F.lit(WORD)))
+    (cut,) = unused(joined, "cut")
+    joined = joined.withColumn(cut, F.coalesce(part, F.lit(False)))
+    changed = {"text": F.when(F.col(cut), first_tokens(F.col("text"), F.col("mix_tokens"))).otherwise(F.col("text"))}
+    if "n_chars" in names:
+        changed["n_chars"] = F.when(F.col(cut), F.length(changed["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return joined.withColumns(changed).select(*names, "mix_epochs", "mix_tokens")
 
 
 def _case(name: str, given: dict[str, float]) -> str:
