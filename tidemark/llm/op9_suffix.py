@@ -49,9 +49,15 @@ def _types(t: np.ndarray) -> np.ndarray:
     return up
 
 
+def _ordered(symbols: np.ndarray) -> np.ndarray:
+    """A stable order of symbols; numpy sorts those of 16 bits by counting."""
+    few = len(symbols) and symbols.max() < 1 << 16
+    return np.argsort(symbols.astype(np.uint16) if few else symbols, kind="stable")
+
+
 def _put(sa: np.ndarray, at: np.ndarray, to: np.ndarray, what: np.ndarray, way: int) -> None:
     """Add positions to their buckets in order, from the bucket's head (way 1) or its tail (way -1)."""
-    order = np.argsort(to, kind="stable")
+    order = _ordered(to)
     to, what = to[order], what[order]
     first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
     count = np.diff(np.concatenate([first, [len(to)]]))
@@ -112,11 +118,11 @@ def _induce(t: np.ndarray, up: np.ndarray, seeds: np.ndarray, size: int) -> np.n
 def _by_doubling(t: np.ndarray) -> np.ndarray:
     """Suffixes by ranks of twice as many symbols each round, for reduced strings of large alphabets."""
     n, step = len(t), 1
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
+    rank = t.astype(np.int64)
     while True:
         key = rank * (n + 1)
         key[: n - step] += rank[step:] + 1
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)  # in any order of equal keys, which have one rank
         new = np.concatenate([[0], np.cumsum(key[sa][1:] != key[sa][:-1])])
         rank[sa] = new
         if new[-1] == n - 1 or step >= n:
@@ -138,7 +144,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     up = _types(t)
     small = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     if len(small) > 1:
-        order = _induce(t, up, small[np.argsort(t[small], kind="stable")], size)
+        order = _induce(t, up, small[_ordered(t[small])], size)
         leftmost = np.zeros(n, bool)
         leftmost[small] = True
         order = order[leftmost[order]]
