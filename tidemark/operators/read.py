@@ -149,6 +149,37 @@ def stock_detail(consensus: DataFrame, flows: DataFrame) -> DataFrame:
     return full.join(flows.select("security_id", "period", "bought", "sold", "buyers", "sellers"), ["security_id", "period"], "left")
 
 
+def price_series(prices: DataFrame) -> DataFrame:
+    """Each security's quarters from its first to its last with a price, those without one included."""
+    known = prices.where("price is not null")
+    ends = known.groupBy("security_id").agg(F.min("period").alias("a"), F.max("period").alias("b"))
+    axis = ends.select("security_id", F.explode(quarters_between(F.col("a"), F.col("b"))).alias("period"))
+    return axis.join(known.select("security_id", "period", "price", "confidence"), ["security_id", "period"], "left")
+
+
+def ownership_series(snapshot: DataFrame, published: DataFrame, top: int = 5) -> DataFrame:
+    """security_id, period, holder, shares, value_usd of every quarter from the first in which a security was held to the last: a row for each of the holders
+    that were largest when it was last held, and one without a holder for all others together.
+
+    A holder that published nothing for the quarter has nulls, one that published without the security zeros; a quarter that nobody held the security in has nulls for the others.
+    """
+    totals = snapshot.groupBy("security_id", "period").agg(F.sum("shares").alias("all_shares"), F.sum("value_usd").alias("all_value"))
+    ends = totals.groupBy("security_id").agg(F.min("period").alias("a"), F.max("period").alias("b"))
+    axis = ends.select("security_id", F.explode(quarters_between(F.col("a"), F.col("b"))).alias("period"))
+    place = F.row_number().over(Window.partitionBy("security_id").orderBy(F.col("value_usd").desc(), "filer_id"))
+    last = snapshot.join(ends.select("security_id", F.col("b").alias("period")), ["security_id", "period"], "left_semi").withColumn("place", place).where(F.col("place") <= top)
+    grid = axis.join(last.select("security_id", F.col("filer_id").alias("holder")), "security_id")
+    held = snapshot.select("security_id", "period", F.col("filer_id").alias("holder"), "shares", "value_usd")
+    said = published.select(F.col("filer_id").alias("holder"), "period", F.lit(True).alias("said")).distinct()
+    named = grid.join(held, ["security_id", "period", "holder"], "left").join(said, ["holder", "period"], "left")
+    zero = lambda c: F.coalesce(c, F.when(F.col("said"), F.lit(0)))
+    named = named.select("security_id", "period", "holder", zero("shares").alias("shares"), zero("value_usd").alias("value_usd"))
+    sums = named.groupBy("security_id", "period").agg(F.coalesce(F.sum("shares"), F.lit(0)).alias("s"), F.coalesce(F.sum("value_usd"), F.lit(0)).alias("v"))
+    others = axis.join(totals, ["security_id", "period"], "left").join(sums, ["security_id", "period"], "left")
+    others = others.select("security_id", "period", F.lit(None).cast("long").alias("holder"), (F.col("all_shares") - F.coalesce("s", F.lit(0))).alias("shares"), (F.col("all_value") - F.coalesce("v", F.lit(0))).alias("value_usd"))
+    return named.unionByName(others)
+
+
 def ownership_history(snapshot: DataFrame, top: int = 5) -> DataFrame:
     """Shares by quarter of the holders that were largest when each security was last held, and of all others together."""
     last = snapshot.groupBy("security_id").agg(F.max("period").alias("period"))

@@ -284,3 +284,9 @@ def exported(rows: DataFrame, filing: DataFrame, source: str = "source_filing_id
     """Rows for an export: every column, and where each comes from: accession number, when filed, and whether it was an amendment."""
     about = filing.select(F.col("filing_id").alias(source), "accession_no", F.to_date("filed_at").alias("filed_on"), F.upper("form_type").endswith("/A").alias("amended"))
     return rows.join(about, source, "left")
+
+
+def with_source(rows: DataFrame, winning: DataFrame) -> DataFrame:
+    """Rows of a filer's period with `source_filing_id`, the filing filed last of those that count for it."""
+    last = winning.groupBy("filer_id", "period").agg(F.max(F.struct("filed_at", "filing_id"))["filing_id"].alias("source_filing_id"))
+    return rows.join(last, ["filer_id", "period"], "left")

@@ -131,6 +131,12 @@ add(
 add("str09_daily_counts", "day:d event_type:s events:l value:f", "SELECT ts::DATE AS day, event_type, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY 1, 2")(
     lambda t: batches.daily_counts(t.domain.table("events"), "ts").withColumn("value", F.round("value", 4))
 )
+for _every, _last in (("day", "first_day"), ("week", "first_day + 6"), ("month", "last_day(first_day)")):
+    add(
+        f"str09_{_every}_series", "first_day:d last_day:d events:l active:l partial:b",
+        f"""SELECT first_day, {_last} AS last_day, count(e.event_id) AS events, count(DISTINCT user_id) AS active, {_last} >= DATE '2024-01-29' OR count(DISTINCT d.day) < {_last} - first_day + 1 AS partial
+          FROM (SELECT day, date_trunc('{_every}', day)::DATE AS first_day FROM (SELECT unnest(generate_series((SELECT min(ts)::DATE FROM events), DATE '2024-01-29', INTERVAL 1 DAY))::DATE AS day)) d LEFT JOIN events e ON e.ts::DATE = d.day GROUP BY first_day""",
+    )(lambda t, every=_every: batches.activity_series(t.domain.table("events"), "ts", "user_id", every, "2024-01-29"))
 add(
     "str07_over_limit", "event_id:l in_window:l",
     "SELECT * FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) AS in_window FROM events) WHERE in_window > 2",

@@ -152,6 +152,21 @@ add(
     """SELECT s.security_id, s.period, f.filer_id AS holder, sum(shares) AS shares, sum(value_usd) AS value_usd, count(*) AS holders FROM snapshot s LEFT JOIN
       (SELECT security_id, filer_id FROM (SELECT *, max(period) OVER (PARTITION BY security_id) AS last FROM snapshot) WHERE period = last QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY value_usd DESC, filer_id) <= 5) f USING (security_id, filer_id) GROUP BY 1, 2, 3""",
 )(lambda t: read.ownership_history(t.snapshot))
+add(
+    "drv23_price_series", "security_id:l period:d price:f confidence:s",
+    """SELECT a.security_id, a.period, price, confidence FROM (SELECT security_id, last_day(unnest(generate_series(date_trunc('month', min(period)), date_trunc('month', max(period)), INTERVAL 3 MONTH))::DATE) AS period FROM price WHERE price IS NOT NULL GROUP BY 1) a
+      LEFT JOIN (SELECT * FROM price WHERE price IS NOT NULL) USING (security_id, period)""",
+)(lambda t: read.price_series(t.prices))
+add(
+    "drv23_ownership_series", "security_id:l period:d holder:l shares:f value_usd:f",
+    """SELECT n.security_id, n.period, holder, CASE WHEN s.shares IS NOT NULL THEN s.shares WHEN p.filer_id IS NOT NULL THEN 0 END AS shares, CASE WHEN s.shares IS NOT NULL THEN s.value_usd WHEN p.filer_id IS NOT NULL THEN 0 END AS value_usd
+      FROM grid n LEFT JOIN snapshot s ON s.security_id = n.security_id AND s.period = n.period AND s.filer_id = holder LEFT JOIN filer_period p ON p.filer_id = holder AND p.period = n.period
+      UNION ALL SELECT a.security_id, a.period, NULL, sum(s.shares) - coalesce(sum(s.shares) FILTER (l.holder IS NOT NULL), 0), sum(s.value_usd) - coalesce(sum(s.value_usd) FILTER (l.holder IS NOT NULL), 0)
+      FROM axis a LEFT JOIN snapshot s USING (security_id, period) LEFT JOIN largest l ON l.security_id = s.security_id AND l.holder = s.filer_id GROUP BY 1, 2""",
+    axis="SELECT security_id, last_day(unnest(generate_series(date_trunc('month', min(period)), date_trunc('month', max(period)), INTERVAL 3 MONTH))::DATE) AS period FROM snapshot GROUP BY 1",
+    largest="SELECT security_id, filer_id AS holder FROM (SELECT *, max(period) OVER (PARTITION BY security_id) AS last FROM snapshot) WHERE period = last QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY value_usd DESC, filer_id) <= 5",
+    grid="SELECT * FROM axis JOIN largest USING (security_id)",
+)(lambda t: read.ownership_series(t.snapshot, t.published))
 add("drv21_first_held", "security_id:l filer_id:l first_held:d", "SELECT security_id, filer_id, min(period) AS first_held FROM snapshot GROUP BY 1, 2")(lambda t: t.snapshot.groupBy("security_id", "filer_id").agg(F.min("period").alias("first_held")))
 add(
     "qry24_period_coverage", "period:d reported:l tracked:l complete:b",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,10 @@ BUILDERS: dict[str, Callable] = {
 }
 
 
+#: Tables that can be built side by side, each row of them after the one before.
+LEVELS = [["snapshot", "episodes"], ["published", "prices", "consensus", "best"], ["verdicts"], ["change"], ["flows", "summary"], ["year", "feed"]]
+
+
 class Derived:
     """Derived tables by name: a stored one is written when it is first read. fresh() builds one anew from stored ones."""
 
@@ -43,8 +48,9 @@ class Derived:
 
     def refresh(self) -> None:
         """All stored tables anew, in order."""
-        for name in BUILDERS:
-            self.store.refresh(name, lambda name=name: BUILDERS[name](self))
+        for level in LEVELS:  # one thread for each, so that a table's small last tasks don't leave the cluster idle
+            with ThreadPoolExecutor(len(level)) as pool:
+                list(pool.map(lambda name: self.store.refresh(name, lambda: BUILDERS[name](self)), level))
 
     @property
     def filing(self) -> DataFrame:

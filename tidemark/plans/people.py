@@ -63,7 +63,7 @@ add(
 #: Line items as venue listings of parts (CUSIPs), and as entries of quarterly lists.
 _MATCHES = """SELECT lpad(CAST(l_partkey AS STRING), 9, '0') AS cusip, l_orderkey * 10 + l_linenumber AS place, CASE WHEN l_linenumber = 3 THEN 'Corp' ELSE 'Equity' END AS market_sector,
   CASE WHEN l_suppkey % 5 = 0 THEN 'US' WHEN l_suppkey % 5 < 3 THEN 'UN' ELSE 'GR' END AS exchange_code, CASE WHEN l_orderkey % 11 = 0 THEN 'XABCX' WHEN l_orderkey % 6 = 0 THEN concat('T', l_partkey % 100, '/B') ELSE concat('t', l_partkey % 100) END AS ticker,
-  concat('F', l_orderkey) AS figi, CASE WHEN l_suppkey % 2 = 0 THEN concat('C', l_orderkey) END AS composite_figi, CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE concat('Name ', l_partkey) END AS name FROM lineitem WHERE l_partkey % 3 = 0"""
+  concat('F', l_orderkey) AS figi, CASE WHEN l_suppkey % 2 = 0 THEN concat('C', l_orderkey) END AS composite_figi, CASE WHEN l_linenumber % 2 = 0 THEN ' ' ELSE concat('Name ', l_partkey) END AS name FROM lineitem"""
 _LISTS = """SELECT DISTINCT lpad(CAST(l_suppkey % 60 + 1 AS STRING), 9, '0') AS cusip, last_day(CAST(concat(year(l_shipdate), '-', lpad(CAST(quarter(l_shipdate) * 3 AS STRING), 2, '0'), '-01') AS DATE)) AS period,
   CASE WHEN (l_suppkey % 60 + year(l_shipdate) + quarter(l_shipdate)) % 9 < 3 THEN 'deleted' WHEN (l_suppkey + year(l_shipdate)) % 5 = 0 THEN 'added' ELSE 'listed' END AS status, concat('Issuer ', l_suppkey % 60) AS issuer_name
   FROM lineitem WHERE year(l_shipdate) < 2001 - l_suppkey % 4"""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import asset_key
-from ..operators import clusters, service
+from ..operators import clusters, read, service
+from ..operators.price import SPLIT_SQL as SPLITS
 from ..sources import sinks
 from .capitol import SQL as CAPITOL
 from .capitol import _table as congress_table
@@ -17,7 +18,6 @@ from .capitol import _trade
 from .catalog import PERIOD, add
 from .derived import BUILDERS, Derived
 from .people import _LISTS, _MATCHES, _duck, _lineitem
-from ..operators.price import SPLIT_SQL as SPLITS
 
 # ---------------------------------------------------------------- runs
 
@@ -130,14 +130,14 @@ add(
 
 def _unresolved(t: Derived) -> DataFrame:
     part = t.domain.table("part").select("p_partkey", "p_name", "p_type")
-    lines = t.domain.table("lineitem").where("l_partkey % 4 = 0").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    lines = t.domain.table("lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     key = asset_key(F.substring("p_type", 1, 2), F.lit(None).cast("string"), F.col("p_name"))
     return lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), key.alias("key"), F.col("l_extendedprice").cast("decimal(14,2)").alias("dollars"))
 
 
 add(
     "ops03_review_queue", "key:s lines:l dollars:f example:l",
-    """SELECT * FROM (SELECT upper(substr(p_type, 1, 2)) || '||' || p_name AS key, count(*) AS lines, sum(l_extendedprice::DECIMAL(14,2)) AS dollars, min(l_orderkey * 10 + l_linenumber) AS example FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_partkey % 4 = 0
+    """SELECT * FROM (SELECT upper(substr(p_type, 1, 2)) || '||' || p_name AS key, count(*) AS lines, sum(l_extendedprice::DECIMAL(14,2)) AS dollars, min(l_orderkey * 10 + l_linenumber) AS example FROM lineitem JOIN part ON l_partkey = p_partkey
       GROUP BY 1 ORDER BY lines DESC, dollars DESC, key LIMIT 25 OFFSET 10)""",
 )(lambda t: service.review_queue(_unresolved(t), 25, 10))
 
@@ -221,6 +221,27 @@ add(
        UNION ALL SELECT 'stock', security_id, ticker, figure FROM security LEFT JOIN (SELECT security_id, arg_max(total_value, period)::DOUBLE AS figure FROM consensus GROUP BY 1) USING (security_id)
        UNION ALL SELECT 'insider', insider_id, transaction_date::VARCHAR, value_usd::DOUBLE FROM insider_line QUALIFY row_number() OVER (PARTITION BY insider_id ORDER BY transaction_date DESC, id DESC, value_usd DESC) = 1) x ON x.kind = i.kind AND x.target = i.target""",
 )(lambda t: service.watched(t.spark.createDataFrame([(1, *f) for f in [*_FOLLOWED, ("stock", 999)]], "user_id long, kind string, target long"), t.filer, t.summary, t.security, t.consensus, t.lines))
+_SOURCE = "SELECT filer_id, period, max(filing_id) AS source_filing_id FROM filing WHERE parse_status = 'ok' GROUP BY 1, 2"
+_ABOUT = "lpad(source_filing_id::VARCHAR, 20, '0') AS accession_no, filed_at::DATE AS filed_on, false AS amended"
+add(
+    "qry30_export_activity", "filer_id:l period:d security_id:l action:s traded_usd:f accession_no:s filed_on:d amended:b",
+    f"SELECT c.*, round(traded, 2) AS traded_usd, {_ABOUT} FROM flowing c JOIN source USING (filer_id, period) JOIN filing f ON f.filing_id = source_filing_id WHERE c.period = DATE '{PERIOD}' AND action <> 'hold'", source=_SOURCE,
+)(lambda t: service.exported(service.with_source(read.activity(t.change, PERIOD, PERIOD), t.winning), t.filing))
+add(
+    "qry30_export_owners", "filer_id:l security_id:l shares:f value_usd:f action:s name:s accession_no:s filed_on:d amended:b",
+    f"SELECT s.filer_id, s.security_id, s.shares, s.value_usd, action, name, {_ABOUT} FROM snapshot s LEFT JOIN change c USING (filer_id, security_id, period) JOIN filer USING (filer_id) JOIN source ON source.filer_id = s.filer_id AND source.period = s.period JOIN filing f ON f.filing_id = source.source_filing_id WHERE s.period = DATE '{PERIOD}'".replace("lpad(source_filing_id", "lpad(source.source_filing_id"),
+    source=_SOURCE,
+)(lambda t: service.exported(service.with_source(read.stock_owners(t.snapshot, t.change, t.filer, PERIOD).withColumn("period", F.lit(PERIOD).cast("date")), t.winning), t.filing))
+add(
+    "qry30_export_flows", "period:d security_id:l bought:f sold:f net:f buyers:l sellers:l ticker:s name:s cusip:s",
+    f"SELECT f.*, ticker, name, cusip FROM flows f LEFT JOIN security USING (security_id) WHERE period = DATE '{PERIOD}'",
+)(lambda t: t.flows.where(F.col("period") == F.lit(PERIOD).cast("date")).join(t.security.select("security_id", "ticker", "name", "cusip"), "security_id", "left"))
+add(
+    "qry30_export_insiders", "id:l transaction_date:d insider_id:l transaction_code:s value_usd:f accession_no:s filed_on:d amended:b",
+    "SELECT *, lpad(filing_id::VARCHAR, 20, '0') AS accession_no, filed_at::DATE AS filed_on, filing_id % 8 = 0 AS amended FROM insider_line WHERE transaction_code IN ('P', 'S')",
+)(
+    lambda t: service.exported(read.insider_feed(t.lines).drop("filed_at"), t.lines.select("filing_id", F.lpad(F.col("filing_id").cast("string"), 20, "0").alias("accession_no"), "filed_at", F.when(F.col("filing_id") % 8 == 0, "4/A").otherwise("4").alias("form_type")), "filing_id")
+)
 add(
     "qry30_export_portfolio", "filer_id:l period:d security_id:l shares:f value_usd:f weight_pct:f accession_no:s filed_on:d amended:b",
     f"SELECT s.*, lpad(source_filing_id::VARCHAR, 20, '0') AS accession_no, filed_at::DATE AS filed_on, false AS amended FROM snapshot s JOIN filing f ON f.filing_id = source_filing_id WHERE s.period = DATE '{PERIOD}'",

@@ -51,6 +51,21 @@ def active_users(events: DataFrame, at: str, user: str, spans: tuple[int, ...] =
     return nearest.groupBy("day").agg(*(F.sum((F.col("ahead") < n).cast("long")).alias(f"active_{n}") for n in spans))
 
 
+def activity_series(events: DataFrame, at: str, user: str, every: str, today: str) -> DataFrame:
+    """first_day, last_day, events, active, partial of each day, ISO week or month (`every`) from the first event to today.
+
+    Groups without events are there with zeros. One is partial if it isn't over, or if the events began within it.
+    """
+    rows = events.select(F.to_date(at).alias("day"), F.col(user).alias("user")).where(F.col("day") <= F.lit(today).cast("date"))
+    axis = rows.agg(F.min("day").alias("a")).select(F.explode(F.sequence("a", F.lit(today).cast("date"))).alias("day"))
+    first = F.trunc("day", every) if every != "day" else F.col("day")
+    last = {"day": F.col("first_day"), "week": F.date_add("first_day", 6), "month": F.last_day("first_day")}[every]
+    days = axis.groupBy(first.alias("first_day")).agg(F.count("*").alias("days")).withColumn("last_day", last)
+    sums = rows.groupBy(first.alias("first_day")).agg(F.count("*").alias("events"), F.countDistinct("user").alias("active"))
+    partial = (F.col("last_day") >= F.lit(today).cast("date")) | (F.col("days") < F.datediff("last_day", "first_day") + 1)
+    return days.join(sums, "first_day", "left").fillna(0, ["events", "active"]).select("first_day", "last_day", "events", "active", partial.alias("partial"))
+
+
 def over_limit(requests: DataFrame, key: str, at: str, seconds: int, most: int) -> DataFrame:
     """Requests that come when the key had `most` others in the seconds before."""
     when = F.unix_micros(F.col(at).cast("timestamp"))
