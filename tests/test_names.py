@@ -57,6 +57,12 @@ def test_extents_known_values(spark, query, name, word, strict):
     assert tuple(got) == (pytest.approx(word, abs=1e-6), pytest.approx(strict, abs=1e-6))
 
 
+def test_a_search_walks_each_text_in_one_function(spark):
+    rows = spark.createDataFrame([(1, "T1", "apples", 1)], "id long, ticker string, name string, held long")
+    assert "aggregate(" not in search.search_stocks(rows, "appel")._jdf.queryExecution().optimizedPlan().toString()
+    assert text.extents("word", "two words") == (pytest.approx(0.8), pytest.approx(4 / 7)) and text.extents("word", None) == (0, 0)
+
+
 def test_a_search_reads_postings_of_its_trigrams_and_finds_the_same(spark, tmp_path):
     rng = random.Random(2)
     names = [(i, f"T{i}" if i % 3 else f"T.{i}", " ".join(rng.choices(["apple", "apples", "maple", "grape", "berry inc", "snapple", "x"], k=2)), i % 5) for i in range(200)]
