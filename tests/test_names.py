@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import assets, text
-from tidemark.operators import members, search, service
+from tidemark.operators import entities, members, search, service
 from tidemark.sources import filings
 
 
@@ -63,6 +63,12 @@ def test_a_search_walks_each_text_in_one_function(spark):
     assert text.extents("word", "two words") == (pytest.approx(0.8), pytest.approx(4 / 7)) and text.extents("word", None) == (0, 0)
 
 
+def test_lines_with_an_equal_name_leave_the_fuzzy_join(spark):
+    names = spark.createDataFrame([("Acme Widgets Inc",), ("Acme Widgits",), ("No",)], "name string")
+    listed = spark.createDataFrame([(1, "ACME WIDGETS CORP", None), (2, "Other", "acme widgets")], "security_id long, name string, filed_name string")
+    assert sorted(map(tuple, entities.equal_names(names, listed).collect())) == [("Acme Widgets Inc", 1, 1.0), ("Acme Widgets Inc", 2, 1.0)]
+
+
 def test_a_search_reads_postings_of_its_trigrams_and_finds_the_same(spark, tmp_path):
     rng = random.Random(2)
     names = [(i, f"T{i}" if i % 3 else f"T.{i}", " ".join(rng.choices(["apple", "apples", "maple", "grape", "berry inc", "snapple", "x"], k=2)), i % 5) for i in range(200)]
