@@ -69,6 +69,22 @@ def test_lines_with_an_equal_name_leave_the_fuzzy_join(spark):
     assert sorted(map(tuple, entities.equal_names(names, listed).collect())) == [("Acme Widgets Inc", 1, 1.0), ("Acme Widgets Inc", 2, 1.0)]
 
 
+def test_likest_members_are_those_of_all_pairs(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    day, grams = dt.date, lambda f: {f"  {w} "[i : i + 3] for w in f.split() for i in range(len(w) + 1)}
+    known = [(i, [(c, s, day(2021, 1, 3), day(2025, 1, 3))], [f"{word(3)} {word(5)}" for _ in range(1 + i % 2)]) for i in range(150) for c, s in [("house" if i % 3 else "senate", f"S{i % 2}")]]
+    names = [(n, "house" if n % 2 else "senate", None if n % 3 else f"S{n % 2}", day(2024, 2, 1), day(2024, 3, 1), [f"{word(3)} {word(5)}"]) for n in range(40)]
+    seats = "member_id int, terms array<struct<chamber:string,state:string,start_date:date,end_date:date>>, folded array<string>"
+    got = members.likest_members(spark.createDataFrame(names, "name_id int, chamber string, state string, first_filed date, last_filed date, forms array<string>"), spark.createDataFrame(known, seats), spark.createDataFrame([(1, 1)], "name_id int, member_id int"))
+    found: dict = {}
+    for r in got.collect():
+        found.setdefault(r.name_id, []).append((-round(r.likest, 3), r.member_id))
+    for n, chamber, state, *_, forms in names:
+        every = [(-round(max(len(grams(a) & grams(b)) / len(grams(a) | grams(b)) for a in forms for b in f), 3), m) for m, ((c, s, *_),), f in known if c == chamber and state in (None, s) and (n, m) != (1, 1)]
+        assert sorted(found.get(n, [])) == sorted(x for x in every if x[0] <= -members.TRIGRAM)[: members.CANDIDATES]
+
+
 def test_a_search_reads_postings_of_its_trigrams_and_finds_the_same(spark, tmp_path):
     rng = random.Random(2)
     names = [(i, f"T{i}" if i % 3 else f"T.{i}", " ".join(rng.choices(["apple", "apples", "maple", "grape", "berry inc", "snapple", "x"], k=2)), i % 5) for i in range(200)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import GENERATIONS, QUOTED, folded_words, name_parts, trigrams
+from ..sources.store import written
 
 #: Scores of an exact and a normalised fit, the factor of a member out of office, what is accepted without a person, the least similarity
 #: of a candidate, how many candidates are kept, and days after a term's end for which filings still come.
@@ -75,25 +76,69 @@ def match_members(filed: DataFrame, member: DataFrame, terms: DataFrame, refused
     sure = fits.select("name_id", "member_id", "method", "confidence", (F.col("sits") & (F.col("seated") == 1) & (F.col("confidence") >= ACCEPT)).alias("accepted"))
 
     open_names = asked.join(fits.where("sits").select("name_id").distinct(), "name_id", "left_anti").select("name_id", "chamber", "state", "first_filed", "last_filed", "forms")
-    # a seat has some hundred members, and a name without a state meets its chamber's
-    seats = F.array_distinct(F.flatten(F.transform("terms", lambda t: F.array(F.struct(t["chamber"].alias("c"), t["state"].alias("z")), F.struct(t["chamber"].alias("c"), F.lit(None).cast("string").alias("z"))))))
-    seated = known.select("member_id", "terms", "folded", F.explode(seats).alias("s")).select("member_id", "terms", "folded", "s.*")
-    near = open_names.join(seated, (F.col("chamber") == F.col("c")) & F.col("state").eqNullSafe(F.col("z"))).where(in_office())
-    if refused is not None:
-        near = near.join(refused.select("name_id", "member_id").distinct(), ["name_id", "member_id"], "left_anti")
-
-    def likeness(a: Column, b: Column) -> Column:
-        shared = F.size(F.array_intersect(a, b))
-        return shared / F.nullif(F.size(a) + F.size(b) - shared, F.lit(0))
-
-    grams = lambda name: F.transform(name, trigrams)
-    best = F.array_max(F.flatten(F.transform(grams("forms"), lambda a: F.transform(F.col("theirs"), lambda b: likeness(a, b)))))
-    near = near.withColumn("theirs", grams("folded")).withColumn("likest", best).where(F.col("likest") >= TRIGRAM)
+    near = likest_members(open_names, known, refused)
     every = sure.unionByName(near.select("name_id", "member_id", F.lit("trigram").alias("method"), F.round("likest", 3).alias("confidence"), F.lit(False).alias("accepted")))
     order = Window.partitionBy("name_id").orderBy(F.col("confidence").desc(), "member_id", "method")
     return every.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES)
 
 
+#: Likenesses down to which members are looked for, one after another: names that have enough of a higher one leave the later, larger searches.
+STEPS = (0.7, 0.6, 0.5, 0.4, TRIGRAM)
+
+
+def likest_members(open_names: DataFrame, known: DataFrame, refused: DataFrame | None = None) -> DataFrame:
+    """name_id, member_id, likest of names (name_id, chamber, state, first_filed, last_filed, forms) and members in office of their seats, by the likest of their
+    forms: all that a name has among its CANDIDATES likest, ties too.
+
+    Two sets of trigrams that are alike to a degree share one of the rarest of each: with t trigrams ceil(degree * t) are shared, so of any
+    t - ceil(degree * t) + 1 of them one is. Those alone are joined, within the seat. A degree is high at first; a name with CANDIDATES members well above it is done.
+    """
+    seats = F.array_distinct(F.flatten(F.transform("terms", lambda t: F.array(F.struct(t["chamber"].alias("c"), t["state"].alias("z")), F.struct(t["chamber"].alias("c"), F.lit(None).cast("string").alias("z"))))))
+
+    def sets(rows: DataFrame, key: str, forms: str) -> DataFrame:
+        return rows.select(key, F.explode(forms).alias("form")).distinct().withColumn("grams", trigrams(F.col("form"))).where("size(grams) > 0")
+
+    theirs = sets(known, "member_id", "folded")
+    often = written(theirs.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df")), "often")
+
+    def ordered(rows: DataFrame, key: str, name: str) -> DataFrame:
+        """Each set in the order of its trigrams, rarest first."""
+        each = rows.select(key, "form", F.explode("grams").alias("g")).join(often, "g", "left")
+        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")))
+        return each.groupBy(key, "form").agg(F.transform(order, lambda x: x["g"]).alias(name)).drop("form")
+
+    def probes(rows: DataFrame, name: str, degree: float) -> DataFrame:
+        t = F.size(name)
+        first = F.slice(name, F.lit(1), (t - F.ceil(F.lit(degree) * t) + 1).cast("int"))
+        return rows.withColumn(f"first_{name}", first).withColumn("g", F.explode(f"first_{name}"))
+
+    asked = written(open_names.drop("forms").join(ordered(sets(open_names, "name_id", "forms"), "name_id", "a"), "name_id"), "asked")
+    members = written(known.select("member_id", "terms", F.explode(seats).alias("s")).select("member_id", "terms", "s.*").join(ordered(theirs, "member_id", "b"), "member_id"), "seated")
+    found = None
+    for degree in STEPS:
+        pairs = probes(asked, "a", degree).withColumn("s", F.struct("chamber", "state")).join(probes(members, "b", degree).withColumn("s", F.struct(F.col("c").alias("chamber"), F.col("z").alias("state"))), ["s", "g"])
+        pairs = pairs.where((F.size("a") >= F.size("b") * degree) & (F.size("b") >= F.size("a") * degree))
+        pairs = pairs.where(F.get(F.array_intersect("first_a", "first_b"), F.lit(0)) == F.col("g")).where(in_office())  # a pair meets once
+        shared = F.size(F.array_intersect("a", "b"))
+        near = pairs.select("name_id", "member_id", (shared / (F.size("a") + F.size("b") - shared)).alias("likest")).where(F.col("likest") >= degree)
+        if refused is not None:
+            near = near.join(refused.select("name_id", "member_id").distinct(), ["name_id", "member_id"], "left_anti")
+        near = near.groupBy("name_id", "member_id").agg(F.max("likest").alias("likest"))
+        order = Window.partitionBy("name_id").orderBy(F.round("likest", 3).desc(), "member_id")
+        near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES).drop("place")
+        near = written(near, "near")
+        # others are below the degree, and 0.001 above it no rounding to three places makes them equal
+        done = near.where(F.col("likest") >= degree + 0.001).groupBy("name_id").agg(F.count("*").alias("n")).where(F.col("n") >= CANDIDATES).select("name_id")
+        if degree == STEPS[-1]:
+            own = near
+        else:
+            done = written(done, "done")
+            own = near.join(done, "name_id", "left_semi")
+            asked = asked.join(done, "name_id", "left_anti")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 # ---------------------------------------------------------------- candidates over time
 
 #: Columns of a candidate.
