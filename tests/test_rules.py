@@ -134,3 +134,34 @@ def test_periods(spark):
     row = spark.createDataFrame([(dt.date(2024, 2, 29), "2024Q3", dt.date(2024, 3, 31))], "day date, label string, period date")
     got = row.select(periods.quarter_end(F.col("day")), periods.parse_quarter(F.col("label")), periods.previous_quarter(F.col("period")), periods.next_quarter(F.col("period")), periods.quarter_label(F.col("period")), periods.deadline(F.col("period"))).first()
     assert tuple(got) == (dt.date(2024, 3, 31), dt.date(2024, 9, 30), dt.date(2023, 12, 31), dt.date(2024, 6, 30), "2024Q1", dt.date(2024, 5, 15))
+
+
+def test_cluster_windows_count_without_sets(spark):
+    """Windows equal those counted one by one, a line without an insider among them, and no window of the plan gathers insiders."""
+    import random
+
+    dealt = random.Random(7)
+    rows = [(i, dt.date(2024, 1, 1) + dt.timedelta(days=dealt.randrange(120)), dealt.choice("ab"), dealt.choice([1, 2, 3, 4, 5, 6, None])) for i in range(60)]
+    lines = spark.createDataFrame(rows, "id long, transaction_date date, issuer_cik string, insider_id long").selectExpr(
+        "*", "'P' AS transaction_code", "false AS is_derivative", "true AS is_director", "false AS is_officer", "false AS is_10b5_1", "CAST(NULL AS map<string, string>) AS footnotes",
+        "CAST(1 AS decimal(20,4)) AS shares", "CAST(1 AS decimal(20,2)) AS value_usd", "1L AS security_id",
+    )
+    grid = [(5, 2), (14, 3), (14, 4), (30, 5)]
+    wanted = set()
+    for days, least in grid:
+        for cik in "ab":
+            own = [(day, insider) for _, day, c, insider in rows if c == cik]
+            spans = []
+            for day in sorted({d for d, _ in own}):
+                seen = [(d, i) for d, i in own if 0 <= (day - d).days <= days]
+                if len({i for _, i in seen if i is not None}) >= least:
+                    first = min(d for d, _ in seen)
+                    if spans and first <= spans[-1][1]:
+                        spans[-1] = (min(first, spans[-1][0]), day)
+                    else:
+                        spans.append((first, day))
+            wanted |= {(days, least, cik, a, b, sum(a <= d <= b for d, _ in own), len({i for d, i in own if a <= d <= b and i is not None})) for a, b in spans}
+    found = clusters.cluster_grid(lines, grid)
+    assert {(r.window_days, r.min_insiders, r.issuer_cik, r.window_start, r.window_end, r.lines, r.insiders) for r in found.collect()} == wanted and wanted
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("collect_set" in line for line in plan.splitlines() if "windowspecdefinition" in line)
