@@ -48,3 +48,9 @@ def test_screens_build_only_what_they_ask_for():
         change = "changes"
 
     assert screens.tables(OnlyChanges()).change == "changes"
+
+
+def test_fractions_are_tried_once_for_a_move(spark):
+    moves = spark.createDataFrame([], "was decimal(20,4), shares decimal(20,4), ratio decimal(28,10)")
+    found = moves.where(price.looks_like_split(moves["was"], moves["shares"], moves["ratio"]))
+    assert _plan(found).count("array_min") == 1
