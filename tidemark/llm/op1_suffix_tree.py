@@ -111,11 +111,34 @@ def _sent(number: int, rows: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([number] * len(part), pa.int64()), pa.array(data, pa.binary())], _names(_SENT))
 
 
+def _by_part(part: np.ndarray, parts: int) -> np.ndarray:
+    """Places by part, in order within each; numpy sorts numbers of 16 bits by radix."""
+    return np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+
+
+def _by_pair(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of small numbers by pair, in order within each, and where each pair starts in them."""
+    n = len(a)
+    if not n:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    low, place = (np.uint64(int(x).bit_length()) for x in (b.max(), n))
+    if int(a.max()).bit_length() + int(low + place) <= 64:  # pair and place are one number, which is sorted by itself
+        key = (a.astype(np.uint64) << low | b.astype(np.uint64)) << place | np.arange(n, dtype=np.uint64)
+        key.sort()
+        order = (key & ((np.uint64(1) << place) - np.uint64(1))).astype(np.int32)
+        key >>= place
+    else:
+        key = a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        key = key[order]
+    return order, np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+
+
 def _word_parts(words: bytes, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, counts, order by part, and parts in that order, of a chunk's words."""
     hashes, seen = unpacked(words)
     part = (mixed(hashes.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
-    order = np.argsort(part, kind="stable")
+    order = _by_part(part, parts)
     return hashes, seen, order, part[order]
 
 
@@ -191,11 +214,11 @@ def _numbered(parts: int):
                 (token,) = unpacked(head["data"][0].as_py())
                 order = _word_parts(head["words"][0].as_py(), parts)[2]
                 number, count = (np.concatenate([x[k] for x in answers]) for k in (0, 1))
-                have, first, place = np.unique(number, return_index=True, return_inverse=True)
-                to = np.empty(len(order), np.int64)
-                to[order] = place
+                have, place = np.unique(number, return_inverse=True)
+                counts, to = np.empty(len(have), np.int64), np.empty(len(order), np.int64)
+                counts[place], to[order] = count, place
                 cols = [pa.array([0], pa.int32()), pa.array([chunk], pa.int64()), pa.array([0], pa.int32())]
-                cols += [pa.array([packed(have, count[first], to[token])], pa.binary()), pa.array([head["docs"][0].as_py()], pa.binary())]
+                cols += [pa.array([packed(have, counts, to[token])], pa.binary()), pa.array([head["docs"][0].as_py()], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, _names(_ROW))
 
     return run
@@ -210,8 +233,8 @@ class _Chunk:
         self.hot, self.parts = hot, parts
         self.token = self.token.astype(np.int32)
         self.row = np.repeat(np.arange(len(self.size), dtype=np.int32), self.size)
-        self.place = (np.arange(len(self.token)) - np.repeat(np.cumsum(self.size) - self.size, self.size)).astype(np.int32)
-        self.train = self.held[self.row] == 0
+        self.place = np.arange(len(self.token), dtype=np.int32) - np.repeat((np.cumsum(self.size) - self.size).astype(np.int32), self.size)
+        self.train = np.repeat(self.held == 0, self.size)
         rest = DISCOUNT * kinds / total if total else 1.0
         c = self.counts
         self.p = np.where(c > 0, (c - DISCOUNT) / max(total, 1), rest)[self.token]
@@ -220,42 +243,49 @@ class _Chunk:
 
     def deal(self, level: int) -> None:
         """Grams of contexts of so many words that training has LEAST times, in the order in which they are sent."""
-        before = np.concatenate([[0], self.seen[:-1]])
-        self.at = np.flatnonzero((self.place >= level) & (before >= LEAST))
-        key = (self.gram[self.at - 1].astype(np.uint64) << np.uint64(32)) | self.token[self.at].astype(np.uint64)
-        order = np.argsort(key, kind="stable").astype(np.int32)
-        new = np.concatenate([[True], key[order[1:]] != key[order[:-1]]]) if len(key) else np.zeros(0, bool)
-        first = order[new]
-        own = key[first]
-        inverse = np.empty(len(key), np.int32)
-        inverse[order] = np.cumsum(new) - 1
-        del key, order, new
-        context, word = (own >> np.uint64(32)).astype(np.int64), (own & np.uint64(0xFFFFFFFF)).astype(np.int32)
-        above = self.hashes[context]
-        gram = mixed(above * _A + self.ids[word].astype(np.uint64))
-        hot = np.isin(above, self.hot[level][0])
-        part = (mixed(np.where(hot, gram, above) + _B) % np.uint64(self.parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        back = np.empty(len(order), np.int32)
-        back[order] = np.arange(len(order), dtype=np.int32)
-        self.inverse, self.above, self.next, self.word, self.part = back[inverse], above[order], gram[order], word[order], part[order]
-        self.n = before[self.at]
-        p = self.p[self.at[first[order]]]
-        count = np.bincount(self.inverse, self.train[self.at], minlength=len(own)).astype(np.int64)
-        self.told, self.count = np.where(count > 0, np.rint(-np.log(np.maximum(p, 1e-300)) * STEPS), 0).astype(np.int64), count
+        if level > 1:
+            gram, seen = np.zeros(len(self.token), np.int32), np.zeros(len(self.token), np.int64)
+            gram[self.at], seen[self.at] = self.inverse, self.found[self.inverse]
+            self.gram, self.hashes, self.seen = gram, self.next, seen
+        self.at = np.flatnonzero((self.place[1:] >= level) & (self.seen[:-1] >= LEAST)) + 1
+        context, word = self.gram[self.at - 1], self.token[self.at]
+        order, start = _by_pair(context, word)
+        first = order[start]
+        context, word = context[first], word[first]
+        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate([head, [len(context)]]))
+        of = self.hashes[context[head]]
+        above = np.repeat(of, size)
+        gram = mixed(np.repeat(of * _A, size) + self.ids[word].astype(np.uint64))
+        part = np.repeat((mixed(of + _B) % np.uint64(self.parts)).astype(np.int32), size)
+        hot = np.zeros(len(of), bool)
+        if len(keys := self.hot[level][0]):
+            hot = keys[np.minimum(np.searchsorted(keys, of), len(keys) - 1)] == of
+        hot = np.repeat(hot, size)
+        part[hot] = mixed(gram[hot] + _B) % np.uint64(self.parts)
+        by = _by_part(part, self.parts)
+        back = np.empty(len(by), np.int32)
+        back[by] = np.arange(len(by), dtype=np.int32)
+        self.inverse = np.empty(len(order), np.int32)
+        self.inverse[order] = np.repeat(back, np.diff(np.concatenate([start, [len(order)]])))
+        self.above, self.next, self.word, self.part, self.is_hot, self.first = above[by], gram[by], word[by], part[by], np.flatnonzero(hot[by]), self.at[first[by]]
 
     def parts_sent(self) -> list[tuple[int, bytes]]:
         """For each part: contexts, how many grams each has, and the grams' words, log probabilities by the suffix, and counts."""
-        out = []
+        out, count = [], np.bincount(self.inverse[self.train[self.at]], minlength=len(self.part))
+        told = np.where(count > 0, np.rint(-np.log(np.maximum(self.p[self.first], 1e-300)) * STEPS), 0).astype(np.int64)
         for part, a, b in _segments(self.part):
             h = self.above[a:b]
             start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             size = np.diff(np.concatenate([start, [b - a]]))
-            out.append((part, packed(h[start], size, self.ids[self.word[a:b]], self.told[a:b], self.count[a:b])))
+            out.append((part, packed(h[start], size, self.ids[self.word[a:b]], told[a:b], count[a:b])))
         return out
 
     def take(self, level: int, answers: list[bytes]) -> None:
-        """Probabilities by this level's kept contexts, and what the next level needs; answers come in order of their parts."""
+        """Probabilities by this level's kept contexts, and the grams' counts; answers come in order of their parts.
+
+        Tokens that end equal grams had one probability before: that of the context's suffix, which training has as often or more.
+        """
         count = np.zeros(len(self.above), np.int64)
         kinds = np.zeros(len(self.above), np.int64)
         at = 0
@@ -265,15 +295,11 @@ class _Chunk:
         if at != len(count):
             raise ValueError(f"answers for {at} of {len(count)} grams")
         hot, _, of = self.hot[level]
-        if len(hot):
-            i = np.minimum(np.searchsorted(hot, self.above), len(hot) - 1)
-            kinds = np.where(hot[i] == self.above, of[i], kinds)
-        c, k, n = count[self.inverse], kinds[self.inverse], np.maximum(self.n, 1)
-        p = self.p[self.at]
-        self.p[self.at] = np.where(k > 0, np.maximum(c - DISCOUNT, 0) / n + DISCOUNT * k / n * p, p)
-        gram, seen = np.zeros(len(self.token), np.int32), np.zeros(len(self.token), np.int64)
-        gram[self.at], seen[self.at] = self.inverse, c
-        self.gram, self.hashes, self.seen = gram, self.next, seen
+        kinds[self.is_hot] = of[np.searchsorted(hot, self.above[self.is_hot])]
+        n, p = np.maximum(self.seen[self.first - 1], 1), self.p[self.first]
+        p = np.where(kinds > 0, np.maximum(count - DISCOUNT, 0) / n + DISCOUNT * kinds / n * p, p)
+        self.p[self.at] = p[self.inverse]
+        self.found = count
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], levels: int, make: Callable[[bytes, bytes], _Chunk]) -> Iterator[tuple[int, _Chunk]]:
@@ -296,8 +322,9 @@ def _summed(level: int, hot: tuple[np.ndarray, np.ndarray], hot_from: int):
         context = np.concatenate([np.repeat(x[0].view(np.uint64), x[1]) for x in sent])
         word, told, count = (np.concatenate([x[k] for x in sent]) for k in (2, 3, 4))
         gram = mixed(context * _A + word.astype(np.uint64))
-        order = np.argsort(gram, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], gram[order[1:]] != gram[order[:-1]]]))
+        order = np.argsort(gram)
+        ordered = gram[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         c = np.add.reduceat(count[order], first)
         of = np.empty(len(order), np.int64)
         of[order] = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(order)]])))
@@ -390,7 +417,7 @@ def score(docs: DataFrame, depth: int = DEPTH, hot: int = HOT) -> DataFrame:
     def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, chunk in _chunks(batches, levels, make(known)):
             c, size = chunk.counts[chunk.token], len(chunk.size)
-            base = np.bincount(chunk.row, np.log10(c + 0.5) - below, minlength=size)
+            base = np.bincount(chunk.row, (np.log10(chunk.counts + 0.5) - below)[chunk.token], minlength=size)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(chunk.doc_id, mask=chunk.null == 1), pa.array(chunk.held == 1), pa.array(chunk.size), pa.array(np.bincount(chunk.row[c > 0], minlength=size)),
