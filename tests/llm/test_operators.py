@@ -318,6 +318,47 @@ def test_op9_suffix_array():
             assert common[b] == k
 
 
+def test_op9_suffix_array_of_contexts():
+    rng = np.random.default_rng(3)
+    base = np.concatenate([rng.integers(2, 5, 60), np.arange(40, 2, -1), np.full(30, 7), rng.integers(2, 250, 40)])
+    parts = [base[a : a + rng.integers(20, 90)] for a in rng.integers(0, 140, 40)] + [base, base, base[3:]]
+    t = np.concatenate([x for p in parts for x in (p, [1])] + [[0]])
+    ends = np.flatnonzero(t == 1)
+    each = t.astype(float)  # every end differs; the last one, before the 0, is the least
+    each[ends] = 1 + np.where(ends == ends[-1], 0, np.arange(1, len(ends) + 1)) / len(t)
+    raw = [tuple(each[i:]) for i in range(len(t))]
+    sa = op9_suffix.suffix_array(t, 1)
+    assert sa.tolist() == sorted(range(len(t)), key=lambda i: raw[i])
+    common = op9_suffix.permuted_prefixes(t, sa, 1)
+    for a, b in zip(sa[:-1], sa[1:], strict=True):
+        assert common[b] == next(k for k in range(len(t)) if raw[a][k : k + 1] != raw[b][k : k + 1])
+
+
+def test_op9_each_string_has_one_context():
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices(WORDS, k=n)).encode() for n in (0, 5, 300, 40)] + [b"ab" * 120, b"-" * 500, b"x" * 100, b"y" * 99]
+    texts.append(b"head " + texts[2][200:900] + b" tail")
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    found: dict = {}
+    for of, place, h, _, start, end in zip(*op9_suffix.anchors(data, at), strict=True):
+        assert start <= place <= place + op9_suffix.K <= end <= len(texts[of])
+        for s in range(start, end - 99):
+            found.setdefault(texts[of][s : s + 100], []).append((of, s, h, place - s))
+    assert sorted(x[:2] for own in found.values() for x in own) == [(i, s) for i, x in enumerate(texts) for s in range(len(x) - 99)]
+    assert all(len({x[2:] for x in own}) == 1 for own in found.values())  # equal strings meet, at the same place
+
+
+def test_op9_shards_of_lone_and_equal_contexts():
+    def ranges(*rows):
+        table = pa.table(dict(zip(("shard", "doc", "tie", "start", "bytes"), map(list, zip(*rows, strict=True)), strict=True)))
+        return [tuple(r[c] for c in ("doc", "tie", "start", "stop")) for b in op9_suffix._shards(table) for r in b.to_pylist()]
+
+    text = bytes(range(32, 126)) * 2
+    assert ranges((1, 8, 5, 0, text[:120]), (2, 9, 5, 0, text[:120])) == []
+    assert ranges((1, 8, 5, 0, text[:120]), (1, 9, 5, 0, text[30:150])) == []
+    assert ranges((1, 9, 5, 7, text[:120]), (1, 8, 5, 40, text[15:150]), (1, 8, 4, 0, text[90:])) == [(9, 5, 22, 127)]
+
+
 def in_order(df):
     """(doc_id, text) as repeats count them: by id, a null one last, then by a hash of the text."""
     rows = df.selectExpr("doc_id", "coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as tie").collect()

@@ -143,12 +143,12 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start] + (end - start).astype(np.uint64))
 
 
-def window_hash(data: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes from each position, for all positions that have them."""
+def window_hash(data: np.ndarray, k: int, prefix: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the k bytes from each position, for all positions that have them. `prefix`: their prefix_hash(), if it is at hand."""
     n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    p = prefix_hash(data)
+    p = prefix_hash(data) if prefix is None else prefix
     return mixed((p[k:] - p[:-k]) * _powers(len(p))[1][:n])
 
 

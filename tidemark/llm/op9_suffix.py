@@ -2,7 +2,8 @@
 
 A byte goes if a string of LENGTH bytes covers it that also starts earlier in the input. Two equal strings of
 LENGTH bytes contain the same least hash of K-byte windows, at the same place: their anchor. So the occurrences
-that an anchor has, each with the bytes that such strings around it can reach (its context), hold every repeat.
+that an anchor has, each with the bytes of the strings whose anchor it is (its context), hold every repeat, and
+each string once.
 
 1. Each task finds the anchors of its documents and keeps the first of equal contexts; later ones are repeats whole.
 2. Contexts meet by anchor; again the first of equal ones stays. Anchors with different contexts need sorting.
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, pieces, prefix_hash, span_hash, unused, utf8, whole_groups, window_min, written
+from .common import mixed, pieces, prefix_hash, span_hash, unused, utf8, whole_groups, window_hash, window_min, written
 
 LENGTH, K = 100, 32
 SIDE = LENGTH - K
@@ -39,192 +40,207 @@ _LAST = np.iinfo(np.int64).max
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one; the last symbol is the least of all, and is smaller."""
-    n = len(t)
-    up = np.zeros(n, bool)
-    up[-1] = True
-    differs = np.flatnonzero(t[:-1] != t[1:])
-    up[differs] = t[differs] < t[differs + 1]
-    follow = np.searchsorted(differs, np.arange(n - 1))  # equal neighbours take the type of the run's end
-    up[:-1] = up[differs[follow]]
-    return up
-
-
-def _ordered(symbols: np.ndarray) -> np.ndarray:
-    """A stable order of symbols; numpy sorts those of 16 bits by counting."""
-    few = len(symbols) and symbols.max() < 1 << 16
-    return np.argsort(symbols.astype(np.uint16) if few else symbols, kind="stable")
+    last = np.concatenate([np.flatnonzero(t[:-1] != t[1:]), [len(t) - 1]])
+    up = np.ones(len(last), bool)
+    up[:-1] = t[last[:-1]] < t[last[:-1] + 1]
+    return np.repeat(up, np.diff(last, prepend=-1))  # equal neighbours take the type of the run's end
 
 
 def _put(sa: np.ndarray, at: np.ndarray, to: np.ndarray, what: np.ndarray, way: int) -> None:
     """Add positions to their buckets in order, from the bucket's head (way 1) or its tail (way -1)."""
-    order = _ordered(to)
-    to, what = to[order], what[order]
-    first = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
-    count = np.diff(np.concatenate([first, [len(to)]]))
-    rank = np.arange(len(to)) - np.repeat(first, count)
-    sa[at[to] + way * rank] = what
-    at[to[first]] += way * count
+    order = np.argsort(to, kind="stable")  # numpy sorts small integers by counting
+    count = np.bincount(to, minlength=len(at))
+    from_head = at - way * (np.cumsum(count) - count)
+    sa[from_head[to[order]] + way * np.arange(len(to))] = what[order]
+    at += way * count
 
 
-def _induce(t: np.ndarray, up: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
+def _induce(t: np.ndarray, up: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """All suffixes in the order that follows from that of the seeds (leftmost smaller ones, ascending).
 
     Buckets (by first symbol) are read in order. What a bucket's suffixes induce goes to their buckets at
     once; what it induces into itself makes a next wave.
     """
-    n = len(t)
-    ends = np.cumsum(np.bincount(t, minlength=size))
-    heads = ends - np.bincount(t, minlength=size)
-    sa = np.full(n, -1, np.int64)
-    by = t[seeds]
-    cut = np.searchsorted(by, np.arange(size + 1))  # ascending seeds lie by first symbol
+    n, size = len(t), int(t.max()) + 1
+    count = np.bincount(t, minlength=size)
+    ends = np.cumsum(count)
+    heads = ends - count
+    larger = heads + np.bincount(t[~up], minlength=size)  # from here to its end a bucket has the smaller ones
+    sa = np.zeros(n, np.int32)
+    # The symbol before each suffix if it begins a larger (else a smaller) one, or -1.
+    before = np.full((2, n), -1, np.int16)
+    before[0, 1:][~up[:-1]] = t[:-1][~up[:-1]]
+    before[1, 1:][up[:-1]] = t[:-1][up[:-1]]
+
+    def follow(wave: np.ndarray, way: int) -> None:
+        to = before[int(way < 0)][wave]
+        ok = np.flatnonzero(to >= 0)
+        if len(ok):
+            _put(sa, at, to[ok].astype(np.uint8), wave[ok] - 1, way)
+
+    cut = np.searchsorted(t[seeds], np.arange(size + 1))  # ascending seeds lie by first symbol
     at = heads.copy()
-    for c in range(size):
+    for c in np.flatnonzero(count).tolist():
         done = heads[c]
-        if at[c] == done and cut[c] == cut[c + 1]:
-            continue
-        while True:
-            wave, own = (sa[done : at[c]], True) if at[c] > done else (seeds[cut[c] : cut[c + 1]], False)
-            done = at[c]
-            before = wave[wave > 0] - 1
-            before = before[~up[before]]
-            if len(before):
-                _put(sa, at, t[before], before, 1)
-            if not own:
-                break
+        while at[c] > done:
+            wave, done = sa[done : at[c]], at[c]
+            follow(wave, 1)
+        follow(seeds[cut[c] : cut[c + 1]], 1)
     at = ends - 1
-    larger = heads + np.bincount(t[~up], minlength=size)  # from here to its end a bucket has the smaller ones
-    for c in range(size - 1, -1, -1):
-        if heads[c] == ends[c]:
-            continue
+    for c in np.flatnonzero(count).tolist()[::-1]:
         done = ends[c] - 1
         while at[c] < done:
-            wave = sa[at[c] + 1 : done + 1][::-1]
-            done = at[c]
-            before = wave[wave > 0] - 1
-            before = before[up[before]]
-            if len(before):
-                _put(sa, at, t[before], before, -1)
-        wave = sa[heads[c] : larger[c]][::-1]
-        before = wave[wave > 0] - 1
-        before = before[up[before]]
-        if len(before):
-            _put(sa, at, t[before], before, -1)
-    if (end := np.flatnonzero(sa < 0)).size:  # the last symbol, which nothing induces
-        sa[end] = n - 1
+            wave, done = sa[at[c] + 1 : done + 1][::-1], at[c]
+            follow(wave, -1)
+        follow(sa[heads[c] : larger[c]][::-1], -1)
+    sa[0] = n - 1  # the last symbol, which nothing induces
     return sa
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    """Suffixes by ranks of twice as many symbols each round, for reduced strings of large alphabets."""
-    n, step = len(t), 1
-    rank = t.astype(np.int64)
+def _words(t: np.ndarray, kind: str) -> np.ndarray:
+    """The eight symbols from each position as one number, read in place."""
+    return np.ndarray(len(t), kind, t.tobytes() + bytes(8), strides=(1,))
+
+
+def _named(t: np.ndarray, small: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Leftmost smaller substrings in order, and which differ from the one before: sorted by eight symbols at a time.
+
+    Each ends with the next one's first symbol. One that another continues is the larger, so the highest symbol fills it up.
+    """
+    span = np.diff(small, append=len(t) - 1) + 1
+    words = _words(t, ">u8")
+
+    def key(which: np.ndarray, depth: int) -> np.ndarray:
+        rest = np.clip(span[which] - depth, 0, 8)
+        fill = np.array([(1 << 8 * (8 - k)) - 1 for k in range(9)], np.uint64)
+        return words[np.minimum(small[which] + depth, len(t) - 1)].astype(np.uint64) | fill[rest]
+
+    of = np.arange(len(small))
+    word = key(of, 0)
+    order = np.argsort(word)
+    word = word[order]
+    new = np.concatenate([[True], word[1:] != word[:-1]])
+    depth = 8
     while True:
-        key = rank * (n + 1)
-        key[: n - step] += rank[step:] + 1
-        sa = np.argsort(key)  # in any order of equal keys, which have one rank
-        new = np.concatenate([[0], np.cumsum(key[sa][1:] != key[sa][:-1])])
-        rank[sa] = new
-        if new[-1] == n - 1 or step >= n:
-            return sa
+        group = np.cumsum(new) - 1
+        longer = np.bincount(group, span[order] > depth) > 0
+        live = np.flatnonzero(longer[group] & ~(new & np.concatenate([new[1:], [True]])))
+        if not len(live):
+            return order, new
+        of, group, word = order[live], group[live], key(order[live], depth)
+        by = np.lexsort((word, group))
+        of, group, word = of[by], group[by], word[by]
+        order[live] = of
+        new[live] = np.concatenate([[True], (group[1:] != group[:-1]) | (word[1:] != word[:-1])])
+        depth += 8
+
+
+def _ranked(order: np.ndarray, new: np.ndarray) -> np.ndarray:
+    """Positions of a string of names in the order of their suffixes. A suffix's rank is where its group begins; groups of
+    several are split by the ranks that follow, twice as far each round."""
+    n, step = len(order), 1
+    at = np.arange(n, dtype=np.int32)
+    order, alone = order.astype(np.int32), new & np.concatenate([new[1:], [True]])
+    rank = np.zeros(n, np.int32)
+    rank[order] = np.maximum.accumulate(np.where(new, at, 0))
+    live = order[~alone]
+    while len(live):
+        key = (rank[live].astype(np.int64) << 32) + rank[live + step]  # one that isn't alone doesn't reach the end, which is
+        by = np.argsort(key)
+        live, key = live[by], key[by]
+        own = (key >> 32).astype(np.int32)
+        new = np.ones(len(key) + 1, bool)
+        new[1:-1] = key[1:] != key[:-1]
+        group = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), at[: len(own)], 0))
+        rank[live] = own + np.maximum.accumulate(np.where(new[:-1], at[: len(own)], 0)) - group
+        live = live[~(new[:-1] & new[1:])]
         step *= 2
+    order = np.zeros(n, np.int32)
+    order[rank] = at
+    return order
 
 
-def suffix_array(t: np.ndarray) -> np.ndarray:
-    """Suffix array of small non-negative integers whose last is 0 and the only 0.
+def suffix_array(t: np.ndarray, end: int = -1) -> np.ndarray:
+    """Suffix array of integers under 255 whose last is 0 and the only 0.
 
-    Leftmost smaller substrings are sorted by inducing from their positions in any order of equal first symbols,
-    named by rank, and the string of names is sorted in turn: by recursion, or by rank doubling where it has too
-    many names for a loop over buckets. Its order seeds the final induction.
+    Leftmost smaller substrings are sorted and named by rank, the string of names is sorted by its ranks, and its order
+    seeds the induction of all suffixes. Symbols equal to `end`, if given, count as different ones: the last is the least, the
+    others ascend by place. It must be 1, stand before the 0, and never at the start or beside itself.
     """
     n = len(t)
     if n == 1:
-        return np.zeros(1, np.int64)
-    size = int(t.max()) + 1
+        return np.zeros(1, np.int32)
+    t = t.astype(np.uint8)
     up = _types(t)
     small = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     if len(small) > 1:
-        order = _induce(t, up, small[_ordered(t[small])], size)
-        leftmost = np.zeros(n, bool)
-        leftmost[small] = True
-        order = order[leftmost[order]]
-        span = np.diff(np.concatenate([small, [n - 1]])) + 1  # each substring ends with the next one's first symbol
-        length = np.zeros(n, np.int64)
-        length[small] = span
-        differs = np.ones(len(order), bool)
-        a, b = order[1:], order[:-1]
-        same = length[a] == length[b]
-        live = np.flatnonzero(same)
-        i = 0
-        while len(live):  # compare symbol by symbol those that are still alike
-            inside = i < length[a[live]]
-            differs[live[~inside] + 1] = False
-            live = live[inside]
-            live = live[t[a[live] + i] == t[b[live] + i]]
-            i += 1
-        name = np.zeros(n, np.int64)
-        name[order] = np.cumsum(differs)
-        reduced = name[small]
-        if reduced.max() < len(small):
-            if reduced.max() < 512 and (reduced[-1] == 1) and (reduced == 1).sum() == 1:
-                seeds = small[suffix_array(reduced - 1)]
-            else:
-                seeds = small[_by_doubling(reduced)]
-        else:
-            seeds = order
-    else:
-        seeds = small
-    return _induce(t, up, seeds, size)
-
-
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
+        order, new = _named(t, small)
+        if end >= 0:
+            ends = np.flatnonzero(t[small[order]] == end)
+            order[ends], new[ends] = np.sort(order[ends]), True
+        small = small[_ranked(order, new)]
+    sa = _induce(t, up, small.astype(np.int32))
+    if end >= 0:  # nothing follows from their order but their own, which was induced by what comes after
+        ends = np.flatnonzero(t == end)
+        sa[1 : len(ends) + 1] = np.roll(ends, 1)
+    return sa
+
+
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, end: int = -1) -> np.ndarray:
     """For each position, the symbols its suffix shares with the one before it in the array.
 
     Where the symbols before the two suffixes agree, the value is the left neighbour's less one, so only the
-    others are compared, all at once, symbols in growing steps back to single ones.
+    others are compared, all at once, eight symbols at a time. `end` as for suffix_array().
     """
     n = len(t)
-    before = np.full(n, -1, np.int64)
+    t = t.astype(np.uint8)
+    before = np.full(n, -1, np.int32)
     before[sa[1:]] = sa[:-1]
-    i = np.arange(n)
-    prev = t[np.maximum(i, 1) - 1] == t[np.maximum(before, 1) - 1]
-    free = (before < 0) | (i == 0) | (before == 0) | ~prev
-    start = np.flatnonzero(free & (before >= 0))
-    other = before[start]
-    shared = np.zeros(len(start), np.int64)
-    live = np.arange(len(start))
+    same = t[np.maximum(before, 1) - 1]
+    free = np.ones(n, bool)
+    free[1:] = (before[1:] <= 0) | (t[:-1] != same[1:]) | (t[:-1] == end)
+    start = np.flatnonzero(free & (before >= 0)).astype(np.int32)
+    most = np.full(len(start), n, np.int32)
+    if end >= 0:
+        ends = np.concatenate([np.flatnonzero(t == end), [n - 1]]).astype(np.int32)
+        most = ends[np.searchsorted(ends, start)] - start
+    words = _words(t, "<u8")
+    a, b, live = start, before[start], np.arange(len(start))
+    shared = np.zeros(len(start), np.int32)
     while len(live):
-        a, b = start[live] + shared[live], other[live] + shared[live]
-        ok = np.maximum(a, b) < n
-        live, a, b = live[ok], a[ok], b[ok]
-        live = live[t[a] == t[b]]
-        shared[live] += 1
-    sums = np.full(n, -1, np.int64)
-    sums[start] = shared + start
-    sums[before < 0] = np.flatnonzero(before < 0)
-    where = np.maximum.accumulate(np.where(free, i, 0))
-    return np.maximum(sums[where] - i, 0)
+        differ = words[a] ^ words[b]
+        shared[live] += (np.bitwise_count((differ & -differ) - np.uint64(1)) >> 3).astype(np.int32)
+        on = (differ == 0) & (shared[live] < most[live])
+        a, b, live = a[on] + np.int32(8), b[on] + np.int32(8), live[on]
+    shared = np.minimum(shared, most)
+    sums = np.arange(n, dtype=np.int32)
+    sums[start] += shared
+    where = np.flatnonzero(free)
+    sums = np.repeat(sums[where], np.diff(where, append=n))
+    return np.maximum(sums - np.arange(n, dtype=np.int32), 0)
 
 
 # ---------------------------------------------------------------- anchors
 
 
 def anchors(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, place in the row, hash, and the context's hash, start and end, of every anchor."""
+    """Row, place in the row, hash, and the context's hash, start and end, of every anchor. A string's anchor is the leftmost
+    of its windows with the least 32 bits, so each string lies in one context."""
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none.view(np.uint64), none.view(np.uint64), none, none
     p = prefix_hash(data)
     m = len(data) - K + 1
-    h = span_hash(p, np.arange(m), np.arange(K, m + K))
-    least = window_min(h, SIDE + 1)
+    h = window_hash(data, K, p)
+    least = window_min((h & np.uint64(0xFFFFFFFF << 32)) | np.arange(m, dtype=np.uint64), SIDE + 1)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    least[row[: len(least)] != row[LENGTH - 1 :][: len(least)]] = 0  # strings across documents choose nothing
-    edge = np.full(SIDE, 0, np.uint64)
-    most = ~window_min(~np.concatenate([edge, least, edge]), SIDE + 1)
-    where = np.flatnonzero((most == h) & (h != 0))
+    begin = np.flatnonzero(row[: len(least)] == row[LENGTH - 1 :])  # no strings across documents
+    if not len(begin):
+        return none, none, none.view(np.uint64), none.view(np.uint64), none, none
+    where = (least & np.uint64(0xFFFFFFFF))[begin].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]]))
+    where, start, end = where[first], begin[first], begin[np.concatenate([first[1:], [len(begin)]]) - 1] + LENGTH
     of = row[where]
-    start, end = np.maximum(where - SIDE, at[of]), np.minimum(where + K + SIDE, at[of + 1])
     return of, where - at[of], h[where], mixed(span_hash(p, start, end) + (where - start).astype(np.uint64)), start - at[of], end - at[of]
 
 
@@ -354,34 +370,38 @@ def _sort_shard(table: pa.Table) -> pa.RecordBatch:
     doc, tie, start = (table[c].to_numpy() for c in ("doc", "tie", "start"))
     data, at = utf8_binary(table["bytes"])
     n = len(doc)
-    t = np.zeros(len(data) + n + 1, np.int32)  # a 1 ends each context, a 0 all
-    place = np.arange(len(data)) + np.repeat(np.arange(n), np.diff(at))
-    t[place] = data.astype(np.int32) + 2
-    t[at[1:] + np.arange(n)] = 1
-    sa = suffix_array(t)
-    common = permuted_prefixes(t, sa)
-    left = np.zeros(len(t), np.int64)
-    left[place] = np.repeat(at[1:], np.diff(at)) - np.arange(len(data))
-    of = np.zeros(len(t), np.int64)
-    of[place] = np.repeat(np.arange(n), np.diff(at))
-    offset = np.zeros(len(t), np.int64)
-    offset[place] = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
-    sa = sa[left[sa] >= LENGTH]  # keeps runs together: no shorter one lies within a run
+    begin = at + np.arange(n + 1)
+    t = np.zeros(len(data) + n + 1, np.uint8)  # a 1 ends each context, a 0 all
+    inside = np.ones(len(t), bool)
+    inside[begin[1:] - 1] = inside[-1] = False
+    t[begin[1:] - 1] = 1
+    t[inside] = data + np.uint8(2)
+    sa = suffix_array(t, 1)
+    common = permuted_prefixes(t, sa, 1)
+    edge = np.zeros(len(t), np.int8)
+    edge[begin[:-1]], edge[begin[1:] - LENGTH] = 1, -1
+    sa = sa[np.cumsum(edge, dtype=np.int8).view(bool)[sa]]  # starts of whole strings; keeps runs together: no shorter one lies within a run
     new = common[sa] < LENGTH
-    if len(new):
-        new[0] = True
-    run = np.cumsum(new) - 1
-    several = np.bincount(run)[run] > 1 if len(run) else np.zeros(0, bool)
-    sa, run = sa[several], run[several]
-    d, e, s = doc[of[sa]], tie[of[sa]], start[of[sa]] + offset[sa]
-    order = np.lexsort((s, e, d, run))
-    d, e, s, run = d[order], e[order], s[order], run[order]
-    head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
-    head = np.repeat(head, np.diff(np.concatenate([head, [len(run)]])))
-    later = (d != d[head]) | (e != e[head]) | (s != s[head])
-    d, e, a, b = _ranges(d[later], e[later], s[later], s[later] + LENGTH)
-    none = np.zeros(len(d), np.int64)
-    return _rows(1, none, none, d, e, none, a, b)
+    new[:1] = True
+    several = ~(new & np.concatenate([new[1:], [True]]))
+    sa, new = sa[several], new[several]
+    if not len(sa):
+        none = np.zeros(0, np.int64)
+        return _rows(1, none, none, none, none, none, none, none)
+    order = np.lexsort((tie, doc))
+    doc, tie = doc[order], tie[order]
+    own = np.zeros(n, np.int64)  # each context's document, numbered in order, and where its bytes begin there
+    own[order] = np.cumsum(np.concatenate([[False], (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1])]))
+    first = np.zeros(n, np.int64)
+    first[own[order]] = np.arange(n)
+    base = (own << 32) + start - begin[:-1]
+    key = np.repeat(base, np.diff(begin))[sa] + sa
+    head = np.flatnonzero(new)
+    key = np.sort(key[key != np.repeat(np.minimum.reduceat(key, head), np.diff(head, append=len(key)))])
+    apart = np.flatnonzero(np.diff(key) > LENGTH)
+    a, b = key[np.concatenate([[0], apart + 1])[: len(key)]], key[np.concatenate([apart, [len(key) - 1]])[: len(key)]]
+    none, of = np.zeros(len(a), np.int64), first[a >> 32]
+    return _rows(1, none, none, doc[of], tie[of], none, a & 0xFFFFFFFF, (b & 0xFFFFFFFF) + LENGTH)
 
 
 def utf8_binary(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -408,6 +428,10 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _shards(table: pa.Table) -> Iterator[pa.RecordBatch]:
     key = table["shard"].to_numpy()
+    new = np.concatenate([[True], key[1:] != key[:-1], [True]])
+    if (alone := new[1:] & new[:-1]).any():  # a key's only context repeats nothing: its strings begin at different places before the anchor
+        table = table.filter(pa.array(~alone))
+        key = table["shard"].to_numpy()
     length = np.cumsum(np.diff(utf8_binary(table["bytes"])[1]))
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     i = 0
