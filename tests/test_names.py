@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import assets, text
-from tidemark.operators import entities, members, search, service
+from tidemark.operators import alike, entities, members, search, service
 from tidemark.sources import filings
 
 
@@ -85,6 +85,38 @@ def test_likest_members_are_those_of_all_pairs(spark):
         assert sorted(found.get(n, [])) == sorted(x for x in every if x[0] <= -members.TRIGRAM)[: members.CANDIDATES]
 
 
+def test_alike_finds_what_all_pairs_have(spark):
+    """Sets of several sizes, some with more trigrams than bits, and with trigrams that no known set has."""
+    rng = random.Random(9)
+    word = lambda letters, n: "".join(rng.choices(letters, k=n))
+    base = [" ".join(word("abcdefgh", rng.choice((3, 4, 9))) for _ in range(rng.choice((1, 2, 3, 70)))) for _ in range(60)]
+    near = lambda t: "".join(c if rng.random() > 0.1 else rng.choice("abxy ") for c in t)
+    left, right = {i: near(rng.choice(base)) for i in range(80)}, dict(enumerate(base))
+    split = lambda t: {f"  {w} "[i : i + 3] for w in t.split() for i in range(len(w) + 1)}
+    frame = lambda d, key: spark.createDataFrame([(k, k % 2 if key == "a" else 0, v) for k, v in d.items()], f"{key} int, part int, form string").withColumn("grams", text.trigrams(F.col("form"))).where("size(grams) > 0")
+    ranked = alike.ranks(frame(right, "b"))
+    a, b = alike.coded(frame(left, "a"), ["a", "part"], ranked, "a_"), alike.coded(frame(right, "b"), ["b", "part"], ranked, "b_")
+    for degree in (0.3, 0.75, 1.0):
+        every = {(i, j): len(split(x) & split(y)) / len(split(x) | split(y)) for i, x in left.items() for j, y in right.items() if split(x) or split(y)}
+        assert {(r.a, r.b): r.likeness for r in alike.alike(a.drop("part"), b.drop("part"), degree).collect()} == {k: v for k, v in every.items() if v >= degree}
+        assert {(r.a, r.b) for r in alike.alike(a, b, degree, ("part",)).collect()} == {k for k, v in every.items() if v >= degree and k[0] % 2 == 0}
+
+
+def test_members_are_told_apart_by_bits_in_a_compiled_join(spark, monkeypatch):
+    plans, kept = [], members.written
+
+    def written(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name)
+
+    monkeypatch.setattr(members, "written", written)
+    matched(spark)
+    compared = [line for plan in plans for line in plan.splitlines() if "Join" in line and "array_intersect(a_ids" in line or "Join" in line and "array_intersect(a#" in line]
+    assert len(compared) == len(members.STEPS)
+    for line in compared:
+        assert line.index("bit_count") < line.index("array_intersect") and "lambda" not in line and "class#" in line
+
+
 def test_a_search_reads_postings_of_its_trigrams_and_finds_the_same(spark, tmp_path):
     rng = random.Random(2)
     names = [(i, f"T{i}" if i % 3 else f"T.{i}", " ".join(rng.choices(["apple", "apples", "maple", "grape", "berry inc", "snapple", "x"], k=2)), i % 5) for i in range(200)]

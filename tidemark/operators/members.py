@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import GENERATIONS, QUOTED, folded_words, name_parts, trigrams
 from ..sources.store import written
+from .alike import alike, coded, ranks
 
 #: Scores of an exact and a normalised fit, the factor of a member out of office, what is accepted without a person, the least similarity
 #: of a candidate, how many candidates are kept, and days after a term's end for which filings still come.
@@ -57,11 +58,12 @@ def match_members(filed: DataFrame, member: DataFrame, terms: DataFrame, refused
     """
     known = known_members(member, terms)
     parts = name_parts(F.col("first_name"), F.col("last_name"))
-    asked = filed.withColumn("parts", parts).select(
+    asked = filed.repartition("name_id").withColumn("parts", parts).select(
         "name_id", "chamber", "state", "first_filed", "last_filed", F.col("parts.surname").alias("words"), _joined(F.col("parts.surname")).alias("surname"), _spaced(F.concat_ws(" ", "first_name", "last_name")).alias("spelled"),
         F.filter(F.array_distinct(F.concat(F.array(_joined(F.concat("parts.given", "parts.surname"))), F.transform("parts.nicknames", lambda n: _joined(F.concat(n, F.col("parts.surname")))))), lambda f: f != "").alias("forms"),
         F.array_compact(F.concat(F.slice("parts.given", 1, 1), F.transform("parts.nicknames", lambda n: F.try_element_at(n, F.lit(1))))).alias("firsts"),
     )
+    asked = written(asked, "filed")  # read twice below
     by_word = known.withColumn("word", F.explode(F.array_distinct(F.flatten(F.transform("surnames", lambda s: F.split(s, " "))))))
     sharing = asked.withColumn("word", F.explode(F.array_distinct("words"))).join(by_word, "word").drop("word", "words").dropDuplicates(["name_id", "member_id"])
     if refused is not None:
@@ -90,40 +92,28 @@ def likest_members(open_names: DataFrame, known: DataFrame, refused: DataFrame |
     """name_id, member_id, likest of names (name_id, chamber, state, first_filed, last_filed, forms) and members in office of their seats, by the likest of their
     forms: all that a name has among its CANDIDATES likest, ties too.
 
-    Two sets of trigrams that are alike to a degree share one of the rarest of each: with t trigrams ceil(degree * t) are shared, so of any
-    t - ceil(degree * t) + 1 of them one is. Those alone are joined, within the seat. A degree is high at first; a name with CANDIDATES members well above it is done.
+    alike() joins sets of trigrams within the seat. A degree is high at first; a name with CANDIDATES members well above it is done.
     """
-    seats = F.array_distinct(F.flatten(F.transform("terms", lambda t: F.array(F.struct(t["chamber"].alias("c"), t["state"].alias("z")), F.struct(t["chamber"].alias("c"), F.lit(None).cast("string").alias("z"))))))
+    seat = lambda t, state: F.struct(t["chamber"].alias("chamber"), state.alias("state"))
+    seats = F.array_distinct(F.flatten(F.transform("terms", lambda t: F.array(seat(t, t["state"]), seat(t, F.lit(None).cast("string"))))))
+    spans = F.transform(F.filter("terms", lambda t: (t["chamber"] == F.col("seat.chamber")) & (F.col("seat.state").isNull() | (t["state"] == F.col("seat.state")))), lambda t: F.struct(t["start_date"].alias("start_date"), t["end_date"].alias("end_date")))
 
     def sets(rows: DataFrame, key: str, forms: str) -> DataFrame:
         return rows.select(key, F.explode(forms).alias("form")).distinct().withColumn("grams", trigrams(F.col("form"))).where("size(grams) > 0")
 
-    theirs = sets(known, "member_id", "folded")
-    often = written(theirs.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df")), "often")
-
-    def ordered(rows: DataFrame, key: str, name: str) -> DataFrame:
-        """Each set in the order of its trigrams, rarest first."""
-        each = rows.select(key, "form", F.explode("grams").alias("g")).join(often, "g", "left")
-        order = F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "g")))
-        return each.groupBy(key, "form").agg(F.transform(order, lambda x: x["g"]).alias(name)).drop("form")
-
-    def probes(rows: DataFrame, name: str, degree: float) -> DataFrame:
-        t = F.size(name)
-        first = F.slice(name, F.lit(1), (t - F.ceil(F.lit(degree) * t) + 1).cast("int"))
-        return rows.withColumn(f"first_{name}", first).withColumn("g", F.explode(f"first_{name}"))
-
-    asked = written(open_names.drop("forms").join(ordered(sets(open_names, "name_id", "forms"), "name_id", "a"), "name_id"), "asked")
-    members = written(known.select("member_id", "terms", F.explode(seats).alias("s")).select("member_id", "terms", "s.*").join(ordered(theirs, "member_id", "b"), "member_id"), "seated")
+    theirs = written(sets(known, "member_id", "folded"), "sets")
+    ranked = written(ranks(theirs), "ranks")
+    asked = open_names.select("name_id", F.struct("chamber", "state").alias("seat"), "first_filed", "last_filed").join(coded(sets(open_names, "name_id", "forms"), ["name_id", "form"], ranked, "a_").drop("form"), "name_id")
+    asked = written(asked, "asked")
+    seated = known.select("member_id", "terms", F.explode(seats).alias("seat")).join(F.broadcast(asked.select("seat").distinct()), "seat", "left_semi").select("member_id", "seat", spans.alias("spans"))
+    seated = written(seated.join(coded(theirs, ["member_id", "form"], ranked, "b_").drop("form"), "member_id"), "seated")
     found = None
     for degree in STEPS:
-        pairs = probes(asked, "a", degree).withColumn("s", F.struct("chamber", "state")).join(probes(members, "b", degree).withColumn("s", F.struct(F.col("c").alias("chamber"), F.col("z").alias("state"))), ["s", "g"])
-        pairs = pairs.where((F.size("a") >= F.size("b") * degree) & (F.size("b") >= F.size("a") * degree))
-        pairs = pairs.where(F.get(F.array_intersect("first_a", "first_b"), F.lit(0)) == F.col("g")).where(in_office())  # a pair meets once
-        shared = F.size(F.array_intersect("a", "b"))
-        near = pairs.select("name_id", "member_id", (shared / (F.size("a") + F.size("b") - shared)).alias("likest")).where(F.col("likest") >= degree)
+        near = alike(asked, seated, degree, ("seat",)).select("name_id", "member_id", "likeness", "first_filed", "last_filed", F.inline("spans"))  # no lambda, which would keep the join from being compiled
+        near = near.where((F.col("start_date") <= F.col("last_filed")) & (F.date_add("end_date", GRACE) >= F.col("first_filed")))
         if refused is not None:
             near = near.join(refused.select("name_id", "member_id").distinct(), ["name_id", "member_id"], "left_anti")
-        near = near.groupBy("name_id", "member_id").agg(F.max("likest").alias("likest"))
+        near = near.groupBy("name_id", "member_id").agg(F.max("likeness").alias("likest"))
         order = Window.partitionBy("name_id").orderBy(F.round("likest", 3).desc(), "member_id")
         near = near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= CANDIDATES).drop("place")
         near = written(near, "near")
