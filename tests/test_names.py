@@ -85,6 +85,51 @@ def test_likest_members_are_those_of_all_pairs(spark):
         assert sorted(found.get(n, [])) == sorted(x for x in every if x[0] <= -members.TRIGRAM)[: members.CANDIDATES]
 
 
+def test_name_candidates_are_those_of_all_pairs(spark):
+    rng = random.Random(6)
+    words = ["acme", "widget", "widgets", "river", "rivers", "blue", "bluer", "holdings", "inc", "group", "x", "é"]
+    name = lambda: " ".join(rng.choices(words, k=rng.randint(1, 5)))
+    asked, listed = sorted({name() for _ in range(60)}), [(i, name(), name() if i % 2 else None) for i in range(60)]
+    core = {r.n: r.c for r in spark.createDataFrame([(n,) for n in {*asked, *(n for _, *both in listed for n in both if n)}], "n string").select("n", text.core_name(F.col("n")).alias("c")).collect()}
+    grams = lambda n: {f"  {w} "[i : i + 3] for w in core[n].split() for i in range(len(w) + 1)}
+    alike_ = lambda a, b: len(grams(a) & grams(b)) / len(grams(a) | grams(b)) if grams(b) else 0
+    every = {(a, i): max(alike_(a, b) for b in both if b) for a in asked for i, *both in listed if len(core[a].replace(" ", "")) >= 3}
+    got = entities.name_candidates(spark.createDataFrame([(a,) for a in asked], "name string"), spark.createDataFrame(listed, "security_id long, name string, filed_name string"))
+    found = {(r["name"], r.security_id): r.score for r in got.collect()}
+    assert found == {k: v for k, v in every.items() if v >= entities.NAME_ACCEPT} and any(v < 1 for v in found.values())
+
+
+def test_names_meet_securities_of_their_size(spark):
+    """A name whose size no security comes near meets none, though it shares its rarest trigrams with all; and no pair's names are taken apart again."""
+    names, listed = spark.createDataFrame([("abcdefghi bdfkl",)], "name string"), spark.createDataFrame([(i, "abcdefghi", None) for i in range(200)], "security_id long, name string, filed_name string")
+    plans = [f(names, listed)._jdf.queryExecution().executedPlan().toString() for f in (entities.name_candidates,)]
+    suggested = spark.createDataFrame([(1, None, "abcdefghi bdfkl", None), (2, "T", "abcdefghi", None)], "security_id long, ticker string, name string, filed_name string")
+    plans.append(entities.fuzzy_matches(suggested)._jdf.queryExecution().executedPlan().toString())
+    for plan in plans:
+        line = next(x for x in plan.splitlines() if "Join" in x and "array_intersect" in x)
+        assert "class#" in line and "bit_count" in line and "regexp" not in line
+    assert entities.name_candidates(names, listed).count() == 0
+
+
+def test_core_names_are_worked_out_once(spark, monkeypatch):
+    plans, kept = [], entities.written
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(entities, "written", written)
+    lines = spark.createDataFrame([(1, "ST", "Acme Widgets Inc", "ACME", dt.date(2024, 5, 1)), (2, "ST", "Acme Widgits", None, dt.date(2024, 5, 1))], "id long, asset_type string, asset_name string, ticker string, day date")
+    securities = spark.createDataFrame([(7, "ACME", "123456789", "Acme Widgets Corp", "ACME WIDGETS", None)], "security_id long, ticker string, cusip string, name string, filed_name string, delisted_by date")
+    aliases = spark.createDataFrame([(7, "ACME", None, None)], "security_id long, ticker string, valid_from date, valid_to date")
+    held = spark.createDataFrame([(7, 2024, Decimal(100), dt.date(2024, 3, 31))], "security_id long, year int, value decimal(20,2), last_held date")
+    ruled = spark.createDataFrame([], "key string, security_id long, asset_class string")
+    got = entities.resolve_assets(lines, ruled, securities, aliases, held)
+    assert {(r.id, r.security_id, r.method, r.confidence) for r in got.collect()} == {(1, 7, "ticker", 1.0), (2, None, None, None)}
+    share_words = "REPRESENTING"  # of the expression that only core names use
+    assert {name for name, plan in plans if share_words in plan} == {"securities", "looked"} and share_words not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_alike_finds_what_all_pairs_have(spark):
     """Sets of several sizes, some with more trigrams than bits, and with trigrams that no known set has."""
     rng = random.Random(9)
