@@ -56,7 +56,7 @@ def match_members(filed: DataFrame, member: DataFrame, terms: DataFrame, refused
     of ACCEPT or more is accepted. If none in office fits, those out of office do with a factor, and members in office by trigrams.
     refused (name_id, member_id): what a person has ruled out.
     """
-    known = known_members(member, terms)
+    known = written(known_members(member, terms), "known")  # read three times below
     parts = name_parts(F.col("first_name"), F.col("last_name"))
     asked = filed.repartition("name_id").withColumn("parts", parts).select(
         "name_id", "chamber", "state", "first_filed", "last_filed", F.col("parts.surname").alias("words"), _joined(F.col("parts.surname")).alias("surname"), _spaced(F.concat_ws(" ", "first_name", "last_name")).alias("spelled"),
@@ -73,6 +73,7 @@ def match_members(filed: DataFrame, member: DataFrame, terms: DataFrame, refused
     fits = sharing.withColumns({"method": method, "sits": in_office()}).where("method is not null")
     by = Window.partitionBy("name_id")
     fits = fits.withColumns({"seated": F.sum(F.col("sits").cast("int")).over(by), "all": F.count("*").over(by)}).where("sits or seated = 0")
+    fits = written(fits.select("name_id", "member_id", "method", "sits", "seated", "all"), "fits")  # read twice below
     base = F.when(F.col("method") == "exact", EXACT).otherwise(NORMALISED)
     fits = fits.withColumn("confidence", F.round(F.when(F.col("sits"), base / F.col("seated")).otherwise(base * OUT_OF_OFFICE / F.col("all")), 3))
     sure = fits.select("name_id", "member_id", "method", "confidence", (F.col("sits") & (F.col("seated") == 1) & (F.col("confidence") >= ACCEPT)).alias("accepted"))
@@ -85,7 +86,7 @@ def match_members(filed: DataFrame, member: DataFrame, terms: DataFrame, refused
 
 
 #: Likenesses down to which members are looked for, one after another: names that have enough of a higher one leave the later, larger searches.
-STEPS = (0.7, 0.6, 0.5, 0.4, TRIGRAM)
+STEPS = (0.5, 0.4, TRIGRAM)
 
 
 def likest_members(open_names: DataFrame, known: DataFrame, refused: DataFrame | None = None) -> DataFrame:
